@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unique_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) without null doc_id; of repeated rows of a doc_id the text that sorts last stands."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return docs.groupBy("doc_id").agg(F.max("text").alias("text")) if twice else docs
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut a stream of batches that is sorted by keys into one table for each key.
 

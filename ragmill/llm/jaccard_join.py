@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
 from ragmill.llm._graph import components
-from ragmill.llm._spark import sorted_groups, written
+from ragmill.llm._spark import sorted_groups, unique_texts, written
 
 #: Documents and shingles of one block of a tile.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
@@ -53,10 +53,6 @@ class Bands:
         return (band > 0) & (n * self.num <= (self.starts[band] - 1) * self.den)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-
-
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for lo, hi, h, row in K.words(batch.column(batch.schema.get_field_index("text"))):
         yield lo, hi, *K.shingle_sets(h, row, hi - lo, n)
@@ -78,7 +74,7 @@ def set_digests(docs: DataFrame, n: int) -> DataFrame:
                     ["doc_id", "n_shingles", "h1", "h2"],
                 )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def _keys(s: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +129,7 @@ def candidate_edges(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
             pairs = np.unique(np.stack([smallest[keep], doc[keep]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    rows = _texts(docs).mapInArrow(emit, "key long, doc_id long")
+    rows = docs.mapInArrow(emit, "key long, doc_id long")
     return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(link, "a long, b long").distinct()
 
 
@@ -180,7 +176,7 @@ def link_block(sets: list[np.ndarray], num: int, den: int, guests: int = 0) -> n
 
 def _tiles(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """Members (doc_id, comp, scheme, ...) with the sorted sets of their documents."""
-    joined = _texts(docs).join(members, "doc_id")
+    joined = docs.join(members, "doc_id")
     others = [c for c in members.columns if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +216,7 @@ def _block_edges(tiles: DataFrame, num: int, den: int, guests: bool) -> DataFram
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: components of the links num * union <= den * intersection."""
     spark, bands = docs.sparkSession, Bands(num, den)
-    docs = docs.groupBy("doc_id").agg(F.max("text").alias("text")) if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
+    docs = unique_texts(docs)
     seen = written(set_digests(docs, n), "sets")
     classes = seen.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classed = written(seen.where("n_shingles > 0").join(classes, ["h1", "h2"]).select("doc_id", "rep", "n_shingles"), "classes")
