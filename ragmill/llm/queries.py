@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ragmill.llm import jaccard_join, suffix_dedup
+from ragmill.llm import bpe, jaccard_join, suffix_dedup
 from ragmill.llm._spark import table
 
 
@@ -14,12 +15,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_dedup, op9_jaccard_join,)}
+    return {f.__name__: f for f in (op4_suffix_dedup, op6_bpe, op9_jaccard_join,)}
 
 
 def oracle_sql() -> dict[str, str]:
