@@ -2,8 +2,9 @@
 
 Method: documents fall into size bands that grow by a constant factor; a pair whose similarity
 reaches the threshold lies in one band or two neighbouring ones. In a band, the hash range is
-cut into more parts than two linked sets can differ in, so linked sets agree in at least one
-part (pigeonhole): equal parts give candidate groups and no link is missed. In each candidate
+cut into more parts than two linked sets can differ in, so linked sets agree in some
+parts (pigeonhole): equal parts give candidate groups and no link is missed. There are so many spare parts that those with no
+or one shingle need not count (documents with more of these send them all), so that a common line alone makes no candidates. In each candidate
 group and band (a tile), bitmaps of hashed shingles bound the overlap from above by bit counts, and
 only pairs that pass get the exact intersection of their sorted arrays. A tile gives a spanning
 forest, never all its pairs. Tiles over a size limit are cut into blocks which all hold the tile's
@@ -96,8 +97,12 @@ def _keys(s: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.n
         first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         total = np.add.reduceat(value[take], first)
         part, owner = part[first], owner[first]
-        full = np.bincount(owner, minlength=len(mine))
-        for i in np.flatnonzero(m - full > slack):  # so many empty parts that a pair may agree in no other
+        count = np.diff(np.append(first, len(slot)))
+        thin = m - np.bincount(owner[count > 1], minlength=len(mine))
+        odd = np.flatnonzero(thin > slack)  # so many thin parts that a pair may agree in no other
+        keep = (count > 1) | np.isin(owner, odd)
+        part, owner, total = part[keep], owner[keep], total[keep]
+        for i in odd:
             empty = np.setdiff1d(np.arange(m), part[owner == i])
             part, owner, total = np.concatenate([part, empty]), np.concatenate([owner, np.full(len(empty), i)]), np.concatenate([total, np.zeros(len(empty), K.U)])
         keys.append(K.mix(total + K.mix(part.astype(K.U) + K.U(int(scheme) << 40))))
@@ -176,7 +181,7 @@ def link_block(sets: list[np.ndarray], num: int, den: int, guests: int = 0) -> n
 
 def _tiles(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """Members (doc_id, comp, scheme, ...) with the sorted sets of their documents."""
-    joined = docs.join(members, "doc_id")
+    joined = docs.join(members.hint("merge"), "doc_id")
     others = [c for c in members.columns if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
