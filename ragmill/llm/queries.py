@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import ball_tree, bpe, jaccard_join, resampling, suffix_dedup
+from ragmill.llm import ball_tree, bpe, decontaminate, jaccard_join, resampling, suffix_dedup
 from ragmill.llm._spark import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -34,7 +38,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_top_k, op3_importance_resampling, op4_suffix_dedup, op6_bpe, op9_jaccard_join,)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_exact_top_k, op3_importance_resampling, op4_suffix_dedup, op6_bpe, op9_jaccard_join,)}
 
 
 def oracle_sql() -> dict[str, str]:
