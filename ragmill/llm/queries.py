@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import ball_tree, bpe, decontaminate, jaccard_join, resampling, suffix_dedup
+from ragmill.llm import ball_tree, bpe, decontaminate, jaccard_join, licenses, preferences, resampling, sharding, suffix_dedup
 from ragmill.llm._spark import table
 
 
@@ -29,17 +29,30 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.segments(*preferences.negatives(table(spark, sf_dir, "conversations")), key="conv_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sharding.placed(docs, "doc_id", [f"shard-{i:03d}" for i in range(64)])
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_exact_top_k, op3_importance_resampling, op4_suffix_dedup, op6_bpe, op9_jaccard_join,)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_exact_top_k, op3_importance_resampling, op4_suffix_dedup, op5_preferences, op6_bpe, op7_sharding, op9_jaccard_join, op10_licenses,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_preferences": preferences.ORACLE, "op10_licenses": licenses.ORACLE}
