@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import ball_tree, bpe, decontaminate, jaccard_join, licenses, preferences, resampling, sharding, suffix_dedup
+from ragmill.llm import ball_tree, bpe, decontaminate, jaccard_join, licenses, preferences, resampling, sharding, suffix_dedup, warc
 from ragmill.llm._spark import table
 
 
@@ -42,6 +42,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(docs, "doc_id", [f"shard-{i:03d}" for i in range(64)])
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -51,8 +55,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_exact_top_k, op3_importance_resampling, op4_suffix_dedup, op5_preferences, op6_bpe, op7_sharding, op9_jaccard_join, op10_licenses,)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_exact_top_k, op3_importance_resampling, op4_suffix_dedup, op5_preferences, op6_bpe, op7_sharding, op8_warc, op9_jaccard_join, op10_licenses,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preferences": preferences.ORACLE, "op10_licenses": licenses.ORACLE}
+    return {"op5_preferences": preferences.ORACLE, "op8_warc": warc.ORACLE, "op10_licenses": licenses.ORACLE}

@@ -273,7 +273,10 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """Rows of docs with repeated strings cut out of text; characters of which a part was cut go whole."""
+    """Rows of docs, one for each doc_id, with repeated strings cut out of text (and n_chars, if there, to match).
+
+    Characters of which a part was cut go whole.
+    """
     kept = without_repeats(docs, length)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,5 +285,8 @@ def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     new = kept.select("doc_id", "kept").mapInArrow(decode, "doc_id long, text string")
-    rest = docs.select(*(c for c in docs.columns if c != "text"))
-    return rest.join(new, "doc_id").select(*docs.columns)
+    rest = docs.select(*(c for c in docs.columns if c != "text")).where("doc_id is not null").dropDuplicates(["doc_id"])
+    out = rest.join(new, "doc_id")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
