@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ragmill.plans import chunking, curation
+
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list = []
+_MODULES: list = [curation, chunking]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
