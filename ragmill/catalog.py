@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ragmill.plans import chunking, curation
+from ragmill.sources.tables import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _MODULES: list = [curation, chunking]
@@ -21,4 +22,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+    return {name: with_views(sql) for m in _MODULES for name, sql in m.ORACLES.items()}

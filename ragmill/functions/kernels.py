@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _SILENT = {"script", "style"}
@@ -43,7 +44,7 @@ def _parse(html: str | None) -> _Page:
     return page
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def page_text(html: pd.Series) -> pd.Series:
     """Title, a blank line, and the visible text."""
 
@@ -54,7 +55,7 @@ def page_text(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def absolute_links(url: pd.Series, html: pd.Series) -> pd.Series:
     """Links of a page, resolved against its address."""
     return pd.Series([[urljoin(u or "", x) for x in _parse(h).links] for u, h in zip(url, html, strict=True)])
@@ -97,7 +98,7 @@ def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, .
 def recursive_chunks(size: int, overlap: int):
     """Chunker of a text column as a vectorised function."""
 
-    @pandas_udf("array<string>")
+    @pandas_udf(T.ArrayType(T.StringType()))
     def cut(text: pd.Series) -> pd.Series:
         return text.map(lambda t: split_recursive(t or "", size, overlap))
 
