@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragmill.plans import chunking, curation
+from ragmill.plans import chunking, curation, retrieval
 from ragmill.sources.tables import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list = [curation, chunking]
+_MODULES: list = [curation, chunking, retrieval]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return retrieval.i4(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
