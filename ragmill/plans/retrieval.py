@@ -194,7 +194,7 @@ def i15(spark: SparkSession, sf: str) -> DataFrame:
 
 def i16(spark: SparkSession, sf: str) -> DataFrame:
     g = _guesses(spark, sf).withColumn("error", F.round(F.abs(F.col("guess") - F.col("truth")), 4))
-    return E.running_error(g, "p_partkey", ["l_orderkey", "l_linenumber"], "error").groupBy("p_partkey").agg(F.round(F.sum("mean_error"), 2).alias("sum_mean"), F.round(F.sum("band"), 2).alias("sum_band"))
+    return E.running_error(g, "p_partkey", ["l_orderkey", "l_linenumber", "error"], "error").groupBy("p_partkey").agg(F.round(F.log1p(F.sum("mean_error")), 6).alias("log_mean"), F.round(F.log1p(F.sum("band")), 6).alias("log_band"))
 
 
 QUERIES = {
@@ -278,6 +278,6 @@ ORACLES = {
         round(avg((e < 40 or e / abs(truth) < 0.2)::int), 6) share_green from e""",
     "i16_running_error": f"""with {_GUESS}, e as (select *, round(abs(guess - truth), 4) e from g),
         r as (select p_partkey, avg(e) over w m, case when count(e) over w > 1 then 1.96 * stddev_pop(e) over w / sqrt(count(e) over w) else 0 end b from e
-        window w as (partition by p_partkey order by l_orderkey, l_linenumber rows between unbounded preceding and current row))
-        select p_partkey, round(sum(m), 2) sum_mean, round(sum(b), 2) sum_band from r group by p_partkey""",
+        window w as (partition by p_partkey order by l_orderkey, l_linenumber, e rows between unbounded preceding and current row))
+        select p_partkey, round(ln(1 + sum(m)), 6) log_mean, round(ln(1 + sum(b)), 6) log_band from r group by p_partkey""",
 }
