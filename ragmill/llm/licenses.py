@@ -40,6 +40,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def once(c: Column) -> Column:
+    """A column that is computed once for each row, however often later columns use it."""
+    return F.explode(F.array(c))
+
+
 def shingles(w: Column, n: Column | int) -> Column:
     """Hash of each run of n words, in order."""
     n = F.lit(n) if isinstance(n, int) else n
@@ -64,7 +69,7 @@ def scan(docs: DataFrame, templates: DataFrame, bands_: int = 64, num: int = 80,
     rows = known.limit(MOST_NOTICES + 1).collect()  # bounded: a table of notices
     if len(rows) > MOST_NOTICES:
         raise ValueError(f"more than {MOST_NOTICES} notices; scan them in parts")
-    texts = docs.select(F.col("doc_id").alias("doc_id"), words(F.col("text")).alias("w"))
+    texts = docs.select(F.col("doc_id").alias("doc_id"), once(words(F.col("text"))).alias("w"))
     if not rows:
         return texts.select("doc_id", F.lit("").alias("license_id"), F.lit(0).alias("matched"), F.lit(0).alias("total")).limit(0)
     longest = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_max(F.transform(F.slice(F.col("w"), i, F.col("n")), lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"])
@@ -72,20 +77,15 @@ def scan(docs: DataFrame, templates: DataFrame, bands_: int = 64, num: int = 80,
     keys = sorted({r[0] for r in split.select(F.explode(longest)).distinct().collect()})
     near = texts.where(F.arrays_overlap("w", F.array(*map(F.lit, keys))))
 
-    units = []
-    for n in sorted({r.n for r in rows}):
-        of_n = [r for r in rows if r.n == n]
-        wanted = F.array(*(F.lit(x) for x in sorted({x for r in of_n for x in r.s})))
-        hashed = near.select("doc_id", shingles(F.col("w"), n).alias("all")).where(F.arrays_overlap("all", wanted))
-        placed = hashed.withColumn("hits", F.filter(F.transform("all", lambda x, i: F.when(F.array_contains(wanted, x), i)), lambda i: i.isNotNull()))
-        halves = F.array(*(F.lit(h) for h in sorted({r.half for r in of_n})))
-        opened = placed.withColumn("half", F.explode(halves))
-        starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(F.floor(i / F.col("half")), F.greatest(F.floor(i / F.col("half")) - 1, F.lit(0).cast("bigint"))))))
-        cut = opened.withColumn("k", F.explode(starts)).withColumn("win", F.array_distinct(F.slice("all", (F.col("k") * F.col("half") + 1).cast("int"), F.col("half") * 2)))
-        units.append(cut.select("doc_id", F.lit(n).alias("n"), "half", "k", "win"))
-    windows = units[0]
-    for u in units[1:]:
-        windows = windows.unionByName(u)
+    wanted = F.array(*(F.lit(x) for x in sorted({x for r in rows for x in r.s})))
+    sizes = F.array(*(F.struct(F.lit(n).alias("n"), F.array(*(F.lit(h) for h in sorted({r.half for r in rows if r.n == n}))).alias("halves")) for n in sorted({r.n for r in rows})))
+    hashed = near.select("doc_id", "w", F.inline(sizes)).select("doc_id", "n", "halves", once(shingles(F.col("w"), F.col("n"))).alias("all")).where(F.arrays_overlap("all", wanted))
+    hits = F.filter(F.transform("all", lambda x, i: F.when(F.array_contains(wanted, x), i)), lambda i: i.isNotNull())
+    opened = hashed.select("doc_id", "n", "halves", "all", once(hits).alias("hits")).withColumn("half", F.explode("halves"))
+    window = lambda i: F.floor(i / F.col("half"))
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(window(i), F.greatest(window(i) - 1, F.lit(0).cast("bigint"))))))
+    cut = opened.withColumn("k", F.explode(starts))
+    windows = cut.select("doc_id", "n", "half", "k", once(F.array_distinct(F.slice("all", (F.col("k") * F.col("half") + 1).cast("int"), F.col("half") * 2))).alias("win"))
     values = known.select("license_id", "n", "half", F.size("s").alias("total"), "s", F.posexplode("bands").alias("band", "value"))
     looked = windows.select("doc_id", "n", "half", "win", F.posexplode(bands(F.col("win"), bands_)).alias("band", "value"))
     matched = F.size(F.array_intersect("win", "s"))
