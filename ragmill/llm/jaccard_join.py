@@ -3,8 +3,9 @@
 Method: documents fall into size bands that grow by a constant factor; a pair whose similarity
 reaches the threshold lies in one band or two neighbouring ones. In a band, the hash range is
 cut into more parts than two linked sets can differ in, so linked sets agree in some
-parts (pigeonhole): equal parts give candidate groups and no link is missed. There are so many spare parts that those with no
-or one shingle need not count (documents with more of these send them all), so that a common line alone makes no candidates. In each candidate
+parts (pigeonhole): equal parts give candidate groups and no link is missed. Very frequent shingles (by a sketch of fixed size over
+all documents) are left out of parts, which makes two sets differ in no more of them, so that common lines make no candidates.
+There are spare parts, so those with too few shingles need not count; a document with more of these sends all its parts. In each candidate
 group and band (a tile), bitmaps of hashed shingles bound the overlap from above by bit counts, and
 only pairs that pass get the exact intersection of their sorted arrays. A tile gives a spanning
 forest, never all its pairs. Tiles over a size limit are cut into blocks which all hold the tile's
@@ -31,6 +32,8 @@ from ragmill.llm._spark import sorted_groups, unique_texts, written
 
 #: Documents and shingles of one block of a tile.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+#: The sketch of shingle frequencies, and from which share of documents on a shingle is frequent.
+SKETCH_BITS, SLICES, FREQUENT = 20, 64, 0.002
 
 
 class Bands:
@@ -43,7 +46,9 @@ class Bands:
             starts.append(max(starts[-1] + 1, math.ceil(starts[-1] * grow)))
         self.starts = np.array(starts, np.int64)
         differ = [(a - 1 + (a - 1) * den // num) * (den - num) // (den + num) for a in starts[1:]]
-        self.slack = np.array([0 if d == 0 else max(1, math.ceil(0.15 * d)) for d in differ], np.int64)
+        # a part counts from two shingles on where the threshold leaves enough of them for each part, else from one
+        self.least, spare = (2, 0.15) if 100 * num >= 84 * den else (1, 0.25)
+        self.slack = np.array([0 if d == 0 else max(1, math.ceil(spare * d)) for d in differ], np.int64)
         self.parts = np.array(differ, np.int64) + 1 + self.slack
 
     def band(self, n: np.ndarray) -> np.ndarray:
@@ -64,23 +69,53 @@ def _sums(v: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[at[1:]] - c[at[:-1]]
 
 
+def _buckets(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (s >> K.U(64 - SKETCH_BITS)).astype(np.int64), (K.mix(s + K.U(7919)) >> K.U(64 - SKETCH_BITS)).astype(np.int64) + (1 << SKETCH_BITS)
+
+
+_DIGESTS = "doc_id long, n_shingles long, h1 long, h2 long, slice int, counts binary"
+
+
 def set_digests(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set."""
+    """doc_id, n_shingles and a 128-bit digest of each set; besides, rows (slice, counts) of each task's sketch of shingle frequencies."""
+    names = [x.split()[0] for x in _DIGESTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sketch = 0, np.zeros(2 << SKETCH_BITS, np.int32)
         for batch in batches:
+            seen += batch.num_rows
             for lo, hi, s, at in _sets(batch, n):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(_sums(K.mix(s ^ K.U(0x5851F42D4C957F2D)), at).view(np.int64)), pa.array(_sums(K.mix(s + K.U(0x14057B7EF767814F)), at).view(np.int64))],
-                    ["doc_id", "n_shingles", "h1", "h2"],
-                )
+                for b in _buckets(s):
+                    np.add.at(sketch, b, 1)
+                rows = hi - lo
+                digests = [_sums(K.mix(x), at).view(np.int64) for x in (s ^ K.U(0x5851F42D4C957F2D), s + K.U(0x14057B7EF767814F))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(np.diff(at)), *map(pa.array, digests), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        if seen:
+            parts = [np.concatenate([np.array([seen if i == 0 else 0], np.int32), x]).tobytes() for i, x in enumerate(np.split(sketch, SLICES))]
+            blank = [pa.nulls(SLICES, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], names)
+
+    return docs.mapInArrow(run, _DIGESTS)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
+def frequent_shingles(digests: DataFrame) -> np.ndarray:
+    """Which buckets of the sketch hold shingles of more than FREQUENT of all documents; all that the driver sees is the sketch."""
 
-def _keys(s: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts and the row of each."""
-    size = np.diff(at)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, ["slice"]):
+            total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in t.column("counts"))
+            yield pa.RecordBatch.from_arrays([t.column("slice").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+
+    rows = digests.where("slice is not null").select("slice", "counts")
+    got = {r[0]: np.frombuffer(r[1], np.int64) for r in rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect()}
+    if not got:
+        return np.zeros(2 << SKETCH_BITS, bool)
+    return np.concatenate([got[i][1:] for i in range(SLICES)]) > max(32, FREQUENT * int(got[0][0]))
+
+
+def _keys(s: np.ndarray, at: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts and the row of each. s and at hold the shingles that aren't frequent; size counts all."""
+    left = np.diff(at)
     rows = np.flatnonzero(size)
     band = bands.band(size[rows])
     low = bands.lower(size[rows], band)
@@ -90,17 +125,18 @@ def _keys(s: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.n
     for scheme in np.unique(band):
         mine = np.sort(rows[band == scheme])
         m, slack = int(bands.parts[scheme]), int(bands.slack[scheme])
-        take = np.repeat(at[mine], size[mine]) + np.arange(size[mine].sum()) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
-        owner = np.repeat(np.arange(len(mine)), size[mine])
+        n = left[mine]
+        take = np.repeat(at[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner = np.repeat(np.arange(len(mine)), n)
         part = ((s[take] >> K.U(32)) * K.U(m) >> K.U(32)).astype(np.int64)
         slot = owner * m + part
-        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-        total = np.add.reduceat(value[take], first)
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+        total = np.add.reduceat(value[take], first) if len(slot) else np.zeros(0, K.U)
         part, owner = part[first], owner[first]
         count = np.diff(np.append(first, len(slot)))
-        thin = m - np.bincount(owner[count > 1], minlength=len(mine))
+        thin = m - np.bincount(owner[count >= bands.least], minlength=len(mine))
         odd = np.flatnonzero(thin > slack)  # so many thin parts that a pair may agree in no other
-        keep = (count > 1) | np.isin(owner, odd)
+        keep = (count >= bands.least) | np.isin(owner, odd)
         part, owner, total = part[keep], owner[keep], total[keep]
         for i in odd:
             empty = np.setdiff1d(np.arange(m), part[owner == i])
@@ -110,14 +146,20 @@ def _keys(s: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.n
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, K.U), np.zeros(0, np.int64))
 
 
-def candidate_edges(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+def candidate_edges(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
     """(a, b): documents that agree in a part, each with the smallest of its group."""
 
+    table = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(table.value).astype(bool)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, s, at in _sets(batch, n):
-                keys, owner = _keys(s, at, bands)
+                a, b = _buckets(s)
+                rare = ~(common[a] & common[b])
+                left = np.concatenate([[0], np.cumsum(rare)])[at]
+                keys, owner = _keys(s[rare], left, np.diff(at), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo + owner])], ["key", "doc_id"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +264,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """doc_id, n_shingles, component_id: components of the links num * union <= den * intersection."""
     spark, bands = docs.sparkSession, Bands(num, den)
     docs = unique_texts(docs)
-    seen = written(set_digests(docs, n), "sets")
+    digests = written(set_digests(docs, n), "sets")
+    seen = digests.where("slice is null").drop("slice", "counts")
     classes = seen.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classed = written(seen.where("n_shingles > 0").join(classes, ["h1", "h2"]).select("doc_id", "rep", "n_shingles"), "classes")
-    near = components(candidate_edges(docs, n, bands)).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
+    near = components(candidate_edges(docs, n, bands, frequent_shingles(digests))).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
 
     band = F.lit(0)
     known = [int(x) for x in bands.starts if x < 2**31]
