@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragmill.plans import change_data, chunking, curation, governance, monitoring, retrieval
+from ragmill.plans import change_data, chunking, curation, governance, monitoring, pipelines, retrieval
 from ragmill.sources.tables import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list = [curation, chunking, retrieval, change_data, governance, monitoring]
+_MODULES: list = [curation, chunking, retrieval, change_data, governance, monitoring, pipelines]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
