@@ -37,7 +37,7 @@ _SPACES = regex.compile(f"[{_SPACE}]+")
 #: What str.split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_MOST_WORDS = 300_000
+_MOST_WORDS, _MOST_PAIRS = 100_000, 200_000
 #: Stands for the word-end suffix, as one unit.
 _END = "\uffff"
 
@@ -78,7 +78,7 @@ class WordBpe:
             self.matcher.add_word(t, (len(t) - 1, i))
         self.matcher.make_automaton()
         self.prefix: dict[int, int] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         blob, sizes = [], []
@@ -98,11 +98,12 @@ class WordBpe:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging leaves token a directly before token b: no merge across the border wins over the merges that made them."""
-        found = self.compatible.get((a, b))
+        pair = a << 32 | b
+        found = self.compatible.get(pair)
         if found is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > _MOST_PAIRS:
                 self.compatible.clear()
-            found = self.compatible[a, b] = self._fits(a, b)
+            found = self.compatible[pair] = self._fits(a, b)
         return found
 
     def _fits(self, a: int, b: int) -> bool:
@@ -134,7 +135,7 @@ class WordBpe:
         token = longest[0]
         while True:
             end = place + width[token]
-            fit = end not in tried and (before < 0 or ((f := known.get((before, token))) is None and self.fits(before, token)) or f)
+            fit = end not in tried and (before < 0 or ((f := known.get(before << 32 | token)) is None and self.fits(before, token)) or f)
             if fit and (end == n or end in longest):
                 out.append(token)
                 if end == n:
