@@ -39,9 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text in a batch between the JVM and Python: whole texts may be long, so fewer than Spark's default.
+BATCH_ROWS = 2000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands texts to Python in batches of BATCH_ROWS rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def unique_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) without null doc_id; of repeated rows of a doc_id the text that sorts last stands."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return docs.groupBy("doc_id").agg(F.max("text").alias("text")) if twice else docs
 

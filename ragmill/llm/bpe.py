@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragmill.llm._spark import in_small_batches
+
 #: White space as the tokenizer's own regular expressions have it (U+001C to U+001F are not of it).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = regex.compile(f"[{_SPACE}]+")
@@ -232,4 +234,4 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols[: 5 if ids else 4], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if ids else 4])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import sorted_groups, written
+from ragmill.llm._spark import in_small_batches, sorted_groups, written
 
 U = K.U
 #: Masks over eight words: 1 is looked at, 0 is ignored.
@@ -73,7 +73,7 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull())
+    return in_small_batches(df).select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull())
 
 
 def _table(seeds: DataFrame) -> np.ndarray:

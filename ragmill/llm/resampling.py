@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import sorted_groups
+from ragmill.llm._spark import in_small_batches, sorted_groups
 
 U = K.U
 BITS = 20
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 4.0
     target = spark.sparkContext.broadcast(_target_ids(labels, most_labelled))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total, docs_seen = target.value, np.zeros((2, width), np.int64), np.zeros(2, np.int64)
+        ids, total, docs_seen = target.value, np.zeros((2, width), np.int32), np.zeros(2, np.int64)
         for batch in batches:
             doc = np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1).astype(np.int64) if batch.column(0).null_count else batch.column(0).to_numpy(zero_copy_only=False)
             hit = np.searchsorted(ids, doc)
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 4.0
                     np.add.at(total[1], feature[mine], 1)
         step = width // _SLICES
         for i in range(_SLICES if docs_seen[0] else 0):
-            part = np.concatenate([docs_seen if i == 0 else np.zeros(2, np.int64), total[:, i * step : (i + 1) * step].ravel()])
+            part = np.concatenate([docs_seen if i == 0 else np.zeros(2, np.int64), total[:, i * step : (i + 1) * step].ravel().astype(np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 4.0
             total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
             yield pa.RecordBatch.from_arrays([t.column("slice").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
 
-    parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "slice long, counts binary")
+    parts = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "slice long, counts binary")
     summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice long, counts binary").collect()
     ratio, seen = np.zeros(width, np.float32), np.zeros(2)
     got = {r[0]: np.frombuffer(r[1], np.int64) for r in summed}
@@ -118,7 +118,7 @@ def weighted(docs: DataFrame, ratio: np.ndarray, bits: int = BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*(f"c{i}" for i in range(batch.num_columns)), "log_weight"])
 
     kinds = docs.schema
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    plain = in_small_batches(docs).select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds)), "log_weight double"])
     return plain.mapInArrow(score, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), "log_weight")
 
