@@ -5,7 +5,8 @@ reaches the threshold lies in one band or two neighbouring ones. In a band, the
 cut into more parts than two linked sets can differ in, so linked sets agree in some
 parts (pigeonhole): equal parts give candidate groups and no link is missed. Very frequent shingles (by a sketch of fixed size over
 all documents) are left out of parts, which makes two sets differ in no more of them, so that common lines make no candidates.
-There are spare parts, so those with too few shingles need not count; a document with more of these sends all its parts. In each candidate
+There are spare parts, so those with too few shingles need not count; a document with more of these sends the parts of all its
+shingles besides. In each candidate
 group and band (a tile), bitmaps of hashed shingles bound the overlap from above by bit counts, and
 only pairs that pass get the exact intersection of their sorted arrays. A tile gives a spanning
 forest, never all its pairs. Tiles over a size limit are cut into blocks which all hold the tile's
@@ -33,7 +34,7 @@ from ragmill.llm._spark import sorted_groups, unique_texts, written
 #: Documents and shingles of one block of a tile.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
 #: The sketch of shingle frequencies, and from which share of documents on a shingle is frequent.
-SKETCH_BITS, SLICES, FREQUENT = 20, 64, 0.002
+SKETCH_BITS, SLICES, FREQUENT = 19, 64, 0.002
 
 
 class Bands:
@@ -113,14 +114,13 @@ def frequent_shingles(digests: DataFrame) -> np.ndarray:
     return np.concatenate([got[i][1:] for i in range(SLICES)]) > max(32, FREQUENT * int(got[0][0]))
 
 
-def _keys(s: np.ndarray, at: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts and the row of each. s and at hold the shingles that aren't frequent; size counts all."""
+def _parts(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, bands: Bands, salt: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts of rows in bands with the row of each, and the (rows, bands) that have so many thin parts that they may agree in no other.
+
+    With last, these send all their parts; else they send none here.
+    """
     left = np.diff(at)
-    rows = np.flatnonzero(size)
-    band = bands.band(size[rows])
-    low = bands.lower(size[rows], band)
-    rows, band = np.concatenate([rows, rows[low]]), np.concatenate([band, band[low] - 1])
-    keys, owners = [], []
+    keys, owners, odd_rows, odd_bands = [np.zeros(0, K.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     value = K.mix(s * K.U(0x2545F4914F6CDD1D) + K.U(1))
     for scheme in np.unique(band):
         mine = np.sort(rows[band == scheme])
@@ -135,15 +135,36 @@ def _keys(s: np.ndarray, at: np.ndarray, size: np.ndarray, bands: Bands) -> tupl
         part, owner = part[first], owner[first]
         count = np.diff(np.append(first, len(slot)))
         thin = m - np.bincount(owner[count >= bands.least], minlength=len(mine))
-        odd = np.flatnonzero(thin > slack)  # so many thin parts that a pair may agree in no other
-        keep = (count >= bands.least) | np.isin(owner, odd)
+        odd = np.flatnonzero(thin > slack)
+        keep = (count >= bands.least) | np.isin(owner, odd) if last else count >= bands.least
         part, owner, total = part[keep], owner[keep], total[keep]
-        for i in odd:
-            empty = np.setdiff1d(np.arange(m), part[owner == i])
-            part, owner, total = np.concatenate([part, empty]), np.concatenate([owner, np.full(len(empty), i)]), np.concatenate([total, np.zeros(len(empty), K.U)])
-        keys.append(K.mix(total + K.mix(part.astype(K.U) + K.U(int(scheme) << 40))))
+        if last:
+            for i in odd:
+                empty = np.setdiff1d(np.arange(m), part[owner == i])
+                part, owner, total = np.concatenate([part, empty]), np.concatenate([owner, np.full(len(empty), i)]), np.concatenate([total, np.zeros(len(empty), K.U)])
+        keys.append(K.mix(total + K.mix(part.astype(K.U) + K.U((int(scheme) * 2 + salt) << 40))))
         owners.append(mine[owner])
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, K.U), np.zeros(0, np.int64))
+        odd_rows.append(mine[odd])
+        odd_bands.append(np.full(len(odd), scheme))
+    return tuple(map(np.concatenate, (keys, owners, odd_rows, odd_bands)))
+
+
+def _keys(s: np.ndarray, at: np.ndarray, rare: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts and the row of each. rare marks the shingles that aren't frequent.
+
+    Parts are of rare shingles; a row that has too few of them for that sends, besides, the parts of all its shingles. So
+    two linked rows agree in a part of rare shingles, or both are of the latter kind and agree in one of all shingles.
+    """
+    size = np.diff(at)
+    rows = np.flatnonzero(size)
+    band = bands.band(size[rows])
+    low = bands.lower(size[rows], band)
+    rows, band = np.concatenate([rows, rows[low]]), np.concatenate([band, band[low] - 1])
+    keys, owners, odd_rows, odd_bands = _parts(s[rare], np.concatenate([[0], np.cumsum(rare)])[at], rows, band, bands, 0, False)
+    if len(odd_rows):
+        more, of, _, _ = _parts(s, at, odd_rows, odd_bands, bands, 1, True)
+        keys, owners = np.concatenate([keys, more]), np.concatenate([owners, of])
+    return keys, owners
 
 
 def candidate_edges(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
@@ -157,9 +178,7 @@ def candidate_edges(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, s, at in _sets(batch, n):
                 a, b = _buckets(s)
-                rare = ~(common[a] & common[b])
-                left = np.concatenate([[0], np.cumsum(rare)])[at]
-                keys, owner = _keys(s[rare], left, np.diff(at), bands)
+                keys, owner = _keys(s, at, ~(common[a] & common[b]), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo + owner])], ["key", "doc_id"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

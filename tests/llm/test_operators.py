@@ -1,0 +1,315 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("ragmill.llm")
+
+from ragmill.llm import ball_tree, bpe, decontaminate, jaccard_join, licenses, preferences, resampling, sharding, suffix_dedup, warc  # noqa: E402
+from ragmill.llm import _kernels as kernels  # noqa: E402
+from ragmill.llm._graph import components  # noqa: E402
+
+DOCS = "doc_id long, text string, source string, word string, h1 long, score long, rank int, slot int"
+
+
+def docs_of(spark, pairs):
+    return spark.createDataFrame([(i, t, "s", "w", 1, 2, 3, 4) for i, t in pairs], DOCS)
+
+
+def words(r, n, pool=400):
+    return [f"w{r.randint(0, pool)}" for _ in range(n)]
+
+
+def near_texts(seed, n=60):
+    """Texts with exact and near copies of some."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        if out and r.random() < 0.6:
+            base = list(r.choice(out))
+            for _ in range(r.randint(0, max(1, len(base) // 25))):
+                base[r.randrange(len(base))] = "x%d" % r.randint(0, 9) if base else ""
+            out.append(base)
+        else:
+            out.append(words(r, r.choice([1, 2, 3, 4, 5, 8, 30, 120, 300])))
+    return [" ".join(x) for x in out]
+
+
+def brute_components(pairs, n, num, den):
+    sets = {}
+    for i, t in pairs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    ids = sorted(sets)
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            k = len(sets[i] & sets[j])
+            if k and den * k >= num * (len(sets[i]) + len(sets[j]) - k):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    return sorted((i, len(sets[i]), find(i)) for i in ids)
+
+
+@pytest.mark.parametrize(("seed", "n", "num"), [(1, 4, 85), (2, 5, 80), (3, 2, 50)])
+def test_jaccard_components(spark, seed, n, num):
+    pairs = [*enumerate(near_texts(seed)), (1000, None), (1001, ""), (1002, " \t\n"), (1003, "A b"), (1004, "a B"), (1005, "a" * 30000 + " long " * 5000)]
+    got = jaccard_join.jaccard_components(docs_of(spark, [*pairs, (1003, "A b"), (None, "A b")]).repartition(5), n, num, 100)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(pairs, n, num, 100)
+
+
+def test_jaccard_large_tiles_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 7)
+    r = random.Random(9)
+    base = words(r, 200)
+    pairs = []
+    for i in range(60):
+        t = list(base)
+        for k in range(i // 2):  # a chain: far ends aren't linked directly
+            t[k * 3 % 200] = f"y{k}"
+        pairs.append((i, " ".join(t)))
+    got = jaccard_join.jaccard_components(docs_of(spark, pairs), 4, 85, 100)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(pairs, 4, 85, 100)
+
+
+def test_jaccard_keeps_one_of_each_group(spark):
+    pairs = list(enumerate(near_texts(4)))
+    kept = jaccard_join.keep_one_per_group(docs_of(spark, pairs))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in brute_components(pairs, 5, 80, 100)})
+    assert kept.columns == docs_of(spark, []).columns
+    assert jaccard_join.jaccard_components(docs_of(spark, [])).count() == 0
+
+
+def test_parts_never_miss_a_linked_pair():
+    bands, r = jaccard_join.Bands(80, 100), np.random.default_rng(3)
+    for n in (1, 2, 5, 9, 10, 11, 40, 41, 200, 1000):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 2**63, n).astype(kernels.U))
+            drop = r.integers(0, max(1, int(0.1 * n)) + 1)
+            b = np.unique(np.concatenate([a[drop:], r.integers(0, 2**63, r.integers(0, max(1, n // 10) + 1)).astype(kernels.U)]))
+            same = len(np.intersect1d(a, b))
+            if not len(b) or 100 * same < 80 * (len(a) + len(b) - same):
+                continue
+            at = np.array([0, len(a), len(a) + len(b)])
+            s = np.concatenate([a, b])
+            keys, owner = jaccard_join._keys(s, at, s % kernels.U(r.integers(1, 9)) > 0, bands)
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+def test_components_of_long_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(5, 5)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_removal(pairs, length):
+    seen, out = set(), []
+    for i, t in sorted(pairs):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if (w := b[k : k + length]) in seen:
+                gone[k : k + length] = b"\1" * length
+            seen.add(w)
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
+        out.append((i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_suffix_dedup(spark, seed):
+    r = random.Random(seed)
+    passages = ["".join(r.choices("abcdé \n", k=r.choice([60, 99, 100, 101, 250]))) for _ in range(8)]
+    pairs = [(i, "".join(r.choice([r.choice(passages), "".join(r.choices("xyzä ", k=r.randint(0, 80)))]) for _ in range(r.randint(0, 9)))) for i in range(80)]
+    pairs += [(500, None), (501, ""), (502, "The " * 400), (503, "a" * 5000), (504, "ab" * 99), (505, passages[0] * 3), (506, "q" * 99), (507, "q" * 100)]
+    got = suffix_dedup.without_repeats(docs_of(spark, [*pairs, (506, "q" * 99), (None, "z" * 500)]).repartition(4), 100).drop("kept")
+    assert sorted(tuple(r) for r in got.collect()) == brute_removal(pairs, 100)
+
+
+def test_suffix_dedup_parts_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_SCAN", 64)
+    r = random.Random(8)
+    text = "".join(r.choices("abcdefgh", k=3000))
+    pairs = [(1, text), (2, text[500:1700] + "zz" + text[2000:]), (3, text)]
+    raw, offs = "".join(t for _, t in pairs).encode(), np.cumsum([0, *(len(t) for _, t in pairs)])
+    found = []
+    for lo, _, bounds in suffix_dedup._pieces(offs, 100):
+        doc, a, b, *_ = suffix_dedup.runs(np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0], 100)
+        found += [(lo, x) for d, i, j in zip(doc, a, b, strict=True) for x in range(i + bounds[0] - offs[lo], j + 1 + bounds[0] - offs[lo])]
+    assert sorted(found) == [(k, x) for k, (_, t) in enumerate(pairs) for x in range(len(t) - 99)]
+
+
+def test_suffix_dedup_drops_text_and_follows_n_chars(spark):
+    p = "".join(random.Random(5).choices("éàüöäß", k=80))
+    d = spark.createDataFrame([(1, p + "a", "x", 81), (2, "b" + p + "c", "x", 82)], "doc_id long, text string, kept string, n_chars long")
+    got = {r.doc_id: r for r in suffix_dedup.drop_repeats(d).collect()}
+    assert got[1].text == p + "a" and got[2].text == "bc" and got[2].n_chars == 2 and got[2].kept == "x"
+
+
+def test_family_merges_levels_and_finds_all():
+    r, family, seen = np.random.default_rng(1), suffix_dedup.Family(), set()
+    for _ in range(60):
+        v = r.integers(0, 500, r.integers(1, 40)).astype(kernels.U)
+        want = []
+        for x in v.tolist():
+            want.append(x in seen)
+            seen.add(x)
+        assert family.add(v * kernels.U(7), v).tolist() == want
+    assert len(family.levels) <= 8
+
+
+@pytest.mark.parametrize(("rows", "shard", "block"), [(300, 40, 3), (300, 10_000, 100), (5, 2, 1)])
+def test_ball_tree_top_k(spark, rows, shard, block):
+    r = np.random.default_rng(rows)
+    x = r.normal(size=(rows, 8))
+    x[: rows // 2] = x[0]  # ties
+    v = [(i, [float(a) for a in row], 0, 1) for i, row in enumerate(x)]
+    bad = [(9001, None, 0, 1), (9002, [1.0, None], 0, 1), (9003, [float("nan")] * 8, 0, 1), (9004, [float("inf")] * 8, 0, 1), (9005, [], 0, 1), (None, [1.0] * 8, 0, 1), (9006, [1.0], 0, 1), v[1]]
+    got = ball_tree.top_k(spark.createDataFrame(v + bad, "vec_id long, embedding array<double>, label int, score int"), F.col("vec_id") % 10 == 0, 10, shard_rows=shard, block_queries=block)
+    q = np.floor(1024 * x).astype(np.int64)
+    want = []
+    for i in range(0, rows, 10):
+        s = q @ q[i]
+        want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(rows), -s)) if j != i][:10])]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert ball_tree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_resampling_rejects_what_the_target_lacks(spark):
+    r = random.Random(2)
+    clean = [(i, " ".join(words(r, 60))) for i in range(600)]
+    bad = [(1000 + i, " ".join([*words(r, 60), "awful"])) for i in range(100)]
+    junk = [(2000 + i, "buy " * 50) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in clean[:400]] + [(i, 1, 1) for i, _ in bad[:50]] + [(i, 0, 0) for i, _ in junk] + [(5, None, None), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in resampling.resample(docs_of(spark, [*clean, *bad, *junk, (3000, None), (3001, ""), (None, "w1")]), labels, bits=14).collect()}
+    assert len(kept & {i for i, _ in clean}) >= 595 and not kept & {i for i, _ in bad} and not kept & {i for i, _ in junk}
+    assert {3000, 3001, None} <= kept
+    everything = resampling.resample(docs_of(spark, clean), labels.limit(0), bits=14)
+    assert everything.count() == 600 and resampling.resample(docs_of(spark, []), labels, bits=14).count() == 0
+
+
+def test_kth_largest(spark):
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(size=500), np.full(100, 3.0), [-1e9, 1e9]])
+    df = spark.createDataFrame([(float(v),) for v in x], "k double")
+    for k in (1, 2, 50, 101, 102, 400, len(x)):
+        cut = resampling.kth_largest(df, "k", k, bins=16)
+        assert (x >= cut).sum() >= k and (x > cut).sum() < k
+
+
+def test_decontamination(spark):
+    r = random.Random(7)
+    items = [(i, " ".join(words(r, n, 5000))) for i, n in enumerate((8, 15, 20, 40, 59))] + [(90, "too short"), (91, None), (92, "")]
+    edit = lambda t, k: " ".join(w if (j + 1) % k else "other" for j, w in enumerate(t.split()))
+    noise = lambda: " ".join(words(r, 50, 5000))
+    d = [(10 + i, f"{noise()} {t.upper()}, {noise()}") for i, t in items[:5]] + [(20 + i, f"{noise()} {edit(t, 6)} {noise()}") for i, t in items[1:5]] + [(30, edit(items[3][1], 2)), (31, None), (32, ""), (33, noise()), (34, items[0][1])]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items] + [(None, "x " * 9, 1)], "item_id long, text string, doc_id long")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs_of(spark, d + d[:1]), bench).collect()}
+    assert got == {(10 + i, i) for i in range(5)} | {(20 + i, i) for i in range(1, 5)} | {(34, 0)}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, d), bench).collect()) == [30, 31, 32, 33]
+    assert decontaminate.overlaps(docs_of(spark, d), bench.limit(0)).count() == 0 and decontaminate.overlaps(docs_of(spark, []), bench).count() == 0
+
+
+def test_preferences(spark):
+    c = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (2, 0, None, None), (2, 5, "assistant", "a"), (3, 0, "user", "only chosen"), (4, 0, "user", "same"), (None, 0, "user", "x"), (1, None, "user", "x"), (1, 0, "user", "hi")]
+    j = [(1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", ""), (4, 0, "user", "same"), (5, 0, "user", "only rejected")]
+    schema = "pair_id long, turn long, role string, text string"
+    s = preferences.segments(spark.createDataFrame(c, schema), spark.createDataFrame(j, schema))
+    got = sorted((r.pair_id, r.part, r.turn, r.train) for r in s.collect())
+    assert got == [(1, "chosen", 1, True), (1, "chosen", 2, False), (1, "prompt", 0, False), (1, "rejected", 1, True), (2, "chosen", 5, True), (2, "prompt", 0, False), (4, "prompt", 0, False)]
+    one = {r.pair_id: r for r in preferences.assembled(s).collect()}
+    assert one[1].prompt == "<|user|>\nhi<|end|>\n" and one[4].chosen == one[4].rejected == ""
+    a, b = one[1].chosen_train[0]
+    assert one[1].chosen[a:b] == "<|assistant|>\nyes<|end|>\n" and len(one[1].chosen_train) == 1
+
+
+def test_byte_pairs_equal_the_library(spark):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    ref, mine = tokenizers.Tokenizer.from_file(path), bpe.WordBpe(path)
+    r = random.Random(3)
+    pool = ["é", "ñ", "x", "th", "ing", "a", "  ", "\n", "\x1c", "\x85", "\xa0", "Σ", "İ", "1", "½", "!!", "...", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|", "日本", "한국", "😀", "é", "A", "The", "ation", "ß", "​", "-", "ﬁ", "٣", "\x00"]
+    texts = ["", "aaaa" * 50, "supercalifragilistic " * 20, *("".join(r.choices(pool, k=r.randint(0, 12))) for _ in range(2000))]
+    d = docs_of(spark, [*enumerate(texts), (None, None), (0, "")])
+    got = {}
+    for row in bpe.encode_documents(d, path).collect():
+        got.setdefault(row.doc_id, row)
+    for i, t in enumerate(texts):
+        ids = ref.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids and got[i].n_tokens == len(ids)
+        assert got[i].decoded_sha256 == hashlib.sha256(ref.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert got[None].n_tokens == 0
+    for _ in range(3000):
+        w = "".join(mine.letters[b] for b in "".join(r.choices("aeiouthnsrlé", k=r.randint(1, 20))).encode())
+        assert mine.encode_word(w) == mine.merged(w)
+
+
+def test_sharding(spark):
+    names = [f"s{i}" for i in range(7)]
+    t = sharding.lookup_table(names, 251)
+    count = np.bincount(t)
+    assert count.max() - count.min() <= 1 and (t >= 0).all()
+    less = sharding.lookup_table(names[:-1], 251)
+    kept = t < 6
+    assert (t[kept] != less[kept]).mean() < 0.25
+    owner, asked = {}, {n: 0 for n in names}  # turn by turn, as the rule says
+    order = {n: [(sharding._number("start " + n) + j * (sharding._number("step " + n) % 250 + 1)) % 251 for j in range(251)] for n in names}
+    while len(owner) < 251:
+        for n in names:
+            free = next((s for s in order[n] if s not in owner), None)
+            if free is not None:
+                owner[free] = n
+    assert [owner[i] for i in range(251)] == [names[i] for i in t]
+    d = sharding.placed(docs_of(spark, [(i, "t") for i in range(500)] + [(None, "t"), (3, "u")]), "doc_id", names, 251)
+    for r in d.collect():
+        slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % 251
+        assert (r.slot, r.shard) == (slot, owner[slot])
+    with pytest.raises(ValueError, match="prime"):
+        sharding.lookup_table(names, 250)
+
+
+def test_warc_round_trip(spark):
+    html = ["", None, "<p>a</p>", "<p>a</p>", "é" * 30000, "WARC/1.1\r\nContent-Length: 5\r\n\r\nx\r\n\r\nWARC/1.1\r\n", "0\r\n\r\n" * 9000, "<p>a</p>"]
+    pages = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}\r\nX: y", h, "z") for i, h in enumerate(html)] + [(None, "u", "h", "z"), (2, None, "<p>a</p>", "z")], "page_id long, url string, html string, digest string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == len(html)
+    for i, h in enumerate(html):
+        b = (h or "").encode()
+        top = max(j for j, x in enumerate(html) if (x or "") == (h or ""))
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
+        assert (got[i].record_type, got[i].refers_to) == (("response", None) if i == top else ("revisit", top))
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_incomplete_records(spark, tmp_path):
+    parts = list(warc._records(1, "u", b"abc" * 5000, "D", None, 4000, 1000))
+    assert len(parts) > 3
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"\r\n\r\n".join([*parts[:1], *parts[2:], b""])))
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"\r\n\r\n".join([*warc._records(2, "u", b"ok", "D", None, 4000, 1000), b""])))
+    rows = {r.origin: r for r in warc.read(spark, str(tmp_path)).collect()}
+    assert not rows["<urn:page:1>"].complete and rows["<urn:page:1>"].payload is None
+    assert rows["<urn:page:2>"].complete and rows["<urn:page:2>"].payload == b"ok"
+
+
+def test_licenses(spark):
+    filler = " ".join(words(random.Random(1), 300))
+    gpl = dict(licenses.NOTICES)["gpl-3.0"]
+    d = [(1, f"{filler}\n{gpl.upper()}\n{filler}"), (2, gpl.replace("GNU", "Nice")), (3, gpl[:40]), (4, None), (5, ""), (6, f"x {dict(licenses.NOTICES)['mit']} y all rights reserved"), (7, filler), (8, gpl.replace("version 3", "version 2")), (6, "All rights reserved.")]
+    got = sorted((r.doc_id, r.license_id, r.matched, r.total) for r in licenses.scan(docs_of(spark, d), licenses.notices(spark)).collect())
+    assert got == [(1, "gpl-3.0", 8, 8), (6, "all-rights-reserved", 1, 1), (6, "mit", 1, 1), (8, "gpl-3.0", 7, 8)]
+    assert licenses.scan(docs_of(spark, []), licenses.notices(spark)).count() == 0 and licenses.scan(docs_of(spark, d), licenses.notices(spark).limit(0)).count() == 0

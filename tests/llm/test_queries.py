@@ -1,0 +1,80 @@
+"""Registered queries of the operators: oracles where SQL has them, and the pipeline against plain code on the small tables."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+queries = pytest.importorskip("ragmill.llm.queries")
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_oracle(name, spark, sf, same):
+    same(queries.queries()[name](spark, sf), queries.oracle_sql()[name])
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_pipeline(spark, sf):
+    """Each stage against a plain version of its decision on what it got."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "near_copies", "repeats", "contamination", "tokens"]
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality"](spark, docs, sf)
+    assert good.columns == docs.columns
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    clean = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    assert good.join(clean, "doc_id").count() >= 0.97 * clean.count()
+    rows = {r.doc_id: r.text for r in good.collect()}
+
+    shingles = {}
+    for i, t in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        shingles[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    top = {i: i for i in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    ids = sorted(rows)
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            k = len(shingles[i] & shingles[j])
+            if k and 100 * k >= 80 * (len(shingles[i]) + len(shingles[j]) - k):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    single = stages["near_copies"](spark, good, sf)
+    assert sorted(r.doc_id for r in single.collect()) == sorted({find(i) for i in ids})
+
+    seen, want = set(), {}
+    for i in sorted({find(i) for i in ids}):
+        b = rows[i].encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        want[i] = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+    cut = stages["repeats"](spark, single, sf)
+    assert {r.doc_id: r.text for r in cut.collect()} == want and cut.columns == docs.columns
+
+    plain = lambda t: " " + " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())) + " "
+    items = [plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaked = {i for i, t in want.items() if any(x in plain(t) for x in items)}
+    left = stages["contamination"](spark, cut, sf)
+    assert {r.doc_id for r in left.collect()} == set(want) - leaked
+
+    out = corpus_pipeline.run(spark, sf)
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    ref = tokenizers.Tokenizer.from_file(public.path(corpus_pipeline.TOKENIZER))
+    got = {r.doc_id: r.ids_sha256 for r in out.select("doc_id", "ids_sha256").collect()}
+    code = lambda t: b"".join(x.to_bytes(4, "little") for x in ref.encode(t, add_special_tokens=False).ids)
+    assert got == {i: hashlib.sha256(code(want[i])).hexdigest() for i in set(want) - leaked}
+    assert out.where(F.col("n_tokens") < 0).count() == 0
