@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """source (path), doc_type (first folder under the root) and text of every matching file, one row for each."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     base = root.rstrip("/").rsplit("/", 1)[-1]
     kind = F.regexp_extract(path, f"/{base}/([^/]+)/", 1)
