@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +86,22 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         last = tuple(batch.column(batch.schema.get_field_index(k))[batch.num_rows - 1].as_py() for k in keys)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def fold_slices(parts: DataFrame, value: str, kind: type, fold: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """Fold the arrays (binary column `value`, items of `kind`) of each slice of a table of fixed size into one.
+
+    Each task holds one running array, however many come; only the folded table reaches the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(x.as_py(), kind)
+                totals[i] = fold(totals[i], part) if i in totals else part.astype(np.int64) if fold is np.add else part
+        for i, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "value"])
+
+    rows = parts.select(F.col("slice").cast("long").alias("slice"), F.col(value).alias("value")).repartition("slice").mapInArrow(run, "slice long, value binary").collect()
+    return {i: np.frombuffer(v, np.int64 if fold is np.add else kind) for i, v in rows}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import in_small_batches, sorted_groups, written
+from ragmill.llm._spark import fold_slices, in_small_batches, written
 
 U = K.U
 #: Masks over eight words: 1 is looked at, 0 is ignored.
@@ -88,15 +88,10 @@ def _table(seeds: DataFrame) -> np.ndarray:
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["slice", "bits"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, ["slice"]):
-            total = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in t.column("bits")])
-            yield pa.RecordBatch.from_arrays([t.column("slice").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], ["slice", "bits"])
-
     size = (1 << _BITS) // 8 // _SLICES
     out = np.zeros((_SLICES, size), np.uint8)
-    for i, bits in seeds.select("hash").mapInArrow(mark, "slice long, bits binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice long, bits binary").collect():
-        out[i] = np.frombuffer(bits, np.uint8)
+    for i, bits in fold_slices(seeds.select("hash").mapInArrow(mark, "slice long, bits binary"), "bits", np.uint8, np.bitwise_or).items():
+        out[i] = bits
     return np.unpackbits(out.ravel()).astype(bool)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
 from ragmill.llm._graph import components
-from ragmill.llm._spark import sorted_groups, unique_texts, written
+from ragmill.llm._spark import fold_slices, sorted_groups, unique_texts, written
 
 #: Documents and shingles of one block of a tile.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
@@ -102,13 +102,7 @@ def set_digests(docs: DataFrame, n: int) -> DataFrame:
 def frequent_shingles(digests: DataFrame) -> np.ndarray:
     """Which buckets of the sketch hold shingles of more than FREQUENT of all documents; all that the driver sees is the sketch."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, ["slice"]):
-            total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in t.column("counts"))
-            yield pa.RecordBatch.from_arrays([t.column("slice").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
-
-    rows = digests.where("slice is not null").select("slice", "counts")
-    got = {r[0]: np.frombuffer(r[1], np.int64) for r in rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect()}
+    got = fold_slices(digests.where("slice is not null"), "counts", np.int32, np.add)
     if not got:
         return np.zeros(2 << SKETCH_BITS, bool)
     return np.concatenate([got[i][1:] for i in range(SLICES)]) > max(32, FREQUENT * int(got[0][0]))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import in_small_batches, sorted_groups
+from ragmill.llm._spark import fold_slices, in_small_batches
 
 U = K.U
 BITS = 20
@@ -84,15 +84,9 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 4.0
             part = np.concatenate([docs_seen if i == 0 else np.zeros(2, np.int64), total[:, i * step : (i + 1) * step].ravel().astype(np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, ["slice"]):
-            total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
-            yield pa.RecordBatch.from_arrays([t.column("slice").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
-
     parts = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "slice long, counts binary")
-    summed = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice long, counts binary").collect()
+    got = fold_slices(parts, "counts", np.int64, np.add)
     ratio, seen = np.zeros(width, np.float32), np.zeros(2)
-    got = {r[0]: np.frombuffer(r[1], np.int64) for r in summed}
     if 0 in got:
         seen = got[0][:2].astype(float)
     if seen[1]:
