@@ -39,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a side that is broadcast; its rows hold a few numbers each, so this is some 20 MB.
+BROADCAST_ROWS = 200_000
+
+
+def slim_side(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row as the smaller side of a join: broadcast up to BROADCAST_ROWS rows, so that the
+    texts on the other side stay where they are, and a shuffle join beyond; the rows are the same."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 #: Rows of text in a batch between the JVM and Python: whole texts may be long, so fewer than Spark's default.
 BATCH_ROWS = 2000
 

@@ -232,6 +232,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                         col.append(v)
                 cols = [part.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True))]
                 yield pa.RecordBatch.from_arrays(cols[: 5 if ids else 4], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if ids else 4])
+        encoder.cache_clear()  # Python workers live on: leave their memory to the next stage
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else "")
     return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import fold_slices, in_small_batches, written
+from ragmill.llm._spark import fold_slices, in_small_batches, slim_side, written
 
 U = K.U
 #: Masks over eight words: 1 is looked at, 0 is ignored.
@@ -168,4 +168,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 20, num: int = 8
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 20, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of docs in which no benchmark item is found."""
-    return docs.join(overlaps(docs, benchmark, span, num, den).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = written(overlaps(docs, benchmark, span, num, den).select("doc_id").distinct(), "contaminated")
+    return docs.join(slim_side(found), "doc_id", "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
 from ragmill.llm._graph import components
-from ragmill.llm._spark import fold_slices, sorted_groups, unique_texts, written
+from ragmill.llm._spark import fold_slices, slim_side, sorted_groups, unique_texts, written
 
 #: Documents and shingles of one block of a tile.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
@@ -236,7 +236,7 @@ def link_block(sets: list[np.ndarray], num: int, den: int, guests: int = 0) -> n
 
 def _tiles(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """Members (doc_id, comp, scheme, ...) with the sorted sets of their documents."""
-    joined = docs.join(members.hint("merge"), "doc_id")
+    joined = docs.join(slim_side(members), "doc_id")
     others = [c for c in members.columns if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,4 +312,5 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 def keep_one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of docs without the near copies: of each component the smallest doc_id stays."""
     groups = jaccard_components(docs.select("doc_id", "text"), n, num, den)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    copies = written(groups.where("component_id <> doc_id").select("doc_id"), "copies")
+    return docs.join(slim_side(copies), "doc_id", "left_anti")
