@@ -196,11 +196,11 @@ def test_resampling_rejects_what_the_target_lacks(spark):
     bad = [(1000 + i, " ".join([*words(r, 60), "awful"])) for i in range(100)]
     junk = [(2000 + i, "buy " * 50) for i in range(60)]
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in clean[:400]] + [(i, 1, 1) for i, _ in bad[:50]] + [(i, 0, 0) for i, _ in junk] + [(5, None, None), (6, 1, 1)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in resampling.resample(docs_of(spark, [*clean, *bad, *junk, (3000, None), (3001, ""), (None, "w1")]), labels, bits=14).collect()}
+    kept = {r.doc_id for r in resampling.resample(docs_of(spark, [*clean, *bad, *junk, (3000, None), (3001, ""), (None, "w1")]), labels, bits=17).collect()}
     assert len(kept & {i for i, _ in clean}) >= 595 and not kept & {i for i, _ in bad} and not kept & {i for i, _ in junk}
     assert {3000, 3001, None} <= kept
-    everything = resampling.resample(docs_of(spark, clean), labels.limit(0), bits=14)
-    assert everything.count() == 600 and resampling.resample(docs_of(spark, []), labels, bits=14).count() == 0
+    everything = resampling.resample(docs_of(spark, clean), labels.limit(0), bits=17)
+    assert everything.count() == 600 and resampling.resample(docs_of(spark, []), labels, bits=17).count() == 0
 
 
 def test_kth_largest(spark):
