@@ -48,7 +48,7 @@ def page_content(headline: Column, summary: Column, original: Column) -> Column:
 
 def chunk_hint(text: Column) -> Column:
     """How many chunks to ask for."""
-    return F.expr("1") + F.floor(F.length(text) / 100)
+    return F.floor(F.length(text) / 100) + 1
 
 
 def profile(chunks: DataFrame, doc: str) -> DataFrame:

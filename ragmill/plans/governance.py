@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragmill.operators import govern as H
 from ragmill.operators.retrieve import ranked
+from ragmill.plans.retrieval import _TOP
 from ragmill.plans.retrieval import f3 as exact_topk
 from ragmill.sources.tables import table
 
@@ -144,8 +145,6 @@ _DECIDE = f"""held as (select distinct principal_id, group_id from {{memberships
       from pairs x join {{principals}} p using (principal_id) join {{corpus}} c using (doc_id) left join held h on h.principal_id = p.principal_id and h.group_id = c.access_group),
     decided as (select principal_id, doc_id, r[1] decision, cast(r[2] as integer) step, r[3] reason from dec)"""
 _PAIRS = "with pairs as (select c_custkey principal_id, doc_id from customer join {corpus} on cast(string_split(document_id, '-')[2] as bigint) = c_custkey % 400), " + _DECIDE
-from ragmill.plans.retrieval import _TOP  # noqa: E402
-
 _FOUND = f"with {_TOP}, answers as (select query_id + 5 principal_id, doc_id, rank, score from f3), pairs as (select * from answers), " + _DECIDE
 _LEAKS = "lk as (select a.principal_id, a.doc_id, coalesce(reason, 'unknown') reason from answers a left join decided d on d.principal_id = a.principal_id and d.doc_id = a.doc_id where coalesce(decision, 'deny') = 'deny')"
 _HRULE = """v as (select d.*, c.document_id, c.status from decided d join corpus c using (doc_id)), now as (select principal_id, document_id, decision from v where status = 'current'),
