@@ -9,7 +9,7 @@ pseudo-documents are added to either count, and a log ratio within +-`dead` coun
 Every feature is hashed twice and the ratio nearer to 1 stands, so that a clean word that shares one bucket with a telling one
 isn't taken for it.
 
-Counts are summed in each task into arrays of fixed size, sent in slices and summed; the model (`4 * 2**bits` numbers) is
+Counts are summed in each task into arrays of fixed size, sent in slices and summed; the model (`2 * 2**bits` numbers) is
 all that the driver sees, besides the ids of at most `most_labelled` labelled documents (those with the smallest hashes).
 Raw counts cover all documents. Scoring is a scan without a shuffle.
 
