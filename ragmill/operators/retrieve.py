@@ -115,13 +115,42 @@ def ivf_build(vectors: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame
     return model.transform(v).select("id", "vector", F.col("prediction").alias("list_id")), centres
 
 
-def ivf_topk(index: DataFrame, centres: DataFrame, queries: DataFrame, probes: int, k: int) -> DataFrame:
-    """query_id, rank, doc_id, score over the lists whose centroids are nearest to the query."""
+def _near(centres: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, q (unit), list_id and the place of the list by closeness of its centroid, from 1."""
     from ragmill.functions.text import dot
 
     q = queries.select(F.col("id").alias("query_id"), l2_normalize(F.col("vector")).alias("q"))
     near = q.crossJoin(F.broadcast(centres)).withColumn("s", F.round(dot(F.col("q"), F.col("centroid")), 9))  # centroids: as many as lists
-    probed = ranked(near, ["query_id"], [F.desc("s"), F.col("list_id")], probes).select("query_id", "q", "list_id")
+    return ranked(near, ["query_id"], [F.desc("s"), F.col("list_id")]).select("query_id", "q", "list_id", "rank")
+
+
+def ivf_probes(index: DataFrame, centres: DataFrame, queries: DataFrame, k: int, least: float = 0.9, trials: int = 1000) -> int:
+    """The fewest probes whose recall@k for these queries is expected to be at least `least`.
+
+    Recall is measured on trials: indexed vectors that aren't queries, by exact search over all vectors. A true neighbour is found with p probes
+    if its list is among the p nearest ones, so one search gives the recall for every p. Two standard errors of a mean over as many
+    queries are taken off. With all lists recall is 1, so there always is an answer.
+    """
+    vectors = index.select("id", "vector")
+    tried = vectors.join(queries.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(trials)
+    true = exact_topk(vectors, tried, k).select("query_id", F.col("doc_id").alias("id"))
+    at = true.join(index.select("id", "list_id"), "id").join(_near(centres, tried).select("query_id", "list_id", "rank"), ["query_id", "list_id"])
+    hits = at.groupBy("query_id", "rank").agg(F.count("*").alias("n")).toPandas()  # at most k rows for each trial
+    lists, n_queries = centres.count(), queries.count()
+    if hits.empty or not n_queries:
+        return lists
+    found = np.zeros((hits["query_id"].nunique(), lists))
+    found[hits["query_id"].factorize()[0], hits["rank"] - 1] = hits["n"]
+    recall = found.cumsum(1) / found.sum(1, keepdims=True)
+    sure = recall.mean(0) - 2 * recall.std(0) / np.sqrt(min(n_queries, len(found)))
+    return int(np.argmax(sure >= least)) + 1 if sure[-1] >= least else lists
+
+
+def ivf_topk(index: DataFrame, centres: DataFrame, queries: DataFrame, probes: int, k: int) -> DataFrame:
+    """query_id, rank, doc_id, score over the lists whose centroids are nearest to the query."""
+    from ragmill.functions.text import dot
+
+    probed = _near(centres, queries).where(F.col("rank") <= probes).select("query_id", "q", "list_id")
     scored = index.join(probed, "list_id").where(F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("doc_id"), F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 

@@ -45,12 +45,13 @@ def f4(spark: SparkSession, sf: str) -> DataFrame:
 
 def f5(spark: SparkSession, sf: str) -> DataFrame:
     index, centres = R.ivf_build(vectors(spark, sf), 16)
-    return R.ivf_topk(index, centres, probes(spark, sf), 4, 10)
+    return R.ivf_topk(index, centres, probes(spark, sf), R.ivf_probes(index, centres, probes(spark, sf), 10), 10)
 
 
 def f6(spark: SparkSession, sf: str) -> DataFrame:
     index, centres = R.ivf_build(vectors(spark, sf), 16)
-    found = {p: R.ivf_topk(index, centres, probes(spark, sf), p, 10) for p in (1, 2, 4)}
+    sweep = sorted({1, 2, 4, R.ivf_probes(index, centres, probes(spark, sf), 10)})
+    found = {p: R.ivf_topk(index, centres, probes(spark, sf), p, 10) for p in sweep}
     return R.recall_report(f3(spark, sf), found, 16, 10)
 
 

@@ -11,6 +11,7 @@ from ragmill.functions import text as X
 from ragmill.operators import changes as G
 from ragmill.operators import chunk, curate, evaluate, govern, retrieve
 from ragmill.operators import facts as K
+from ragmill.plans import retrieval
 from ragmill.sources import files
 from ragmill.streaming import jobs
 
@@ -161,6 +162,13 @@ def test_ivf_recall(spark, sf):
     assert report.recall >= 0.99
 
 
+def test_registered_ivf_reaches_its_recall(spark, sf):
+    exact, found = ({(r.query_id, r.doc_id) for r in f(spark, sf).collect()} for f in (retrieval.f3, retrieval.f5))
+    assert len(exact & found) / len(exact) >= 0.9
+    last = retrieval.f6(spark, sf).orderBy("probes").collect()[-1]
+    assert last.recall >= 0.9 and last.probes < 16
+
+
 def test_rrf_counts_ranks_from_zero(spark):
     r = spark.createDataFrame([(1, 1, 7), (1, 2, 8)], "query_id long, rank int, doc_id long")
     assert rows(retrieve.rrf_fuse([r, r], 2)) == [(1, 1, 7, round(2 / 60, 9)), (1, 2, 8, round(2 / 61, 9))]
