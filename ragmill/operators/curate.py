@@ -68,23 +68,28 @@ def price_weight(df: DataFrame, price: str, category: str, halved: str, rare: st
     return df.crossJoin(F.broadcast(ends)).withColumn("weight", scaled * factor).drop("_lo", "_hi")  # one row
 
 
-def split_by_rank(df: DataFrame, key: str, seed: str, shares: list[tuple[str, float]]) -> DataFrame:
-    """Exact splits by rank in a seeded order.
+def seeded_rank(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """df with `rank` from 1 in a seeded order, and the count of all rows as `_all`.
 
     The order is a hash, so its first four digits deal the rows evenly into 65,536 buckets; their counts give the offsets
-    and a row's rank is that in its bucket plus the offset. No row order goes through one task. The last share takes the rest.
+    and a row's rank is that in its bucket plus the offset. No row order goes through one task.
     """
     dealt = df.withColumn("_o", seeded(key, seed)).withColumn("_b", F.substring("_o", 1, 4))
     sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))  # a row for each bucket
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_o", key)) + F.col("_before")
-    ranked = dealt.join(F.broadcast(before), "_b").withColumn("rank", rank.cast("long"))
+    return dealt.join(F.broadcast(before), "_b").withColumn("rank", rank.cast("long")).drop("_o", "_b", "_n", "_before")
+
+
+def split_by_rank(df: DataFrame, key: str, seed: str, shares: list[tuple[str, float]]) -> DataFrame:
+    """Exact splits by rank in a seeded order. The last share takes the rest."""
+    ranked = seeded_rank(df, key, seed)
     upto, split = 0.0, None
     for name, share in shares[:-1]:
         upto += share
         test = F.col("rank") <= F.floor(F.col("_all") * upto)
         split = F.when(test, name) if split is None else split.when(test, name)
-    return ranked.withColumn("split", split.otherwise(shares[-1][0])).drop("_o", "_b", "_n", "_before", "_all")
+    return ranked.withColumn("split", split.otherwise(shares[-1][0])).drop("_all")
 
 
 def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.operators import govern as H
+from ragmill.operators.curate import seeded_rank
 from ragmill.operators.retrieve import ranked
 from ragmill.plans.retrieval import _TOP
 from ragmill.plans.retrieval import f3 as exact_topk
@@ -56,6 +57,32 @@ def _decided(spark: SparkSession, sf: str) -> DataFrame:
     return H.decisions(table(spark, sf, "corpus"), table(spark, sf, "principals"), table(spark, sf, "memberships"), F.lit(DAY).cast("date"), people.join(pairs, "k"))
 
 
+def _pairs_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that hold every version of every document and every principal: both sides are numbered, and numbers meet modulo the smaller count."""
+    versions = table(spark, sf, "corpus").select("doc_id", "document_id")
+    documents = seeded_rank(versions.select("document_id").distinct(), "document_id", "pairs")
+    people = seeded_rank(table(spark, sf, "principals").select("principal_id"), "principal_id", "pairs")
+    classes = F.lit(max(1, min(versions.select("document_id").distinct().count(), people.count())))
+    met = documents.select("document_id", F.pmod("rank", classes).alias("k")).join(people.select("principal_id", F.pmod("rank", classes).alias("k")), "k")
+    return met.join(versions, "document_id").select("principal_id", "doc_id")
+
+
+def _all_decided(spark: SparkSession, sf: str) -> DataFrame:
+    return H.decisions(table(spark, sf, "corpus"), table(spark, sf, "principals"), table(spark, sf, "memberships"), F.lit(DAY).cast("date"), _pairs_of_all(spark, sf))
+
+
+def h8_all(spark: SparkSession, sf: str) -> DataFrame:
+    return H.with_history_rule(_all_decided(spark, sf), table(spark, sf, "corpus"))
+
+
+def h15_all(spark: SparkSession, sf: str) -> DataFrame:
+    return H.audit_rows(_all_decided(spark, sf), table(spark, sf, "corpus"), F.concat(F.lit("query of "), F.col("principal_id").cast("string")))
+
+
+def h16_all(spark: SparkSession, sf: str) -> DataFrame:
+    return H.compare_matrices(_all_decided(spark, sf), h8_all(spark, sf))
+
+
 def h7(spark: SparkSession, sf: str) -> DataFrame:
     return H.managers(table(spark, sf, "principals"))
 
@@ -132,6 +159,7 @@ QUERIES = {
     "h1_validate_records": h1, "h1_unknown_fields": h1_unknown, "h2_field_coverage": h2, "h3_dictionary_audit": h3, "h4_relevance_filter": h4, "h5_governance_filter": h5, "h6_access_decisions": _decided,
     "h7_relation_grants": h7, "h8_history_rule": h8, "h9_group_membership": h9, "h10_membership_sync": h10, "h11_label_conformance": h11, "h12_authorized_topk": h12, "h13_leak_audit": h13,
     "h14_filter_collapse": h14, "h15_audit_log": h15, "h16_matrix_compare": h16, "h17_derive_grants": h17, "h18_safe_projection": h18, "i13_permission_outcomes": i13,
+    "h6_decisions_on_all": _all_decided, "h8_history_rule_on_all": h8_all, "h15_audit_log_on_all": h15_all, "h16_matrix_compare_on_all": h16_all,
 }
 
 
@@ -145,6 +173,9 @@ _DECIDE = f"""held as (select distinct principal_id, group_id from {{memberships
       from pairs x join {{principals}} p using (principal_id) join {{corpus}} c using (doc_id) left join held h on h.principal_id = p.principal_id and h.group_id = c.access_group),
     decided as (select principal_id, doc_id, r[1] decision, cast(r[2] as integer) step, r[3] reason from dec)"""
 _PAIRS = "with pairs as (select c_custkey principal_id, doc_id from customer join {corpus} on cast(string_split(document_id, '-')[2] as bigint) = c_custkey % 400), " + _DECIDE
+_ALL_PAIRS = """with dn as (select document_id, row_number() over (order by md5('pairs' || document_id), document_id) r from (select distinct document_id from {corpus})),
+    pn as (select c_custkey, row_number() over (order by md5('pairs' || cast(c_custkey as varchar)), c_custkey) r from customer), least_of as (select least((select count(*) from dn), (select count(*) from pn)) g),
+    pairs as (select c_custkey principal_id, doc_id from least_of cross join dn join pn on dn.r % g = pn.r % g join {corpus} using (document_id)), """ + _DECIDE
 _FOUND = f"with {_TOP}, answers as (select query_id + 5 principal_id, doc_id, rank, score from f3), pairs as (select * from answers), " + _DECIDE
 _LEAKS = "lk as (select a.principal_id, a.doc_id, coalesce(reason, 'unknown') reason from answers a left join decided d on d.principal_id = a.principal_id and d.doc_id = a.doc_id where coalesce(decision, 'deny') = 'deny')"
 _HRULE = """v as (select d.*, c.document_id, c.status from decided d join corpus c using (doc_id)), now as (select principal_id, document_id, decision from v where status = 'current'),
@@ -183,3 +214,5 @@ ORACLES = {
     "i13_permission_outcomes": _FOUND + """ select c.label doc_label, count(*) filter (q.label = v.label and decision = 'allow') relevant_allowed, count(*) filter (q.label = v.label and decision = 'deny') relevant_forbidden, count(*) filter (q.label <> v.label) irrelevant
         from answers a join decided d on d.principal_id = a.principal_id and d.doc_id = a.doc_id join embeddings q on q.vec_id + 5 = a.principal_id join embeddings v on v.vec_id = a.doc_id join corpus c on c.doc_id = a.doc_id group by c.label""",
 }
+for _name, _all in (("h6_access_decisions", "h6_decisions_on_all"), ("h8_history_rule", "h8_history_rule_on_all"), ("h15_audit_log", "h15_audit_log_on_all"), ("h16_matrix_compare", "h16_matrix_compare_on_all")):
+    ORACLES[_all] = ORACLES[_name].replace(_PAIRS, _ALL_PAIRS)

@@ -11,7 +11,7 @@ from ragmill.functions import text as X
 from ragmill.operators import changes as G
 from ragmill.operators import chunk, curate, evaluate, govern, retrieve
 from ragmill.operators import facts as K
-from ragmill.plans import retrieval
+from ragmill.plans import governance, retrieval
 from ragmill.sources import files
 from ragmill.streaming import jobs
 
@@ -133,6 +133,15 @@ def test_history_rule(spark):
     assert rows(govern.with_history_rule(d, v).select("doc_id", "decision")) == [(10, "deny"), (11, "deny"), (12, "allow")]
 
 
+@pytest.mark.parametrize(("n_docs", "n_people"), [(2000, 30), (60, 100)])
+def test_every_document_and_principal_is_decided(spark, tmp_path, n_docs, n_people):
+    spark.range(n_docs).selectExpr("id * 3 doc_id", "'x' text", "'en' lang", "'src1' source", "1 n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n_people).selectExpr("id * 7 c_custkey", "'BUILDING' c_mktsegment", "id % 25 c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = governance.QUERIES["h6_decisions_on_all"](spark, str(tmp_path))
+    assert got.select("doc_id").distinct().count() == n_docs and got.select("principal_id").distinct().count() == n_people
+    assert governance.QUERIES["h8_history_rule_on_all"](spark, str(tmp_path)).select("doc_id").distinct().count() == n_docs
+
+
 def test_managers_two_levels(spark):
     p = spark.createDataFrame([(3, 2), (2, 1), (1, 0), (0, None)], "principal_id long, manager_id long")
     assert (3, 0, 3) not in rows(govern.managers(p)) and (3, 1, 2) in rows(govern.managers(p))
