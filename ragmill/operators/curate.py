@@ -41,17 +41,17 @@ def duplicate_sizes(df: DataFrame, key: Column) -> DataFrame:
 
 
 def duplicate_spread(df: DataFrame, key: Column, value: Column) -> DataFrame:
-    """Of groups of equal keys: equal values, a spread within 20 %, or above."""
+    """Of groups of equal keys: equal values, a spread within 20 %, or above; "no value" if all values are null."""
     g = df.groupBy(F.sha2(key, 256).alias("k")).agg(F.count("*").alias("n"), F.max(value).alias("hi"), F.min(value).alias("lo")).where("n > 1")
     ratio = F.col("hi") / F.col("lo")
-    kind = F.when(F.col("hi") == F.col("lo"), "equal").when((F.col("lo") > 0) & (ratio <= 1.2), "within_20").otherwise("above_20")
+    kind = F.when(F.col("hi").isNull(), "no value").when(F.col("hi") == F.col("lo"), "equal").when((F.col("lo") > 0) & (ratio <= 1.2), "within_20").otherwise("above_20")
     return g.groupBy(kind.alias("spread")).agg(F.count("*").alias("n_groups"))
 
 
 def conflict_aware(df: DataFrame, key: Column, value: Column, id_col: str, most: float = 1.2) -> DataFrame:
-    """One row for each key with the mean value; keys whose values differ by more than the factor go."""
+    """One row for each key with the mean value; keys whose values differ by more than the factor go, those without a value stay."""
     g = df.groupBy(F.sha2(key, 256).alias("k")).agg(F.min(id_col).alias(id_col), F.max(value).alias("hi"), F.min(value).alias("lo"), F.avg(value).alias("mean_value"), F.count("*").alias("n"))
-    return g.where(F.col("hi") <= F.col("lo") * most).select(id_col, F.round("mean_value", 4).alias("mean_value"), F.col("n").alias("n_rows"))
+    return g.where(F.coalesce(F.col("hi") <= F.col("lo") * most, F.lit(True))).select(id_col, F.round("mean_value", 4).alias("mean_value"), F.col("n").alias("n_rows"))
 
 
 def weighted_sample(df: DataFrame, weight: Column, key: str, n: int, seed: str) -> DataFrame:

@@ -89,6 +89,27 @@ def conflict_aware_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return C.conflict_aware(table(spark, sf, "documents"), F.substring("text", 1, 20), F.col("n_chars").cast("double"), "doc_id")
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a score of 1 or 2 by their quality label, which copies of a text may not share; null where there is no label."""
+    score = (F.col("quality") + 1).cast("double").alias("score")
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash")).join(table(spark, sf, "labels").select("doc_id", score), "doc_id", "left")
+
+
+def dedupe_whole_text(spark: SparkSession, sf: str) -> DataFrame:
+    """First by source and whole text, then by whole text: every distinct text stays."""
+    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("\n", "source", "text"), 256).alias("sourced"), F.sha2("text", 256).alias("text_hash"), C.seeded("doc_id", "s1").alias("o"))
+    once = C.keep_first(d, F.col("sourced"), F.col("o"), "doc_id")
+    return C.keep_first(once, F.col("text_hash"), F.col("o"), "doc_id").select("doc_id")
+
+
+def spread_by_whole_text(spark: SparkSession, sf: str) -> DataFrame:
+    return C.duplicate_spread(_judged(spark, sf), F.col("text_hash"), F.col("score"))
+
+
+def conflicts_by_whole_text(spark: SparkSession, sf: str) -> DataFrame:
+    return C.conflict_aware(_judged(spark, sf), F.col("text_hash"), F.col("score"), "doc_id")
+
+
 def weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
     p = C.price_weight(table(spark, sf, "part"), "p_retailprice", "p_brand", "Brand#11", "Brand#22")
     return C.weighted_sample(p, F.col("weight"), "p_partkey", 500, "w").select("p_partkey", F.round("weight", 6).alias("weight"))
@@ -130,8 +151,10 @@ QUERIES = {
     "c2_duplicate_audit": duplicate_audit, "c3_duplicate_spread": duplicate_spread, "c4_conflict_aware_dedupe": conflict_aware_dedupe, "c5_weighted_sample": weighted_sample,
     "c6_split_by_rank": split_by_rank, "c7_histogram_length": histogram_length, "c7_histogram_price": histogram_price, "c8_profile_numeric": profile_numeric,
     "c9_category_counts": category_counts, "c10_top_n": top_n, "c10_shortest_texts": shortest_texts,
+    "c1_dedupe_whole_text": dedupe_whole_text, "c3_spread_by_whole_text": spread_by_whole_text, "c4_conflicts_by_whole_text": conflicts_by_whole_text,
 }
 
+_JUDGED = "j as (select d.doc_id, text, (quality + 1)::double score from documents d left join labels l on l.doc_id = d.doc_id)"
 _TOKENS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
 ORACLES = {
     "b1_parse_price": "select p_partkey, v price from (select p_partkey, try_cast(case when p_partkey % 7 = 0 then 'n/a' else cast(cast(p_retailprice as decimal(12,2)) as varchar) end as double) v from part) where v between 0.5 and 999.49",
@@ -159,6 +182,11 @@ ORACLES = {
     "c3_duplicate_spread": """select case when hi = lo then 'equal' when lo > 0 and hi / lo <= 1.2 then 'within_20' else 'above_20' end spread, count(*) n_groups
         from (select max(n_chars)::double hi, min(n_chars)::double lo from documents group by substr(text, 1, 20) having count(*) > 1) group by all""",
     "c4_conflict_aware_dedupe": "select min(doc_id) doc_id, round(avg(n_chars::double), 4) mean_value, count(*) n_rows from documents group by substr(text, 1, 20) having max(n_chars)::double <= min(n_chars)::double * 1.2::double",
+    "c1_dedupe_whole_text": """with d as (select doc_id, concat_ws(chr(10), source, text) k, text, md5('s1' || cast(doc_id as varchar)) o from documents),
+        a as (select * from d qualify row_number() over (partition by k order by o, doc_id) = 1) select doc_id from a qualify row_number() over (partition by text order by o, doc_id) = 1""",
+    "c3_spread_by_whole_text": f"""with {_JUDGED} select case when hi is null then 'no value' when hi = lo then 'equal' when lo > 0 and hi / lo <= 1.2 then 'within_20' else 'above_20' end spread, count(*) n_groups
+        from (select max(score) hi, min(score) lo from j group by text having count(*) > 1) group by all""",
+    "c4_conflicts_by_whole_text": f"with {_JUDGED} select min(doc_id) doc_id, round(avg(score), 4) mean_value, count(*) n_rows from j group by text having coalesce(max(score) <= min(score) * 1.2::double, true)",
     "c5_weighted_sample": """with e as (select min(p_retailprice) lo, max(p_retailprice) hi from part),
         w as (select p_partkey, pow((p_retailprice - lo) / (hi - lo + 1e-9::double), 2) * case p_brand when 'Brand#11' then 0.5::double when 'Brand#22' then 0.05::double else 1 end weight,
         (('0x' || substr(md5('w' || cast(p_partkey as varchar)), 1, 12))::bigint::double + 0.5) / 281474976710656 u from part, e)

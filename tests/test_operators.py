@@ -11,7 +11,7 @@ from ragmill.functions import text as X
 from ragmill.operators import changes as G
 from ragmill.operators import chunk, curate, evaluate, govern, retrieve
 from ragmill.operators import facts as K
-from ragmill.plans import governance, retrieval
+from ragmill.plans import curation, governance, retrieval
 from ragmill.sources import files
 from ragmill.streaming import jobs
 
@@ -70,6 +70,18 @@ def test_conflicts_at_the_limit(spark):
     assert rows(curate.conflict_aware(d, F.col("t"), F.col("v"), "id")) == [(1, 11.0, 2), (5, 3.0, 1)]
 
 
+def test_texts_with_a_common_head_are_no_copies(spark, tmp_path):
+    head = "The same header. " * 9
+    docs = [(1, f"{head}a", "s"), (2, f"{head}b", "s"), (3, f"{head}a", "t"), (4, f"{head}c", "t"), (5, f"{head}c", "t"), (6, None, "t")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (3, 1), (2, 1)], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name: rows(curation.QUERIES[name](spark, str(tmp_path)))
+    text = {d[0]: d[1] for d in docs}
+    assert sorted(str(text[r[0]]) for r in run("c1_dedupe_whole_text")) == sorted({str(t) for t in text.values()})
+    assert run("c3_spread_by_whole_text") == [("above_20", 1), ("no value", 1)]
+    assert run("c4_conflicts_by_whole_text") == [(2, 2.0, 1), (4, None, 2), (6, None, 1)]
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_splits_do_not_depend_on_partitions(spark, parts):
     d = spark.range(1000).withColumnRenamed("id", "doc_id").repartition(parts)
