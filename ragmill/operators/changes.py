@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragmill.sources.tables import scratch
+
 
 def day_before(c: Column) -> Column:
     return F.date_sub(c, 1)
@@ -173,11 +175,22 @@ def overlapping(spans: DataFrame, key: str) -> DataFrame:
     return g.where("n_open <> 1 or n_overlaps > 0")
 
 
-def chain_tops(nodes: DataFrame, key: str, parent: str, rounds: int = 32) -> DataFrame:
-    """The top of each node's chain of parents by pointer doubling, which takes log2(depth) joins; null for nodes on or above a cycle."""
+def chain_tops(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """The top of each node's chain of parents by pointer doubling, which takes log2(depth) joins; null for nodes on or above a cycle.
+
+    Rounds end when no pointer moves. Pointers on a cycle may move for ever, but as many rounds as the count of nodes has binary digits
+    reach the root of any chain. Each round is written, so plans don't grow.
+    """
+    spark = nodes.sparkSession
     up = nodes.select(F.col(key).alias("node"), F.coalesce(parent, key).alias("top"))
-    for _ in range(max(1, rounds).bit_length()):
-        up = up.join(up.select(F.col("node").alias("top"), F.col("top").alias("next")), "top", "left").select("node", F.coalesce("next", "top").alias("top"))
+    for _ in range(nodes.count().bit_length()):
+        path = scratch(spark, "chain")
+        step = up.join(up.select(F.col("node").alias("top"), F.col("top").alias("next")), "top", "left")
+        step.select("node", F.coalesce("next", "top").alias("top"), F.coalesce(F.col("next") != F.col("top"), F.lit(False)).alias("moved")).write.parquet(path)
+        step = spark.read.parquet(path)
+        up = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
     roots = nodes.where(F.col(parent).isNull()).select(F.col(key).alias("top"), F.lit(True).alias("is_root"))
     return up.join(roots, "top", "left").select("node", F.when(F.col("is_root"), F.col("top")).alias("top"))
 

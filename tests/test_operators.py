@@ -131,6 +131,11 @@ def test_chain_tops_and_cycles(spark):
     assert {r[0]: r[1] for r in G.chain_tops(d, "id", "up").collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 7: None, 8: None, 9: None}
 
 
+def test_long_chain_reaches_its_top(spark):
+    d = spark.createDataFrame([(0, None), *((i, i - 1) for i in range(1, 200)), (301, 302), (302, 303), (303, 301), (304, 301)], "id long, up long")
+    assert {r[0]: r[1] for r in G.chain_tops(d, "id", "up").collect()} == {i: 0 for i in range(200)} | dict.fromkeys(range(301, 305))
+
+
 def test_refresh_precedence(spark):
     s = spark.createDataFrame([(1, "v2", "b", True), (2, "v2", "b", False), (3, "v1", "b", False), (4, "v1", "a", False), (5, "v1", "a", False), (6, "v1", "a", True)], "source_id long, content_version string, access_group string, deleted boolean")
     i = spark.createDataFrame([(1, "v1", "a", "active", "m"), (2, "v1", "a", "active", "m"), (3, "v1", "a", "active", "m"), (4, "v1", "a", "deleted", "m"), (9, "v1", "a", "active", "m"), (8, "v1", "a", "deleted", "m")], "source_id long, content_version string, access_group string, status string, model string")
