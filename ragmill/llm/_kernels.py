@@ -1,6 +1,6 @@
 """Vectorised helpers over Arrow text columns: words and byte strings as 64-bit hashes.
 
-All work goes piece by piece (about a megabyte of text at a time), so the memory that a
+All work goes piece by piece (about a quarter of a megabyte of text at a time), so the memory that a
 batch takes does not follow the length of its texts.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.default_rng(20240501)
 _CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE, _pow, _inv = 0x9E3779B97F4A7C15, np.ones(1, U), np.ones(1, U)

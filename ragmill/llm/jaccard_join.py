@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard self-join of documents, as classes and connected components.
 
-Method: documents fall into size bands that grow by a constant factor; a pair whose similarity
+Method: equal sets are one class, for which its smallest doc_id stands. Documents fall into size bands that grow by a constant factor; a pair whose similarity
 reaches the threshold lies in one band or two neighbouring ones. In a band, the hash range is
 cut into more parts than two linked sets can differ in, so linked sets agree in some
 parts (pigeonhole): equal parts give candidate groups and no link is missed. Very frequent shingles (by a sketch of fixed size over
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
 from ragmill.llm._graph import components
-from ragmill.llm._spark import fold_slices, slim_side, sorted_groups, unique_texts, written
+from ragmill.llm._spark import fold_slices, give_back, slim_side, sorted_groups, unique_texts, written
 
 #: Documents and shingles of one block of a tile.
 BLOCK_DOCS, BLOCK_SHINGLES = 8192, 1 << 22
@@ -95,6 +95,7 @@ def set_digests(docs: DataFrame, n: int) -> DataFrame:
             parts = [np.concatenate([np.array([seen if i == 0 else 0], np.int32), x]).tobytes() for i, x in enumerate(np.split(sketch, SLICES))]
             blank = [pa.nulls(SLICES, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*blank, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], names)
+        give_back()
 
     return docs.mapInArrow(run, _DIGESTS)
 
@@ -174,6 +175,7 @@ def candidate_edges(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray)
                 a, b = _buckets(s)
                 keys, owner = _keys(s, at, ~(common[a] & common[b]), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo + owner])], ["key", "doc_id"])
+        give_back()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, root = None, 0
@@ -245,6 +247,7 @@ def _tiles(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 blobs = pa.array([s[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("doc_id", *others)] + [blobs], ["doc_id", *others, "shingles"])
+        give_back()
 
     kinds = dict(members.dtypes)
     return joined.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *others)) + ", shingles binary")
@@ -269,6 +272,7 @@ def _block_edges(tiles: DataFrame, num: int, den: int, guests: bool) -> DataFram
                 [pa.array(ids[label]), pa.array(ids), pa.array((label != home) & (blocks[0] > 1) & (not guests)), *(pa.repeat(t.column(c)[0], len(ids)) for c in ("comp", "scheme"))],
                 ["a", "b", "loose", "comp", "scheme"],
             )
+        give_back()
 
     return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, loose boolean, comp long, scheme int")
 
@@ -279,20 +283,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     docs = unique_texts(docs)
     digests = written(set_digests(docs, n), "sets")
     seen = digests.where("slice is null").drop("slice", "counts")
-    classes = seen.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classed = written(seen.where("n_shingles > 0").join(classes, ["h1", "h2"]).select("doc_id", "rep", "n_shingles"), "classes")
-    near = components(candidate_edges(docs, n, bands, frequent_shingles(digests))).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
+    classes = written(seen.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
+    copies = written(seen.where("n_shingles > 0").join(slim_side(classes), ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), "copies")
+    # only the smallest doc_id of equal sets is compared with others
+    alone, slim_copies = docs, slim_side(copies.select("doc_id"))
+    if not copies.isEmpty():
+        alone = docs.join(slim_copies, "doc_id", "left_anti")
+    near = components(candidate_edges(alone, n, bands, frequent_shingles(digests))).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
 
     band = F.lit(0)
     known = [int(x) for x in bands.starts if x < 2**31]
     band = F.expr(f"size(filter(array({','.join(map(str, known))}), x -> x <= n_shingles)) - 1")
-    slim = classed.where("doc_id = rep").select("doc_id", "n_shingles").join(near, "doc_id").withColumn("band", band)
+    slim = seen.select("doc_id", "n_shingles").join(near, "doc_id").withColumn("band", band)
     starts = F.element_at(F.array(*map(F.lit, known)), F.col("band") + 1)
     both = (F.col("band") > 0) & (F.col("n_shingles") * num <= (starts - 1) * den)
-    slim = slim.withColumn("scheme", F.explode(F.when(both, F.array("band", F.col("band") - 1)).otherwise(F.array("band"))))
+    slim = written(slim.withColumn("scheme", F.explode(F.when(both, F.array("band", F.col("band") - 1)).otherwise(F.array("band")))).drop("band"), "banded")
     stats = slim.groupBy("comp", "scheme").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.min("doc_id").alias("pivot")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    slim = written(slim.join(stats.withColumn("blocks", blocks), ["comp", "scheme"]).select("doc_id", "comp", "scheme", "pivot", "blocks"), "tiles")
+    stats = slim_side(written(stats.select("comp", "scheme", "pivot", blocks.alias("blocks")), "stats"))
+    slim = written(slim.join(stats, ["comp", "scheme"]).select("doc_id", "comp", "scheme", "pivot", "blocks"), "tiles")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
     members = slim.withColumn("block", F.explode(F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))).withColumn("guest", F.lit(False))
     found = written(_block_edges(_tiles(docs, members, n), num, den, False), "links")
@@ -300,11 +309,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     loose = found.where("loose").select(F.col("b").alias("doc_id"), "comp", "scheme").distinct()
     if not loose.isEmpty():
         odd = written(loose.join(slim, ["doc_id", "comp", "scheme"]), "loose")
-        count = odd.groupBy("comp", "scheme").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.lit(1)).cast("int").alias("fblocks"))
+        count = slim_side(written(odd.groupBy("comp", "scheme").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.lit(1)).cast("int").alias("fblocks")), "loose-blocks"))
         hosts = slim.join(count, ["comp", "scheme"]).withColumn("block", own).withColumn("fblock", F.explode(F.sequence(F.lit(0), F.col("fblocks") - 1))).withColumn("guest", F.lit(False))
         guests = odd.join(count, ["comp", "scheme"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("fblock", F.pmod(F.xxhash64("doc_id"), F.col("fblocks").cast("long")).cast("int")).withColumn("guest", F.lit(True))
         edges = edges.unionByName(_block_edges(_tiles(docs, hosts.unionByName(guests), n), num, den, True).select("a", "b"))
-    edges = edges.unionByName(classed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    edges = edges.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(edges).withColumnRenamed("id", "doc_id")
     return seen.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 

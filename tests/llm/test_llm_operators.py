@@ -14,7 +14,7 @@ pytest.importorskip("ragmill.llm")
 
 from ragmill.llm import ball_tree, bpe, decontaminate, jaccard_join, licenses, preferences, resampling, sharding, suffix_dedup, warc  # noqa: E402
 from ragmill.llm import _kernels as kernels  # noqa: E402
-from ragmill.llm._graph import components  # noqa: E402
+from ragmill.llm._graph import components, contracted  # noqa: E402
 
 DOCS = "doc_id long, text string, source string, word string, h1 long, score long, rank int, slot int"
 
@@ -116,6 +116,12 @@ def test_components_of_long_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_logarithmic_rounds(spark):
+    chain = spark.range(1000).selectExpr("id as a", "id + 1 as b")
+    assert len(contracted(chain)) <= 2 * np.log2(1000)
+    assert components(chain).agg(F.max("root"), F.count("*")).first() == (0, 1001)
+
+
 def brute_removal(pairs, length):
     seen, out = set(), []
     for i, t in sorted(pairs):
