@@ -5,10 +5,11 @@ by an Aho-Corasick automaton. A token may follow another only if byte-pair mergi
 leave the two side by side (the pair-compatibility check, kept in a table); if not, the next shorter
 token is tried, and at a dead end the encoder steps back one token. A bit for each place records
 what has been tried, so no place is tried twice. This gives exactly what merging by rank gives. Words repeat,
-so a bounded table keeps the ids of recent ones. Decoding copies from one string of all tokens by a table of offsets.
+so two bounded tables keep the ids of recent ones: when the younger is full it replaces the older, and what is asked for again moves
+up, so frequent words stay. Decoding copies from one string of all tokens by a table of offsets.
 
 The vocabulary file (tokenizers' JSON, a byte-level BPE with a word-end suffix) is a parameter and is read
-by each task. Tasks share nothing; nothing is collected.
+once by each Python worker. Tasks share nothing else; nothing is collected.
 
 Defined cases: null text is empty; empty text has no ids and decodes to an empty text. Special tokens in a text
 are their ids. Every row is encoded by itself, so repeated rows and null doc_id stay as they are.
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm._spark import in_small_batches
+from ragmill.llm._spark import give_back, in_small_batches
 
 #: White space as the tokenizer's own regular expressions have it (U+001C to U+001F are not of it).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,7 +40,8 @@ _SPACES = regex.compile(f"[{_SPACE}]+")
 #: What str.split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_MOST_WORDS, _MOST_PAIRS = 100_000, 200_000
+#: Entries of the younger table of words, and of the table of pairs.
+_MOST_WORDS, _MOST_PAIRS = 120_000, 200_000
 #: Stands for the word-end suffix, as one unit.
 _END = "\uffff"
 
@@ -51,7 +53,7 @@ def _byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """The encoder of one vocabulary file."""
+    """The encoder of one vocabulary file. What it keeps between texts is bounded."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -77,12 +79,14 @@ class WordBpe:
         self.by_units = {self.units[i]: i for i in self.vocab.values()}
         self.matcher = ahocorasick.Automaton()
         for t, i in self.by_units.items():
-            self.matcher.add_word(t, (len(t) - 1, i))
+            if len(t) > 1:  # tokens of one unit fit everywhere: no match need be told
+                self.matcher.add_word(t, (len(t) - 1, i))
+        self.single = {t: i for t, i in self.by_units.items() if len(t) == 1}
         self.matcher.make_automaton()
         self.prefix: dict[int, int] = {}
         self.compatible: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         blob, sizes = [], []
         for t in self.names:
             blob.append((t + " ").encode())
@@ -132,17 +136,18 @@ class WordBpe:
         longest: dict[int, int] = {}
         for end, (back, i) in self.matcher.iter(units):  # ends rise, so the longest stays
             longest[end - back] = i
-        n, width, known, place, out, before = len(units), self.width, self.compatible, 0, [], -1
+        n, width, known, single, place, out, before = len(units), self.width, self.compatible, self.single, 0, [], -1
+        alone = n - 1 if self.suffix else -1  # no token starts at a word's end
         tried: set[int] = set()
-        token = longest[0]
+        token = longest[0] if 0 in longest else single[units[0]]
         while True:
             end = place + width[token]
             fit = end not in tried and (before < 0 or ((f := known.get(before << 32 | token)) is None and self.fits(before, token)) or f)
-            if fit and (end == n or end in longest):
+            if fit and end != alone:
                 out.append(token)
                 if end == n:
                     return out
-                place, before, token = end, token, longest[end]
+                place, before, token = end, token, longest[end] if end in longest else single[units[end]]
                 continue
             token = self.shorter(token)
             while token < 0:
@@ -164,34 +169,36 @@ class WordBpe:
 
     def add(self, chunk: str) -> bytes:
         """Ids of a text without white space, kept for the next time."""
-        letters, words, out = self.letters, self.words, []
-        if len(words) > _MOST_WORDS:
-            words.clear()
-        for word in _WORD.findall(chunk):
-            ids = words.get(word)
-            if ids is None:
-                ids = struct.pack(f"<{len(code)}I", *code) if (code := self.encode_word("".join([letters[b] for b in word.encode()]))) else b""
-                if len(word) <= 64:
-                    words[word] = ids
-            out.append(ids)
-        if len(self.chunks) > _MOST_WORDS:
-            self.chunks.clear()
-        ids = b"".join(out)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = b"".join([self.recent.get(word) or self.word(word) for word in _WORD.findall(chunk)])
+        return self.keep(chunk, ids)
+
+    def word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            code = self.encode_word("".join([self.letters[b] for b in word.encode()]))
+            ids = struct.pack(f"<{len(code)}I", *code)
+        return self.keep(word, ids)
+
+    def keep(self, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= 64:
-            self.chunks[chunk] = ids
+            if len(self.recent) >= _MOST_WORDS:
+                self.older, self.recent = self.recent, {}
+            self.recent[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = self.cut.split(text) if self.cut and "<|" in text else [text]
-        out, chunks = [], self.chunks
+        out = []
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(struct.pack("<I", self.special[part]))
             elif part:
                 plain = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower()
                 pieces = _SPACES.split(plain) if _ODD.search(plain) else plain.split()
-                out += [chunks.get(x) or self.add(x) for x in pieces]
+                out += [self.recent.get(x) or self.add(x) for x in pieces]
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -232,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                         col.append(v)
                 cols = [part.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True))]
                 yield pa.RecordBatch.from_arrays(cols[: 5 if ids else 4], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if ids else 4])
-        encoder.cache_clear()  # Python workers live on: leave their memory to the next stage
+        give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else "")
     return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
