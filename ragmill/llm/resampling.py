@@ -1,12 +1,16 @@
 """Quality classifier by importance resampling with hashed n-gram models.
 
-Method: two generative models over hashed features (distinct words, distinct word pairs, and how often a word
-repeats itself at once): target text, from documents labelled good and not toxic, and raw text, from all
-documents. A document's importance weight is the product of the ratios of its features; the sample is the
-top k of log weight / sharpness + Gumbel noise, which draws without replacement in proportion to the (sharpened)
-weights. k is the number of documents whose weight clears `least`. Ratios are shrunk to 1: `prior`
-pseudo-documents are added to either count, and a log ratio within +-`dead` counts as 0, so rare words decide nothing.
-Every feature is hashed twice and the ratio nearer to 1 stands, so that a clean word that shares one bucket with a telling one
+Method: two generative models over hashed features (which words, word pairs and levels of self-repetition a document
+holds): target text, from documents labelled good and not toxic, and raw text, from all documents. Each model gives every feature
+the share of its documents that hold it. A document's importance weight is the product of the ratios target / raw of its
+features; the sample is the top k of log weight + Gumbel noise, which draws k documents without replacement in proportion to their
+weights. k is a parameter; by default it is the number that rejection sampling would accept, the sum of min(1, weight).
+Documents with a log weight under `least` have no weight and are never drawn: they are what the classifier rejects.
+
+`prior` documents are added to either count. Only the `informative` features that tell most (whose count in target text lies
+furthest from what raw text lets expect, in standard deviations, `sure` at least) have a ratio other than 1, so that a
+long document's hundreds of words that tell nothing do not drown a few that do; the number does not depend on the size of the tables.
+Every feature is hashed twice and the ratio nearer to 1 stands, so that a word that shares one bucket with a telling one
 isn't taken for it.
 
 Counts are summed in each task into arrays of fixed size, sent in slices and summed; the model (`2 * 2**bits` numbers) is
@@ -14,7 +18,8 @@ all that the driver sees, besides the ids of at most `most_labelled` labelled do
 Raw counts cover all documents. Scoring is a scan without a shuffle.
 
 Defined cases: null or empty text has no features and weight 1. Labels of one document must agree for it to be target text;
-null labels are no labels. Without target text all weights are 1. Repeated rows are judged each by itself.
+null labels are no labels. Without target text all weights are 1. Repeated rows are judged each by itself; a row with a null doc_id is raw text,
+and all such rows have the same noise. Columns log_weight and sample_key of the input are replaced. Empty input: empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import fold_slices, in_small_batches
+from ragmill.llm._spark import fold_slices, give_back, in_small_batches, written
 
 U = K.U
-BITS = 20
+BITS = 21
 _SLICES = 64
 
 
@@ -62,44 +68,53 @@ def _target_ids(labels: DataFrame, most: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 4.0, dead: float = 1.2, most_labelled: int = 100_000) -> np.ndarray:
-    """Log ratio of target to raw for each feature."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, prior: float, informative: int, sure: float) -> np.ndarray:
+    """Log ratio of the models for each bucket: 0 but for the most telling ones of each half."""
+    share = n_target / n_raw
+    expected = raw * share
+    with np.errstate(invalid="ignore"):
+        away = np.abs(target - expected) / np.sqrt(expected * (1 - share) + 1)
+    out = np.log((target + prior) / (expected + prior))
+    for half in np.split(np.arange(len(raw)), 2):
+        least = max(sure, np.partition(away[half], -informative)[-informative] if informative < len(half) else 0)
+        out[half[away[half] < least]] = 0
+    return out.astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 0.5, informative: int = 2000, sure: float = 3.0, most_labelled: int = 100_000) -> np.ndarray:
+    """Log ratio of target to raw for each bucket."""
     spark, width = docs.sparkSession, 2 << bits
     target = spark.sparkContext.broadcast(_target_ids(labels, most_labelled))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, total, docs_seen = target.value, np.zeros((2, width), np.int32), np.zeros(2, np.int64)
         for batch in batches:
-            doc = np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1).astype(np.int64) if batch.column(0).null_count else batch.column(0).to_numpy(zero_copy_only=False)
+            doc, known = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             hit = np.searchsorted(ids, doc)
-            hit = (ids[np.minimum(hit, len(ids) - 1)] == doc) if len(ids) else np.zeros(len(doc), bool)
+            hit = known & (ids[np.minimum(hit, len(ids) - 1)] == doc) if len(ids) else np.zeros(len(doc), bool)
             docs_seen += (len(doc), int(hit.sum()))
             for lo, _, row, value in features(batch.column(1), bits):
                 mine = hit[lo + row]
                 for feature in buckets(value, bits):
                     np.add.at(total[0], feature, 1)
                     np.add.at(total[1], feature[mine], 1)
+        give_back()
         step = width // _SLICES
         for i in range(_SLICES if docs_seen[0] else 0):
-            part = np.concatenate([docs_seen if i == 0 else np.zeros(2, np.int64), total[:, i * step : (i + 1) * step].ravel().astype(np.int64)])
+            part = np.concatenate([docs_seen.astype(np.int32) if i == 0 else np.zeros(2, np.int32), total[:, i * step : (i + 1) * step].ravel()])
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
     parts = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "slice long, counts binary")
-    got = fold_slices(parts, "counts", np.int64, np.add)
-    ratio, seen = np.zeros(width, np.float32), np.zeros(2)
-    if 0 in got:
-        seen = got[0][:2].astype(float)
-    if seen[1]:
-        step = width // _SLICES
-        for i, v in got.items():
-            raw, tgt = v[2:].reshape(2, step)
-            w = np.log((tgt + prior) / (raw * seen[1] / seen[0] + prior))
-            ratio[i * step : (i + 1) * step] = np.where(np.abs(w) > dead, w, 0.0)
-    return ratio
+    got = fold_slices(parts, "counts", np.int32, np.add)
+    if 0 not in got or not got[0][1]:
+        return np.zeros(width, np.float32)
+    raw, tgt = (np.concatenate([got[i][2:].reshape(2, -1)[k] for i in range(_SLICES)]).astype(float) for k in (0, 1))
+    return log_ratios(raw, tgt, int(got[0][0]), int(got[0][1]), prior, informative, sure)
 
 
 def weighted(docs: DataFrame, ratio: np.ndarray, bits: int = BITS) -> DataFrame:
     """Rows of docs with their log_weight."""
+    docs = docs.drop("log_weight", "sample_key")
     model = docs.sparkSession.sparkContext.broadcast(ratio)
     at = docs.columns.index("text")
 
@@ -110,6 +125,7 @@ def weighted(docs: DataFrame, ratio: np.ndarray, bits: int = BITS) -> DataFrame:
                 a, b = (model.value[x].astype(np.float64) for x in buckets(value, bits))
                 out[lo:hi] = np.bincount(row, np.where(np.abs(a) <= np.abs(b), a, b), minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*(f"c{i}" for i in range(batch.num_columns)), "log_weight"])
+        give_back()
 
     kinds = docs.schema
     plain = in_small_batches(docs).select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
@@ -145,11 +161,18 @@ def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, least: float = -0.5, sharpness: float = 0.05, seed: int = 7, bits: int = BITS) -> DataFrame:
-    """The rows of docs that are drawn, with log_weight and sample_key. Rows that tie at the last key are all drawn."""
-    keyed = weighted(docs, fit(docs, labels, bits), bits).withColumn("sample_key", F.col("log_weight") / sharpness + gumbel(seed))
-    slim = keyed.select("log_weight", "sample_key").persist()
-    k = slim.where(F.col("log_weight") >= least).count()
-    cut = kth_largest(slim, "sample_key", k) if k else float("inf")
-    slim.unpersist()
-    return keyed.where(F.col("sample_key") >= cut)
+def draw(weights: DataFrame, k: int, seed: int = 7) -> tuple[Column, float]:
+    """The Gumbel key of a row with a doc_id and a log_weight, and the key from which on k rows of weights are drawn (ties at it all are)."""
+    key = F.col("log_weight") + gumbel(seed)
+    slim = written(weights.select(key.alias("sample_key")), "keys")
+    return key, kth_largest(slim, "sample_key", k) if k else float("inf")
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, least: float = -2.0, seed: int = 7, bits: int = BITS) -> DataFrame:
+    """The rows of docs that are drawn, with log_weight and sample_key: k, or as many as rejection sampling would accept."""
+    scored = weighted(docs, fit(docs, labels, bits), bits).where(F.col("log_weight") >= least)
+    slim = written(scored.select("doc_id", "log_weight"), "weights")
+    if k is None:
+        k = round(slim.agg(F.sum(F.least(F.lit(1.0), F.exp("log_weight")))).first()[0] or 0)
+    key, cut = draw(slim, k, seed)
+    return scored.withColumn("sample_key", key).where(F.col("sample_key") >= cut)

@@ -209,6 +209,40 @@ def test_resampling_rejects_what_the_target_lacks(spark):
     assert everything.count() == 600 and resampling.resample(docs_of(spark, []), labels, bits=17).count() == 0
 
 
+def test_resampling_draws_in_proportion_to_weights(spark):
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("double").alias("log_weight"))
+    drawn = []
+    for seed in (1, 2):
+        key, cut = resampling.draw(rows, 800, seed)
+        drawn.append({r.doc_id for r in rows.where(key >= cut).collect()})
+    for ids in drawn:  # odd ids weigh e times as much; a tenth is drawn
+        assert len(ids) == 800 and abs(sum(i % 2 for i in ids) / 800 - np.e / (1 + np.e)) < 0.05
+    assert len(drawn[0] & drawn[1]) < 200
+
+
+def test_resampling_takes_k_and_odd_columns(spark):
+    r = random.Random(3)
+    d = [(2**60 + i, " ".join(words(r, 40)) + (" telling" if i < 100 else ""), 0.5, "x") for i in range(300)] + [(None, "w1 w2", 0.5, "x"), (7, None, None, None), (8, "long " * 60_000, 0.5, "x")]
+    docs = spark.createDataFrame(d, "doc_id long, text string, log_weight double, sample_key string")
+    labels = spark.createDataFrame([(2**60 + i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = resampling.resample(docs, labels, k=60, bits=17)
+    assert got.columns == ["doc_id", "text", "log_weight", "sample_key"] and dict(got.dtypes)["sample_key"] == "double"
+    rows = got.collect()
+    assert len(rows) == 60 and sum("telling" in (x.text or "") for x in rows) >= 30  # a third of all rows, twice and more as likely
+    assert {x.doc_id for x in rows} != {x.doc_id for x in resampling.resample(docs, labels, k=60, seed=8, bits=17).collect()}
+
+
+def test_resampling_on_held_out_labels(spark, sf):
+    """Fitted on the labels of four fifths, judged on the rest, which it has not seen."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    kept = resampling.resample(docs, labels.where(~fold)).select("doc_id").withColumn("kept", F.lit(1))
+    rest = labels.where(fold).join(kept, "doc_id", "left").groupBy((F.expr("quality = 1 and toxic = 0")).alias("clean")).agg(F.avg(F.coalesce("kept", F.lit(0))).alias("share"))
+    share = {x.clean: x.share for x in rest.collect()}
+    assert share[True] >= 0.97 and share[False] <= 0.2  # few labels: a fifth of toxic words are in too few of them
+
+
 def test_kth_largest(spark):
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(size=500), np.full(100, 3.0), [-1e9, 1e9]])
