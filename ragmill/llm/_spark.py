@@ -109,10 +109,10 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def fold_slices(parts: DataFrame, value: str, kind: type, fold: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
-    """Fold the arrays (binary column `value`, items of `kind`) of each slice of a table of fixed size into one.
+def folded(parts: DataFrame, value: str, kind: type, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[int, np.ndarray], bytes] | None = None) -> DataFrame:
+    """Fold the arrays (binary column `value`, items of `kind`) of each slice of a table of fixed size into one: (slice, value).
 
-    Each task holds one running array, however many come; only the folded table reaches the driver.
+    Each task holds one running array, however many come. finish makes the bytes of a folded slice; by default they are its items.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,11 @@ def fold_slices(parts: DataFrame, value: str, kind: type, fold: Callable[[np.nda
                 part = np.frombuffer(x.as_py(), kind)
                 totals[i] = fold(totals[i], part) if i in totals else part.astype(np.int64) if fold is np.add else part
         for i, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([finish(i, total) if finish else total.tobytes()], pa.binary())], ["slice", "value"])
+
+    return parts.select(F.col("slice").cast("long").alias("slice"), F.col(value).alias("value")).repartition("slice").mapInArrow(run, "slice long, value binary")
 
-    rows = parts.select(F.col("slice").cast("long").alias("slice"), F.col(value).alias("value")).repartition("slice").mapInArrow(run, "slice long, value binary").collect()
-    return {i: np.frombuffer(v, np.int64 if fold is np.add else kind) for i, v in rows}
+
+def fold_slices(parts: DataFrame, value: str, kind: type, fold: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """The slices folded; only this table of fixed size reaches the driver."""
+    return {i: np.frombuffer(v, np.int64 if fold is np.add else kind) for i, v in folded(parts, value, kind, fold).collect()}

@@ -13,8 +13,8 @@ long document's hundreds of words that tell nothing do not drown a few that do;
 Every feature is hashed twice and the ratio nearer to 1 stands, so that a word that shares one bucket with a telling one
 isn't taken for it.
 
-Counts are summed in each task into arrays of fixed size, sent in slices and summed; the model (`2 * 2**bits` numbers) is
-all that the driver sees, besides the ids of at most `most_labelled` labelled documents (those with the smallest hashes).
+Counts are summed in each task into arrays of fixed size (`2 * 2**bits` numbers for each model), sent in slices and summed; the driver
+sees the most telling features of each slice only, besides the ids of at most `most_labelled` labelled documents (those with the smallest hashes).
 Raw counts cover all documents. Scoring is a scan without a shuffle.
 
 Defined cases: null or empty text has no features and weight 1. Labels of one document must agree for it to be target text;
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import fold_slices, give_back, in_small_batches, written
+from ragmill.llm._spark import folded, give_back, in_small_batches, written
 
 U = K.U
 BITS = 21
@@ -68,21 +68,22 @@ def _target_ids(labels: DataFrame, most: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64))
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, prior: float, informative: int, sure: float) -> np.ndarray:
-    """Log ratio of the models for each bucket: 0 but for the most telling ones of each half."""
-    share = n_target / n_raw
+_TELLING = np.dtype([("away", "f4"), ("bucket", "i4"), ("ratio", "f4")])
+
+
+def telling(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, prior: float, most: int, sure: float) -> np.ndarray:
+    """The buckets that tell most: how far their count in target text is from what raw text lets expect, and their log ratio."""
+    share = n_target / max(n_raw, 1)
     expected = raw * share
-    with np.errstate(invalid="ignore"):
-        away = np.abs(target - expected) / np.sqrt(expected * (1 - share) + 1)
-    out = np.log((target + prior) / (expected + prior))
-    for half in np.split(np.arange(len(raw)), 2):
-        least = max(sure, np.partition(away[half], -informative)[-informative] if informative < len(half) else 0)
-        out[half[away[half] < least]] = 0
-    return out.astype(np.float32)
+    away = np.abs(target - expected) / np.sqrt(expected * (1 - share) + 1)
+    at = np.flatnonzero(away >= max(sure, np.partition(away, -most)[-most] if most < len(away) else 0))
+    out = np.zeros(len(at), _TELLING)
+    out["away"], out["bucket"], out["ratio"] = away[at], at, np.log((target[at] + prior) / (expected[at] + prior))
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 0.5, informative: int = 2000, sure: float = 3.0, most_labelled: int = 100_000) -> np.ndarray:
-    """Log ratio of target to raw for each bucket."""
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 0.5, informative: int = 2000, sure: float = 3.0, most_labelled: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """The telling buckets and the log ratio of target to raw of each."""
     spark, width = docs.sparkSession, 2 << bits
     target = spark.sparkContext.broadcast(_target_ids(labels, most_labelled))
 
@@ -101,28 +102,39 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 0.5
         give_back()
         step = width // _SLICES
         for i in range(_SLICES if docs_seen[0] else 0):
-            part = np.concatenate([docs_seen.astype(np.int32) if i == 0 else np.zeros(2, np.int32), total[:, i * step : (i + 1) * step].ravel()])
+            part = np.concatenate([docs_seen.astype(np.int32), total[:, i * step : (i + 1) * step].ravel()])
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
     parts = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "slice long, counts binary")
-    got = fold_slices(parts, "counts", np.int32, np.add)
-    if 0 not in got or not got[0][1]:
-        return np.zeros(width, np.float32)
-    raw, tgt = (np.concatenate([got[i][2:].reshape(2, -1)[k] for i in range(_SLICES)]).astype(float) for k in (0, 1))
-    return log_ratios(raw, tgt, int(got[0][0]), int(got[0][1]), prior, informative, sure)
+
+    def finish(_: int, got: np.ndarray) -> bytes:
+        raw, tgt = got[2:].reshape(2, -1).astype(np.float64)
+        return telling(raw, tgt, int(got[0]), int(got[1]), prior, informative, sure).tobytes() if got[1] else b""
+
+    found = [np.zeros(0, _TELLING)]
+    for i, v in folded(parts, "counts", np.int32, np.add, finish).collect():
+        found.append(np.frombuffer(v, _TELLING).copy())
+        found[-1]["bucket"] += i * (width // _SLICES)
+    every, out = np.concatenate(found), []
+    for half in (every[every["bucket"] < width // 2], every[every["bucket"] >= width // 2]):
+        out.append(half[half["away"] >= (np.partition(half["away"], -informative)[-informative] if informative < len(half) else 0)])
+    best = np.concatenate(out)
+    return best["bucket"].copy(), best["ratio"].copy()
 
 
-def weighted(docs: DataFrame, ratio: np.ndarray, bits: int = BITS) -> DataFrame:
+def weighted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
     """Rows of docs with their log_weight."""
     docs = docs.drop("log_weight", "sample_key")
-    model = docs.sparkSession.sparkContext.broadcast(ratio)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = np.zeros(2 << bits, np.float32)
+        ratio[sent.value[0]] = sent.value[1]
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for lo, hi, row, value in features(batch.column(at), bits):
-                a, b = (model.value[x].astype(np.float64) for x in buckets(value, bits))
+                a, b = (ratio[x].astype(np.float64) for x in buckets(value, bits))
                 out[lo:hi] = np.bincount(row, np.where(np.abs(a) <= np.abs(b), a, b), minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*(f"c{i}" for i in range(batch.num_columns)), "log_weight"])
         give_back()
