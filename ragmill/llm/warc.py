@@ -208,8 +208,10 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
     rows = read(spark, path, payloads=False).where("complete").withColumn("page_id", number("origin")).withColumn("refers_to", number("refers_to"))
     kinds = rows.select("page_id", F.col("type").alias("record_type"), "refers_to", F.coalesce("payload_digest", "digest").alias("payload_digest"), "payload_bytes")
-    sizes = kinds.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("of_response"))
-    return kinds.join(sizes, "refers_to", "left").select("page_id", F.coalesce("payload_bytes", "of_response").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # a response meets itself, so no key is null or shared by all responses
+    kinds = kinds.withColumn("of", F.coalesce("refers_to", "page_id"))
+    sizes = kinds.where("record_type = 'response'").select("of", F.col("payload_bytes").alias("of_response"))
+    return kinds.join(sizes, "of", "left").select("page_id", F.coalesce("payload_bytes", "of_response").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
