@@ -1,20 +1,23 @@
 """Exact top-k inner-product search: a ball tree per shard, searched by branch and bound.
 
-Method: vectors are dealt by a hash of their id to shards of bounded size; each shard builds a ball tree. A block
-of queries opens nodes in the order of the upper bound query * centre + |query| * radius (a child's bound never
-exceeds its parent's) and closes all whose bound is below the query's current kth score. The kth score is shared:
-each block first searches one shard, and what it finds there is the starting kth score in all shards. Scores are
+Method: vectors are dealt by a hash of their id to shards of bounded size; each shard builds its ball tree once, and blocks
+of queries stream past it. A block opens nodes from the root on, that with the greatest upper bound
+query * centre + |query| * radius of any of its queries first (a child's bound never exceeds its parent's). Queries whose bound is
+below their current kth score leave a node there and then, and a node that none is left for is closed with all below it. The kth score is
+shared: each block first searches one shard, and what it finds there is the starting kth score in all shards. Scores are
 integers and exact; only bounds are floating point, and they are widened.
 
-A query set against all rows goes in blocks: shards x blocks are the units of work, each of bounded size.
+A query set against all rows goes in blocks: rows stay in their shard, blocks of bounded size visit all shards.
 
 Defined cases: vectors that are null or empty, or hold a null or non-finite component, and null ids take no part. Vectors
 of different lengths aren't compared. Repeated rows (same id and vector) count once; of several vectors with a query's id the
-smallest is the query. A query's own id is never its candidate. Fewer than k candidates: all of them.
+smallest is the query. A query's own id is never its candidate. Fewer than k candidates: all of them. Huge components are taken at the
+bounds of a long, and so are scores.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,81 +44,99 @@ class BallTree:
         order = np.argsort(ids, kind="stable")
         f = x[order].astype(np.float64)
         perm = np.arange(len(x))
-        nodes: list[tuple[int, int, int, bool]] = []
+        self.rows: list[tuple[int, int]] = []
+        self.children: list[list[int]] = []
         work = [(0, len(x), -1)]
         while work:
             lo, hi, parent = work.pop()
             part = f[perm[lo:hi]]
             far = part[np.argmax(((part - part.mean(0)) ** 2).sum(1))]
             other = part[np.argmax(((part - far) ** 2).sum(1))]
-            split = hi - lo > leaf and bool((far != other).any())
-            nodes.append((lo, hi, parent, not split))
-            if split:
+            self.rows.append((lo, hi))
+            self.children.append([])
+            if parent >= 0:
+                self.children[parent].append(len(self.rows) - 1)
+            if hi - lo > leaf and (far != other).any():
                 half = np.argsort(part @ (other - far), kind="stable")
                 perm[lo:hi] = perm[lo:hi][half]
-                work += [(lo, (lo + hi) // 2, len(nodes) - 1), ((lo + hi) // 2, hi, len(nodes) - 1)]
+                work += [(lo, (lo + hi) // 2, len(self.rows) - 1), ((lo + hi) // 2, hi, len(self.rows) - 1)]
         self.x, self.ids = x[order][perm], ids[order][perm]
         f = f[perm]
-        self.nodes = nodes
-        self.centre = np.array([f[lo:hi].mean(0) for lo, hi, _, _ in nodes])
-        self.radius = np.array([np.sqrt(((f[lo:hi] - c) ** 2).sum(1).max()) for (lo, hi, _, _), c in zip(nodes, self.centre, strict=True)])
+        self.centre = np.array([f[lo:hi].mean(0) for lo, hi in self.rows])
+        self.radius = np.array([np.sqrt(((f[lo:hi] - c) ** 2).sum(1).max()) for (lo, hi), c in zip(self.rows, self.centre, strict=True)])
+        self.opened = 0
 
     def search(self, q: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and scores of its best k rows that reach its starting kth score."""
+        """For each query the ids and scores of its best k rows that reach its starting kth score; opened counts the nodes that were looked into."""
         f = q.astype(np.float64)
-        bound = f @ self.centre.T + np.sqrt((f**2).sum(1))[:, None] * self.radius
-        bound += 1.0 + 1e-9 * np.abs(bound)
-        for i, (_, _, parent, _) in enumerate(self.nodes):
-            if parent >= 0:
-                np.minimum(bound[:, i], bound[:, parent], out=bound[:, i])
-        leaves = np.array([i for i, n in enumerate(self.nodes) if n[3]])
-        bound = bound[:, leaves]
-        turn = np.argsort(-bound, axis=1, kind="stable")
-        exact = float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * q.shape[1] < 2**53
-        rows = self.x.astype(np.float64) if exact else self.x
-        qs = f if exact else q
+        norm = np.sqrt((f**2).sum(1))
+        size = float(np.abs(f).max(initial=0)) * float(np.abs(self.x.astype(np.float64)).max(initial=0)) * q.shape[1]
+        kind = np.float64 if size < 2**53 else np.int64 if size < 2**62 else object
+        rows, qs = self.x.astype(kind), q.astype(kind)
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q]
         kth = kth.astype(np.float64)
-        live = np.arange(len(q))
-        for step in range(len(leaves)):
-            at = turn[live, step]
-            live = live[bound[live, at] >= kth[live]]  # later leaves have lower bounds: such a query is done
-            at = turn[live, step]
+
+        def bound(node: int, live: np.ndarray, most: np.ndarray) -> np.ndarray:
+            b = f[live] @ self.centre[node] + norm[live] * self.radius[node]
+            return np.minimum(b + 1.0 + 1e-9 * np.abs(b), most)
+
+        every = np.arange(len(q))
+        first = bound(0, every, np.full(len(q), np.inf))
+        heap = [(-first.max(initial=-np.inf), 0, every, first)]
+        while heap:
+            _, node, live, most = heapq.heappop(heap)
+            open_ = most >= kth[live]
+            live, most = live[open_], most[open_]
             if not len(live):
-                break
-            for leaf in np.unique(at):
-                lo, hi, _, _ = self.nodes[leaves[leaf]]
-                mine = live[at == leaf]
-                scores = qs[mine] @ rows[lo:hi].T
-                for i, s in zip(mine, scores.astype(np.int64), strict=True):
-                    ok = (s >= kth[i]) & (self.ids[lo:hi] != own[i])
-                    if ok.any():
-                        ids, sc = np.concatenate([best[i][0], self.ids[lo:hi][ok]]), np.concatenate([best[i][1], s[ok]])
-                        top = np.lexsort((ids, -sc))[:k]
-                        best[i] = ids[top], sc[top]
-                        if len(top) == k:
-                            kth[i] = max(kth[i], sc[top[-1]])
+                continue  # closed with all nodes below it
+            self.opened += 1
+            for child in self.children[node]:
+                b = bound(child, live, most)
+                heapq.heappush(heap, (-b.max(), child, live, b))
+            if self.children[node]:
+                continue
+            lo, hi = self.rows[node]
+            scores = np.clip(qs[live] @ rows[lo:hi].T, -(2**63), 2**63 - 1).astype(np.int64) if kind is object else (qs[live] @ rows[lo:hi].T).astype(np.int64)
+            for i, s in zip(live, scores, strict=True):
+                ok = (s >= kth[i]) & (self.ids[lo:hi] != own[i])
+                if ok.any():
+                    ids, sc = np.concatenate([best[i][0], self.ids[lo:hi][ok]]), np.concatenate([best[i][1], s[ok]])
+                    top = np.lexsort((ids, -sc.astype(kind) if kind is object else -sc))[:k]
+                    best[i] = ids[top], sc[top]
+                    if len(top) == k:
+                        kth[i] = max(kth[i], float(sc[top[-1]]))
         return best
 
 
 _FOUND = "query_id long, vec_id long, score long"
 
 
-def _search(k: int, keys: list[str]):
+_UNIT = ["shard", "is_query", "block"]
+
+
+def _search(k: int):
+    """Of each shard the rows come first, then the blocks of queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, keys):
-            kind, ids, kth = (t.column(c).to_numpy() for c in ("is_query", "vec_id", "kth"))
-            width = np.array([len(v) for v in t.column("v")])
+        at, trees = -1, {}
+        for t in sorted_groups(batches, _UNIT):
+            shard, is_query = t.column("shard")[0].as_py(), t.column("is_query")[0].as_py()
+            ids, kth, v = t.column("vec_id").to_numpy(), t.column("kth").to_numpy(), t.column("v").combine_chunks()
+            width = np.diff(v.offsets.to_numpy())
+            if shard != at:
+                at, trees = shard, {}
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for dim in np.unique(width):
-                pick = lambda m: np.flatnonzero((width == dim) & m)  # noqa: E731,B023
-                take = lambda at: t.column("v").combine_chunks().take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim)  # noqa: E731,B023
-                rows, qs = pick(kind == 0), pick(kind == 1)
-                if len(rows) and len(qs):
-                    found = BallTree(take(rows), ids[rows]).search(take(qs), ids[qs], kth[qs], k)
-                    out += [(np.full(len(a), i), a, s) for i, (a, s) in zip(ids[qs], found, strict=True)]
-            cols = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+                mine = np.flatnonzero(width == dim)
+                x = v.take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), dim)
+                if not is_query:
+                    trees[dim] = BallTree(x, ids[mine])
+                elif dim in trees:
+                    found = trees[dim].search(x, ids[mine], kth[mine], k)
+                    out += [(np.full(len(a), i), a, s) for i, (a, s) in zip(ids[mine], found, strict=True)]
+            if is_query:
+                cols = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -136,18 +157,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, shard_ro
     lowest = F.lit(-(1 << 63)).cast("long")
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     shard = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)).cast("int")
-    keys = ["shard", "block"]
 
     def units(rows: DataFrame, queries: DataFrame) -> DataFrame:
-        both = rows.select("shard", "block", F.lit(0).alias("is_query"), "vec_id", lowest.alias("kth"), "v").unionByName(queries.select("shard", "block", F.lit(1).alias("is_query"), "vec_id", "kth", "v"))
-        return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search(k, keys), _FOUND)
+        here = rows.select("shard", F.lit(0).alias("is_query"), F.lit(0).alias("block"), "vec_id", lowest.alias("kth"), "v")
+        asked = queries.select("shard", F.lit(1).alias("is_query"), "block", "vec_id", "kth", "v")
+        return here.unionByName(asked).repartition("shard").sortWithinPartitions(*_UNIT).mapInArrow(_search(k), _FOUND)
 
     dealt = rows.withColumn("shard", shard)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pilot = dealt.withColumn("block", every).where(F.col("shard") == F.pmod("block", F.lit(shards)))
+    pilot = dealt.where(F.col("shard") < blocks)  # block b starts in shard b, or b modulo their number
     first = _best(units(pilot, queries.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int")).withColumn("kth", lowest)), k)
-    known = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    known = written(first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth")), "kth")
     shared = queries.join(known, "vec_id", "left").withColumn("kth", F.coalesce("kth", lowest))
-    shared = shared.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = units(dealt.withColumn("block", every), shared)
+    found = units(dealt, shared.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
