@@ -30,7 +30,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.segments(*preferences.negatives(table(spark, sf_dir, "conversations")), key="conv_id")
+    pairs = preferences.assembled(preferences.segments(*preferences.negatives(table(spark, sf_dir, "conversations")), key="conv_id"))
+    return pairs.withColumns({c: preferences.ranges(F.col(c)) for c in ("chosen_train", "rejected_train")})
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
