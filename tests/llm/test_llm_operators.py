@@ -193,6 +193,14 @@ def test_ball_tree_top_k(spark, rows, shard, block):
         s = q @ q[i]
         want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(rows), -s)) if j != i][:10])]
     assert sorted(tuple(r) for r in got.collect()) == want
+    if rows > 5:
+        tree = ball_tree.BallTree(q, np.arange(rows), leaf=8)
+        far = np.sort(q @ q[-1])[-10]
+        tree.search(q[-1:], np.array([rows - 1]), np.array([far]), 10)
+        assert 0 < tree.opened < 0.9 * len(tree.rows)
+    huge = [(0, [1e300, 1.0]), (1, [1e300, 1.0]), (100, [-1e300, 1.0])]
+    top = ball_tree.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 10).collect()
+    assert [(x.vec_id, x.score) for x in top] == [(1, 2**63 - 1), (100, -(2**63))]
     assert ball_tree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
@@ -254,7 +262,7 @@ def test_kth_largest(spark):
 
 def test_decontamination(spark):
     r = random.Random(7)
-    items = [(i, " ".join(words(r, n, 5000))) for i, n in enumerate((8, 15, 20, 40, 59))] + [(90, "too short"), (91, None), (92, "")]
+    items = [(i, " ".join(words(r, n, 5000))) for i, n in enumerate((8, 15, 20, 40, 59))] + [(90, "Only five words, in all"), (91, None), (92, "")]
     edit = lambda t, k: " ".join(w if (j + 1) % k else "other" for j, w in enumerate(t.split()))
     noise = lambda: " ".join(words(r, 50, 5000))
     d = [(10 + i, f"{noise()} {t.upper()}, {noise()}") for i, t in items[:5]] + [(20 + i, f"{noise()} {edit(t, 6)} {noise()}") for i, t in items[1:5]] + [(30, edit(items[3][1], 2)), (31, None), (32, ""), (33, noise()), (34, items[0][1])]
@@ -262,9 +270,48 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs_of(spark, d + d[:1]), bench).collect()}
     assert got == {(10 + i, i) for i in range(5)} | {(20 + i, i) for i in range(1, 5)} | {(34, 0)}
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, d), bench).collect()) == [30, 31, 32, 33]
+    more = [(50, f"{noise()} only FIVE words in all {noise()}"), (51, f"{noise()} only five words of all {noise()}"), (None, d[0][1]), (None, noise()), (52, "the " * 40_000 + d[0][1])]
+    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs_of(spark, more), bench).collect()} == {(50, 90), (52, 0)}
+    assert sorted(repr(x.doc_id) for x in decontaminate.drop_contaminated(docs_of(spark, more), bench).collect()) == ["51", "None"]
     assert decontaminate.overlaps(docs_of(spark, d), bench.limit(0)).count() == 0 and decontaminate.overlaps(docs_of(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize(("n", "least"), [(8, 1.0), (15, 0.99), (20, 0.99)])
+def test_spaced_seeds_survive_substitutions(n, least):
+    """Of all ways to substitute one word in eight, or a fifth of more, how many leave some mask whole."""
+    import itertools
+
+    hit = total = 0
+    for gone in itertools.combinations(range(n), 1 if n == 8 else n // 5):
+        total += 1
+        hit += any(all(m[k] == "0" or p + k not in gone for k in range(8)) for m in decontaminate.MASKS for p in range(n - 7))
+    assert hit >= least * total
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Every pair of document and item, all alignments compared."""
+    r = random.Random(11)
+    items = {i: words(r, r.choice((9, 12, 20, 30)), 60) for i in range(12)}
+    docs = {}
+    for i in range(60):
+        w = words(r, 30, 60)
+        part = list(r.choice(list(items.values())))
+        for k in r.sample(range(len(part)), r.choice((0, 1, len(part) // 5, len(part) // 3))):
+            part[k] = "zz"
+        docs[i] = w[:15] + part + w[15:]
+    want = set()
+    for d, t in docs.items():
+        for i, w in items.items():
+            size = min(20, len(w))
+            for shift in range(-len(w), len(t)):
+                same = [0 <= k + shift < len(t) and t[k + shift] == x for k, x in enumerate(w)]
+                if any(100 * sum(same[j : j + size]) >= 80 * size for j in range(len(w) - size + 1)):
+                    want.add((d, i))
+    got = decontaminate.overlaps(docs_of(spark, [(i, " ".join(t)) for i, t in docs.items()]), spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string"))
+    found = {(x.doc_id, x.item_id) for x in got.collect()}
+    assert found <= want and len(found) >= 0.9 * len(want) and len(want) > 30
+
+
 def test_preferences(spark):
     c = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (2, 0, None, None), (2, 5, "assistant", "a"), (3, 0, "user", "only chosen"), (4, 0, "user", "same"), (None, 0, "user", "x"), (1, None, "user", "x"), (1, 0, "user", "hi")]
     j = [(1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", ""), (4, 0, "user", "same"), (5, 0, "user", "only rejected")]
@@ -278,6 +325,21 @@ def test_preferences(spark):
     assert one[1].chosen[a:b] == "<|assistant|>\nyes<|end|>\n" and len(one[1].chosen_train) == 1
 
 
+def test_negatives_pair_every_conversation(spark):
+    c = [(2 * i, t, "assistant" if t % 2 else "user", f"{i} says {t}") for i in range(7) for t in range(3 + i)] + [(50, 0, "user", "alone"), (60, 3, None, None), (None, 1, "user", "x"), (0, 0, "user", "zz again")]
+    c += [(70, t, "assistant", "long " * 50) for t in range(2000)]
+    conversations = spark.createDataFrame([(*x, "y") for x in c], "conv_id long, turn long, role string, text string, pair_id string")
+    rows = {r.pair_id: r for r in preferences.assembled(preferences.segments(*preferences.negatives(conversations), key="conv_id")).collect()}
+    assert set(rows) == {*range(0, 14, 2), 50, 60, 70}
+    ends = set()
+    for i in range(0, 14, 2):
+        assert all(rows[i].chosen[x["from"] : x["to"]].startswith("<|assistant|>") for x in rows[i].chosen_train) and len(rows[i].rejected_train) == 1 and rows[i].chosen != rows[i].rejected
+        ends.add(rows[i].prompt.count("<|end|>"))
+    assert len(ends) > 1 and rows[0].prompt.startswith("<|user|>\nzz again")
+    assert preferences.segments(*preferences.negatives(conversations.limit(0)), key="conv_id").count() == 0
+    assert preferences.segments(*preferences.negatives(conversations.where("conv_id = 50")), key="conv_id").count() == 0
+
+
 def test_byte_pairs_equal_the_library(spark):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
