@@ -1,21 +1,23 @@
-"""Exact removal of repeated byte strings with a logarithmic family of sorted suffix indexes.
+"""Exact removal of repeated byte strings with a logarithmic family of suffix arrays.
 
 A byte goes if a string of `length` bytes that covers it also starts earlier (smaller doc_id, or
 earlier in the same document). Matches never cross documents; all strings are judged on the input.
 
-Method: only suffixes at anchors are indexed. The anchor of a window of `length` bytes is its
-32-byte string with the smallest hash (the first of equals), so equal windows have equal anchors and each
-window belongs to one anchored run. In each key range, arriving batches of runs become sorted suffix
-arrays, are merge-scanned against the levels that exist, and levels of like size merge
-geometrically. A run whose whole context is known from earlier is a repeat as it stands. Runs that share
-an anchor but not the whole context are compared window by window in a second family. Suffixes are
-ordered by 64-bit hashes (anchor, then context: 128 bits tell strings apart), as only equality matters.
+Method: the anchor of a window of `length` bytes is its 32-byte string with the smallest hash (the first of equals), so
+equal windows have equal anchors and each window belongs to one anchored run. Work is dealt by anchor. In each key range a
+first family finds, batch by batch, the runs whose whole context (anchor and all bytes of the run) came earlier: they are repeats as they stand. What
+shares an anchor, but not the whole context, goes to the second family as bytes: every arriving batch gets a suffix array (its
+suffixes, as far as `length` bytes, in byte order), which is merge-scanned against the arrays of the existing levels for matches of `length` bytes, and
+becomes a level itself; levels of like size merge geometrically, so an entry is merged a logarithmic number of times.
+
+The first family orders by 64-bit hashes of anchor and context (128 bits tell strings apart), the second by bytes alone.
 
 Repeats within a batch of a map task are found before the shuffle, so a passage that a third of all
 documents hold sends one row for each batch to its key range.
 
 Defined cases: null text is empty; texts under `length` bytes lose nothing. Repeated rows of a doc_id are one
-document (the text that sorts last stands). Null doc_id: left out. Other columns are ignored.
+document (the text that sorts last stands). Null doc_id: left out, but kept as they are by drop_repeats. Other columns are ignored.
+Empty input: empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import unique_texts, written
+from ragmill.llm._spark import give_back, unique_texts, written
 
 ANCHOR = 32
 _SCAN = 1 << 18
@@ -72,6 +74,34 @@ class Family:
         return [np.concatenate(x) for x in zip(*self.levels, strict=True)] if self.levels else []
 
 
+class SuffixArrays:
+    """Levels of suffixes of `length` bytes in byte order, of geometrically growing size."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.levels = length, []
+
+    def add(self, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Index the suffixes of b at some starts, in order of position; true for each of which `length` bytes were known or came earlier in b."""
+        suffix = np.lib.stride_tricks.sliding_window_view(b, self.length)[start].view(f"S{self.length}").ravel()
+        known = np.ones(len(suffix), bool)
+        order = np.argsort(suffix, kind="stable")
+        array = suffix[order]
+        first = np.ones(len(array), bool)
+        first[1:] = array[1:] != array[:-1]
+        order, array = order[first], array[first]
+        fresh = np.ones(len(array), bool)
+        for level in self.levels:
+            at = np.minimum(np.searchsorted(level, array), len(level) - 1)
+            fresh &= level[at] != array
+        known[order[fresh]] = False
+        if fresh.any():
+            new = array[fresh]
+            while self.levels and len(self.levels[-1]) <= 2 * len(new):
+                new = np.sort(np.concatenate([self.levels.pop(), new]), kind="stable")
+            self.levels.append(new)
+        return known
+
+
 def runs(b: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchored runs of a piece that holds whole documents: document, first and last window start (in the piece), key, context."""
     n = len(b)
@@ -136,6 +166,7 @@ def _scan(length: int):
                     yield from _local(found)
                     found = []
             yield from _local(found)
+        give_back()
 
     return run
 
@@ -202,18 +233,15 @@ def _windows(length: int):
     """Of open runs, sorted by position: ranges of windows that came earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
+        family = SuffixArrays(length)
         for batch in batches:
-            doc, lo, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            doc, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             raw, offs = K.text_buffers(batch.column(3))
-            for i, j in K.row_groups(offs, 1 << 22):
+            for i, j in K.row_groups(offs, _SCAN):
                 b, size = raw[offs[i] : offs[j]], np.diff(offs[i : j + 1]) - length + 1
-                c, inv = K.prefix_sums(b), K.powers(len(b) + 1)[1]
                 owner = np.repeat(np.arange(j - i), size)
                 step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                start = (offs[i:j] - offs[i])[owner] + step
-                value = K.mix((c[start + length] - c[start]) * inv[start])
-                known = family.add(key[i:j][owner].view(U), value)
+                known = family.add(b, (offs[i:j] - offs[i])[owner] + step)
                 if not known.any():
                     continue
                 first = known.copy()
@@ -223,6 +251,7 @@ def _windows(length: int):
                 f, e = np.flatnonzero(first), np.flatnonzero(last)
                 base = lo[i:j][owner[f]]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i:j][owner[f]]), pa.array(base + step[f]), pa.array(base + step[e])], ["doc_id", "lo", "hi"])
+        give_back()
 
     return run
 
@@ -285,8 +314,12 @@ def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     new = kept.select("doc_id", "kept").mapInArrow(decode, "doc_id long, text string")
-    rest = docs.select(*(c for c in docs.columns if c != "text")).where("doc_id is not null").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rest = named.drop("text")
+    else:  # the row whose text stands
+        rest = named.groupBy("doc_id").agg(F.max_by(F.struct(*(c for c in docs.columns if c not in ("text", "doc_id"))), "text").alias("row")).select("doc_id", "row.*")
     out = rest.join(new, "doc_id")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))

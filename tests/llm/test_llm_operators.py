@@ -162,11 +162,25 @@ def test_suffix_dedup_parts_of_very_long_texts(spark, monkeypatch):
 
 def test_suffix_dedup_drops_text_and_follows_n_chars(spark):
     p = "".join(random.Random(5).choices("éàüöäß", k=80))
-    d = spark.createDataFrame([(1, p + "a", "x", 81), (2, "b" + p + "c", "x", 82)], "doc_id long, text string, kept string, n_chars long")
+    d = spark.createDataFrame([(1, p + "a", "x", 81), (2, "b" + p + "c", "x", 82), (2, "a", "other row", 1), (None, p, "no id", 80)], "doc_id long, text string, kept string, n_chars long")
     got = {r.doc_id: r for r in suffix_dedup.drop_repeats(d).collect()}
+    assert got[None].text == p and suffix_dedup.drop_repeats(d.limit(0)).count() == 0 and suffix_dedup.without_repeats(d.limit(0)).count() == 0
     assert got[1].text == p + "a" and got[2].text == "bc" and got[2].n_chars == 2 and got[2].kept == "x"
 
 
+def test_suffix_arrays_merge_levels_and_find_all():
+    r, family, seen = np.random.default_rng(2), suffix_dedup.SuffixArrays(5), set()
+    for _ in range(40):
+        b = r.integers(0, 3, 60).astype(np.uint8)  # zero bytes too
+        start = np.sort(r.choice(56, 30, replace=False))
+        want = []
+        for i in start:
+            want.append(bytes(b[i : i + 5]) in seen)
+            seen.add(bytes(b[i : i + 5]))
+        assert family.add(b, start).tolist() == want
+    assert len(family.levels) <= 8 and all((x[1:] > x[:-1]).all() for x in family.levels)
+
+
 def test_family_merges_levels_and_finds_all():
     r, family, seen = np.random.default_rng(1), suffix_dedup.Family(), set()
     for _ in range(60):
