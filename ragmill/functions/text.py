@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Units of weight and what they are divided by to give pounds (fixed values).
 POUND_DIVISORS = {"pounds": 1.0, "ounces": 16.0, "grams": 453.592, "milligrams": 453592.0, "kilograms": 0.453592, "hundredths pounds": 100.0}
 #: Details that say nothing about a product (fixed values).
-NOISE_KEYS = ["Batteries Included?", "Batteries Required?", "Best Sellers Rank", "Discontinued By Manufacturer", "Is Discontinued By Manufacturer"]
-#: A token of seven or more capitals and digits with at least one of each ahead on the line.
+NOISE_KEYS = ["Batteries Included?", "Batteries Required?", "Best Sellers Rank", "Item model number", "Part Number"]
+#: Fixed pattern: a token of seven or more capitals and digits with at least one of each ahead on the line.
 PART_NUMBER = r"\b(?=[A-Z0-9]{7,}\b)(?=.*[A-Z])(?=.*\d)[A-Z0-9]+\b"
 
 
@@ -36,7 +36,7 @@ def simplify(c: Column, most: int = 3000) -> Column:
 
 def scrub(c: Column, most: int = 4000) -> Column:
     """Part numbers deleted, stripped, cut."""
-    return F.substring(F.btrim(F.regexp_replace(c, PART_NUMBER, "")), 1, most)
+    return F.substring(F.btrim(F.regexp_replace(c, PART_NUMBER, ""), F.lit(" \t\n\r\x0b\x0c")), 1, most)
 
 
 def useful_details(details: Column) -> Column:
@@ -44,6 +44,14 @@ def useful_details(details: Column) -> Column:
     return F.map_filter(details, lambda k, _: ~k.isin(NOISE_KEYS))
 
 
+def product_text(title: Column, description: Column, features: Column, details: Column, most: int = 4000) -> Column:
+    """Title, description, features and useful details (a map, as JSON), a line each where there is any, without part numbers."""
+    useful = useful_details(details)
+    line = lambda c: F.when(c != "", F.concat(simplify(c), F.lit("\n")))
+    whole = [F.concat(F.coalesce(title, F.lit("")), F.lit("\n")), line(description), line(features), F.when(F.size(useful) > 0, F.concat(F.to_json(useful), F.lit("\n")))]
+    return scrub(F.concat_ws("", *whole), most)
+
+
 def full_text(title: Column, *parts: Column) -> Column:
     return F.concat_ws(" ", title, *parts)
 

@@ -47,11 +47,11 @@ def unscaled(guess, mean="log_mean", sd="log_sd"):
     return F.greatest(F.expm1(guess * F.col(sd) + F.col(mean)), F.lit(0.0))
 
 
-def trees(train: DataFrame, text: str, target: str, size: int = 200) -> dict:
+def trees(train: DataFrame, text: str, target: str, size: int = 2000) -> dict:
     """A boosted and a forest regressor over word counts."""
     stages = word_vectors(text, size)
     return {
-        "boosted": Pipeline(stages=[*stages, GBTRegressor(labelCol=target, predictionCol="guess", maxIter=5, maxDepth=3, seed=1)]).fit(train),
+        "boosted": Pipeline(stages=[*stages, GBTRegressor(labelCol=target, predictionCol="guess", maxIter=10, maxDepth=3, seed=1)]).fit(train),
         "forest": Pipeline(stages=[*stages, RandomForestRegressor(labelCol=target, predictionCol="guess", numTrees=10, maxDepth=4, seed=1)]).fit(train),
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragmill.sources.tables import scratch
@@ -125,6 +125,28 @@ def compacted(index: DataFrame) -> DataFrame:
     return index.where("status <> 'deleted'")
 
 
+def point(spark: SparkSession, path: str, version: int) -> None:
+    """Let the pointer name another live version; the history of pointers stays."""
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def pointed(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).agg(F.max_by("version", "at")).first()[0]
+
+
+def live(spark: SparkSession, root: str) -> DataFrame:
+    """The version of an index that its pointer names."""
+    return spark.read.parquet(f"{root}/v={pointed(spark, f'{root}/pointer')}")
+
+
+def incident(detected: DataFrame, after: DataFrame, restored: DataFrame, version: int) -> DataFrame:
+    """One row on record: violations found (JSON by check), the version gone back to, its active rows, tombstones dropped, violations left."""
+    found = detected.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value"))))).alias("detected"))  # a row for each check
+    state = restored.agg(F.count_if(F.col("status") == "active").alias("restored_active"), F.count_if(F.col("status") == "deleted").alias("tombstones_compacted"))
+    rest = after.agg(F.sum("value").alias("violations_left"))
+    return found.crossJoin(state).crossJoin(rest).withColumn("rolled_back_to", F.lit(version))  # one row each
+
+
 def snapshot_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys only in a, only in b, or with other content (compared by hash)."""
     digest = lambda df, n: df.select(key, F.sha2(F.to_json(F.struct(*(c for c in df.columns if c != key))), 256).alias(n))

@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 from ragmill.functions.text import normalize_quotes
 
+#: Names of months (fixed values).
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_LONG = rf"(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}}"
 #: Kinds of values in the order in which they are taken out of a text (fixed patterns).
-VALUE_KINDS = [("id", r"\b[A-Z]{2,5}-\d+\b"), ("iso_date", r"\b\d{4}-\d{2}-\d{2}\b"), ("number", r"\d+(?:\.\d+)?")]
+VALUE_KINDS = [
+    ("id", r"\b[A-Z]{2,5}-\d+\b"),
+    ("timestamp", rf"{_LONG} at \d{{2}}:\d{{2}} UTC"),
+    ("date", _LONG),
+    ("month", rf"(?:{'|'.join(MONTHS)}) \d{{4}}"),
+    ("period", r"\b(?:\d{4}-Q[1-4]|FY\d{4})\b"),
+    ("iso_date", r"\b\d{4}-\d{2}-\d{2}\b"),
+    ("code", r"\b[A-Za-z]+\d+\w*\b"),
+    ("number", r"(?<![\w.])\d[\d,]*(?:\.\d+)?"),
+]
 #: Instructions planted in texts (fixed pattern).
-INJECTION = r"(?i)ignore (all |any )?(previous|prior|above) instructions|disregard .{0,40}instructions|system prompt"
+INJECTION = r"(?i)ignore all previous instructions|disregard your restrictions|administrator mode"
 
 
 def quote_provenance(facts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,6 +53,23 @@ def long_date(c: Column) -> Column:
     return F.when(found != "", F.try_to_timestamp(found, F.lit("MMMM d, yyyy")).cast("date"))
 
 
+def score_of_five(c: Column) -> Column:
+    """The first score out of five, like 4.5/5."""
+    found = F.regexp_extract(c, r"(\d(?:\.\d)?)\s*/\s*5", 1)
+    return F.when(found != "", found.try_cast("double"))
+
+
+def tier(line: Column) -> Column:
+    """Struct (name, model, price, unit) of a price line like "- **Basic Plan:** Starting at $10 per month"; null for other lines."""
+    name = F.rtrim(F.regexp_extract(line, r"^\s*-\s*\*\*([^*]+?):?\*\*:?\s*(.*)$", 1))
+    rest = F.lower(F.regexp_extract(line, r"^\s*-\s*\*\*([^*]+?):?\*\*:?\s*(.*)$", 2))
+    custom, free = rest.contains("custom pricing"), rest.contains("no cost")
+    model = F.when(custom, "custom").when(free, "free").when(rest.contains("starting at"), "starting_at").otherwise("fixed")
+    price = F.when(custom, F.lit(None).cast("double")).when(free, F.lit(0.0)).otherwise(money(rest))
+    unit = F.when(~custom & ~free & rest.contains("per lead"), "per_lead").otherwise("per_month")
+    return F.when(name.rlike("Tier|Plan|Fee|Membership|Features|Pricing"), F.struct(name.alias("name"), model.alias("model"), price.alias("price"), unit.alias("unit")))
+
+
 def values(body: Column) -> Column:
     """Values of a text as array<struct<kind,value>>; each kind is looked for in what the kinds before it left."""
     rest, parts = body, []
@@ -51,10 +80,49 @@ def values(body: Column) -> Column:
     return F.concat(*parts)
 
 
+def _iso(value: Column, pattern: str, out: str) -> Column:
+    return F.date_format(F.try_to_timestamp(value, F.lit(pattern)), out)
+
+
+def standard(kind: Column, value: Column) -> Column:
+    """A value as records state it: dates as yyyy-MM-dd, timestamps with hours and minutes, months as yyyy-MM, numbers without commas."""
+    number = F.translate(value, ",", "").try_cast("double").cast("string")
+    return (
+        F.when(kind == "timestamp", F.concat_ws(" ", _iso(F.regexp_extract(value, f"^({_LONG})", 1), "MMMM d, yyyy", "yyyy-MM-dd"), F.regexp_extract(value, r"(\d{2}:\d{2}) UTC$", 1)))
+        .when(kind == "date", _iso(value, "MMMM d, yyyy", "yyyy-MM-dd")).when(kind == "month", _iso(value, "MMMM yyyy", "yyyy-MM"))
+        .when(kind == "number", number).otherwise(value)
+    )
+
+
+def supported(value: Column) -> Column:
+    """What a record's value lets a text state: array<struct<kind,value>>; a date lets its month be stated, too, a timestamp its date."""
+    rest = F.regexp_replace(value, VALUE_KINDS[0][1], " ")
+    stamps = F.regexp_extract_all(rest, F.lit(r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}):\d{2}Z"), F.lit(1))
+    dates = F.array_union(F.transform(stamps, lambda x: F.substring(x, 1, 10)), F.regexp_extract_all(rest, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)))
+    plain = F.regexp_replace(F.regexp_replace(rest, r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z", " "), r"\b\d{4}-\d{2}-\d{2}\b", " ")
+    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1)), lambda x: F.translate(x, ",", "").try_cast("double").cast("string"))
+    told = {
+        "id": F.regexp_extract_all(value, F.lit(f"({VALUE_KINDS[0][1]})"), F.lit(1)), "timestamp": F.transform(stamps, lambda x: F.replace(x, F.lit("T"), F.lit(" "))), "date": dates, "iso_date": dates,
+        "month": F.transform(dates, lambda x: F.substring(x, 1, 7)), "period": F.array(value), "number": numbers,
+    }
+
+    def marked(kind: str, items: Column) -> Column:
+        return F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("standard")))
+
+    return F.concat(*(marked(k, v) for k, v in told.items()))
+
+
 def unsupported(texts: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
-    """(key, kind, value) of values in texts that are among none of the key's allowed values."""
-    v = texts.select(key, F.inline(values(F.col("body"))))
-    return v.join(allowed.select(key, "value").distinct(), [key, "value"], "left_anti")
+    """(key, kind, value) of values in texts that none of the key's records (key, value) supports.
+
+    Kinds but codes meet by equality of their standard form; a code is supported by a record of its key that holds it, in any case.
+    """
+    v = texts.select(key, F.inline(values(F.col("body")))).withColumn("standard", standard(F.col("kind"), F.col("value")))
+    told = allowed.select(key, F.inline(supported(F.col("value")))).distinct()
+    others = v.where("kind <> 'code'").join(told, [key, "kind", "standard"], "left_anti")
+    held = allowed.select(F.col(key).alias("_key"), F.lower("value").alias("_held")).distinct()
+    codes = v.where("kind = 'code'").join(held, (F.col(key) == F.col("_key")) & F.col("_held").contains(F.lower("value")), "left_anti")
+    return others.unionByName(codes).select(key, "kind", "value")
 
 
 def unstated(facts: DataFrame, texts: DataFrame, key: str) -> DataFrame:

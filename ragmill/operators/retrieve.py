@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import l2_normalize
+from ragmill.sources.tables import small_side
 
-QUERY_BLOCK = 4096
+SHARD_ROWS, QUERY_BLOCK = 16384, 4096
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
@@ -29,7 +28,7 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", epsilon: float = 0.25) -
     t = docs.select(F.col(id_col).alias("doc_id"), tokens("text").alias("w"))
     postings = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     totals = t.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = t.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))  # summed in each task before the shuffle
     raw = df.crossJoin(F.broadcast(totals)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of totals
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")))
@@ -39,35 +38,38 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", epsilon: float = 0.25) -
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, rank, doc_id, score of the documents that share a term with the query; repeated query terms count again.
 
-    Postings are cut to the terms of queries before anything else is joined; a term's postings are joined by term.
+    The terms of queries, with their statistics, are worked out once. Where they are few enough to be broadcast, words of documents are cut to them
+    as they are read, so only counts of query terms are shuffled, by document; a frequent term is no hot key.
     """
-    postings, terms = bm25_index(docs)
+    _, terms = bm25_index(docs)
     q = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = q.join(terms, "term")
-    hit = postings.join(wanted.select("term").distinct(), "term", "left_semi").join(wanted, "term")
+    wanted = small_side(q.join(terms, "term"), "query-terms")
+    t = docs.select("doc_id", tokens("text").alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    used = small_side(wanted.select("term").distinct(), "terms")
+    postings = t.join(used, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+    scored = postings.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
     """query_id, rank, doc_id, score (cosine, rounded to 6) over all vectors; ties by id.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK: each block is one bounded broadcast, each task keeps k rows for each query and
-    only those are shuffled. vectors and queries are (id, vector).
+    Shards of vectors meet blocks of queries, both of bounded size, as units of work on the executors; each unit gives k rows for each query and only
+    those are shuffled. vectors and queries are (id, vector).
     """
-    spark = vectors.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
-    for i in range(blocks):
-        rows = dealt.where(F.col("block") == i).select("id", "vector").toArrow()
-        found = _scan(spark, vectors, rows, k, skip_self) if rows.num_rows else None
-        out = found if out is None else out if found is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    return ranked(out, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
+    n, m = vectors.count(), queries.count()
+    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_BLOCK))
+    shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    rows = vectors.select("id", "vector", shard.alias("shard"), every(blocks).alias("block"))
+    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("asked"), block.alias("block"), every(shards).alias("shard"))
+
+    def unit(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        return _best_of(rows, asked, k, skip_self)
+
+    found = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(unit, "query_id long, doc_id long, score double")
+    return ranked(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -81,26 +83,24 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return _unit(np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1))
 
 
-def _scan(spark, vectors: DataFrame, queries: pa.Table, k: int, skip_self: bool) -> DataFrame:
-    block = spark.sparkContext.broadcast((queries.column("id").to_numpy(), _matrix(queries.column("vector"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = block.value
-        best = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            score = np.round(q @ _matrix(batch.column(1)).T, 6) + 0.0
+def _best_of(rows: pa.Table, asked: pa.Table, k: int, skip_self: bool) -> pa.Table:
+    """The k best rows for each query, a few queries at a time."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    if rows.num_rows and asked.num_rows:
+        own, x = rows.column("id").to_numpy(), _matrix(rows.column("vector"))
+        ids, q = asked.column("query").to_numpy(), _matrix(asked.column("asked"))
+        for at in range(0, len(ids), 256):
+            score = np.round(q[at : at + 256] @ x.T, 6) + 0.0
             if skip_self:
-                score[ids[:, None] == own[None, :]] = -np.inf
-            s, d = np.concatenate([best[0], score], axis=1), np.concatenate([best[1], np.broadcast_to(own, score.shape)], axis=1)
-            top = np.lexsort((d, -s), axis=1)[:, :k]
-            best = np.take_along_axis(s, top, 1), np.take_along_axis(d, top, 1)
-        keep = np.isfinite(best[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], keep.shape)[keep]), pa.array(best[1][keep]), pa.array(best[0][keep])], ["query_id", "doc_id", "score"])
-
-    return vectors.select("id", "vector").mapInArrow(run, "query_id long, doc_id long, score double")
+                score[ids[at : at + 256, None] == own[None, :]] = -np.inf
+            kth = np.partition(score, -k, axis=1)[:, -k] if k < len(own) else np.full(len(score), -np.inf)
+            i, j = np.nonzero((score >= kth[:, None]) & np.isfinite(score))  # with all that tie at the kth place
+            order = np.lexsort((own[j], -score[i, j], i))
+            i, j = i[order], j[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            for col, v in zip(out, (ids[at + i[keep]], own[j[keep]], score[i[keep], j[keep]]), strict=True):
+                col.append(v)
+    return pa.table(dict(zip(("query_id", "doc_id", "score"), map(np.concatenate, out), strict=True)))
 
 
 def ivf_build(vectors: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -25,8 +25,14 @@ def simplify_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.simplify(F.col("text")).alias("simple"))
 
 
+def product_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as products: a title, the text as description, features with a part number, and details of which two say nothing."""
+    details = F.create_map(F.lit("Color"), F.col("lang"), F.lit("Item model number"), F.concat(F.lit("M"), F.col("doc_id").cast("string")), F.lit("Part Number"), F.lit("X1"))
+    return table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("description"), F.concat(F.lit("fits AB12345 and "), F.col("lang")).alias("features"), details.alias("details"))
+
+
 def scrub_text(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", X.scrub(F.concat(F.col("text"), F.lit(" AB12345 "))).alias("scrubbed"))
+    d = product_parts(spark, sf).select("doc_id", X.product_text(F.col("title"), F.col("description"), F.col("features"), F.col("details")).alias("scrubbed"))
     return d.where(F.length("scrubbed") >= 600).select("doc_id", F.length("scrubbed").alias("n_chars"), F.md5("scrubbed").alias("digest"))
 
 
@@ -71,24 +77,10 @@ def unmapped_filter_values(spark: SparkSession, sf: str) -> DataFrame:
     return C.unmapped_values(table(spark, sf, "documents"), "lang", spark.createDataFrame(_ALIASES, "alias string, canonical string"))
 
 
-def dedupe_keep_first(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), "text", C.seeded("doc_id", "s1").alias("o"))
-    once = C.keep_first(d, F.col("title"), F.col("o"), "doc_id")
-    return C.keep_first(once, F.col("text"), F.col("o"), "doc_id").select("doc_id")
-
-
 def duplicate_audit(spark: SparkSession, sf: str) -> DataFrame:
     return C.duplicate_sizes(table(spark, sf, "documents"), F.col("text"))
 
 
-def duplicate_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return C.duplicate_spread(table(spark, sf, "documents"), F.substring("text", 1, 20), F.col("n_chars").cast("double"))
-
-
-def conflict_aware_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return C.conflict_aware(table(spark, sf, "documents"), F.substring("text", 1, 20), F.col("n_chars").cast("double"), "doc_id")
-
-
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a score of 1 or 2 by their quality label, which copies of a text may not share; null where there is no label."""
     score = (F.col("quality") + 1).cast("double").alias("score")
@@ -147,8 +139,8 @@ def shortest_texts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "b1_parse_price": parse_price, "b2_item_weight_pounds": item_weight, "b3_simplify_text": simplify_text, "b4_scrub_text": scrub_text, "b5_full_text": full_text,
     "b6_filter_funnel": filter_funnel, "b7_token_stats": token_stats, "b8_token_cap_table": token_cap_table, "b9_truncate_tokens": truncate_tokens, "b10_make_prompts": make_prompts,
-    "b11_normalize_filter_values": normalize_filter_values, "b11_unmapped_filter_values": unmapped_filter_values, "c1_dedupe_keep_first": dedupe_keep_first,
-    "c2_duplicate_audit": duplicate_audit, "c3_duplicate_spread": duplicate_spread, "c4_conflict_aware_dedupe": conflict_aware_dedupe, "c5_weighted_sample": weighted_sample,
+    "b11_normalize_filter_values": normalize_filter_values, "b11_unmapped_filter_values": unmapped_filter_values, "c1_dedupe_keep_first": dedupe_whole_text,
+    "c2_duplicate_audit": duplicate_audit, "c3_duplicate_spread": spread_by_whole_text, "c4_conflict_aware_dedupe": conflicts_by_whole_text, "c5_weighted_sample": weighted_sample,
     "c6_split_by_rank": split_by_rank, "c7_histogram_length": histogram_length, "c7_histogram_price": histogram_price, "c8_profile_numeric": profile_numeric,
     "c9_category_counts": category_counts, "c10_top_n": top_n, "c10_shortest_texts": shortest_texts,
     "c1_dedupe_whole_text": dedupe_whole_text, "c3_spread_by_whole_text": spread_by_whole_text, "c4_conflicts_by_whole_text": conflicts_by_whole_text,
@@ -176,12 +168,7 @@ ORACLES = {
         select p_partkey, head || cast(cast(v as bigint) as varchar) || '.00' prompt, head test_prompt from p""",
     "b11_normalize_filter_values": "select doc_id, upper(lang) lang, case lang when 'en' then 'English' when 'fr' then 'French' when 'de' then 'German' else upper(lang) end normalized from documents",
     "b11_unmapped_filter_values": "select lang, count(*) n_rows from documents where lang not in ('en', 'fr', 'de') group by lang",
-    "c1_dedupe_keep_first": """with d as (select doc_id, substr(text, 1, 60) title, text, md5('s1' || cast(doc_id as varchar)) o from documents),
-        a as (select * from d qualify row_number() over (partition by title order by o, doc_id) = 1) select doc_id from a qualify row_number() over (partition by text order by o, doc_id) = 1""",
     "c2_duplicate_audit": "select group_size, count(*) n_groups, count(*) * (group_size - 1) extra_copies from (select count(*) group_size from documents group by text) group by group_size",
-    "c3_duplicate_spread": """select case when hi = lo then 'equal' when lo > 0 and hi / lo <= 1.2 then 'within_20' else 'above_20' end spread, count(*) n_groups
-        from (select max(n_chars)::double hi, min(n_chars)::double lo from documents group by substr(text, 1, 20) having count(*) > 1) group by all""",
-    "c4_conflict_aware_dedupe": "select min(doc_id) doc_id, round(avg(n_chars::double), 4) mean_value, count(*) n_rows from documents group by substr(text, 1, 20) having max(n_chars)::double <= min(n_chars)::double * 1.2::double",
     "c1_dedupe_whole_text": """with d as (select doc_id, concat_ws(chr(10), source, text) k, text, md5('s1' || cast(doc_id as varchar)) o from documents),
         a as (select * from d qualify row_number() over (partition by k order by o, doc_id) = 1) select doc_id from a qualify row_number() over (partition by text order by o, doc_id) = 1""",
     "c3_spread_by_whole_text": f"""with {_JUDGED} select case when hi is null then 'no value' when hi = lo then 'equal' when lo > 0 and hi / lo <= 1.2 then 'within_20' else 'above_20' end spread, count(*) n_groups
@@ -202,3 +189,5 @@ ORACLES = {
     "c10_top_n": "select p_partkey, p_name, p_retailprice from part order by p_retailprice desc, p_partkey limit 10",
     "c10_shortest_texts": "select doc_id, cast(length(text) as integer) n from documents order by n, doc_id limit 10",
 }
+for _old, _new in (("c1_dedupe_keep_first", "c1_dedupe_whole_text"), ("c3_duplicate_spread", "c3_spread_by_whole_text"), ("c4_conflict_aware_dedupe", "c4_conflicts_by_whole_text")):
+    ORACLES[_old] = ORACLES[_new]

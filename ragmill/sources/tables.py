@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS = {
     "corpus": """SELECT doc_id, text, lang, source AS doc_type, concat('T-', CAST(doc_id % 5 AS STRING)) AS tenant_id,
@@ -65,5 +66,26 @@ def with_views(sql: str) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Most rows of a side that is broadcast; sides hold a few short columns, so this is some 20 MB.
+BROADCAST_ROWS = 200_000
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, however often it is used."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """A side of a join, kept, and broadcast if it has BROADCAST_ROWS rows at most; beyond, the join shuffles."""
+    side = kept(df, name)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side

@@ -45,8 +45,10 @@ def apply_changes(events: DataFrame, target: str, late: str = "1 day"):
     return once.writeStream.outputMode("append").foreachBatch(fold)
 
 
-def state(spark: SparkSession, target: str, version: int) -> DataFrame:
-    """Live rows of a version of the state."""
+def state(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
+    """Live rows of a version of the state, by default the latest."""
+    if version is None:
+        version = spark.read.parquet(target).select(F.max("v")).first()[0]
     return replay(spark.read.parquet(f"{target}/v={version}"))
 
 
