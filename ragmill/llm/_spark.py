@@ -53,15 +53,16 @@ def slim_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
-#: Rows of text in a batch between the JVM and Python: whole texts may be long, so fewer than Spark's default.
-BATCH_ROWS = 2000
+#: Rows and bytes of text in a batch between the JVM and Python: whole texts may be long, so fewer than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df; from now on its session hands texts to Python in batches of BATCH_ROWS rows at most."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """df; from now on its session hands texts to Python in batches of BATCH_ROWS rows and about BATCH_BYTES bytes at most."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
-from ragmill.llm._spark import fold_slices, in_small_batches, slim_side, written
+from ragmill.llm._spark import fold_slices, give_back, in_small_batches, slim_side, written
 
 U = K.U
 #: Masks over eight words: 1 is looked at, 0 is ignored.
@@ -141,6 +141,7 @@ def _stretches(docs: DataFrame, seeds: DataFrame, span: int, short: tuple[int, .
                         col.append(x)
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "start", "words", "hashes", "places"])
+        give_back()
 
     return _rows(docs, "doc_id").mapInArrow(run, "doc_id long, start long, words binary, hashes array<long>, places array<long>")
 

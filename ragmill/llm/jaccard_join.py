@@ -32,7 +32,7 @@ from ragmill.llm._graph import components
 from ragmill.llm._spark import fold_slices, give_back, slim_side, sorted_groups, unique_texts, written
 
 #: Documents and shingles of one block of a tile.
-BLOCK_DOCS, BLOCK_SHINGLES = 8192, 1 << 22
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
 #: The sketch of shingle frequencies, and from which share of documents on a shingle is frequent.
 SKETCH_BITS, SLICES, FREQUENT = 19, 64, 0.002
 

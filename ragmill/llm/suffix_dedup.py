@@ -205,6 +205,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, int(shared.sum()), 50_000):
             at = np.flatnonzero(shared)[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (doc, lo, hi, key.view(np.int64))), pa.array(np.ones(len(at), bool))], names)
+    give_back()
 
 
 def _contexts(length: int):
