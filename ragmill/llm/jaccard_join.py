@@ -32,7 +32,7 @@ from ragmill.llm._graph import components
 from ragmill.llm._spark import fold_slices, give_back, slim_side, sorted_groups, unique_texts, written
 
 #: Documents and shingles of one block of a tile.
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
+BLOCK_DOCS, BLOCK_SHINGLES = 8192, 1 << 22
 #: The sketch of shingle frequencies, and from which share of documents on a shingle is frequent.
 SKETCH_BITS, SLICES, FREQUENT = 19, 64, 0.002
 
@@ -238,6 +238,7 @@ def link_block(sets: list[np.ndarray], num: int, den: int, guests: int = 0) -> n
 
 def _tiles(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """Members (doc_id, comp, scheme, ...) with the sorted sets of their documents."""
+    members = members.drop("n_shingles")
     joined = docs.join(slim_side(members), "doc_id")
     others = [c for c in members.columns if c != "doc_id"]
 
@@ -260,7 +261,9 @@ def _block_edges(tiles: DataFrame, num: int, den: int, guests: bool) -> DataFram
         for t in sorted_groups(batches, keys):
             ids, pivot, blocks = (t.column(c).to_numpy() for c in ("doc_id", "pivot", "blocks"))
             guest = t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
-            sets = [np.frombuffer(x.as_py(), K.U) for x in t.column("shingles")]
+            raw, at = K.text_buffers(t.column("shingles"))
+            whole = raw[at[0] : at[-1]].view(K.U)
+            sets = np.split(whole, (at[1:-1] - at[0]) // 8)
             order = np.lexsort((ids, guest))
             order = order[np.concatenate([[True], np.diff(ids[order]) != 0])] if not guests else order
             ids, sets = ids[order], [sets[i] for i in order]
@@ -301,7 +304,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     stats = slim.groupBy("comp", "scheme").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.min("doc_id").alias("pivot")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     stats = slim_side(written(stats.select("comp", "scheme", "pivot", blocks.alias("blocks")), "stats"))
-    slim = written(slim.join(stats, ["comp", "scheme"]).select("doc_id", "comp", "scheme", "pivot", "blocks"), "tiles")
+    slim = written(slim.join(stats, ["comp", "scheme"]).select("doc_id", "n_shingles", "comp", "scheme", "pivot", "blocks"), "tiles")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
     members = slim.withColumn("block", F.explode(F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))).withColumn("guest", F.lit(False))
     found = written(_block_edges(_tiles(docs, members, n), num, den, False), "links")
@@ -309,7 +312,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     loose = found.where("loose").select(F.col("b").alias("doc_id"), "comp", "scheme").distinct()
     if not loose.isEmpty():
         odd = written(loose.join(slim, ["doc_id", "comp", "scheme"]), "loose")
-        count = slim_side(written(odd.groupBy("comp", "scheme").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.lit(1)).cast("int").alias("fblocks")), "loose-blocks"))
+        fblocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        count = slim_side(written(odd.groupBy("comp", "scheme").agg(fblocks.alias("fblocks")), "loose-blocks"))
         hosts = slim.join(count, ["comp", "scheme"]).withColumn("block", own).withColumn("fblock", F.explode(F.sequence(F.lit(0), F.col("fblocks") - 1))).withColumn("guest", F.lit(False))
         guests = odd.join(count, ["comp", "scheme"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("fblock", F.pmod(F.xxhash64("doc_id"), F.col("fblocks").cast("long")).cast("int")).withColumn("guest", F.lit(True))
         edges = edges.unionByName(_block_edges(_tiles(docs, hosts.unionByName(guests), n), num, den, True).select("a", "b"))
