@@ -34,6 +34,8 @@ from ragmill.llm import _kernels as K
 from ragmill.llm._spark import give_back, unique_texts, written
 
 ANCHOR = 32
+#: Runs that a key range of the second family gets on average: its levels hold some 30 suffixes for each.
+RANGE_RUNS = 4096
 _SCAN = 1 << 18
 U = K.U
 
@@ -226,6 +228,7 @@ def _contexts(length: int):
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["doc_id", "lo", "key", "bytes"])
                     out = [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["doc_id", "lo", "key", "bytes"])
+        give_back()
 
     return run
 
@@ -264,7 +267,9 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     found = written(rows.mapInArrow(_index, _OUT), "runs")
     opened = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("items"))
     contexts = texts.join(opened, "doc_id").mapInArrow(_contexts(length), "doc_id long, lo long, key long, bytes binary")
-    parts = contexts.repartition("key").sortWithinPartitions("doc_id", "lo").mapInArrow(_windows(length), "doc_id long, lo long, hi long")
+    conf = docs.sparkSession.conf
+    ranges = max(int(conf.get("spark.sql.shuffle.partitions")), -(-found.where("open").count() // RANGE_RUNS))
+    parts = contexts.repartition(ranges, "key").sortWithinPartitions("doc_id", "lo").mapInArrow(_windows(length), "doc_id long, lo long, hi long")
     return found.where("not open").select("doc_id", "lo", "hi").unionByName(parts)
 
 
@@ -298,6 +303,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 for col, v in zip(out, (len(text), len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        give_back()
 
     return docs.select("doc_id", "text").join(items, "doc_id", "left").mapInArrow(run, schema)
 
