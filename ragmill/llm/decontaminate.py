@@ -4,7 +4,7 @@ Method: a seed is a fixed mask over eight words; its hash ignores the words at t
 substituted word there changes nothing. All positions of items and documents are hashed under every mask. Equal hashes
 fix an alignment of an item with a place in a document; there the aligned words are compared one by one, and the item is
 found if `num / den` of the words of some window of `span` words of it (of the whole item, if shorter) are equal. By enumeration the
-masks hit every such window of 15 words or more but 1 in 300 patterns of substitutions at most, 0.93 of those of 2 words in 10, and any
+masks hit over 0.99 of such patterns of substitutions of 3 words in 15 and 4 in 20, 0.93 of those of 2 in 10, and any
 single substitution from 8 words on. Items of under eight words have a seed of their own, their whole sequence, and are found where they
 occur word for word.
 
