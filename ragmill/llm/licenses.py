@@ -2,18 +2,21 @@
 
 Method, all in DataFrame functions: a text's words give shingles (five words; a notice of fewer words is one shingle of
 its own length). Notices of like size form a class with windows of twice that size that overlap by half, so a notice lies
-whole in some window. Each window and notice has `bands` MinHash values of one row each, and equal values
+whole in some window. Of a window the shingles that its class has in some notice count; others can't add to a match. Each
+window and notice has `bands` MinHash values of one row each, and equal values
 retrieve the notice. With four fifths of a notice of s shingles in a window of 2w (s <= w < 2s) the Jaccard similarity is at
-least 0.19, so `bands` = 64 miss such a window with a probability under 2e-6; a whole notice, similarity 1/4 or more, under 2e-8.
+least 0.19, so `bands` = 64 miss such a window with a probability under 2e-6; a whole notice, similarity 1/4 or more, under 2e-8
+(the shingles left out only raise the similarity).
 A retrieved notice matches where a window holds `num / den` of its distinct shingles.
 
-Only windows with a shingle of some notice can share a MinHash value, so only those are formed: a text first has
-to hold one of a set of words that has a word of every shingle of the notices. No text is cut short.
+Notices are a table (license_id, text) of any size, whole licences among them. Their shingles and bands are tables too, which
+join by value: broadcast up to a number of rows, shuffled beyond. A window is gathered from at most its own number of shingles, so
+no group grows with a text. A text first has to hold one of a set of words that has a word of every shingle of the notices, where
+that set is small enough for a literal; this spares work and changes no row. No text is cut short.
 
-Notices are a table (license_id, text) of bounded size; their shingles travel as literals, their bands join by value.
-
-Defined cases: null or empty texts match nothing; notices without words are never found. Rows that repeat a doc_id are taken
-together: each (doc_id, license_id) comes once, with its best window. A null doc_id groups like a value. Other columns are ignored.
+Defined cases: null or empty texts match nothing; notices without words or without an id are never found. Each (doc_id, license_id) comes once, with
+its best window, also where rows repeat a doc_id (a window is of one text) or notices repeat an id (the greater share stands, then the greater
+number matched). A null doc_id groups like a value. Other columns are ignored. No documents or no notices: empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragmill.llm._spark import slim_side, written
+
 #: Notices looked for by default (fixed values).
 NOTICES = [
     ("all-rights-reserved", "All rights reserved."),
@@ -29,7 +34,8 @@ NOTICES = [
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("mit", "Released under the MIT License."),
 ]
-MOST_NOTICES = 2000
+#: Most words of the literal by which texts are chosen; beyond it all texts are looked at.
+MOST_WORDS = 2000
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -56,41 +62,41 @@ def bands(s: Column, count: int) -> Column:
 
 
 def prepared(templates: DataFrame, bands_: int) -> DataFrame:
-    """license_id, n, half (window step), s (distinct shingles) and bands of each notice."""
-    t = templates.where("license_id is not null").withColumn("w", words(F.col("text"))).where(F.size("w") > 0)
-    t = t.withColumn("n", F.least(F.size("w"), F.lit(5))).withColumn("s", F.array_distinct(shingles(F.col("w"), F.col("n"))))
+    """license_id, notice (a key for each text), n, half (window step), total, s (distinct shingles), telling (the longest word of each) and bands."""
+    t = templates.where("license_id is not null").select("license_id", once(words(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    t = t.distinct().withColumn("notice", F.xxhash64("license_id", "w")).withColumn("n", F.least(F.size("w"), F.lit(5)))
+    t = t.withColumn("s", once(F.array_distinct(shingles(F.col("w"), F.col("n")))))
     half = F.pow(F.lit(2), F.ceil(F.log2(F.size("w") - F.col("n") + F.lit(1)))).cast("int")
-    return t.withColumn("half", half).select("license_id", "n", "half", "s", bands(F.col("s"), bands_).alias("bands"))
+    spans = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_max(F.transform(F.slice("w", i, F.col("n")), lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"])
+    return t.select("license_id", "notice", "n", half.alias("half"), F.size("s").alias("total"), "s", F.array_distinct(spans).alias("telling"), bands(F.col("s"), bands_).alias("bands"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, bands_: int = 64, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, license_id, matched, total: the best window of each notice found in each document."""
-    known = prepared(templates, bands_)
-    rows = known.limit(MOST_NOTICES + 1).collect()  # bounded: a table of notices
-    if len(rows) > MOST_NOTICES:
-        raise ValueError(f"more than {MOST_NOTICES} notices; scan them in parts")
-    texts = docs.select(F.col("doc_id").alias("doc_id"), once(words(F.col("text"))).alias("w"))
-    if not rows:
+    known = written(prepared(templates, bands_), "notices")
+    texts = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("row"), once(words(F.col("text"))).alias("w"))
+    sizes = sorted(r.n for r in known.select("n").distinct().collect())  # five at most
+    if not sizes:
         return texts.select("doc_id", F.lit("").alias("license_id"), F.lit(0).alias("matched"), F.lit(0).alias("total")).limit(0)
-    longest = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_max(F.transform(F.slice(F.col("w"), i, F.col("n")), lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"])
-    split = templates.where("license_id is not null").withColumn("w", words(F.col("text"))).where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(5)))
-    keys = sorted({r[0] for r in split.select(F.explode(longest)).distinct().collect()})
-    near = texts.where(F.arrays_overlap("w", F.array(*map(F.lit, keys))))
-
-    wanted = F.array(*(F.lit(x) for x in sorted({x for r in rows for x in r.s})))
-    sizes = F.array(*(F.struct(F.lit(n).alias("n"), F.array(*(F.lit(h) for h in sorted({r.half for r in rows if r.n == n}))).alias("halves")) for n in sorted({r.n for r in rows})))
-    hashed = near.select("doc_id", "w", F.inline(sizes)).select("doc_id", "n", "halves", once(shingles(F.col("w"), F.col("n"))).alias("all")).where(F.arrays_overlap("all", wanted))
-    hits = F.filter(F.transform("all", lambda x, i: F.when(F.array_contains(wanted, x), i)), lambda i: i.isNotNull())
-    opened = hashed.select("doc_id", "n", "halves", "all", once(hits).alias("hits")).withColumn("half", F.explode("halves"))
-    window = lambda i: F.floor(i / F.col("half"))
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(window(i), F.greatest(window(i) - 1, F.lit(0).cast("bigint"))))))
-    cut = opened.withColumn("k", F.explode(starts))
-    windows = cut.select("doc_id", "n", "half", "k", once(F.array_distinct(F.slice("all", (F.col("k") * F.col("half") + 1).cast("int"), F.col("half") * 2))).alias("win"))
-    values = known.select("license_id", "n", "half", F.size("s").alias("total"), "s", F.posexplode("bands").alias("band", "value"))
-    looked = windows.select("doc_id", "n", "half", "win", F.posexplode(bands(F.col("win"), bands_)).alias("band", "value"))
-    matched = F.size(F.array_intersect("win", "s"))
-    found = looked.join(values, ["n", "half", "band", "value"]).select("doc_id", "license_id", matched.alias("matched"), "total").where(F.col("matched") * den >= F.col("total") * num)
-    return found.groupBy("doc_id", "license_id").agg(F.max("matched").alias("matched"), F.first("total").alias("total"))
+    keys = sorted(r.x for r in known.select(F.explode("telling").alias("x")).distinct().limit(MOST_WORDS + 1).collect())
+    if len(keys) <= MOST_WORDS:
+        texts = texts.where(F.arrays_overlap("w", F.array(*map(F.lit, keys))))
+
+    parts = written(known.select("license_id", "notice", "n", "half", "total", F.explode("s").alias("shingle")), "notice-shingles")
+    marks = written(parts.select("n", "half", "shingle").distinct(), "notice-marks")
+    values = written(known.select("notice", "n", "half", F.posexplode("bands").alias("band", "value")), "notice-bands")
+    placed = texts.withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).select("doc_id", "row", "n", F.posexplode(shingles(F.col("w"), F.col("n"))).alias("at", "shingle"))
+    k = F.floor(F.col("at") / F.col("half"))
+    hits = placed.join(slim_side(marks), ["n", "shingle"]).withColumn("k", F.explode(F.when(k > 0, F.array(k, k - 1)).otherwise(F.array(k))))
+    window = ["doc_id", "row", "n", "half", "k"]
+    windows = hits.groupBy(*window).agg(F.collect_set("shingle").alias("win"))
+    # what follows keeps the partitioning by window
+    looked = windows.select(*window, "win", F.posexplode(bands(F.col("win"), bands_)).alias("band", "value"))
+    retrieved = looked.join(slim_side(values), ["n", "half", "band", "value"]).select(*window, "win", "notice").distinct()
+    held = retrieved.select(*window, "notice", F.explode("win").alias("shingle")).join(slim_side(parts.drop("n", "half")), ["notice", "shingle"])
+    counted = held.groupBy(*window, "notice", "license_id", "total").agg(F.count("*").cast("int").alias("matched")).where(F.col("matched") * den >= F.col("total") * num)
+    best = F.max(F.struct((F.col("matched") / F.col("total")).alias("share"), "matched", "total"))
+    return counted.groupBy("doc_id", "license_id").agg(best.alias("best")).select("doc_id", "license_id", "best.matched", "best.total")
 
 
 ORACLE = """

@@ -429,3 +429,46 @@ def test_licenses(spark):
     got = sorted((r.doc_id, r.license_id, r.matched, r.total) for r in licenses.scan(docs_of(spark, d), licenses.notices(spark)).collect())
     assert got == [(1, "gpl-3.0", 8, 8), (6, "all-rights-reserved", 1, 1), (6, "mit", 1, 1), (8, "gpl-3.0", 7, 8)]
     assert licenses.scan(docs_of(spark, []), licenses.notices(spark)).count() == 0 and licenses.scan(docs_of(spark, d), licenses.notices(spark).limit(0)).count() == 0
+
+
+def test_licenses_are_a_table_of_whole_texts(spark, monkeypatch):
+    """Long notices, repeated ids and texts, clashing columns and very long texts, against windows formed one by one."""
+    rng = random.Random(7)
+    vocabulary = words(rng, 60)
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    known = [(f"l{i}", text(n)) for i, n in enumerate([1, 3, 5, 9, 30, 80, 300])] + [("l4", text(20)), ("none", "  "), (None, text(9))]
+    rows = [(i, f"{text(rng.randrange(40))} {known[i % 8][1]} {text(rng.randrange(40))}") for i in range(24)]
+    rows += [(3, known[5][1][: len(known[5][1]) // 2]), (3, known[5][1][len(known[5][1]) // 2 :]), (None, known[5][1]), (90, text(40_000) + " " + known[6][1]), (91, None), (0, rows[0][1])]
+    for i in range(8):  # a few words replaced
+        w = known[6][1].split()
+        for j in rng.sample(range(300), 6 * i):
+            w[j] = "other"
+        rows.append((50 + i, " ".join(w)))
+
+    def cut(t):
+        return [w for w in re.split("[^a-z0-9]+", (t or "").lower()) if w]
+
+    def pieces(w, n):
+        return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+    want = {}
+    for doc, t in rows:
+        for name, notice in known:
+            if name is None or not cut(notice):
+                continue
+            n = min(5, len(cut(notice)))
+            s, half = pieces(cut(notice), n), 1
+            while half < len(s):
+                half *= 2
+            p = pieces(cut(t), n)
+            for k in range(0, len(p), half):
+                m = len(set(p[k : k + 2 * half]) & set(s))
+                if 100 * m >= 80 * len(set(s)):
+                    want[doc, name] = max(want.get((doc, name), (0, 0, 0)), (m / len(set(s)), m, len(set(s))))
+    docs = docs_of(spark, rows).withColumns({c: F.lit("x") for c in ("license_id", "n", "w", "half", "shingle")})
+    templates = spark.createDataFrame(known, "license_id string, text string").withColumn("doc_id", F.lit(1))
+    assert len(want) > 40
+    for most in (2000, 3):  # with and without a choice of texts by words
+        monkeypatch.setattr(licenses, "MOST_WORDS", most)
+        got = licenses.scan(docs, templates).collect()
+        assert {(r.doc_id, r.license_id): (r.matched, r.total) for r in got} == {k: v[1:] for k, v in want.items()} and len(got) == len(want)
