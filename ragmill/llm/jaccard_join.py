@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
 from ragmill.llm._graph import components
-from ragmill.llm._spark import fold_slices, give_back, slim_side, sorted_groups, unique_texts, written
+from ragmill.llm._spark import fold_slices, give_back, slim_side, unique_texts, written
+from ragmill.llm._tiles import Linker, tile_edges
 
 #: Documents and shingles of one block of a tile.
 BLOCK_DOCS, BLOCK_SHINGLES = 8192, 1 << 22
@@ -60,7 +61,7 @@ class Bands:
         return (band > 0) & (n * self.num <= (self.starts[band] - 1) * self.den)
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for lo, hi, h, row in K.words(batch.column(batch.schema.get_field_index("text"))):
         yield lo, hi, *K.shingle_sets(h, row, hi - lo, n)
 
@@ -70,6 +71,11 @@ def _sums(v: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[at[1:]] - c[at[:-1]]
 
 
+def digest_columns(s: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """A 128-bit digest of each set, as two longs."""
+    return [pa.array(_sums(K.mix(x), at).view(np.int64)) for x in (s ^ K.U(0x5851F42D4C957F2D), s + K.U(0x14057B7EF767814F))]
+
+
 def _buckets(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (s >> K.U(64 - SKETCH_BITS)).astype(np.int64), (K.mix(s + K.U(7919)) >> K.U(64 - SKETCH_BITS)).astype(np.int64) + (1 << SKETCH_BITS)
 
@@ -85,12 +91,11 @@ def set_digests(docs: DataFrame, n: int) -> DataFrame:
         seen, sketch = 0, np.zeros(2 << SKETCH_BITS, np.int32)
         for batch in batches:
             seen += batch.num_rows
-            for lo, hi, s, at in _sets(batch, n):
+            for lo, hi, s, at in word_sets(batch, n):
                 for b in _buckets(s):
                     np.add.at(sketch, b, 1)
                 rows = hi - lo
-                digests = [_sums(K.mix(x), at).view(np.int64) for x in (s ^ K.U(0x5851F42D4C957F2D), s + K.U(0x14057B7EF767814F))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(np.diff(at)), *map(pa.array, digests), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(np.diff(at)), *digest_columns(s, at), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if seen:
             parts = [np.concatenate([np.array([seen if i == 0 else 0], np.int32), x]).tobytes() for i, x in enumerate(np.split(sketch, SLICES))]
             blank = [pa.nulls(SLICES, pa.int64())] * 4
@@ -171,7 +176,7 @@ def candidate_edges(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray)
         common = np.unpackbits(table.value).astype(bool)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, s, at in _sets(batch, n):
+            for lo, _, s, at in word_sets(batch, n):
                 a, b = _buckets(s)
                 keys, owner = _keys(s, at, ~(common[a] & common[b]), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo + owner])], ["key", "doc_id"])
@@ -236,15 +241,14 @@ def link_block(sets: list[np.ndarray], num: int, den: int, guests: int = 0) -> n
     return label
 
 
-def _tiles(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """Members (doc_id, comp, scheme, ...) with the sorted sets of their documents."""
-    members = members.drop("n_shingles")
+def with_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """members (doc_id and others) with the sorted sets of their documents as a column shingles."""
     joined = docs.join(slim_side(members), "doc_id")
     others = [c for c in members.columns if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, s, at in _sets(batch, n):
+            for lo, hi, s, at in word_sets(batch, n):
                 part = batch.slice(lo, hi - lo)
                 blobs = pa.array([s[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("doc_id", *others)] + [blobs], ["doc_id", *others, "shingles"])
@@ -254,30 +258,14 @@ def _tiles(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return joined.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *others)) + ", shingles binary")
 
 
-def _block_edges(tiles: DataFrame, num: int, den: int, guests: bool) -> DataFrame:
-    keys = ["comp", "scheme", "block", *(["fblock"] if guests else [])]
+def exact_linker(num: int, den: int) -> Linker:
+    """Labels of a block by the exact overlap of its sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, keys):
-            ids, pivot, blocks = (t.column(c).to_numpy() for c in ("doc_id", "pivot", "blocks"))
-            guest = t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
-            raw, at = K.text_buffers(t.column("shingles"))
-            whole = raw[at[0] : at[-1]].view(K.U)
-            sets = np.split(whole, (at[1:-1] - at[0]) // 8)
-            order = np.lexsort((ids, guest))
-            order = order[np.concatenate([[True], np.diff(ids[order]) != 0])] if not guests else order
-            ids, sets = ids[order], [sets[i] for i in order]
-            if len(ids) < 2 or guests and not guest.any():
-                continue
-            label = link_block(sets, num, den, int(guest.sum()) if guests else 0)
-            home = label[np.flatnonzero(ids == pivot[0])[0]] if not guests and blocks[0] > 1 else -1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[label]), pa.array(ids), pa.array((label != home) & (blocks[0] > 1) & (not guests)), *(pa.repeat(t.column(c)[0], len(ids)) for c in ("comp", "scheme"))],
-                ["a", "b", "loose", "comp", "scheme"],
-            )
-        give_back()
+    def link(t: pa.Table, guests: int) -> np.ndarray:
+        raw, at = K.text_buffers(t.column("shingles"))
+        return link_block(np.split(raw[at[0] : at[-1]].view(K.U), (at[1:-1] - at[0]) // 8), num, den, guests)
 
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, loose boolean, comp long, scheme int")
+    return link
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -301,22 +289,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     starts = F.element_at(F.array(*map(F.lit, known)), F.col("band") + 1)
     both = (F.col("band") > 0) & (F.col("n_shingles") * num <= (starts - 1) * den)
     slim = written(slim.withColumn("scheme", F.explode(F.when(both, F.array("band", F.col("band") - 1)).otherwise(F.array("band")))).drop("band"), "banded")
-    stats = slim.groupBy("comp", "scheme").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.min("doc_id").alias("pivot")).where("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    stats = slim_side(written(stats.select("comp", "scheme", "pivot", blocks.alias("blocks")), "stats"))
-    slim = written(slim.join(stats, ["comp", "scheme"]).select("doc_id", "n_shingles", "comp", "scheme", "pivot", "blocks"), "tiles")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
-    members = slim.withColumn("block", F.explode(F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))).withColumn("guest", F.lit(False))
-    found = written(_block_edges(_tiles(docs, members, n), num, den, False), "links")
-    edges = found.select("a", "b")
-    loose = found.where("loose").select(F.col("b").alias("doc_id"), "comp", "scheme").distinct()
-    if not loose.isEmpty():
-        odd = written(loose.join(slim, ["doc_id", "comp", "scheme"]), "loose")
-        fblocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-        count = slim_side(written(odd.groupBy("comp", "scheme").agg(fblocks.alias("fblocks")), "loose-blocks"))
-        hosts = slim.join(count, ["comp", "scheme"]).withColumn("block", own).withColumn("fblock", F.explode(F.sequence(F.lit(0), F.col("fblocks") - 1))).withColumn("guest", F.lit(False))
-        guests = odd.join(count, ["comp", "scheme"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("fblock", F.pmod(F.xxhash64("doc_id"), F.col("fblocks").cast("long")).cast("int")).withColumn("guest", F.lit(True))
-        edges = edges.unionByName(_block_edges(_tiles(docs, hosts.unionByName(guests), n), num, den, True).select("a", "b"))
+    slim = slim.withColumnRenamed("n_shingles", "weight")
+    edges = tile_edges(slim, ["comp", "scheme"], lambda m: with_sets(docs, m, n), exact_linker(num, den), BLOCK_DOCS, BLOCK_SHINGLES)
     edges = edges.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(edges).withColumnRenamed("id", "doc_id")
     return seen.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

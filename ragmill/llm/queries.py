@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import ball_tree, bpe, decontaminate, jaccard_join, licenses, preferences, resampling, sharding, suffix_dedup, warc
+from ragmill.llm import ball_tree, bpe, decontaminate, fill_middle, jaccard_join, licenses, max_sketch, minhash, preferences, resampling, sharding, suffix_dedup, warc
 from ragmill.llm._spark import table
 
 
@@ -55,9 +55,33 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
 
 
+def op11_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return max_sketch.search(max_sketch.build(docs), docs, table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"), n=3, num=85, den=100)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transformed(table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+_QUERIES = (
+    op1_decontaminate, op2_exact_top_k, op3_importance_resampling, op4_suffix_dedup, op5_preferences, op6_bpe, op7_sharding, op8_warc, op9_jaccard_join, op10_licenses,
+    op11_max_sketch, op12_minhash, op13_fill_middle,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_exact_top_k, op3_importance_resampling, op4_suffix_dedup, op5_preferences, op6_bpe, op7_sharding, op8_warc, op9_jaccard_join, op10_licenses,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preferences": preferences.ORACLE, "op8_warc": warc.ORACLE, "op10_licenses": licenses.ORACLE}
+    return {
+        "op5_preferences": preferences.ORACLE, "op8_warc": warc.ORACLE, "op9_jaccard_join": minhash.components_oracle(4, 85), "op10_licenses": licenses.ORACLE,
+        "op11_max_sketch": max_sketch.ORACLE, "op12_minhash": minhash.ORACLE, "op13_fill_middle": fill_middle.ORACLE,
+    }
