@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.operators.changes import day_before, valid_on
+from ragmill.operators.changes import day_before
 
 #: Labels from the loosest on (fixed values).
 LABELS = ["public", "internal", "confidential", "restricted"]
@@ -57,104 +57,12 @@ def governance_filter(df: DataFrame, access_group: str, allowed: list[str]) -> D
     return df.where((F.col("access_group") == access_group) & F.col("label").isin(allowed))
 
 
-def decisions(docs: DataFrame, principals: DataFrame, memberships: DataFrame, day: Column, pairs: DataFrame | None = None) -> DataFrame:
-    """Decision for each (principal, document): global deny, tenant, label, grants by group, else deny.
-
-    docs has tenant_id, label, access_group; principals has principal_id, principal_type, home_tenant_id, principal_status.
-    Step 1 denies principals that aren't active. Step 2 denies other tenants' documents unless they are public. Step 3 allows public ones,
-    allows internal ones to employees, and denies restricted ones to service accounts. Step 4 grants by an open membership on the day.
-    Documents that no grant may open are decided by rule; only the others meet memberships, by group. Without pairs (principal_id,
-    doc_id), only documents of a principal's own tenant are decided, by an equi-join on the tenant.
-    """
-    d = docs.select("doc_id", "tenant_id", "label", "access_group")
-    p = principals.select("principal_id", "principal_type", "home_tenant_id", "principal_status")
-    j = p.join(d, p.home_tenant_id == d.tenant_id) if pairs is None else pairs.select("principal_id", "doc_id").join(p, "principal_id").join(d, "doc_id")
-    held = memberships.where(valid_on(day, F.col("valid_from"), F.col("valid_to"))).select("principal_id", F.col("group_id").alias("access_group"), F.lit(True).alias("granted")).distinct()
-    j = j.join(held, ["principal_id", "access_group"], "left")
-    say = lambda decision, step, reason: F.struct(F.lit(decision).alias("decision"), F.lit(step).alias("step"), F.lit(reason).alias("reason"))
-    r = (
-        F.when(F.col("principal_status") != "active", say("deny", 1, "inactive"))
-        .when((F.col("home_tenant_id") != F.col("tenant_id")) & (F.col("label") != "public"), say("deny", 2, "tenant"))
-        .when(F.col("label") == "public", say("allow", 3, "public"))
-        .when((F.col("label") == "internal") & (F.col("principal_type") == "employee"), say("allow", 3, "internal"))
-        .when((F.col("label") == "restricted") & (F.col("principal_type") == "service_account"), say("deny", 3, "label"))
-        .when(F.col("granted"), say("allow", 4, "group"))
-        .otherwise(say("deny", 5, "default"))
-    )
-    return j.select("principal_id", "doc_id", r.alias("r")).select("principal_id", "doc_id", "r.*")
-
-
-#: By label: who may read it at all, whether that takes a grant, and by which kinds of grant (fixed values).
-LABEL_RULES = {
-    "public": (("customer_user", "employee", "service_account"), False, ()),
-    "internal": (("customer_user", "employee", "service_account"), True, ("group", "relation", "principal", "tenant_membership")),
-    "confidential": (("customer_user", "employee"), True, ("group", "relation", "principal")),
-    "restricted": (("employee",), True, ("group", "relation")),
-}
-GRANTS = ["group", "relation", "principal", "tenant_membership"]
-
-
-def granted(docs: DataFrame, pairs: DataFrame, principals: DataFrame, memberships: DataFrame, groups: DataFrame, reports: DataFrame, day: Column) -> DataFrame:
-    """(principal_id, doc_id, grant_type, grant_value): the first grant that opens a document to a principal of the pairs.
-
-    Kinds come in the order of GRANTS, then the position in the document's own list; each kind is an equi-join of the pairs. A group (group_id, max_label) grants
-    up to its highest label, by a membership open on the day. A relation grants to those to whom the subject reports (principal_id, manager_id).
-    """
-    d, label = docs.select("doc_id", "tenant_id", "label", "access_groups", "access_subjects", "access_principals"), F.col("label")
-    may = lambda kind: F.coalesce(*(F.when(label == n, F.lit(kind in r[2])) for n, r in LABEL_RULES.items()))
-    x = pairs.select("principal_id", "doc_id").join(d, "doc_id")
-    grant = lambda kind, at, value: F.struct(F.lit(GRANTS.index(kind)).alias("kind"), at.alias("at"), value.alias("value"))
-    open_ = memberships.where(valid_on(day, F.col("valid_from"), F.col("valid_to"))).select("principal_id", "group_id").distinct().join(F.broadcast(groups), "group_id")
-    of = lambda kind, lists, name: x.where(may(kind)).select("principal_id", "doc_id", "label", F.posexplode(lists).alias("at", name))
-    by_group = of("group", "access_groups", "group_id").join(open_, ["principal_id", "group_id"]).where(label_rank(F.col("label")) <= label_rank(F.col("max_label"))).select("principal_id", "doc_id", grant("group", F.col("at"), F.col("group_id")).alias("g"))
-    above = reports.select(F.col("principal_id").alias("subject"), F.col("manager_id").alias("principal_id")).distinct()
-    by_relation = of("relation", "access_subjects", "subject").join(above, ["principal_id", "subject"]).select("principal_id", "doc_id", grant("relation", F.col("at"), F.concat(F.lit("manages:"), "subject")).alias("g"))
-    zero = F.lit(0)
-    by_name = x.where(may("principal") & F.array_contains("access_principals", F.col("principal_id"))).select("principal_id", "doc_id", grant("principal", zero, F.col("principal_id").cast("string")).alias("g"))
-    customers = principals.where("principal_type = 'customer_user'").select("principal_id", F.col("home_tenant_id").alias("tenant_id"))
-    by_tenant = x.where(may("tenant_membership")).join(customers, ["principal_id", "tenant_id"]).select("principal_id", "doc_id", grant("tenant_membership", zero, F.col("tenant_id")).alias("g"))
-    every = by_group.unionByName(by_relation).unionByName(by_name).unionByName(by_tenant)
-    return every.groupBy("principal_id", "doc_id").agg(F.min("g").alias("g")).select("principal_id", "doc_id", F.element_at(F.array(*map(F.lit, GRANTS)), F.col("g.kind") + 1).alias("grant_type"), F.col("g.value").alias("grant_value"))
-
-
-def access(docs: DataFrame, pairs: DataFrame, principals: DataFrame, memberships: DataFrame, groups: DataFrame, reports: DataFrame, day: Column) -> DataFrame:
-    """Decision, step, reason and matched grant for each pair: global denials, tenant, label, grants, else deny; the first that applies."""
-    g = granted(docs, pairs, principals, memberships, groups, reports, day)
-    p = principals.select("principal_id", "principal_type", "home_tenant_id", "principal_status")
-    j = pairs.select("principal_id", "doc_id").join(p, "principal_id").join(docs.select("doc_id", "tenant_id", "label", "status"), "doc_id").join(g, ["principal_id", "doc_id"], "left")
-    label, kind = F.col("label"), F.col("principal_type")
-    allowed = F.coalesce(*(F.when(label == n, kind.isin(*r[0])) for n, r in LABEL_RULES.items()))
-    say = lambda decision, step, reason, grant=False: F.struct(F.lit(decision).alias("decision"), F.lit(step).alias("step"), F.lit(reason).alias("reason"), F.when(F.lit(grant), F.col("grant_type")).alias("grant_type"), F.when(F.lit(grant), F.col("grant_value")).alias("grant_value"))
-    r = (
-        F.when(F.col("principal_status") != "active", say("deny", "global_deny", "principal_not_active"))
-        .when(F.col("status") == "deleted", say("deny", "global_deny", "document_deleted"))
-        .when((F.col("home_tenant_id") != F.col("tenant_id")) & (label != "public"), say("deny", "tenant", "other_tenant"))
-        .when(~F.coalesce(allowed, F.lit(False)), say("deny", "label", "principal_type_for_label"))
-        .when(label == "public", say("allow", "label", "public_label"))
-        .when((label == "internal") & (kind == "employee"), say("allow", "label", "internal_label"))
-        .when(F.col("grant_type").isNotNull(), say("allow", "grant", "matching_grant", True))
-        .otherwise(say("deny", "grant", "no_matching_grant"))
-    )
-    return j.select("principal_id", "doc_id", r.alias("r")).select("principal_id", "doc_id", "r.*")
-
-
-def managers(principals: DataFrame, levels: int = 2) -> DataFrame:
-    """(principal_id, manager_id, level) up to some levels."""
-    one = principals.where("manager_id is not null").select("principal_id", "manager_id")
-    out, at = one.withColumn("level", F.lit(1)), one
-    for level in range(2, levels + 1):
-        up = one.select(F.col("principal_id").alias("manager_id"), F.col("manager_id").alias("next"))
-        at = at.join(up, "manager_id").select("principal_id", F.col("next").alias("manager_id"))
-        out = out.unionByName(at.withColumn("level", F.lit(level)))
-    return out
-
-
 def with_history_rule(decided: DataFrame, versions: DataFrame) -> DataFrame:
-    """A version that isn't current is allowed only if the current one of its document is too, if there is one. versions: doc_id, document_id, status."""
+    """A superseded or archived version is allowed only if the current one of its document is too, if there is one. versions: doc_id, document_id, status."""
     v = decided.join(versions.select("doc_id", "document_id", "status"), "doc_id")
     now = v.where("status = 'current'").select("principal_id", "document_id", F.col("decision").alias("current_decision"))
     j = v.join(now, ["principal_id", "document_id"], "left")
-    closed = (F.col("status") != "current") & (F.col("decision") == "allow") & (F.coalesce("current_decision", F.lit("allow")) == "deny")
+    closed = F.col("status").isin("superseded", "archived") & (F.col("decision") == "allow") & (F.coalesce("current_decision", F.lit("allow")) == "deny")
     return j.select("principal_id", "doc_id", F.when(closed, "deny").otherwise(F.col("decision")).alias("decision"), F.when(closed, "history").otherwise(F.col("reason")).alias("reason"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from ragmill.functions.text import l2_normalize
 from ragmill.sources.tables import small_side
 
-SHARD_ROWS, QUERY_BLOCK = 16384, 4096
+#: Most vectors that a task holds at a time.
+SHARD_ROWS = 16384
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
@@ -52,23 +55,40 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: f
     return ranked(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
-    """query_id, rank, doc_id, score (cosine, rounded to 6) over all vectors; ties by id.
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True, classes: bool = False) -> DataFrame:
+    """query_id, rank, doc_id, score (cosine, rounded to 6) over all vectors; ties by id. vectors and queries are (id, vector).
 
-    Shards of vectors meet blocks of queries, both of bounded size, as units of work on the executors; each unit gives k rows for each query and only
-    those are shuffled. vectors and queries are (id, vector).
+    Vectors are dealt once to shards of bounded size; queries visit every shard, batch by batch, and only k rows for each query and shard are shuffled on.
+    With classes, vectors have a class and queries the classes that they may see, and that is tested before a shard's rows are cut to k.
     """
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_BLOCK))
-    shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    rows = vectors.select("id", "vector", shard.alias("shard"), every(blocks).alias("block"))
-    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("asked"), block.alias("block"), every(shards).alias("shard"))
-
-    def unit(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        return _best_of(rows, asked, k, skip_self)
-
-    found = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(unit, "query_id long, doc_id long, score double")
+    kinds = {df.schema["vector"].dataType.simpleString() for df in (vectors, queries)}
+    value = F.col("vector") if len(kinds) == 1 else F.col("vector").cast("array<double>")
+    shards = max(1, -(-vectors.count() // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    seen = lambda c: c.cast("array<long>") if classes else F.lit(None).cast("array<long>")
+    rows = vectors.select(shard.alias("shard"), F.lit(False).alias("asked"), "id", value.alias("vector"), seen(F.array("class") if classes else None).alias("classes"))
+    asked = queries.select(every.alias("shard"), F.lit(True).alias("asked"), "id", value.alias("vector"), seen(F.col("classes") if classes else None).alias("classes"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, ready = -1, [], None
+        for batch in batches:
+            shard, is_query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.flatnonzero((shard[1:] != shard[:-1]) | (is_query[1:] != is_query[:-1])) + 1, [len(shard)]]) if len(shard) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if shard[lo] != at:
+                    at, parts, ready = shard[lo], [], None
+                if not is_query[lo]:  # a shard's rows come before its queries
+                    parts.append(part)
+                    continue
+                if ready is None and parts:
+                    ready, parts = _Shard(pa.Table.from_batches(parts), classes), []
+                if ready is not None:
+                    yield ready.best(part, k, skip_self)
+
+    units = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asked")
+    found = units.mapInArrow(search, "query_id long, doc_id long, score double")
     return ranked(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
@@ -83,24 +103,32 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return _unit(np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1))
 
 
-def _best_of(rows: pa.Table, asked: pa.Table, k: int, skip_self: bool) -> pa.Table:
-    """The k best rows for each query, a few queries at a time."""
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-    if rows.num_rows and asked.num_rows:
-        own, x = rows.column("id").to_numpy(), _matrix(rows.column("vector"))
-        ids, q = asked.column("query").to_numpy(), _matrix(asked.column("asked"))
+class _Shard:
+    """Rows of a shard, ready for queries."""
+
+    def __init__(self, rows: pa.Table, classes: bool):
+        self.own, self.x = rows.column("id").to_numpy(), _matrix(rows.column("vector"))
+        self.kinds, self.kind = np.unique(rows.column("classes").combine_chunks().flatten().to_numpy(), return_inverse=True) if classes else (None, None)
+
+    def best(self, asked: pa.RecordBatch, k: int, skip_self: bool) -> pa.RecordBatch:
+        """The k best rows for each query, a few queries at a time."""
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        ids, q, seen = asked.column(2).to_numpy(), _matrix(asked.column(3)), asked.column(4)
         for at in range(0, len(ids), 256):
-            score = np.round(q[at : at + 256] @ x.T, 6) + 0.0
+            score = np.round(q[at : at + 256] @ self.x.T, 6) + 0.0
             if skip_self:
-                score[ids[at : at + 256, None] == own[None, :]] = -np.inf
-            kth = np.partition(score, -k, axis=1)[:, -k] if k < len(own) else np.full(len(score), -np.inf)
+                score[ids[at : at + 256, None] == self.own[None, :]] = -np.inf
+            if self.kinds is not None:
+                may = np.stack([np.isin(self.kinds, c.values.to_numpy() if c.is_valid else []) for c in seen.slice(at, 256)])
+                score[~may[:, self.kind]] = -np.inf
+            kth = np.partition(score, -k, axis=1)[:, -k] if k < len(self.own) else np.full(len(score), -np.inf)
             i, j = np.nonzero((score >= kth[:, None]) & np.isfinite(score))  # with all that tie at the kth place
-            order = np.lexsort((own[j], -score[i, j], i))
+            order = np.lexsort((self.own[j], -score[i, j], i))
             i, j = i[order], j[order]
             keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-            for col, v in zip(out, (ids[at + i[keep]], own[j[keep]], score[i[keep], j[keep]]), strict=True):
+            for col, v in zip(out, (ids[at + i[keep]], self.own[j[keep]], score[i[keep], j[keep]]), strict=True):
                 col.append(v)
-    return pa.table(dict(zip(("query_id", "doc_id", "score"), map(np.concatenate, out), strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "doc_id", "score"])
 
 
 def ivf_build(vectors: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -143,7 +143,6 @@ QUERIES = {
     "c2_duplicate_audit": duplicate_audit, "c3_duplicate_spread": spread_by_whole_text, "c4_conflict_aware_dedupe": conflicts_by_whole_text, "c5_weighted_sample": weighted_sample,
     "c6_split_by_rank": split_by_rank, "c7_histogram_length": histogram_length, "c7_histogram_price": histogram_price, "c8_profile_numeric": profile_numeric,
     "c9_category_counts": category_counts, "c10_top_n": top_n, "c10_shortest_texts": shortest_texts,
-    "c1_dedupe_whole_text": dedupe_whole_text, "c3_spread_by_whole_text": spread_by_whole_text, "c4_conflicts_by_whole_text": conflicts_by_whole_text,
 }
 
 _JUDGED = "j as (select d.doc_id, text, (quality + 1)::double score from documents d left join labels l on l.doc_id = d.doc_id)"
@@ -169,11 +168,11 @@ ORACLES = {
     "b11_normalize_filter_values": "select doc_id, upper(lang) lang, case lang when 'en' then 'English' when 'fr' then 'French' when 'de' then 'German' else upper(lang) end normalized from documents",
     "b11_unmapped_filter_values": "select lang, count(*) n_rows from documents where lang not in ('en', 'fr', 'de') group by lang",
     "c2_duplicate_audit": "select group_size, count(*) n_groups, count(*) * (group_size - 1) extra_copies from (select count(*) group_size from documents group by text) group by group_size",
-    "c1_dedupe_whole_text": """with d as (select doc_id, concat_ws(chr(10), source, text) k, text, md5('s1' || cast(doc_id as varchar)) o from documents),
+    "c1_dedupe_keep_first": """with d as (select doc_id, concat_ws(chr(10), source, text) k, text, md5('s1' || cast(doc_id as varchar)) o from documents),
         a as (select * from d qualify row_number() over (partition by k order by o, doc_id) = 1) select doc_id from a qualify row_number() over (partition by text order by o, doc_id) = 1""",
-    "c3_spread_by_whole_text": f"""with {_JUDGED} select case when hi is null then 'no value' when hi = lo then 'equal' when lo > 0 and hi / lo <= 1.2 then 'within_20' else 'above_20' end spread, count(*) n_groups
+    "c3_duplicate_spread": f"""with {_JUDGED} select case when hi is null then 'no value' when hi = lo then 'equal' when lo > 0 and hi / lo <= 1.2 then 'within_20' else 'above_20' end spread, count(*) n_groups
         from (select max(score) hi, min(score) lo from j group by text having count(*) > 1) group by all""",
-    "c4_conflicts_by_whole_text": f"with {_JUDGED} select min(doc_id) doc_id, round(avg(score), 4) mean_value, count(*) n_rows from j group by text having coalesce(max(score) <= min(score) * 1.2::double, true)",
+    "c4_conflict_aware_dedupe": f"with {_JUDGED} select min(doc_id) doc_id, round(avg(score), 4) mean_value, count(*) n_rows from j group by text having coalesce(max(score) <= min(score) * 1.2::double, true)",
     "c5_weighted_sample": """with e as (select min(p_retailprice) lo, max(p_retailprice) hi from part),
         w as (select p_partkey, pow((p_retailprice - lo) / (hi - lo + 1e-9::double), 2) * case p_brand when 'Brand#11' then 0.5::double when 'Brand#22' then 0.05::double else 1 end weight,
         (('0x' || substr(md5('w' || cast(p_partkey as varchar)), 1, 12))::bigint::double + 0.5) / 281474976710656 u from part, e)
@@ -189,5 +188,3 @@ ORACLES = {
     "c10_top_n": "select p_partkey, p_name, p_retailprice from part order by p_retailprice desc, p_partkey limit 10",
     "c10_shortest_texts": "select doc_id, cast(length(text) as integer) n from documents order by n, doc_id limit 10",
 }
-for _old, _new in (("c1_dedupe_keep_first", "c1_dedupe_whole_text"), ("c3_duplicate_spread", "c3_spread_by_whole_text"), ("c4_conflict_aware_dedupe", "c4_conflicts_by_whole_text")):
-    ORACLES[_old] = ORACLES[_new]

@@ -23,6 +23,27 @@ VIEWS = {
         CASE WHEN c_custkey = 0 THEN NULL ELSE CAST(floor((c_custkey - 1) / 4.0) AS BIGINT) END AS manager_id, c_mktsegment AS department FROM {customer}""",
     "memberships": """SELECT c_custkey AS principal_id, concat('G-', CAST(c_nationkey % 6 AS STRING)) AS group_id, CAST('2024-01-01' AS DATE) AS valid_from,
         CASE WHEN c_custkey % 8 = 0 THEN CAST('2024-06-30' AS DATE) ELSE NULL END AS valid_to FROM {customer}""",
+    "people": """SELECT c_custkey AS principal_id, CASE WHEN c_custkey % 10 = 0 THEN 'service_account' WHEN c_custkey % 10 < 4 THEN 'customer_user' ELSE 'employee' END AS principal_type,
+        CASE WHEN c_custkey % 29 = 0 THEN 'disabled' ELSE 'active' END AS principal_status,
+        CASE WHEN c_custkey % 10 BETWEEN 1 AND 3 THEN concat('T-', CAST(c_custkey % 4 + 1 AS STRING)) ELSE 'T-0' END AS home_tenant_id,
+        CASE WHEN c_custkey % 10 > 3 THEN concat('E-', CAST(c_custkey AS STRING)) END AS employee_id,
+        CASE WHEN c_custkey % 10 = 0 THEN concat('T-0 T-', CAST(CAST(floor(c_custkey / 10.0) AS BIGINT) % 5 AS STRING)) ELSE '' END AS scopes FROM {customer}""",
+    "tenants": """SELECT DISTINCT concat('T-', CAST(doc_id % 5 AS STRING)) AS tenant_id, CASE WHEN doc_id % 5 = 4 THEN 'suspended' ELSE 'active' END AS tenant_status FROM {documents}""",
+    "group_memberships": """SELECT concat('M-', CAST(c_custkey AS STRING)) AS membership_id, c_custkey AS principal_id, concat('G-', CAST(c_nationkey % 6 AS STRING)) AS group_id, CAST('2024-01-01' AS DATE) AS valid_from,
+        CASE WHEN c_custkey % 8 = 0 THEN CAST('2024-06-30' AS DATE) ELSE NULL END AS valid_to FROM {customer}
+        UNION ALL SELECT concat('A-', CAST(c_custkey AS STRING)), c_custkey, concat('G-', CAST(c_custkey % 6 AS STRING)), CAST('2024-03-01' AS DATE),
+        CASE WHEN c_custkey % 5 = 0 THEN CAST('2024-05-31' AS DATE) ELSE NULL END FROM {customer} WHERE c_custkey % 3 <> 0""",
+    "relation_edges": """SELECT concat('R-', CAST(c_custkey AS STRING)) AS edge_id, 'reports_to' AS relation, concat('E-', CAST(c_custkey AS STRING)) AS from_id,
+        concat('E-', CAST(CAST(floor((c_custkey - 1) / 4.0) AS BIGINT) AS STRING)) AS to_id, CAST('2024-01-01' AS DATE) AS valid_from,
+        CASE WHEN c_custkey % 11 = 0 THEN CAST('2024-05-31' AS DATE) ELSE NULL END AS valid_to FROM {customer} WHERE c_custkey > 0
+        UNION ALL SELECT concat('T-', CAST(c_custkey AS STRING)), 'account_team_member_of', concat('E-', CAST(c_custkey AS STRING)), concat('C-', CAST(c_custkey % (SELECT CAST(floor(count(*) / 10.0) AS BIGINT) + 1 FROM {customer}) AS STRING)),
+        CAST('2024-01-01' AS DATE), CASE WHEN c_custkey % 13 = 0 THEN CAST('2024-05-31' AS DATE) ELSE NULL END FROM {customer}""",
+    "doc_grants": """SELECT doc_id, 'group' AS kind, 0 AS position, CAST(NULL AS STRING) AS relation, concat('G-', CAST(doc_id % 6 AS STRING)) AS value FROM {documents}
+        UNION ALL SELECT doc_id, 'group', 1, NULL, concat('G-', CAST(doc_id * 7 % 5 AS STRING)) FROM {documents} WHERE doc_id % 3 = 0
+        UNION ALL SELECT doc_id, 'relation', 0, 'self', concat('E-', CAST(doc_id * 7 % (SELECT count(*) FROM {customer}) AS STRING)) FROM {documents}
+        UNION ALL SELECT doc_id, 'relation', 1, 'manager_of', concat('E-', CAST(doc_id * 7 % (SELECT count(*) FROM {customer}) AS STRING)) FROM {documents}
+        UNION ALL SELECT doc_id, 'relation', 2, 'account_team_of', concat('C-', CAST(doc_id % (SELECT CAST(floor(count(*) / 10.0) AS BIGINT) + 1 FROM {customer}) AS STRING)) FROM {documents}
+        UNION ALL SELECT doc_id, 'principal', 0, NULL, CAST(doc_id * 5 % (SELECT count(*) FROM {customer}) AS STRING) FROM {documents}""",
     "cdc_events": """SELECT concat('EVT-', CAST(o_orderkey AS STRING)) AS event_id, o_orderkey AS sequence, o_custkey AS object_id,
         CASE WHEN o_orderkey % 11 = 0 THEN 'delete' ELSE 'upsert' END AS operation, o_totalprice AS after_value,
         CASE WHEN o_orderkey % 31 = 0 THEN (o_orderkey + 400) * 4 + 1 ELSE o_orderkey * 4 END AS delivery_pos FROM {orders}
