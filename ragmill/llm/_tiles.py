@@ -37,7 +37,9 @@ def _block_edges(tiles: DataFrame, tile: list[str], link: Linker, guests: bool)
         give_back()
 
     schema = ", ".join(["a long, b long, loose boolean", *(f"{c} {kinds[c]}" for c in tile)])
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    # work in a block grows faster than its bytes: a stated number of partitions is not coalesced by size
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def tile_edges(members: DataFrame, tile: list[str], attach: Callable[[DataFrame], DataFrame], link: Linker, block_docs: int, block_weight: int) -> DataFrame:

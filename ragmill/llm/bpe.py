@@ -41,7 +41,7 @@ _SPACES = regex.compile(f"[{_SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: Entries of the younger table of words, and of the table of pairs.
-_MOST_WORDS, _MOST_PAIRS = 120_000, 200_000
+_MOST_WORDS, _MOST_PAIRS = 50_000, 100_000
 #: Stands for the word-end suffix, as one unit.
 _END = "\uffff"
 

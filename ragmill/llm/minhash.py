@@ -34,7 +34,7 @@ from ragmill.llm.jaccard_join import BLOCK_SHINGLES, digest_columns, exact_linke
 #: Hash functions, those in a band, bits kept of each minimum, and how often a pair at the threshold may be estimated too low.
 MINIMA, ROWS, BITS, MISS = 160, 5, 2, 1e-9
 #: Documents of one block of a bucket or candidate group.
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 1024
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, signature binary, buckets array<long>"
 
 
