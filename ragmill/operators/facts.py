@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragmill.functions.text import normalize_quotes
+from ragmill.sources.tables import kept
 
 #: Names of months (fixed values).
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 _LONG = rf"(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}}"
-#: Kinds of values in the order in which they are taken out of a text (fixed patterns).
+#: Kinds of values in texts, the first of those that begin at one place being told (fixed patterns). A number ends before a comma that a period or date follows.
 VALUE_KINDS = [
     ("id", r"\b[A-Z]{2,5}-\d+\b"),
     ("timestamp", rf"{_LONG} at \d{{2}}:\d{{2}} UTC"),
@@ -21,8 +26,14 @@ VALUE_KINDS = [
     ("period", r"\b(?:\d{4}-Q[1-4]|FY\d{4})\b"),
     ("iso_date", r"\b\d{4}-\d{2}-\d{2}\b"),
     ("code", r"\b[A-Za-z]+\d+\w*\b"),
-    ("number", r"(?<![\w.])\d[\d,]*(?:\.\d+)?"),
+    ("number", r"(?<![\w.])\d(?:\d|,(?!\d{4}-(?:Q[1-4]|\d{2}-\d{2})\b))*(?:\.\d+)?"),
 ]
+#: Kinds of values in records (fixed patterns).
+RECORD_KINDS = [("id", r"\b[A-Z]{2,5}-\d+\b"), ("stamp", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z"), ("iso_date", r"\b\d{4}-\d{2}-\d{2}\b"), ("number", r"\d[\d,]*(?:\.\d+)?")]
+#: Words that the name of a priced tier holds one of (fixed values).
+TIER_WORDS = ["Tier", "Plan", "Fee", "Membership", "Features", "Pricing"]
+#: What a price line says of how it is priced, by model (fixed values).
+PRICE_MODELS = [("custom pricing", "custom"), ("no cost", "free"), ("starting at", "starting_at")]
 #: Instructions planted in texts (fixed pattern).
 INJECTION = r"(?i)ignore all previous instructions|disregard your restrictions|administrator mode"
 
@@ -34,11 +45,50 @@ def quote_provenance(facts: DataFrame, docs: DataFrame) -> DataFrame:
     return j.select("fact_id", F.coalesce(normalize_quotes(F.col("text")).contains(q), F.lit(False)).alias("in_document"), q.contains(normalize_quotes(F.col("value"))).alias("in_quote"))
 
 
+#: Keywords and their characters in one automaton.
+_KEYWORDS, _KEYWORD_CHARS = 50_000, 2_000_000
+
+
 def keyword_presence(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Documents that hold each keyword (a word), 0 where none does. Words meet by an equi-join."""
-    w = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("keyword"))
-    n = w.groupBy("keyword").agg(F.count("*").alias("n_docs"))
-    return keywords.select("keyword").distinct().join(n, "keyword", "left").select("keyword", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    """Documents that hold each keyword (any string: a word, a part of one, a phrase) in any case, 0 where none does.
+
+    One automaton for all keywords of a block passes over each whole text once, so the cost follows the texts and not the number of keywords. Keywords beyond a block's
+    bounds go in further passes. Tasks add up their documents before anything is shuffled. Null and empty keywords are left out.
+    """
+    words = kept(keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct(), "keywords")
+    n, chars = words.agg(F.count("*"), F.coalesce(F.sum(F.length("keyword")), F.lit(0))).first()
+    blocks = max(1, -(-n // _KEYWORDS), -(-chars // _KEYWORD_CHARS))
+    texts, found = docs.select(F.lower("text").alias("text")).where("text is not null"), None
+    for block in range(blocks):
+        mine = words.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == block)
+        sent = docs.sparkSession.sparkContext.broadcast([r.keyword for r in mine.collect()])  # one block of keywords
+        if sent.value:
+            counts = texts.mapInArrow(_counter(sent), "keyword string, n_docs long")
+            found = counts if found is None else found.unionByName(counts)
+    if found is None:
+        return words.withColumn("n_docs", F.lit(0).cast("long"))
+    return words.join(found.groupBy("keyword").agg(F.sum("n_docs").alias("n_docs")), "keyword", "left").select("keyword", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def _counter(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts, in a task, the texts that hold each of the keywords sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        words = sent.value
+        finder, counts = ahocorasick.Automaton(), np.zeros(len(words), np.int64)
+        for i, word in enumerate(words):
+            finder.add_word(word, i)
+        finder.make_automaton()
+        for batch in batches:
+            for text in batch.column(0):
+                held = {i for _, i in finder.iter(text.as_py())}
+                counts[list(held)] += 1
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in seen], pa.string()), pa.array(counts[seen])], ["keyword", "n_docs"])
+
+    return run
 
 
 def money(c: Column) -> Column:
@@ -60,69 +110,101 @@ def score_of_five(c: Column) -> Column:
 
 
 def tier(line: Column) -> Column:
-    """Struct (name, model, price, unit) of a price line like "- **Basic Plan:** Starting at $10 per month"; null for other lines."""
-    name = F.rtrim(F.regexp_extract(line, r"^\s*-\s*\*\*([^*]+?):?\*\*:?\s*(.*)$", 1))
-    rest = F.lower(F.regexp_extract(line, r"^\s*-\s*\*\*([^*]+?):?\*\*:?\s*(.*)$", 2))
-    custom, free = rest.contains("custom pricing"), rest.contains("no cost")
-    model = F.when(custom, "custom").when(free, "free").when(rest.contains("starting at"), "starting_at").otherwise("fixed")
-    price = F.when(custom, F.lit(None).cast("double")).when(free, F.lit(0.0)).otherwise(money(rest))
-    unit = F.when(~custom & ~free & rest.contains("per lead"), "per_lead").otherwise("per_month")
-    return F.when(name.rlike("Tier|Plan|Fee|Membership|Features|Pricing"), F.struct(name.alias("name"), model.alias("model"), price.alias("price"), unit.alias("unit")))
+    """Struct (name, model, price, unit) of a price line like "- **Basic Plan:** Starting at $10 per month"; null for other lines.
+
+    A line is a list item whose bold part is the name and what follows it the terms.
+    """
+    marks = F.split(F.ltrim(line), r"\*\*", 3)
+    bold, said = F.element_at(marks, 2), F.lower(F.element_at(marks, 3))
+    name = F.rtrim(F.regexp_replace(bold, ":$", ""))
+    model = F.coalesce(*(F.when(said.contains(phrase), m) for phrase, m in PRICE_MODELS), F.lit("fixed"))
+    priced = model.isin("starting_at", "fixed")
+    unit = F.when(priced & said.contains("per lead"), "per_lead").otherwise("per_month")
+    price = F.when(priced, money(said)).when(model == "free", F.lit(0.0))
+    named = F.exists(F.array(*map(F.lit, TIER_WORDS)), lambda w: name.contains(w))
+    item = (F.size(marks) == 3) & F.element_at(marks, 1).rlike(r"^-\s*$") & (name != "") & ~bold.contains("*")
+    return F.when(item & named, F.struct(name.alias("name"), model.alias("model"), price.alias("price"), unit.alias("unit")))
+
+
+def tagged(text: Column, kinds: list[tuple[str, str]]) -> Column:
+    """The values of a text, each once, as array<struct<kind,value>> in the order of the text, from one scan with one pattern.
+
+    Of values that overlap the one that begins first stands, and of kinds that begin at one place the first.
+    """
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("|".join(f"(?:{p})" for _, p in kinds)), F.lit(0)))
+    kind = lambda x: F.coalesce(*(F.when(x.rlike(f"^(?:{p})$"), k) for k, p in kinds))
+    return F.transform(found, lambda x: F.struct(kind(x).alias("kind"), x.alias("value")))
 
 
 def values(body: Column) -> Column:
-    """Values of a text as array<struct<kind,value>>; each kind is looked for in what the kinds before it left."""
-    rest, parts = body, []
-    for kind, pattern in VALUE_KINDS:
-        found = F.array_distinct(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)))
-        parts.append(F.arrays_zip(F.array_repeat(F.lit(kind), F.size(found)).alias("kind"), found.alias("value")))
-        rest = F.regexp_replace(rest, pattern, " ")
-    return F.concat(*parts)
+    """Values that a text states, by kind."""
+    return tagged(body, VALUE_KINDS)
 
 
 def _iso(value: Column, pattern: str, out: str) -> Column:
     return F.date_format(F.try_to_timestamp(value, F.lit(pattern)), out)
 
 
+def _amount(value: Column) -> Column:
+    return F.translate(value, ",", "").try_cast("double").cast("string")
+
+
 def standard(kind: Column, value: Column) -> Column:
     """A value as records state it: dates as yyyy-MM-dd, timestamps with hours and minutes, months as yyyy-MM, numbers without commas."""
-    number = F.translate(value, ",", "").try_cast("double").cast("string")
     return (
         F.when(kind == "timestamp", F.concat_ws(" ", _iso(F.regexp_extract(value, f"^({_LONG})", 1), "MMMM d, yyyy", "yyyy-MM-dd"), F.regexp_extract(value, r"(\d{2}:\d{2}) UTC$", 1)))
         .when(kind == "date", _iso(value, "MMMM d, yyyy", "yyyy-MM-dd")).when(kind == "month", _iso(value, "MMMM yyyy", "yyyy-MM"))
-        .when(kind == "number", number).otherwise(value)
+        .when(kind == "number", _amount(value)).otherwise(value)
     )
 
 
+def harvest(record: Column, kind: T.DataType) -> Column:
+    """All scalar values of a nested record (structs, arrays, maps) as array<string>, without nulls and booleans."""
+    if isinstance(kind, T.StructType):
+        parts = [harvest(record[f.name], f.dataType) for f in kind.fields]
+        return F.concat(*parts) if parts else F.array().cast("array<string>")
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(record, lambda x: harvest(x, kind.elementType))), F.array().cast("array<string>"))
+    if isinstance(kind, T.MapType):
+        return harvest(F.map_values(record), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.BooleanType):
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(record.cast("string")))
+
+
 def supported(value: Column) -> Column:
-    """What a record's value lets a text state: array<struct<kind,value>>; a date lets its month be stated, too, a timestamp its date."""
-    rest = F.regexp_replace(value, VALUE_KINDS[0][1], " ")
-    stamps = F.regexp_extract_all(rest, F.lit(r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}):\d{2}Z"), F.lit(1))
-    dates = F.array_union(F.transform(stamps, lambda x: F.substring(x, 1, 10)), F.regexp_extract_all(rest, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)))
-    plain = F.regexp_replace(F.regexp_replace(rest, r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z", " "), r"\b\d{4}-\d{2}-\d{2}\b", " ")
-    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1)), lambda x: F.translate(x, ",", "").try_cast("double").cast("string"))
-    told = {
-        "id": F.regexp_extract_all(value, F.lit(f"({VALUE_KINDS[0][1]})"), F.lit(1)), "timestamp": F.transform(stamps, lambda x: F.replace(x, F.lit("T"), F.lit(" "))), "date": dates, "iso_date": dates,
-        "month": F.transform(dates, lambda x: F.substring(x, 1, 7)), "period": F.array(value), "number": numbers,
-    }
+    """What a record's value lets a text state: array<struct<kind,standard>>. A date lets its month be stated, a timestamp its date; the whole value may name a period."""
+    told = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("standard"))
+    of_day = lambda d: [told("date", d), told("iso_date", d), told("month", F.substring(d, 1, 7))]
+
+    def lets(x: Column) -> Column:
+        v, day = x["value"], F.substring(x["value"], 1, 10)
+        return (
+            F.when(x["kind"] == "id", F.array(told("id", v))).when(x["kind"] == "iso_date", F.array(*of_day(v)))
+            .when(x["kind"] == "stamp", F.array(told("timestamp", F.concat_ws(" ", day, F.substring(v, 12, 5))), *of_day(day))).otherwise(F.array(told("number", _amount(v))))
+        )
+
+    return F.concat(F.array(told("period", value)), F.flatten(F.transform(tagged(value, RECORD_KINDS), lets)))
 
-    def marked(kind: str, items: Column) -> Column:
-        return F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("standard")))
 
-    return F.concat(*(marked(k, v) for k, v in told.items()))
+#: A letter and the digit behind it: every code holds one.
+_TURN = r"[a-z]\d"
 
 
 def unsupported(texts: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
     """(key, kind, value) of values in texts that none of the key's records (key, value) supports.
 
-    Kinds but codes meet by equality of their standard form; a code is supported by a record of its key that holds it, in any case.
+    Kinds but codes meet by equality of their standard form. A code is supported by a record of its key that holds it, in any case: the two meet in
+    a letter and digit that the code has where its digits begin, so not every record of a key is compared with every code. Texts are scanned once.
     """
-    v = texts.select(key, F.inline(values(F.col("body")))).withColumn("standard", standard(F.col("kind"), F.col("value")))
+    v = kept(texts.select(key, F.inline(values(F.col("body")))).withColumn("standard", standard(F.col("kind"), F.col("value"))), "values")
     told = allowed.select(key, F.inline(supported(F.col("value")))).distinct()
     others = v.where("kind <> 'code'").join(told, [key, "kind", "standard"], "left_anti")
-    held = allowed.select(F.col(key).alias("_key"), F.lower("value").alias("_held")).distinct()
-    codes = v.where("kind = 'code'").join(held, (F.col(key) == F.col("_key")) & F.col("_held").contains(F.lower("value")), "left_anti")
-    return others.unionByName(codes).select(key, "kind", "value")
+    held = allowed.select(F.col(key).alias("_key"), F.explode(F.split(F.lower("value"), r"\W+")).alias("_held")).where(F.col("_held").rlike(_TURN)).distinct()
+    held = held.select("_key", "_held", F.explode(F.array_distinct(F.regexp_extract_all("_held", F.lit(_TURN), F.lit(0)))).alias("_turn"))
+    codes = v.where("kind = 'code'").withColumn("_turn", F.regexp_extract(F.lower("value"), _TURN, 0))
+    codes = codes.join(held.withColumnRenamed("_turn", "_of"), (F.col(key) == F.col("_key")) & (F.col("_turn") == F.col("_of")) & F.col("_held").contains(F.lower("value")), "left_anti")
+    return others.unionByName(codes.drop("_turn")).select(key, "kind", "value")
 
 
 def unstated(facts: DataFrame, texts: DataFrame, key: str) -> DataFrame:

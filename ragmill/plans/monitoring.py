@@ -51,8 +51,11 @@ def k2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k3(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("keyword")).where("keyword <> ''")
-    return K.keyword_presence(table(spark, sf, "documents"), words)
+    """The words of benchmark items, the phrases of four that they begin with, their halves and the whole items."""
+    text = F.lower("text")
+    parts = F.split(text, " ")
+    phrases = F.concat(F.split(text, r"[^\p{L}]+"), F.array(F.array_join(F.slice(parts, 1, 4), " "), F.substring(text, 3, 11), text))
+    return K.keyword_presence(table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.explode(phrases).alias("keyword")))
 
 
 def k4(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,8 +85,12 @@ def k5_kinds(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(" for $"), F.format_number(F.col("o_totalprice") + F.when(k == 7, 1).otherwise(0), 2), F.lit("."),
     )
     o = table(spark, sf, "orders")
-    told = F.array(F.concat(F.lit("CUST-"), "o_custkey"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:30:00Z")), F.concat(F.date_format(day, "yyyy"), F.lit("-Q1")), F.lit("a part7x of iron"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
-    return K.unsupported(o.select("o_orderkey", body.alias("body")), "o_orderkey", o.select("o_orderkey", F.explode(told).alias("value")))
+    placed = F.struct(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:30:00Z")).alias("at"), F.lit(True).alias("open"))
+    items = F.array(F.struct(F.lit("a part7x of iron").alias("item"), F.col("o_totalprice").cast("decimal(18,2)").alias("price")))
+    record = F.struct(F.concat(F.lit("CUST-"), "o_custkey").alias("customer"), placed.alias("placed"), F.create_map(F.lit("period"), F.concat(F.date_format(day, "yyyy"), F.lit("-Q1"))).alias("booked"), items.alias("items"))
+    records = o.select("o_orderkey", record.alias("record"))
+    told = records.select("o_orderkey", F.explode(K.harvest(F.col("record"), records.schema["record"].dataType)).alias("value"))
+    return K.unsupported(o.select("o_orderkey", body.alias("body")), "o_orderkey", told)
 
 
 def k5(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,8 +156,8 @@ ORACLES = {
     "k1_normalize_quotes": f"select doc_id, {_NQ.format(c='text')} text from documents",
     "k2_quote_provenance": f"""with f as (select doc_id, text, case when doc_id % 10 = 0 then 'not there ' || substr(text, 1, 20) else substr(text, 5, 40) end q, substr(text, 8, 5) v from documents)
         select doc_id fact_id, contains({_NQ.format(c='text')}, {_NQ.format(c='q')}) in_document, contains({_NQ.format(c='q')}, {_NQ.format(c='v')}) in_quote from f""",
-    "k3_keyword_presence": """with w as (select distinct unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) keyword from benchmark), d as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) keyword from documents)
-        select keyword, count(doc_id) n_docs from w left join d using (keyword) where keyword <> '' group by keyword""",
+    "k3_keyword_presence": """with w as (select distinct unnest(list_concat(regexp_split_to_array(lower(text), '[^\\p{L}]+'), [array_to_string(string_split(lower(text), ' ')[1:4], ' '), substr(lower(text), 3, 11), lower(text)])) keyword from benchmark),
+        d as (select lower(text) t from documents where text is not null) select keyword, count(t) n_docs from (select * from w where keyword <> '') k left join d on contains(t, keyword) group by keyword""",
     "k4_extract_money_dates": "select o_orderkey, cast(cast(o_totalprice as decimal(18,2)) as double) amount, cast(o_orderdate as date) as \"day\" from orders",
     "k4_scores": "select o_orderkey, case when o_orderkey % 3 <> 0 then (o_orderkey % 5 || '.' || o_orderkey % 10)::double end score from orders",
     "k4_tier_lines": """select o_orderkey, o_orderpriority || ' Plan' as "name", ['custom', 'free', 'starting_at', 'fixed', 'fixed'][o_orderkey % 6 + 1] model,
