@@ -54,7 +54,7 @@ def slim_side(df: DataFrame) -> DataFrame:
 
 
 #: Rows and bytes of text in a batch between the JVM and Python: whole texts may be long, so fewer than Spark's defaults.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:

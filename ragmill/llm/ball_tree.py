@@ -64,6 +64,7 @@ class BallTree:
         f = f[perm]
         self.centre = np.array([f[lo:hi].mean(0) for lo, hi in self.rows])
         self.radius = np.array([np.sqrt(((f[lo:hi] - c) ** 2).sum(1).max()) for (lo, hi), c in zip(self.rows, self.centre, strict=True)])
+        self.reach = np.sqrt((self.centre**2).sum(1)) + self.radius
         self.opened = 0
 
     def search(self, q: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -78,7 +79,7 @@ class BallTree:
 
         def bound(node: int, live: np.ndarray, most: np.ndarray) -> np.ndarray:
             b = f[live] @ self.centre[node] + norm[live] * self.radius[node]
-            return np.minimum(b + 1.0 + 1e-9 * np.abs(b), most)
+            return np.minimum(b + 1.0 + 1e-9 * norm[live] * self.reach[node], most)  # the terms of b may be far larger than b
 
         every = np.arange(len(q))
         first = bound(0, every, np.full(len(q), np.inf))

@@ -35,6 +35,8 @@ U = K.U
 #: Masks over eight words: 1 is looked at, 0 is ignored.
 MASKS = ("11111000", "11110100", "11011010", "10110110", "11101001", "01100111")
 WIDE = 8
+#: Words from the first to the last seed of a stretch; one that runs on is the next stretch, and both keep the words of a whole window around each of their seeds.
+LONGEST = 512
 _BITS = 24
 _SLICES = 16
 
@@ -134,6 +136,8 @@ def _stretches(docs: DataFrame, seeds: DataFrame, span: int, short: tuple[int, .
                 at, v = at[order], v[order]
                 begin, end = np.searchsorted(row, np.arange(hi - lo)), np.searchsorted(row, np.arange(hi - lo), "right")
                 new = np.concatenate([[True], (row[at[1:]] != row[at[:-1]]) | (np.diff(at) > WIDE)])
+                run = at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+                new[1:] |= run[1:] // LONGEST != run[:-1] // LONGEST
                 for i, j in zip(np.flatnonzero(new), [*np.flatnonzero(new)[1:], len(at)], strict=True):
                     r = row[at[i]]
                     first, last = max(begin[r], at[i] - span), min(end[r], at[j - 1] + WIDE + span)
@@ -152,13 +156,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 20, num: int = 8
     seeds = written(benchmark_seeds(benchmark, short), "seeds")
     near = written(_stretches(docs, seeds, span, short).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
     hits = near.select("stretch", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("stretch", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    lines = hits.join(seeds, "hash").select("stretch", "item_id", (F.col("place") - F.col("pos")).alias("shift")).distinct()
+    lines = hits.join(slim_side(seeds), "hash").select("stretch", "item_id", (F.col("place") - F.col("pos")).alias("shift")).distinct()
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, h, row in _words(batch.column(1)):
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["item_id", "item"])
+                blobs = pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), blobs, pa.array(np.diff(cut))], ["item_id", "item", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,8 +182,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 20, num: int = 8
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "n_equal", "n_words"])
 
-    words = _rows(benchmark, "item_id").mapInArrow(items, "item_id long, item binary")
-    pairs = lines.join(near.select("stretch", "doc_id", "words"), "stretch").join(words, "item_id").select("doc_id", "item_id", "shift", "words", "item")
+    words = written(_rows(benchmark, "item_id").mapInArrow(items, "item_id long, item binary, n long"), "items")
+    # of a stretch only the words that the item would lie on go on, so a line costs an item's length however long the text is
+    first = F.greatest(F.col("shift"), F.lit(0))
+    window = F.substring(F.col("words"), (8 * first + 1).cast("int"), (8 * (F.col("shift") + F.col("n") - first)).cast("int"))
+    placed = written(lines.join(words.select("item_id", "n"), "item_id"), "lines").join(near.select("stretch", "doc_id", "words"), "stretch")
+    placed = placed.select("doc_id", "item_id", F.least(F.col("shift"), F.lit(0)).alias("shift"), window.alias("words"))
+    pairs = placed.join(words.select("item_id", "item"), "item_id").select("doc_id", "item_id", "shift", "words", "item")
     found = pairs.mapInArrow(verify, "doc_id long, item_id long, n_equal long, n_words long")
     best = F.max_by(F.struct("n_equal", "n_words"), F.struct(F.col("n_equal") / F.col("n_words"), "n_words"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_equal", "b.n_words")

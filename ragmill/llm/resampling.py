@@ -2,24 +2,24 @@
 
 Method: two generative models over hashed features (which words, word pairs and levels of self-repetition a document
 holds): target text, from documents labelled good and not toxic, and raw text, from all documents. Each model gives every feature
-the share of its documents that hold it. A document's importance weight is the product of the ratios target / raw of its
-features; the sample is the top k of log weight + Gumbel noise, which draws k documents without replacement in proportion to their
-weights. k is a parameter; by default it is the number that rejection sampling would accept, the sum of min(1, weight).
-Documents with a log weight under `least` have no weight and are never drawn: they are what the classifier rejects.
-
-`prior` documents are added to either count. Only the `informative` features that tell most (whose count in target text lies
-furthest from what raw text lets expect, in standard deviations, `sure` at least) have a ratio other than 1, so that a
-long document's hundreds of words that tell nothing do not drown a few that do; the number does not depend on the size of the tables.
+the share of its documents that hold it. A document's log importance weight is the sum of the log ratios target / raw of its features, normalised by the
+number of features that tell (over its square root from `few` on), so that weights of documents of all lengths are of the order of the noise. The
+sample is the top k of log weight + Gumbel noise over all documents, which draws k without replacement in proportion to their weights. k is a
+parameter; by default it is the number that rejection sampling would accept, the sum of min(1, weight).
+
+`prior` documents are added to either count. A feature tells if its count in target text lies `sure` standard deviations or more from what raw text lets
+expect; others have a ratio of 1. A ratio above 1 counts with the share `credit` of its log, so that hundreds of ordinary words do not drown a few bad ones.
+These are constants: nothing depends on how large the tables are, and any number of features may tell.
 Every feature is hashed twice and the ratio nearer to 1 stands, so that a word that shares one bucket with a telling one
 isn't taken for it.
 
 Counts are summed in each task into arrays of fixed size (`2 * 2**bits` numbers for each model), sent in slices and summed; the driver
-sees the most telling features of each slice only, besides the ids of at most `most_labelled` labelled documents (those with the smallest hashes).
+sees the telling features of each slice only, besides the ids of at most `most_labelled` labelled documents (those with the smallest hashes).
 Raw counts cover all documents. Scoring is a scan without a shuffle.
 
 Defined cases: null or empty text has no features and weight 1. Labels of one document must agree for it to be target text;
-null labels are no labels. Without target text all weights are 1. Repeated rows are judged each by itself; a row with a null doc_id is raw text,
-and all such rows have the same noise. Columns log_weight and sample_key of the input are replaced. Empty input: empty result.
+null labels are no labels. Without target text all weights are 1. Repeated rows are judged alike; a row with a null doc_id is raw text and has its noise
+from its text. Columns log_weight and sample_key of the input are replaced. Empty input: empty result.
 """
 
 from __future__ import annotations
@@ -68,21 +68,22 @@ def _target_ids(labels: DataFrame, most: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64))
 
 
-_TELLING = np.dtype([("away", "f4"), ("bucket", "i4"), ("ratio", "f4")])
+_TELLING = np.dtype([("bucket", "i4"), ("ratio", "f4")])
 
 
-def telling(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, prior: float, most: int, sure: float) -> np.ndarray:
-    """The buckets that tell most: how far their count in target text is from what raw text lets expect, and their log ratio."""
+def telling(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, prior: float, sure: float, credit: float) -> np.ndarray:
+    """The buckets that tell, whose count in target text is far from what raw text lets expect, and the log ratio of each."""
     share = n_target / max(n_raw, 1)
     expected = raw * share
     away = np.abs(target - expected) / np.sqrt(expected * (1 - share) + 1)
-    at = np.flatnonzero(away >= max(sure, np.partition(away, -most)[-most] if most < len(away) else 0))
+    at = np.flatnonzero(away >= sure)
+    ratio = np.log((target[at] + prior) / (expected[at] + prior))
     out = np.zeros(len(at), _TELLING)
-    out["away"], out["bucket"], out["ratio"] = away[at], at, np.log((target[at] + prior) / (expected[at] + prior))
+    out["bucket"], out["ratio"] = at, np.where(ratio > 0, credit * ratio, ratio)
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 0.5, informative: int = 2000, sure: float = 3.0, most_labelled: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 0.1, sure: float = 3.0, credit: float = 0.5, most_labelled: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """The telling buckets and the log ratio of target to raw of each."""
     spark, width = docs.sparkSession, 2 << bits
     target = spark.sparkContext.broadcast(_target_ids(labels, most_labelled))
@@ -109,20 +110,17 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = 0.5
 
     def finish(_: int, got: np.ndarray) -> bytes:
         raw, tgt = got[2:].reshape(2, -1).astype(np.float64)
-        return telling(raw, tgt, int(got[0]), int(got[1]), prior, informative, sure).tobytes() if got[1] else b""
+        return telling(raw, tgt, int(got[0]), int(got[1]), prior, sure, credit).tobytes() if got[1] else b""
 
     found = [np.zeros(0, _TELLING)]
     for i, v in folded(parts, "counts", np.int32, np.add, finish).collect():
         found.append(np.frombuffer(v, _TELLING).copy())
         found[-1]["bucket"] += i * (width // _SLICES)
-    every, out = np.concatenate(found), []
-    for half in (every[every["bucket"] < width // 2], every[every["bucket"] >= width // 2]):
-        out.append(half[half["away"] >= (np.partition(half["away"], -informative)[-informative] if informative < len(half) else 0)])
-    best = np.concatenate(out)
+    best = np.concatenate(found)
     return best["bucket"].copy(), best["ratio"].copy()
 
 
-def weighted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
+def weighted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, few: int = 16) -> DataFrame:
     """Rows of docs with their log_weight."""
     docs = docs.drop("log_weight", "sample_key")
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -135,7 +133,9 @@ def weighted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int =
             out = np.zeros(batch.num_rows)
             for lo, hi, row, value in features(batch.column(at), bits):
                 a, b = (ratio[x].astype(np.float64) for x in buckets(value, bits))
-                out[lo:hi] = np.bincount(row, np.where(np.abs(a) <= np.abs(b), a, b), minlength=hi - lo)
+                x = np.where(np.abs(a) <= np.abs(b), a, b)
+                tell = np.bincount(row, x != 0, minlength=hi - lo)
+                out[lo:hi] = np.bincount(row, x, minlength=hi - lo) / np.maximum(1, np.sqrt(tell / few))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*(f"c{i}" for i in range(batch.num_columns)), "log_weight"])
         give_back()
 
@@ -145,9 +145,12 @@ def weighted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int =
     return plain.mapInArrow(score, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), "log_weight")
 
 
-def gumbel(seed: int) -> Column:
-    """Gumbel noise that a row has from its doc_id and the seed alone."""
-    u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+def gumbel(seed: int, columns: list[str]) -> Column:
+    """Gumbel noise that a row has from its doc_id and the seed alone; from its text where it has no doc_id."""
+    drawn = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    if "text" in columns:
+        drawn = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text"), F.lit(seed))).otherwise(drawn)
+    u = (F.pmod(drawn, F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(-F.log(u))
 
 
@@ -175,16 +178,17 @@ def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> float:
 
 def draw(weights: DataFrame, k: int, seed: int = 7) -> tuple[Column, float]:
     """The Gumbel key of a row with a doc_id and a log_weight, and the key from which on k rows of weights are drawn (ties at it all are)."""
-    key = F.col("log_weight") + gumbel(seed)
+    key = F.col("log_weight") + gumbel(seed, weights.columns)
     slim = written(weights.select(key.alias("sample_key")), "keys")
     return key, kth_largest(slim, "sample_key", k) if k else float("inf")
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, least: float = -2.0, seed: int = 7, bits: int = BITS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7, bits: int = BITS) -> DataFrame:
     """The rows of docs that are drawn, with log_weight and sample_key: k, or as many as rejection sampling would accept."""
-    scored = weighted(docs, fit(docs, labels, bits), bits).where(F.col("log_weight") >= least)
-    slim = written(scored.select("doc_id", "log_weight"), "weights")
+    scored = weighted(docs, fit(docs, labels, bits), bits)
+    key = F.col("log_weight") + gumbel(seed, docs.columns)
+    slim = written(scored.select("log_weight", key.alias("sample_key")), "weights")
     if k is None:
         k = round(slim.agg(F.sum(F.least(F.lit(1.0), F.exp("log_weight")))).first()[0] or 0)
-    key, cut = draw(slim, k, seed)
+    cut = kth_largest(slim, "sample_key", k) if k else float("inf")
     return scored.withColumn("sample_key", key).where(F.col("sample_key") >= cut)

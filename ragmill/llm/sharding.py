@@ -52,5 +52,5 @@ def placed(df: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> Dat
     """df with the slot and the shard (name) of each row."""
     owner, order = lookup_table(names, slots), sorted(set(names))
     table = df.sparkSession.createDataFrame(list(zip(range(slots), (order[i] for i in owner), strict=True)), "slot int, shard string")
-    rest = df.drop("shard").withColumn("slot", slot_of(F.col(key), slots))
+    rest = df.withColumn("slot", slot_of(F.col(f"`{key}`"), slots)).drop("shard")
     return rest.join(F.broadcast(table), "slot").select(*(c for c in df.columns if c not in ("slot", "shard")), "slot", "shard")

@@ -286,6 +286,11 @@ def _spans(items: np.ndarray, length: int) -> np.ndarray:
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay, in order) and kept_sha256 of each document."""
+    return _cut(docs, length, False)
+
+
+def _cut(docs: DataFrame, length: int, as_text: bool) -> DataFrame:
+    """without_repeats; with as_text, doc_id and the text that stays."""
     docs = unique_texts(docs)
     items = repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -302,10 +307,14 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 kept = b"".join(text[x:y].tobytes() for x, y in keep)
                 for col, v in zip(out, (len(text), len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()), strict=True):
                     col.append(v)
+            if as_text:
+                texts = pa.array([x.decode("utf-8", "ignore") for x in out[3]], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
+                continue
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
         give_back()
 
-    return docs.select("doc_id", "text").join(items, "doc_id", "left").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").join(items, "doc_id", "left").mapInArrow(run, "doc_id long, text string" if as_text else schema)
 
 
 def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -313,14 +322,7 @@ def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     Characters of which a part was cut go whole.
     """
-    kept = without_repeats(docs, length)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    new = kept.select("doc_id", "kept").mapInArrow(decode, "doc_id long, text string")
+    new = _cut(docs, length, True)
     named = docs.where("doc_id is not null")
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
         rest = named.drop("text")
