@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragmill.sources.tables import scratch
+from ragmill.operators.order_stats import quantiles
+from ragmill.sources.tables import kept, scratch
 
 
 def day_before(c: Column) -> Column:
@@ -232,10 +233,10 @@ def residue(df: DataFrame, subjects: DataFrame, key: str, blank: list[str]) -> D
 def freshness(changes: DataFrame, targets: DataFrame) -> DataFrame:
     """By change class: changes, those available, median and p95 lag in hours, share within its target, share available."""
     lag = changes.withColumn("lag", F.timestamp_diff("SECOND", F.col("changed_at"), F.col("available_at")) / 3600.0)
-    p = F.percentile("lag", F.array(F.lit(0.5), F.lit(0.95)))
-    g = lag.join(F.broadcast(targets), "change_class").groupBy("change_class")
-    s = g.agg(F.count("*").alias("n"), F.count("lag").alias("n_available"), p.alias("p"), F.avg((F.col("lag") <= F.col("target_hours")).cast("double")).alias("within"))
-    return s.select("change_class", "n", "n_available", F.round(F.col("p")[0], 4).alias("p50"), F.round(F.col("p")[1], 4).alias("p95"), F.round("within", 6).alias("share_within"), F.round(F.col("n_available") / F.col("n"), 6).alias("share_available"))
+    lag = kept(lag.join(F.broadcast(targets), "change_class").select("change_class", "lag", "target_hours"), "lags")
+    s = lag.groupBy("change_class").agg(F.count("*").alias("n"), F.count("lag").alias("n_available"), F.avg((F.col("lag") <= F.col("target_hours")).cast("double")).alias("within"))
+    s = s.join(quantiles(lag, ["change_class"], "lag", {"p50": 0.5, "p95": 0.95}), "change_class", "left")
+    return s.select("change_class", "n", "n_available", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), F.round("within", 6).alias("share_within"), F.round(F.col("n_available") / F.col("n"), 6).alias("share_available"))
 
 
 def field_diffs(df: DataFrame, key: str, version: list[str], fields: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragmill.operators.order_stats import quantiles
+
 
 def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
     """Rows left, and their share, after each step and all before it; one pass."""
@@ -98,9 +100,9 @@ def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:
 
 def profile(df: DataFrame, value: str, points: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Count, mean, standard deviation, ends and percentiles (linear interpolation)."""
-    p = F.percentile(value, F.array(*map(F.lit, points)))
-    one = df.agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.min(value).alias("lowest"), F.max(value).alias("highest"), p.alias("p"))
-    return one.select("n", "mean", "std", "lowest", "highest", *(F.round(F.col("p")[i], 4).alias(f"p{int(x * 100)}") for i, x in enumerate(points)))
+    one = df.agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
+    names = {f"p{int(x * 100)}": x for x in points}
+    return one.join(F.broadcast(quantiles(df, [], value, names)), F.lit(True), "left").select("n", "mean", "std", "lowest", "highest", *(F.round(n, 4).alias(n) for n in names))  # one row each
 
 
 def category_counts(df: DataFrame, *by: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragmill.operators.order_stats import half_band, running_moments
+
 #: Lower ends of green and of amber (fixed values).
 BANDS = {"mrr": (0.9, 0.75), "ndcg": (0.9, 0.75), "coverage": (90.0, 75.0), "answers": (4.5, 4.0)}
 
@@ -80,7 +82,6 @@ def error_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def running_error(df: DataFrame, by: str, order: list[str], error: str) -> DataFrame:
-    """Running mean and 95 % band of an error in row order within each series; the band is 0 at the first row."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(error).over(w)
-    return df.withColumn("mean_error", F.avg(error).over(w)).withColumn("band", F.when(n > 1, 1.96 * F.stddev_pop(error).over(w) / F.sqrt(n)).otherwise(0.0))
+    """Running mean and 95 % band of an error in row order within each series; the band is 0 at the first row. A long series is spread over many tasks."""
+    r = running_moments(df, by, order, error)
+    return r.select(*df.columns, F.col("run_mean").alias("mean_error"), half_band(F.col("run_n"), F.col("run_m2")).alias("band"))

@@ -5,22 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def rank_percentile(values: Column, p: int) -> Column:
-    """sorted[min(n - 1, int(p / 100 * n))] of an array."""
-    n = F.size(values)
-    return F.element_at(F.sort_array(values), F.least(n - 1, F.floor(F.lit(p) * n / 100).cast("int")) + 1)
-
-
-def exact_percentiles(df: DataFrame, by: list[str], value: str, points: list[int]) -> DataFrame:
-    """The same by group without gathering its values: distinct values are counted, and counts are summed up in value order."""
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    upto = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    at = lambda p: F.least(F.col("_all") - 1, F.floor(F.lit(p) * F.col("_all") / 100)) + 1
-    return upto.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= at(p), F.col(value))).alias(f"p{p}") for p in points))
+from ragmill.operators.order_stats import quantiles
 
 
 def _rates() -> list[Column]:
@@ -30,9 +15,8 @@ def _rates() -> list[Column]:
 
 def request_metrics(log: DataFrame, minutes: float) -> DataFrame:
     """Count, latency with p95 and p99, throughput a minute, and rates over all requests; one row."""
-    one = log.withColumn("_g", F.lit(0))
-    p = exact_percentiles(one, ["_g"], "latency_ms", [95, 99])
-    return one.groupBy("_g").agg(*_rates()).join(p, "_g").drop("_g").withColumn("per_minute", F.round(F.col("n") / minutes, 6))
+    p = quantiles(log, [], "latency_ms", {"p95": 0.95, "p99": 0.99}, interpolate=False)
+    return log.agg(*_rates()).join(F.broadcast(p), F.lit(True), "left").withColumn("per_minute", F.round(F.col("n") / minutes, 6))  # one row each
 
 
 def rates_by(log: DataFrame, *slices: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Retrieval: BM25, exact and clustered vector top-k, fusion of rankings, context assembly."""
+"""Retrieval: exact and clustered vector top-k, fusion of rankings, context assembly."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import l2_normalize
-from ragmill.sources.tables import small_side
 
 #: Most vectors that a task holds at a time.
 SHARD_ROWS = 16384
@@ -26,35 +25,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def bm25_index(docs: DataFrame, id_col: str = "doc_id", epsilon: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """Postings (doc, term, tf, dl) and terms (term, df, idf, avgdl). A negative idf becomes epsilon times the mean idf."""
-    t = docs.select(F.col(id_col).alias("doc_id"), tokens("text").alias("w"))
-    postings = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    totals = t.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    df = t.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))  # summed in each task before the shuffle
-    raw = df.crossJoin(F.broadcast(totals)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of totals
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    terms = raw.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")))
-    return postings, terms.select("term", "df", "idf", "avgdl")
-
-
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, rank, doc_id, score of the documents that share a term with the query; repeated query terms count again.
-
-    The terms of queries, with their statistics, are worked out once. Where they are few enough to be broadcast, words of documents are cut to them
-    as they are read, so only counts of query terms are shuffled, by document; a frequent term is no hot key.
-    """
-    _, terms = bm25_index(docs)
-    q = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = small_side(q.join(terms, "term"), "query-terms")
-    t = docs.select("doc_id", tokens("text").alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    used = small_side(wanted.select("term").distinct(), "terms")
-    postings = t.join(used, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return ranked(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
-
-
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True, classes: bool = False) -> DataFrame:
     """query_id, rank, doc_id, score (cosine, rounded to 6) over all vectors; ties by id. vectors and queries are (id, vector).
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ragmill.functions import text as X
 from ragmill.operators import curate as C
-from ragmill.sources.tables import table
+from ragmill.operators.order_stats import quantiles
+from ragmill.sources.tables import kept, table
 
 
 def parse_price(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,9 +48,10 @@ def filter_funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("lang", X.count_words(F.col("text")).cast("long").alias("t"), F.length("text").cast("long").alias("c"))
-    p = F.percentile("t", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    g = d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("t").alias("tokens"), F.round(F.sum("c") / F.sum("t"), 6).alias("chars_per_token"), p.alias("p"))
-    return g.select("lang", "n_docs", "tokens", "chars_per_token", *(F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
+    d = kept(d, "token-counts")
+    g = d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("t").alias("tokens"), F.round(F.sum("c") / F.sum("t"), 6).alias("chars_per_token"))
+    q = quantiles(d, ["lang"], "t", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return g.join(q, "lang", "left").select("lang", "n_docs", "tokens", "chars_per_token", *(F.round(n, 4).alias(n) for n in ("p50", "p90", "p99")))
 
 
 def token_cap_table(spark: SparkSession, sf: str) -> DataFrame:

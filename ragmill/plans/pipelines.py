@@ -13,13 +13,13 @@ from ragmill.streaming import jobs as S
 
 
 def a1(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as text files, one for each, under their source, and read as a tree."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    """Documents written as text files, one for each, under their source, and read as a tree: whole texts come back."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("value"))
     root = f"{scratch(spark, 'tree')}/corpus"
-    d.select("source", F.concat_ws(" ", F.col("doc_id").cast("string"), "lang").alias("value")).write.partitionBy("source").text(root)
+    d.repartition("source", "doc_id").write.partitionBy("source", "doc_id").text(root)
     found = A.read_markdown_tree(spark, root, "*.txt")
-    lines = found.select(F.regexp_replace("doc_type", "source=", "").alias("doc_type"), F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    return lines.groupBy("doc_type").agg(F.count("*").alias("n_docs"), F.sum(F.split("line", " ")[0].cast("long")).alias("id_sum"))
+    text = F.regexp_replace("text", r"\n\z", "")  # the writer ends a file with a line break
+    return found.select(F.regexp_extract("source", "/doc_id=([^/]+)/", 1).cast("long").alias("doc_id"), F.regexp_replace("doc_type", "source=", "").alias("doc_type"), F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
 
 
 _META = T.StructType([T.StructField("doc_id", T.LongType(), False), T.StructField("lang", T.StringType(), False), T.StructField("content_sha256", T.StringType(), False)])
@@ -71,21 +71,38 @@ def a6(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("key_sum"))
 
 
+def _as_files(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("source").alias("area"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("text").alias("content"))
+
+
 def a7(spark: SparkSession, sf: str) -> DataFrame:
-    return A.manifest(table(spark, sf, "documents").select(F.col("source").alias("area"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("text").alias("content")))
+    return A.manifest(A.hash_tree(_as_files(spark, sf)))
+
+
+def a7_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """What a comparison of two trees finds when some texts have changed, one document in fifty is gone and others are new."""
+    old = _as_files(spark, sf)
+    k = F.col("path").cast("long") % 50
+    new = old.where(k != 7).withColumn("content", F.when(k == 3, F.concat("content", F.lit("."))).otherwise(F.col("content")))
+    more = old.where(k == 9).withColumn("path", F.concat("path", F.lit("-2")))
+    return A.changed_files(A.hash_tree(old), A.hash_tree(new.unionByName(more)))
 
 
 def a8(spark: SparkSession, sf: str) -> DataFrame:
-    r = A.batch_requests(table(spark, sf, "documents"), "doc_id", "Summarise.", F.concat(F.lit("Text of "), F.col("source")), "model-1")
-    return r.select("batch_no", "value")
+    """The whole text of a document is the user's message."""
+    r = A.batch_requests(table(spark, sf, "documents"), "doc_id", "Summarise.", F.coalesce("text", F.lit("")), "model-1")
+    back = F.from_json("value", "custom_id string, body struct<model:string,messages:array<struct<role:string,content:string>>>")
+    told = r.withColumn("r", back)
+    return told.select("batch_no", F.col("r.custom_id").cast("long").alias("doc_id"), F.col("r.body.model").alias("model"), F.col("r.body.messages")[0]["content"].alias("system"), F.md5(F.col("r.body.messages")[1]["content"]).alias("digest"))
 
 
 def a9(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "source")
+    """Responses that quote the whole text, some of them delivered twice."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     line = lambda text: F.to_json(F.struct(F.col("doc_id").cast("string").alias("custom_id"), F.struct(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response")))
-    first = d.where("doc_id % 11 <> 0").select(line(F.concat(F.lit("old "), "source")).alias("value"), F.lit(1).alias("delivered"))
-    again = d.where("doc_id % 5 = 0 and doc_id % 11 <> 0").select(line(F.concat(F.lit("new "), "source")).alias("value"), F.lit(2).alias("delivered"))
-    return A.apply_responses(d, "doc_id", first.unionByName(again))
+    first = d.where("doc_id % 11 <> 0").select(line(F.concat(F.lit("old "), "text")).alias("value"), F.lit(1).alias("delivered"))
+    again = d.where("doc_id % 5 = 0 and doc_id % 11 <> 0").select(line(F.concat(F.lit("new "), "text")).alias("value"), F.lit(2).alias("delivered"))
+    return A.apply_responses(d, "doc_id", first.unionByName(again)).select("doc_id", "source", F.md5("summary").alias("summary"))
 
 
 def a9_missing(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,12 +174,16 @@ def _stream(spark: SparkSession, sf: str, view: str, *closing: str) -> DataFrame
 
 def j6(spark: SparkSession, sf: str) -> DataFrame:
     out = S.drain(S.windowed_metrics(_stream(spark, sf, "request_log", "tenant")), scratch(spark, "j6")).where("tenant >= 0")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tenant", "n", F.round("mean_latency", 4).alias("mean_latency"), F.round("p95", 6).alias("p95"), F.round("error_rate", 6).alias("error_rate"), F.round("empty_rate", 6).alias("empty_rate"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tenant", "n", F.round("per_minute", 6).alias("per_minute"), F.round("mean_latency", 4).alias("mean_latency"), F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"), F.round("error_rate", 6).alias("error_rate"), F.round("timeout_rate", 6).alias("timeout_rate"), F.round("empty_rate", 6).alias("empty_rate"))
+
+
+_ROUTES = [(0, "search team", "check the gateway"), (1, "billing team", "check quotas"), (3, "search team", "check the index"), (None, "platform team", "start with the dashboard")]
 
 
 def j7(spark: SparkSession, sf: str) -> DataFrame:
-    out = S.drain(S.sustained_alerts(_stream(spark, sf, "request_log", "tenant"), 0.1), scratch(spark, "j7")).where("tenant >= 0")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tenant", F.round("lowest", 6).alias("lowest"), "severity")
+    routes = spark.createDataFrame(_ROUTES, "tenant int, owner string, runbook string")
+    out = S.drain(S.sustained_alerts(_stream(spark, sf, "request_log", "tenant"), 0.1, routes), scratch(spark, "j7")).where("tenant >= 0")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tenant", F.round("lowest", 6).alias("lowest"), "severity", "owner", "runbook")
 
 
 def j8(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,31 +213,35 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "a1_read_markdown_tree": a1, "a2_parse_front_matter": a2, "a2_rejected_front_matter": a2_rejected, "a3_read_entities": a3, "a4_read_product_meta": a4, "a5_write_index": a5, "a6_write_splits": a6, "a7_dataset_manifest": a7,
+    "a1_read_markdown_tree": a1, "a2_parse_front_matter": a2, "a2_rejected_front_matter": a2_rejected, "a3_read_entities": a3, "a4_read_product_meta": a4, "a5_write_index": a5, "a6_write_splits": a6, "a7_dataset_manifest": a7, "a7_changed_files": a7_changed,
     "a8_make_batch_requests": a8, "a9_apply_batch_responses": a9, "a9_missing_responses": a9_missing, "l1_tabular_features": l1, "l2_mean_baseline": l2, "l3_linear_baseline": l3, "l4_bag_of_words_regression": l4, "l5_hashed_features": l5,
     "l6_tree_baselines": l6, "j6_windowed_metrics": j6, "j7_sustained_alert": j7, "j8_cdc_stream_apply": j8, "j9_freshness_stream": j9, "j10_session_activity": j10,
 }
 
 _BUCKETS = "b as (select time_bucket(interval 5 minutes, ts, timestamp '1970-01-01') w, tenant, avg((status <> 'ok')::int) rate from {request_log} group by all)"
 ORACLES = {
-    "a1_read_markdown_tree": "select source doc_type, count(*) n_docs, cast(sum(doc_id) as bigint) id_sum from documents group by source",
+    "a1_read_markdown_tree": "select doc_id, source doc_type, cast(length(coalesce(text, '')) as integer) n_chars, md5(coalesce(text, '')) digest from documents",
     "a2_parse_front_matter": "select doc_id file_no, doc_id, lang, md5(text) digest from documents where doc_id % 13 <> 0 and doc_id % 17 <> 0",
     "a2_rejected_front_matter": "select doc_id file_no, case when doc_id % 17 = 0 then 'no front matter' else 'hash differs' end reason from documents where doc_id % 17 = 0 or doc_id % 13 = 0",
     "a3_read_entities": "select o_orderstatus, count(*) n, cast(sum(o_custkey) as bigint) key_sum from orders group by 1",
     "a4_read_product_meta": "select string_split(p_type, ' ')[1] category, count(*) n, round(sum(p_retailprice), 2) total from part group by 1",
     "a5_write_index": "select label, count(*) n, cast(sum(vec_id) as bigint) id_sum from embeddings group by label",
     "a6_write_splits": "with r as (select p_partkey, row_number() over (order by md5('parts' || p_partkey), p_partkey) r, count(*) over () n from part) select case when r <= floor(n * 0.8::double) then 'train' else 'test' end split, count(*) n, cast(sum(p_partkey) as bigint) key_sum from r group by 1",
-    "a7_dataset_manifest": """with l as (select source area, lpad(cast(doc_id as varchar), 12, '0') || chr(9) || sha256(text) line from documents), a as (select area, count(*) n_files, sha256(string_agg(line, chr(10) order by line)) digest from l group by area)
-        select * from a union all select 'all', cast(sum(n_files) as bigint), sha256(string_agg(area || chr(9) || digest, chr(10) order by area || chr(9) || digest)) from a""",
-    "a8_make_batch_requests": """select doc_id // 1000 batch_no, '{"custom_id":"' || doc_id || '","method":"POST","url":"/v1/chat/completions","body":{"model":"model-1","messages":[{"role":"system","content":"Summarise."},{"role":"user","content":"Text of ' || source || '"}]}}' as value from documents""",
-    "a9_apply_batch_responses": "select doc_id, source, case when doc_id % 11 = 0 then null when doc_id % 5 = 0 then 'new ' || source else 'old ' || source end summary from documents",
+    "a7_dataset_manifest": """with l as (select source area, lpad(cast(doc_id as varchar), 12, '0') path, sha256(coalesce(text, '')) sha from documents), n2 as (select area, sha256(path)[1:4] node, count(*) n, sha256(string_agg(path || chr(9) || sha, chr(10) order by path || chr(9) || sha)) digest from l group by all),
+        n1 as (select area, node[1:2] node, sum(n) n, sha256(string_agg(node || chr(9) || digest, chr(10) order by node)) digest from n2 group by all), a as (select area, cast(sum(n) as bigint) n_files, sha256(string_agg(node || chr(9) || digest, chr(10) order by node)) digest from n1 group by area)
+        select * from a union all select 'all', cast(sum(n_files) as bigint), sha256(string_agg(area || chr(9) || digest, chr(10) order by area)) from a""",
+    "a7_changed_files": """with d as (select source area, lpad(cast(doc_id as varchar), 12, '0') path, doc_id % 50 k from documents)
+        select area, path, 'changed' "change" from d where k = 3 union all select area, path, 'removed' from d where k = 7 union all select area, path || '-2', 'added' from d where k = 9""",
+    "a8_make_batch_requests": "select doc_id // 1000 batch_no, doc_id, 'model-1' model, 'Summarise.' system, md5(coalesce(text, '')) digest from documents",
+    "a9_apply_batch_responses": "select doc_id, source, case when doc_id % 11 = 0 then null when doc_id % 5 = 0 then md5('new ' || coalesce(text, '')) else md5('old ' || coalesce(text, '')) end summary from documents",
     "a9_missing_responses": "select doc_id from documents where doc_id % 11 = 0",
     "l1_tabular_features": "select p_partkey, p_size::double weight, (p_size = 0)::integer weight_unknown, cast(length(p_name) as integer) text_length from part",
     "l2_mean_baseline": """with e as (select p_retailprice y, (select avg(p_retailprice) from part) g from part), d as (select *, abs(y - g) e from e)
         select count(*) n, round(avg(e), 4) mean_error, round(avg((y - g) * (y - g)), 3) mse, round(1 - avg((y - g) * (y - g)) / var_pop(y), 6) + 0.0 r2, round(avg((e < 40 or e / abs(y) < 0.2)::int), 6) share_green, 'mean' model from d""",
     "l5_hashed_features": "with s as (select avg(ln(1 + n_chars)) m, stddev_pop(ln(1 + n_chars)) d from documents) select doc_id, round((ln(1 + n_chars) - m) / d, 6) scaled, round(n_chars::double, 3) back from documents, s",
-    "j6_windowed_metrics": "select time_bucket(interval 5 minutes, ts, timestamp '1970-01-01') window_start, tenant, count(*) n, round(avg(latency_ms), 4) mean_latency, round(quantile_disc(latency_ms, 0.95), 6) p95, round(avg((status <> 'ok')::int), 6) error_rate, round(avg((status = 'ok' and num_results = 0)::int), 6) empty_rate from {request_log} group by all",
-    "j7_sustained_alert": f"with {_BUCKETS}, s as (select w - interval 5 minutes * i ws, tenant, rate from b, (select unnest([0, 1, 2]) i)) select ws window_start, tenant, round(min(rate), 6) lowest, 'CRITICAL' severity from s group by all having count(*) = 3 and min(rate) > 0.3",
+    "j6_windowed_metrics": "select time_bucket(interval 5 minutes, ts, timestamp '1970-01-01') window_start, tenant, count(*) n, round(count(*) / 5.0::double, 6) per_minute, round(avg(latency_ms), 4) mean_latency, round(quantile_disc(latency_ms, 0.95), 6) p95, round(quantile_disc(latency_ms, 0.99), 6) p99, round(avg((status <> 'ok')::int), 6) error_rate, round(avg((status = 'timeout')::int), 6) timeout_rate, round(avg((status = 'ok' and num_results = 0)::int), 6) empty_rate from {request_log} group by all",
+    "j7_sustained_alert": f"""with {_BUCKETS}, s as (select w - interval 5 minutes * i ws, tenant, rate from b, (select unnest([0, 1, 2]) i)) select ws window_start, tenant, round(min(rate), 6) lowest, 'CRITICAL' severity, case tenant when 0 then 'search team' when 1 then 'billing team' when 3 then 'search team' else 'platform team' end as owner,
+        case tenant when 0 then 'check the gateway' when 1 then 'check quotas' when 3 then 'check the index' else 'start with the dashboard' end runbook from s group by all having count(*) = 3 and min(rate) > 0.3""",
     "j8_cdc_stream_apply": "select object_id, max(sequence) sequence, max_by(after_value, sequence) as value from {cdc_events} group by object_id having max_by(operation, sequence) <> 'delete'",
     "j9_freshness_stream": "select change_id, case when available_at <= changed_at + interval 90 days then date_diff('second', changed_at, available_at) end lag_seconds from {changes}",
     "j10_session_activity": """with g as (select user_id, ts, coalesce(ts - lag(ts) over w >= interval 30 minutes, true) n from events window w as (partition by user_id order by ts)), s as (select *, sum(n::int) over (partition by user_id order by ts rows unbounded preceding) k from g)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragmill.sources.tables import kept, small_side
+
 
 def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """source (path), doc_type (first folder under the root) and text of every matching file, one row for each."""
@@ -53,18 +55,44 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """(area, path, content) to a digest for each area, and for "all" of those: sha256 of the sorted lines path, tab, sha256.
+def _joined(name: str, digest: str) -> Column:
+    """sha256 of the sorted lines name, tab, digest of a group."""
+    return F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("\t", name, digest))), "\n"), 256)
+
 
-    Only lines are gathered, one for each file.
+def hash_tree(files: DataFrame) -> list[DataFrame]:
+    """A hash tree of (area, path, content), from its leaves up: (area, path, sha), and two levels of (area, node, n, digest).
+
+    A leaf hangs under the node that the first four hex digits of its path's sha256 name, and that under the one of the first two: a node gathers
+    256 digests, or one in 65,536 of an area's lines, so no value grows with an area. How the rows are partitioned makes no difference. Null content is empty.
     """
-    lines = files.select("area", F.concat_ws("\t", F.col("path"), F.sha2("content", 256)).alias("line"))
-    digest = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
-    areas = lines.groupBy("area").agg(F.count("*").alias("n_files"), digest("line").alias("digest"))
-    total = areas.agg(F.sum("n_files").alias("n_files"), digest(F.concat_ws("\t", "area", "digest")).alias("digest")).withColumn("area", F.lit("all"))
+    leaves = kept(files.select("area", "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha")), "leaves")
+    low = leaves.groupBy("area", F.substring(F.sha2("path", 256), 1, 4).alias("node")).agg(F.count("*").alias("n"), _joined("path", "sha").alias("digest"))
+    low = kept(low, "nodes")
+    high = low.groupBy("area", F.substring("node", 1, 2).alias("upper")).agg(F.sum("n").alias("n"), _joined("node", "digest").alias("digest")).withColumnRenamed("upper", "node")
+    return [leaves, low, kept(high, "nodes")]
+
+
+def manifest(tree: list[DataFrame]) -> DataFrame:
+    """area, n_files and digest of each area of a hash tree, and of "all" areas."""
+    areas = tree[-1].groupBy("area").agg(F.sum("n").alias("n_files"), _joined("node", "digest").alias("digest"))
+    total = areas.agg(F.sum("n_files").alias("n_files"), _joined("area", "digest").alias("digest")).withColumn("area", F.lit("all"))
     return areas.unionByName(total)
 
 
+def changed_files(old: list[DataFrame], new: list[DataFrame]) -> DataFrame:
+    """(area, path, change): files that two hash trees don't share, found by descent: only below nodes that differ are lower ones compared."""
+    below = None
+    for a, b in zip(reversed(old[1:]), reversed(new[1:]), strict=True):
+        if below is not None:
+            a, b = (x.join(below, (x.area == below.in_area) & (F.substring(x.node, 1, 2) == below.under), "left_semi") for x in (a, b))
+        j = a.select("area", "node", F.col("digest").alias("da")).join(b.select("area", "node", F.col("digest").alias("db")), ["area", "node"], "full_outer")
+        below = small_side(j.where(~F.col("da").eqNullSafe(F.col("db"))).select(F.col("area").alias("in_area"), F.col("node").alias("under")), "differing")
+    here = lambda x, name: x.join(below, (x.area == below.in_area) & (F.substring(F.sha2(x.path, 256), 1, 4) == below.under), "left_semi").select("area", "path", F.col("sha").alias(name))
+    j = here(old[0], "sa").join(here(new[0], "sb"), ["area", "path"], "full_outer").where(~F.col("sa").eqNullSafe(F.col("sb")))
+    return j.select("area", "path", F.when(F.col("sa").isNull(), "added").when(F.col("sb").isNull(), "removed").otherwise("changed").alias("change"))
+
+
 def batch_requests(items: DataFrame, id_col: str, system: str, user: Column, model: str, size: int = 1000) -> DataFrame:
     """A JSON request for each item, numbered into files of size rows by id."""
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))

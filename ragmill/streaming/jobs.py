@@ -6,50 +6,101 @@ end of what is there (availableNow) and returns what it wrote.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ragmill.operators.changes import replay
 
 
 def windowed_metrics(log: DataFrame, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Requests, mean and approximate p95 latency, and rates by window and tenant."""
+    """Requests and their number a minute, mean, approximate p95 and p99 of latency, and rates, by window and tenant."""
     g = log.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "tenant")
-    s = g.agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_latency"), F.approx_percentile("latency_ms", 0.95).alias("p95"), F.avg((F.col("status") != "ok").cast("double")).alias("error_rate"), F.avg(((F.col("status") == "ok") & (F.col("num_results") == 0)).cast("double")).alias("empty_rate"))
-    return s.select(F.col("w.start").alias("window_start"), "tenant", "n", "mean_latency", "p95", "error_rate", "empty_rate")
+    s = g.agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_latency"), F.approx_percentile("latency_ms", F.array(F.lit(0.95), F.lit(0.99))).alias("p"), F.avg((F.col("status") != "ok").cast("double")).alias("error_rate"), F.avg((F.col("status") == "timeout").cast("double")).alias("timeout_rate"), F.avg(((F.col("status") == "ok") & (F.col("num_results") == 0)).cast("double")).alias("empty_rate"))
+    per_minute = F.col("n") / ((F.unix_timestamp("w.end") - F.unix_timestamp("w.start")) / 60)
+    return s.select(F.col("w.start").alias("window_start"), "tenant", "n", per_minute.alias("per_minute"), "mean_latency", F.col("p")[0].alias("p95"), F.col("p")[1].alias("p99"), "error_rate", "timeout_rate", "empty_rate")
 
 
-def sustained_alerts(log: DataFrame, baseline: float, factor: float = 3.0, late: str = "10 minutes") -> DataFrame:
-    """Tenants whose error rate stays above factor times the baseline in all three buckets of a sliding quarter of an hour."""
+def sustained_alerts(log: DataFrame, baseline: float, routes: DataFrame, factor: float = 3.0, late: str = "10 minutes") -> DataFrame:
+    """Tenants whose error rate stays above factor times the baseline in all three buckets of a sliding quarter of an hour, and who is to do what.
+
+    routes (tenant, owner, runbook) is a small table, joined to the alerts only; the row with a null tenant stands for tenants that have none of their own.
+    """
     bucket = log.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes").alias("b"), "tenant").agg(F.avg((F.col("status") != "ok").cast("double")).alias("rate"))
     slide = bucket.groupBy(F.window(F.window_time("b"), "15 minutes", "5 minutes").alias("w"), "tenant").agg(F.min("rate").alias("lowest"), F.count("*").alias("n_buckets"))
-    return slide.where((F.col("n_buckets") == 3) & (F.col("lowest") > factor * baseline)).select(F.col("w.start").alias("window_start"), "tenant", "lowest", F.lit("CRITICAL").alias("severity"))
+    hot = slide.where((F.col("n_buckets") == 3) & (F.col("lowest") > factor * baseline))
+    rest = routes.where("tenant is null").select(F.col("owner").alias("other_owner"), F.col("runbook").alias("other_runbook"), F.lit(1).alias("_1"))
+    told = hot.join(F.broadcast(routes.where("tenant is not null")), "tenant", "left").withColumn("_1", F.lit(1)).join(F.broadcast(rest), "_1", "left")
+    what = F.concat(F.lit(f"error rate above {factor:g} x {baseline:g} for 15 minutes, "), F.round(F.col("lowest") / baseline, 2).cast("string"), F.lit(" x at least"))
+    return told.select(F.col("w.start").alias("window_start"), "tenant", "lowest", F.lit("CRITICAL").alias("severity"), what.alias("what"), F.coalesce("owner", "other_owner").alias("owner"), F.coalesce("runbook", "other_runbook").alias("runbook"))
+
+
+class _Latest(StatefulProcessor):
+    """The last change of each object (its tombstone, too), and for a while the ids of what was delivered, so that repeats are told."""
+
+    def __init__(self, repeat_ms: int):
+        self.repeat_ms = repeat_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "sequence long, operation string, after_value double")
+        self.seen = handle.getMapState("seen", "event_id string", "until long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        before = self.last.get() if self.last.exists() else None
+        best, started = before, timerValues.getCurrentWatermarkInMs()
+        for r in rows:
+            if self.seen.containsKey((r.event_id,)):
+                continue
+            until = max(started, int(r.ts.timestamp() * 1000)) + self.repeat_ms
+            self.seen.updateValue((r.event_id,), (until,))
+            self.handle.registerTimer(until)
+            if best is None or r.sequence > best[0]:
+                best = (r.sequence, r.operation, r.after_value)
+        if best is not None and best is not before:
+            self.last.update(best)
+            yield Row(object_id=key[0], sequence=best[0], operation=best[1], after_value=best[2])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for event_id in [k[0] for k, v in self.seen.iterator() if v[0] <= now]:
+            self.seen.removeKey((event_id,))
+        yield from ()
+
+
+def latest_changes(events: DataFrame, late: str = "1 day", repeat_ms: int = 86_400_000) -> DataFrame:
+    """A stream of the objects that a batch has changed (object_id, sequence, operation, after_value), from keyed state.
+
+    events: event_id, ts, object_id, sequence, operation, after_value. The highest sequence of an object stays, tombstones too, so a late update can't bring a row back. Events that
+    were delivered within repeat_ms before are repeats and change nothing; a timer of event time forgets their ids. A batch reads and writes the state of its own objects only.
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    keyed = events.withWatermark("ts", late).groupBy("object_id")
+    return keyed.transformWithState(_Latest(repeat_ms), T.StructType.fromDDL("object_id long, sequence long, operation string, after_value double"), "Update", "EventTime")
+
+
+#: Provider of state stores that transformWithState needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def apply_changes(events: DataFrame, target: str, late: str = "1 day"):
-    """A writer that folds each batch into the state at `target` (object_id, sequence, operation, after_value).
+def apply_changes(events: DataFrame, target: str, late: str = "1 day", repeat_ms: int = 86_400_000) -> DataStreamWriter:
+    """A writer of latest_changes to `target`, a folder v=n for each batch with what the batch has changed.
 
-    Repeats are dropped within the watermark; the highest sequence of a key stays, tombstones too, so a late update can't bring
-    a row back. Each batch writes a new version of the state, and a repeated batch writes the same one again.
+    What is written follows the batch, not the state; a batch that runs again after a failure writes its own folder again.
     """
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("object_id", "sequence", "operation", "after_value")
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/v={number - 1}"))
-        row = F.max_by(F.struct("operation", "after_value"), "sequence").alias("l")
-        rows.groupBy("object_id").agg(F.max("sequence").alias("sequence"), row).select("object_id", "sequence", "l.*").write.mode("overwrite").parquet(f"{target}/v={number}")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/v={number}")
 
-    return once.writeStream.outputMode("append").foreachBatch(fold)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # of the queries that start from now on
+    return latest_changes(events, late, repeat_ms).writeStream.outputMode("update").foreachBatch(put)
 
 
 def state(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
-    """Live rows of a version of the state, by default the latest."""
-    if version is None:
-        version = spark.read.parquet(target).select(F.max("v")).first()[0]
-    return replay(spark.read.parquet(f"{target}/v={version}"))
+    """Live rows after a batch, by default the last one: of each object the change with the highest sequence, unless that is a delete."""
+    written = spark.read.schema("object_id long, sequence long, operation string, after_value double, v int").parquet(target)
+    return replay(written if version is None else written.where(F.col("v") <= version))
 
 
 def freshness(changed: DataFrame, available: DataFrame, within: str = "90 days", late: str = "1 day") -> DataFrame:

@@ -1,8 +1,10 @@
 """Edge cases on small inline tables."""
 
 import datetime
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import kernels
 from ragmill.functions import text as X
 from ragmill.operators import changes as G
-from ragmill.operators import access, chunk, curate, evaluate, govern, retrieve
+from ragmill.operators import access, chunk, curate, evaluate, govern, lexical, order_stats, retrieve
 from ragmill.operators import facts as K
 from ragmill.plans import curation, governance, retrieval
 from ragmill.sources import files
@@ -330,3 +332,114 @@ def test_exact_topk_over_several_shards(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "SHARD_ROWS", 1000)
     assert many == rows(retrieve.exact_topk(v, q, 6)) and len(many) == 180
     assert retrieve.exact_topk(v.limit(0), q, 6).count() == 0
+
+
+@pytest.mark.parametrize("points", [{"a": 0.0, "b": 0.5, "c": 1.0}, {"a": 0.25, "b": 0.333, "c": 0.999}])
+def test_quantiles_of_skewed_groups(spark, points):
+    r = np.random.default_rng(8)
+    groups = {"normal": r.normal(size=500), "one": np.array([7.0]), "same": np.full(50, 3.0), "heavy": np.exp(40 * r.normal(size=400)), "huge": np.array([-1.7e308, 1.7e308, 0.0, 1e-300]), "ties": r.integers(0, 4, 300).astype(float)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("normal", None), ("none", None), ("normal", float("nan"))], "g string, v double").repartition(5)
+    got = {x.g: x for x in order_stats.quantiles(df, ["g"], "v", points).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for name, p in points.items():
+            at = (len(vs) - 1) * p
+            a, b = np.sort(vs)[[math.floor(at), math.ceil(at)]]
+            want = a if math.floor(at) == math.ceil(at) else (math.ceil(at) - at) * a + (at - math.floor(at)) * b
+            assert got[g][name] == pytest.approx(want, rel=1e-12, abs=1e-300)
+    places = {x.g: x for x in order_stats.quantiles(df, ["g"], "v", points, interpolate=False).collect()}
+    assert all(places[g][n] == np.sort(vs)[min(len(vs) - 1, int(round(len(vs) * p, 9)))] for g, vs in groups.items() for n, p in points.items())
+    assert order_stats.quantiles(df.limit(0), [], "v", points).count() == 0
+
+
+def test_running_moments_over_ranges(spark):
+    """A series cut into many ranges runs as it does in one task."""
+    r = np.random.default_rng(9)
+    data = [("long", i, float(v)) for i, v in enumerate(1e6 + r.normal(size=700))] + [("short", 0, 2.0), ("nulls", 0, None), ("nulls", 1, 4.0), ("nulls", 2, None)]
+    df = spark.createDataFrame(data, "s string, i long, v double").repartition(6)
+    got = {(x.s, x.i): x for x in order_stats.running_moments(df, "s", ["i"], "v", parts=9).collect()}
+    assert len(got) == len(data) and spark.createDataFrame([], df.schema).transform(lambda d: order_stats.running_moments(d, "s", ["i"], "v")).count() == 0
+    long = np.array([v for s, _, v in data if s == "long"])
+    for i in range(700):
+        x = got["long", i]
+        assert x.run_n == i + 1 and x.run_mean == pytest.approx(long[: i + 1].mean(), rel=1e-12) and x.run_m2 == pytest.approx(((long[: i + 1] - long[: i + 1].mean()) ** 2).sum(), rel=1e-6, abs=1e-6)
+    assert [got["nulls", i].run_n for i in range(3)] == [0, 1, 1] and got["nulls", 0].run_mean is None and got["nulls", 2].run_mean == 4.0
+
+
+def test_hash_tree_finds_changes_by_descent(spark):
+    rows_ = [(a, f"p{i:04d}", f"text {i}") for a in "xy" for i in range(300)]
+    frame = lambda data, n: spark.createDataFrame(data, "area string, path string, content string").repartition(n)
+    one, other = files.hash_tree(frame(rows_, 3)), files.hash_tree(frame(rows_[::-1], 7))
+    assert rows(files.manifest(one)) == rows(files.manifest(other)) and files.changed_files(one, other).count() == 0
+    new = [(a, p, c + "!" if p == "p0007" and a == "x" else c) for a, p, c in rows_ if (a, p) != ("y", "p0100")] + [("z", "p1", None)]
+    assert rows(files.changed_files(one, files.hash_tree(frame(new, 4)))) == [("x", "p0007", "changed"), ("y", "p0100", "removed"), ("z", "p1", "added")]
+    assert files.manifest(files.hash_tree(frame([], 1))).where("n_files > 0").count() == 0
+
+
+def test_keywords_as_phrases_and_parts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "_KEYWORDS", 3)
+    docs = spark.createDataFrame([(1, "The quick Brown fox"), (2, "brownish"), (3, None), (4, ""), (5, "quick brown")], "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in ("quick brown", "BROWN", "ow", "absent", "", None, "fox", "e quick b")], "keyword string")
+    assert rows(K.keyword_presence(docs, words)) == [("absent", 0), ("brown", 3), ("e quick b", 1), ("fox", 1), ("ow", 3), ("quick brown", 2)]
+    assert rows(K.keyword_presence(docs.limit(0), words)) == [(w, 0) for w in ("absent", "brown", "e quick b", "fox", "ow", "quick brown")] and K.keyword_presence(docs, words.limit(0)).count() == 0
+
+
+def test_tagged_values_and_nested_records(spark):
+    body = "INC-7 on March 5, 2024 at 09:30 UTC, March 5, 2024, March 2024, 2024-Q1, 12,2024-01-05, Part7x and AB12, 1,250.50 and 3"
+    got = [(x.kind, x.value) for x in spark.createDataFrame([(body,)], "b string").select(F.inline(K.values(F.col("b")))).collect()]
+    assert got == [("id", "INC-7"), ("timestamp", "March 5, 2024 at 09:30 UTC"), ("date", "March 5, 2024"), ("month", "March 2024"), ("period", "2024-Q1"), ("number", "12"), ("iso_date", "2024-01-05"), ("code", "Part7x"), ("code", "AB12"), ("number", "1,250.50"), ("number", "3")]
+    record = spark.sql("select named_struct('a', 'INC-7', 'ok', true, 'none', cast(null as string), 'at', array(named_struct('t', '2024-03-05T09:30:00Z')), 'm', map('k', 1250.5D), 'part', 'a xpart7xy') r")
+    told = record.select(F.explode(K.harvest(F.col("r"), record.schema["r"].dataType)).alias("value")).withColumn("id", F.lit(1))
+    assert sorted(x.value for x in told.collect()) == ["1250.5", "2024-03-05T09:30:00Z", "INC-7", "a xpart7xy"]
+    left = K.unsupported(spark.createDataFrame([(1, body)], "id int, body string"), "id", told)
+    assert rows(left.select("value")) == [("12",), ("2024-01-05",), ("2024-Q1",), ("3",), ("AB12",)]
+
+
+def test_changes_from_keyed_state(spark, tmp_path):
+    """Batches with a restart in between: repeats and late updates change nothing, and a batch writes its own objects only."""
+    schema = "event_id string, ts timestamp, object_id long, sequence long, operation string, after_value double"
+    day = datetime.datetime(2024, 1, 1)
+    at = lambda n: day + datetime.timedelta(hours=n)
+    batches = [
+        [("e1", at(0), 1, 1, "upsert", 1.0), ("e2", at(0), 2, 2, "upsert", 2.0), ("e3", at(1), 1, 5, "delete", None)],
+        [("e2", at(2), 2, 2, "upsert", 2.0), ("e4", at(2), 1, 3, "upsert", 9.0), ("e5", at(3), 3, 6, "upsert", 3.0)],
+        [("e6", at(100), 2, 8, "upsert", 8.0)],
+        [("e2", at(101), 2, 2, "upsert", 2.0), ("e7", at(101), 4, 9, "upsert", 4.0)],
+    ]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        run = jobs.apply_changes(stream, str(tmp_path / "out"), "1 day", 3_600_000).option("checkpointLocation", str(tmp_path / "progress"))
+        run.trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out")).select("object_id", "sequence", "operation")
+    assert rows(written) == [(1, 5, "delete"), (2, 2, "upsert"), (2, 8, "upsert"), (3, 6, "upsert"), (4, 9, "upsert")]  # no repeat, nothing late, no state copied
+    assert rows(jobs.state(spark, str(tmp_path / "out"))) == [(2, 8, 8.0), (3, 6, 3.0), (4, 9, 4.0)]
+    assert rows(jobs.state(spark, str(tmp_path / "out"), 0)) == [(2, 2, 2.0)]
+
+
+@pytest.mark.parametrize("block_docs", [5, 1000])
+def test_lexical_index_against_full_scan(spark, tmp_path, monkeypatch, block_docs):
+    """Scores over the stored index, with blocks skipped, equal those of all documents; queries in several blocks."""
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", block_docs)
+    monkeypatch.setattr(lexical, "QUERIES", 3)
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{int(r.paretovariate(0.8)) % 80}" for _ in range(n))
+    docs = [(i, text(r.choice([1, 5, 60]))) for i in range(90)] + [(100, ""), (101, None), (102, "W1 w1\tW1")]
+    asked = [(i, text(r.choice([1, 3, 12]))) for i in range(8)] + [(20, "nowhere"), (21, ""), (22, None), (23, "w1 w1")]
+    words = {i: (t or "").lower().split() for i, t in docs}
+    n, avg = len(docs), sum(max(len(w), -1 if dict(docs)[i] is None else 0) for i, w in words.items()) / len(docs)
+    df = Counter(w for ws in words.values() for w in set(ws))
+    raw = {w: math.log((n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+    idf = {w: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, v in raw.items()}
+    index = lexical.write_index(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "index"))
+    avg = index.terms.first().avgdl
+    got = lexical.search(lexical.open_index(spark, index.path), spark.createDataFrame(asked, "query_id long, text string"), 6).collect()
+    want = []
+    for q, t in asked:
+        scores = []
+        for i, ws in words.items():
+            met = [w for w in (t or "").lower().split() if w in ws]
+            if met:
+                scores.append((-round(sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in met), 9), i))
+        want += [(q, k, i) for k, (_, i) in enumerate(sorted(scores)[:6], 1)]
+    assert sorted((x.query_id, x.rank, x.doc_id) for x in got) == sorted(want)
