@@ -115,7 +115,7 @@ def frequent_shingles(digests: DataFrame) -> np.ndarray:
 
 
 def _parts(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, bands: Bands, salt: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the parts of rows in bands with the row of each, and the (rows, bands) that have so many thin parts that they may agree in no other.
+    """Keys of the parts of rows in bands (the last byte is the band) with the row of each, and the (rows, bands) that have so many thin parts that they may agree in no other.
 
     With last, these send all their parts; else they send none here.
     """
@@ -142,7 +142,7 @@ def _parts(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, ba
             for i in odd:
                 empty = np.setdiff1d(np.arange(m), part[owner == i])
                 part, owner, total = np.concatenate([part, empty]), np.concatenate([owner, np.full(len(empty), i)]), np.concatenate([total, np.zeros(len(empty), K.U)])
-        keys.append(K.mix(total + K.mix(part.astype(K.U) + K.U((int(scheme) * 2 + salt) << 40))))
+        keys.append(K.mix(total + K.mix(part.astype(K.U) + K.U((int(scheme) * 2 + salt) << 40))) & ~K.U(255) | K.U(int(scheme)))
         owners.append(mine[owner])
         odd_rows.append(mine[odd])
         odd_bands.append(np.full(len(odd), scheme))
@@ -168,7 +168,7 @@ def _keys(s: np.ndarray, at: np.ndarray, rare: np.ndarray, bands: Bands) -> tupl
 
 
 def candidate_edges(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
-    """(a, b): documents that agree in a part, each with the smallest of its group."""
+    """(a, b, scheme): documents that agree in a part of a band, each with the smallest of its group."""
 
     table = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
@@ -193,11 +193,11 @@ def candidate_edges(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray)
             smallest = np.where(first >= 0, doc[first], root)
             last, root = key[-1], smallest[-1]
             keep = smallest != doc
-            pairs = np.unique(np.stack([smallest[keep], doc[keep]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            pairs = np.unique(np.stack([smallest[keep], doc[keep], key[keep] & 255]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], ["a", "b", "scheme"])
 
     rows = docs.mapInArrow(emit, "key long, doc_id long")
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(link, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(link, "a long, b long, scheme int").distinct()
 
 
 def _bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
@@ -242,16 +242,22 @@ def link_block(sets: list[np.ndarray], num: int, den: int, guests: int = 0) -> n
 
 
 def with_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """members (doc_id and others) with the sorted sets of their documents as a column shingles."""
-    joined = docs.join(slim_side(members), "doc_id")
+    """members (doc_id and others) with the sorted sets of their documents as a column shingles. A document's rows, as many as it meets blocks, go to its text as one."""
     others = [c for c in members.columns if c != "doc_id"]
+    joined = docs.join(slim_side(members.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("of"))), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, of = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("of"))
             for lo, hi, s, at in word_sets(batch, n):
-                part = batch.slice(lo, hi - lo)
-                blobs = pa.array([s[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("doc_id", *others)] + [blobs], ["doc_id", *others, "shingles"])
+                mine = of.slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), mine.value_lengths().to_numpy())
+                told = mine.flatten()
+                for k in range(0, len(row), 2000):
+                    part = row[k : k + 2000]
+                    blobs = pa.array([s[at[i] : at[i + 1]].tobytes() for i in part], pa.binary())
+                    cols = [told.field(told.type.get_field_index(c)).slice(k, len(part)) for c in others]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + part)), *cols, blobs], ["doc_id", *others, "shingles"])
         give_back()
 
     kinds = dict(members.dtypes)
@@ -280,17 +286,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     alone, slim_copies = docs, slim_side(copies.select("doc_id"))
     if not copies.isEmpty():
         alone = docs.join(slim_copies, "doc_id", "left_anti")
-    near = components(candidate_edges(alone, n, bands, frequent_shingles(digests))).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
-
-    band = F.lit(0)
+    # a document takes part in its size band and, where it may, in the one below, each time as a vertex of its own, so candidates don't chain from band to band
+    vertex = lambda doc, band: F.xxhash64(doc, band)  # noqa: E731  two of one hash would share a tile, no more
+    pairs = candidate_edges(alone, n, bands, frequent_shingles(digests)).select(vertex("a", "scheme").alias("a"), vertex("b", "scheme").alias("b"))
+    near = components(pairs).select(F.col("id").alias("vertex"), F.col("root").alias("comp"))
     known = [int(x) for x in bands.starts if x < 2**31]
     band = F.expr(f"size(filter(array({','.join(map(str, known))}), x -> x <= n_shingles)) - 1")
-    slim = seen.select("doc_id", "n_shingles").join(near, "doc_id").withColumn("band", band)
     starts = F.element_at(F.array(*map(F.lit, known)), F.col("band") + 1)
     both = (F.col("band") > 0) & (F.col("n_shingles") * num <= (starts - 1) * den)
-    slim = written(slim.withColumn("scheme", F.explode(F.when(both, F.array("band", F.col("band") - 1)).otherwise(F.array("band")))).drop("band"), "banded")
-    slim = slim.withColumnRenamed("n_shingles", "weight")
-    edges = tile_edges(slim, ["comp", "scheme"], lambda m: with_sets(docs, m, n), exact_linker(num, den), BLOCK_DOCS, BLOCK_SHINGLES)
+    slim = seen.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("weight"), "n_shingles").withColumn("band", band)
+    slim = slim.withColumn("scheme", F.explode(F.when(both, F.array("band", F.col("band") - 1)).otherwise(F.array("band")))).withColumn("vertex", vertex("doc_id", "scheme"))
+    members = written(slim.join(slim_side(near), "vertex").select("doc_id", "weight", "comp"), "banded")
+    edges = tile_edges(members, ["comp"], lambda m: with_sets(docs, m, n), exact_linker(num, den), BLOCK_DOCS, BLOCK_SHINGLES)
     edges = edges.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(edges).withColumnRenamed("id", "doc_id")
     return seen.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
