@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,29 +226,25 @@ def stated_vs_counted(stated: DataFrame, rows: DataFrame, key: str) -> DataFrame
     return stated.join(n, key, "left").select(key, "stated", F.coalesce("counted", F.lit(0)).alias("counted")).where("stated <> counted")
 
 
-def route_lines(docs: DataFrame, body: str, routes: list[tuple[str, str]], other: str) -> DataFrame:
-    """Parts of each body by the heading that its lines stand under: (doc_id, target, body). Routes are (pattern of heading, target).
+def route_lines(docs: DataFrame, body: str, routes: list[tuple], other: str) -> DataFrame:
+    """Parts of each body by the heading that its lines stand under: (doc_id, target, body).
 
-    A body is one row, so its lines are walked in place and nothing is shuffled.
+    Routes are (pattern of heading, target) or (pattern of heading, pattern of line, target or several): a line goes where the first route says whose heading pattern fits
+    and, if there is one, whose line pattern does; else to `other`. Lines before any heading have an empty one. A body is one row, so its lines are walked in place and nothing is shuffled.
     """
-    lines = F.split(F.col(body), "\n")
+    rules = [(r[0], None, (r[1],)) if len(r) == 2 else (r[0], r[1], (r[2],) if isinstance(r[2], str) else tuple(r[2])) for r in routes]
+    fits = lambda h, x: F.coalesce(*(F.when(h.rlike(head) & (x.rlike(line) if line else F.lit(True)), F.lit(i)) for i, (head, line, _) in enumerate(rules)), F.lit(len(rules)))
     head = lambda x: x.rlike(r"^#{1,6}[ \t]")
-    start = F.struct(F.lit("").alias("h"), F.array().cast("array<struct<h:string,line:string>>").alias("out"))
-    walked = F.aggregate(lines, start, lambda a, x: F.struct(F.when(head(x), x).otherwise(a["h"]).alias("h"), F.when(head(x), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["h"].alias("h"), x.alias("line"))))).alias("out")), lambda a: a["out"])
-    rows = docs.select("doc_id", walked.alias("w"))
-    def under(upto: int) -> Callable[[Column], Column]:
-        """Lines whose heading fits route `upto` and none before it; beyond the last route, none at all."""
-
-        def test(x: Column) -> Column:
-            out = x["h"].rlike(routes[upto][0]) if upto < len(routes) else F.lit(True)
-            for pattern, _ in routes[:upto]:
-                out = out & ~x["h"].rlike(pattern)
-            return out
-
-        return test
-
-    targets = [*(name for _, name in routes), other]
-    items = [F.struct(F.lit(name).alias("target"), F.array_join(F.transform(F.filter("w", under(i)), lambda x: x["line"]), "\n").alias("body")) for i, name in enumerate(targets)]
+    start = F.struct(F.lit("").alias("h"), F.array().cast("array<struct<rule:int,line:string>>").alias("out"))
+    step = lambda a, x: F.struct(F.when(head(x), x).otherwise(a["h"]).alias("h"), F.when(head(x), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(fits(a["h"], x).alias("rule"), x.alias("line"))))).alias("out"))
+    rows = docs.select("doc_id", F.aggregate(F.split(F.col(body), "\n"), start, step, lambda a: a["out"]).alias("w"))
+    targets = list(dict.fromkeys([*(t for *_, ts in rules for t in ts), other]))
+
+    def lines_of(target: str) -> Column:
+        at = [i for i, (*_, ts) in enumerate([*rules, (None, None, (other,))]) if target in ts]
+        return F.array_join(F.transform(F.filter("w", lambda x: x["rule"].isin(*at)), lambda x: x["line"]), "\n")
+
+    items = [F.struct(F.lit(t).alias("target"), lines_of(t).alias("body")) for t in targets]
     return rows.select("doc_id", F.inline(F.array(*items))).where("body <> ''")
 
 
@@ -261,14 +257,45 @@ def rebuild(docs: DataFrame, ranges: DataFrame, text: str = "text") -> DataFrame
     return cut.groupBy("doc_id").agg(whole.alias("body")).withColumn("body_sha256", F.sha2("body", 256))
 
 
-def replace_once(body: Column, old: str, new: str) -> Column:
-    """The phrase replaced, if it occurs exactly once; else null."""
-    n = (F.length(body) - F.length(F.replace(body, F.lit(old), F.lit("")))) / len(old)
-    return F.when(n == 1, F.replace(body, F.lit(old), F.lit(new)))
+def edited(docs: DataFrame, edits: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, body, refused: bodies with their edits (doc_id, edit_no, op, old, new) applied in order of edit_no.
+
+    "replace" puts new for old, which must occur exactly once in what the body then is; "append" adds new as a paragraph of its own at the end. An edit whose phrase is empty,
+    missing or not single is refused: the body stays, and the edit's number and how often the phrase occurs are listed. A document's edits are one row's array.
+    """
+    plan = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("edit_no", "op", "old", "new"))).alias("edits"))  # as many as a document has
+    kind = "array<struct<edit_no:int,found:int>>"
+    start = F.struct(F.coalesce(F.col(text), F.lit("")).alias("body"), F.array().cast(kind).alias("refused"))
+
+    def step(a: Column, e: Column) -> Column:
+        old = F.coalesce(e["old"], F.lit(""))
+        found = F.when(old == "", 0).otherwise(((F.length(a["body"]) - F.length(F.replace(a["body"], old, F.lit("")))) / F.length(old)).cast("int"))
+        more = F.concat(F.regexp_replace(a["body"], r"\n+\z", ""), F.lit("\n\n"), e["new"], F.lit("\n"))
+        said = F.concat(a["refused"], F.array(F.struct(e["edit_no"].cast("int").alias("edit_no"), found.alias("found"))).cast(kind))
+        ok = (e["op"] == "append") | (found == 1)
+        return F.struct(F.when(e["op"] == "append", more).when(found == 1, F.replace(a["body"], old, e["new"])).otherwise(a["body"]).alias("body"), F.when(ok, a["refused"]).otherwise(said).alias("refused"))
+
+    done = docs.join(plan, "doc_id").select("doc_id", F.aggregate("edits", start, step).alias("r"))
+    return done.select("doc_id", "r.body", "r.refused")
 
 
 def uncovered_lines(docs: DataFrame, ranges: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line_no) of lines in no range."""
-    n = docs.select("doc_id", F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_no"))
-    covered = ranges.select("doc_id", F.explode(F.sequence("first", "last")).alias("line_no")).distinct()
-    return n.join(covered, ["doc_id", "line_no"], "left_anti")
+    """(doc_id, first, last): gaps of a document's lines that no range covers, the longest ones possible.
+
+    Ranges are merged in order of their first line; there is a row for each range and gap, never one for each line. Ranges may overlap and reach beyond the text.
+    """
+    n = docs.select("doc_id", F.size(F.split(F.col(text), "\n")).alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("first", "last")
+    upto = F.coalesce(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sound = ranges.where("first <= last").select("doc_id", F.greatest("first", F.lit(1)).alias("first"), "last")
+    before = sound.select("doc_id", (upto + 1).alias("gap"), (F.col("first") - 1).alias("end")).join(n, "doc_id")
+    inner = before.select("doc_id", F.col("gap").alias("first"), F.least("end", "n").alias("last"))
+    most = sound.groupBy("doc_id").agg(F.max("last").alias("upto"))
+    tail = n.join(most, "doc_id", "left").select("doc_id", (F.coalesce("upto", F.lit(0)) + 1).alias("first"), F.col("n").alias("last"))
+    return inner.unionByName(tail).where("first <= last")
+
+
+def signers_without_record(signed: DataFrame, records: DataFrame, name: str) -> DataFrame:
+    """Names that sign (name, document) but have no record: how many documents each signed, and the first of them."""
+    odd = signed.where(F.col(name).isNotNull()).join(records.select(name).distinct(), name, "left_anti")
+    return odd.groupBy(name).agg(F.count_distinct("document").alias("n_documents"), F.min("document").alias("first_document"))

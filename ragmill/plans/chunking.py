@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.functions import kernels
+from ragmill.functions import kernels, udtf
 from ragmill.functions.text import fixed_chunks
 from ragmill.operators import chunk as K
 from ragmill.operators import web
@@ -52,6 +52,18 @@ def e7_change(spark: SparkSession, sf: str) -> DataFrame:
     return K.profile_change(e1(spark, sf), new, "doc_id")
 
 
+def e3_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """e3 as SQL: a table function in a lateral join."""
+    udtf.register(spark)
+    return spark.sql("select doc_id, section_no, count(*) as n_chunks, max(length(chunk)) as longest from {docs}, lateral section_chunks(body, 1200, 200) group by doc_id, section_no", docs=table(spark, sf, "markdown_docs"))
+
+
+def e4_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """e4 as SQL."""
+    udtf.register(spark)
+    return spark.sql("select doc_id, chunk_index, length(chunk) as n_chars, md5(chunk) as digest from {docs}, lateral recursive_chunks(text, 1000, 200)", docs=table(spark, sf, "documents"))
+
+
 def d1(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", web.text(F.col("html")).alias("text"))
 
@@ -75,7 +87,7 @@ def d3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "e1_fixed_chunks": e1, "e2_markdown_sections": e2, "e3_section_chunks": e3, "e4_recursive_chunks": e4, "e5_chunk_records": e5, "e6_chunk_page_content": e6,
+    "e1_fixed_chunks": e1, "e2_markdown_sections": e2, "e3_section_chunks": e3, "e4_recursive_chunks": e4, "e3_section_chunks_in_sql": e3_sql, "e4_recursive_chunks_in_sql": e4_sql, "e5_chunk_records": e5, "e6_chunk_page_content": e6,
     "e7_chunk_profile": e7, "e7_chunk_change": e7_change, "d1_page_text": d1, "d2_page_links": d2, "d2_absolute_links": d2_absolute, "d3_site_bundle": d3,
 }
 
@@ -108,7 +120,8 @@ ORACLES = {
         select count(*) n_docs, cast(sum(n) as bigint) n_chunks, round(avg(n), 6) chunks_per_doc, max(n) most_chunks, round(sum(c) / sum(n), 6) mean_chars from p""",
     "e7_chunk_change": f"""with a as (select doc_id, count(*) n from (select doc_id, {_cut(1200, 200)} from documents) group by doc_id), b as (select doc_id, count(*) n from (select doc_id, {_cut(1000, 100)} from documents) group by doc_id)
         select coalesce(b.n, 0) - coalesce(a.n, 0) change, count(*) n_docs from a full join b using (doc_id) group by all""",
-    "d2_page_links": """select page_id, cast(i as integer) link_no, l[i + 1] href from (select page_id, l, unnest(range(0, len(l))) i from (select page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]+)"', 1) l from pages))""",
+    "d2_page_links": r"""with f as (select page_id, list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]+"|''[^'']+''|[^\s"''>]+)', 1), lambda x: case when x[1] in ('"', chr(39)) then x[2:-2] else x end) l from pages)
+        select page_id, cast(i as integer) link_no, l[i + 1] href from (select page_id, l, unnest(range(0, len(l))) i from f)""",
     "d3_site_bundle": """with t as (select page_id, substr(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, 5000) text from pages),
         tg as (select lower(regexp_extract(url, '^https?://(?:m\\.)?([^.]+)\\.', 1)) word, min(page_id) target_id from pages group by 1),
         l as (select page_id, i link_no, l[i + 1] href from (select page_id, l, unnest(range(0, len(l))) i from (select page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]+)"', 1) l from pages))),
@@ -116,3 +129,4 @@ ORACLES = {
           where not regexp_matches(href, '(?i)(mailto:|privacy|terms)') group by l.page_id)
         select page_id, cast(length(b) as integer) n_chars, md5(b) digest from (select t.page_id, substr(case when more is null then text else text || chr(10) || more end, 1, 5000) b from t left join m using (page_id))""",
 }
+ORACLES["e3_section_chunks_in_sql"] = ORACLES["e3_section_chunks"]

@@ -134,12 +134,35 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k10_uncovered(spark: SparkSession, sf: str) -> DataFrame:
-    return K.uncovered_lines(table(spark, sf, "documents"), _ranges(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return K.uncovered_lines(table(spark, sf, "documents"), _ranges(spark, sf)).groupBy("doc_id").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n_lines"))
+
+
+def k10_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Three edits of each document: its beginning, a common phrase, which is mostly refused, and a paragraph at the end."""
+    d = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    edit = lambda no, op, old, new: F.struct(F.lit(no).alias("edit_no"), F.lit(op).alias("op"), old.alias("old"), new.alias("new"))
+    plan = F.array(edit(3, "append", F.lit(None).cast("string"), F.concat(F.lit("End of "), F.col("doc_id").cast("string"))), edit(1, "replace", F.substring("text", 1, 12), F.lit("[start]")), edit(2, "replace", F.lit(" er"), F.lit(" ER")))
+    r = K.edited(d, d.select("doc_id", F.inline(plan)))
+    return r.select("doc_id", F.md5("body").alias("digest"), F.array_join(F.transform("refused", lambda x: F.concat_ws(":", x["edit_no"].cast("string"), x["found"].cast("string"))), ",").alias("refused"))
+
+
+def k8_signers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers that sign orders, by what the texts say, without a record; those whose key ends in 3 have none."""
+    signed = table(spark, sf, "fact_text").select(F.regexp_extract("body", r"(CUST-\d+)", 1).alias("name"), F.col("o_orderkey").alias("document"))
+    records = table(spark, sf, "customer").where("c_custkey % 10 <> 3").select(F.concat(F.lit("CUST-"), F.col("c_custkey").cast("string")).alias("name"))
+    return K.signers_without_record(signed, records, "name")
+
+
+def k9_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """By fields: lines under part headings that hold a digit go to figures, those with a mark of emphasis to two parts."""
+    routes = [("^# Doc", None, "intro"), ("^## Part", r"\d", "figures"), ("^## Part", "!", ("figures", "parts")), ("^## Part", None, "parts")]
+    r = K.route_lines(table(spark, sf, "markdown_docs"), "body", routes, "rest")
+    return r.select("doc_id", "target", F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
 
 
 QUERIES = {
     "j1_request_metrics": j1, "j2_rates_by_slice": j2, "j3_baseline_drift": j3, "j4_stage_latency": j4, "j5_distribution_drift": j5, "k1_normalize_quotes": k1, "k2_quote_provenance": k2, "k3_keyword_presence": k3,
-    "k4_extract_money_dates": k4, "k4_scores": k4_scores, "k4_tier_lines": k4_tiers, "k5_unsupported_values": k5, "k5_value_kinds": k5_kinds, "k6_unstated_facts": k6, "k7_injection_flags": k7, "k8_stated_vs_counted": k8, "k9_body_split_by_section": k9, "k10_rebuild_bodies": k10, "k10_uncovered_lines": k10_uncovered,
+    "k4_extract_money_dates": k4, "k4_scores": k4_scores, "k4_tier_lines": k4_tiers, "k5_unsupported_values": k5, "k5_value_kinds": k5_kinds, "k6_unstated_facts": k6, "k7_injection_flags": k7, "k8_stated_vs_counted": k8, "k9_body_split_by_section": k9, "k10_rebuild_bodies": k10, "k10_uncovered_lines": k10_uncovered, "k10_edited_bodies": k10_edited, "k8_signers_without_record": k8_signers, "k9_body_split_by_field": k9_fields,
 }
 
 _R = "count(*) n, round(avg(latency_ms), 4) mean_latency, round(avg((status <> 'ok')::int), 6) error_rate, round(avg((status = 'timeout')::int), 6) timeout_rate, round(avg((status = 'ok' and num_results = 0)::int), 6) empty_rate"
@@ -175,5 +198,13 @@ ORACLES = {
         y as (select *, last_value(case when h then line end ignore nulls) over (partition by doc_id order by i) head from x), z as (select doc_id, i, line, case when regexp_matches(head, '^# Doc') then 'intro' when regexp_matches(head, '^## Part') then 'parts' else 'rest' end target from y where not h),
         g as (select doc_id, target, string_agg(line, chr(10) order by i) b from z group by all) select doc_id, target, cast(length(b) as integer) n_chars, md5(b) digest from g where b <> ''""",
     "k10_rebuild_bodies": """with s as (select doc_id, string_split(text, chr(10)) l from documents), b as (select doc_id, case when len(l) = 1 then l[1] else l[len(l) - 1] || chr(10) || l[len(l)] end || chr(10) || l[1] b from s) select doc_id, cast(length(b) as integer) n_chars, sha256(b) body_sha256 from b""",
+    "k9_body_split_by_field": """with s as (select doc_id, string_split(body, chr(10)) l from {markdown_docs}), x as (select doc_id, i, l[i + 1] line, regexp_matches(l[i + 1], '^#{1,6}[ \\t]') h from (select doc_id, l, unnest(range(0, len(l))) i from s)),
+        y as (select *, last_value(case when h then line end ignore nulls) over (partition by doc_id order by i) head from x), z as (select doc_id, i, line, unnest(case when regexp_matches(head, '^# Doc') then ['intro'] when not regexp_matches(head, '^## Part') then ['rest'] when regexp_matches(line, '\\d') then ['figures'] when regexp_matches(line, '!') then ['figures', 'parts'] else ['parts'] end) target from y where not h),
+        g as (select doc_id, target, string_agg(line, chr(10) order by i) b from z group by all) select doc_id, target, cast(length(b) as integer) n_chars, md5(b) digest from g where b <> ''""",
+    "k10_edited_bodies": """with d as (select doc_id, coalesce(text, '') t from documents), a as (select *, substr(t, 1, 12) o1 from d), b as (select *, case when o1 = '' then 0 else cast((length(t) - length(replace(t, o1, ''))) / length(o1) as integer) end n1 from a),
+        c as (select *, case when n1 = 1 then replace(t, o1, '[start]') else t end t1 from b), e as (select *, cast((length(t1) - length(replace(t1, ' er', ''))) / 3 as integer) n2 from c), f as (select *, case when n2 = 1 then replace(t1, ' er', ' ER') else t1 end t2 from e)
+        select doc_id, md5(rtrim(t2, chr(10)) || chr(10) || chr(10) || 'End of ' || doc_id || chr(10)) digest, concat_ws(',', case when n1 <> 1 then '1:' || n1 end, case when n2 <> 1 then '2:' || n2 end) refused from f""",
+    "k8_signers_without_record": """with s as (select regexp_extract(body, '(CUST-\\d+)', 1) as "name", o_orderkey from {fact_text}) select "name", count(distinct o_orderkey) n_documents, min(o_orderkey) first_document from s
+        where "name" not in (select 'CUST-' || c_custkey from customer where c_custkey % 10 <> 3) group by 1""",
     "k10_uncovered_lines": "select doc_id, len(string_split(text, chr(10))) - 3 n_lines from documents where len(string_split(text, chr(10))) > 3",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import kernels
 from ragmill.functions import text as X
 from ragmill.operators import changes as G
-from ragmill.operators import access, chunk, curate, evaluate, govern, lexical, order_stats, retrieve
+from ragmill.operators import access, chunk, curate, evaluate, govern, lexical, order_stats, retrieve, web
 from ragmill.operators import facts as K
 from ragmill.plans import curation, governance, retrieval
 from ragmill.sources import files
@@ -443,3 +443,39 @@ def test_lexical_index_against_full_scan(spark, tmp_path, monkeypatch, block_doc
                 scores.append((-round(sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in met), 9), i))
         want += [(q, k, i) for k, (_, i) in enumerate(sorted(scores)[:6], 1)]
     assert sorted((x.query_id, x.rank, x.doc_id) for x in got) == sorted(want)
+
+
+def test_table_functions_cut_as_the_operators_do(spark, sf):
+    from ragmill.plans import chunking
+
+    q = chunking.QUERIES
+    assert rows(q["e4_recursive_chunks_in_sql"](spark, sf)) == rows(q["e4_recursive_chunks"](spark, sf))
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "# Head"), (4, "intro\n# A \nx" + "y" * 30 + "\n## B\n\n")], "doc_id long, body string")
+    from ragmill.functions import udtf
+
+    udtf.register(spark)
+    got = spark.sql("select doc_id, section_no, heading, chunk_index, chunk from {df}, lateral section_chunks(body, 12, 3)", df=df)
+    assert rows(got) == rows(chunk.section_chunks(df, "body", 12, 3).select("doc_id", "section_no", "heading", "chunk_index", "chunk"))
+
+
+def test_edits_are_refused_unless_single(spark):
+    docs = spark.createDataFrame([(1, "one two two\n\n"), (2, None), (3, "aaa")], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 2, "replace", "two", "2"), (1, 1, "replace", "one", "1 two"), (1, 3, "append", None, "end"), (1, 4, "replace", "missing", "x"), (1, 5, "replace", "", "x"), (2, 1, "append", None, "only"), (3, 1, "replace", "aa", "b")], "doc_id long, edit_no int, op string, old string, new string")
+    got = {x.doc_id: (x.body, [tuple(r) for r in x.refused]) for x in K.edited(docs, edits).collect()}
+    assert got == {1: ("1 two two two\n\nend\n", [(2, 3), (4, 0), (5, 0)]), 2: ("\n\nonly\n", []), 3: ("ba", [])}
+
+
+def test_gaps_between_ranges(spark):
+    docs = spark.createDataFrame([(1, "\n" * 9), (2, "a"), (3, "a\nb\nc"), (4, "a\nb")], "doc_id long, text string")
+    ranges = spark.createDataFrame([(1, 2, 3), (1, 3, 5), (1, 5, 5), (1, 8, 8), (2, 1, 7), (3, 2, 2), (3, 3, 1)], "doc_id long, first int, last int")
+    assert rows(K.uncovered_lines(docs, ranges)) == [(1, 1, 1), (1, 6, 7), (1, 9, 10), (3, 1, 1), (3, 3, 3), (4, 1, 2)]
+
+
+def test_links_in_any_quotes_and_bundles_of_hubs(spark):
+    html = """<a href="/a">x</a><A class=b HREF='/b c'>y</A><a href=/d>z</a><a name="n">q</a><a href="">e</a>"""
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    assert rows(web.links(pages)) == [(1, 0, "/a"), (1, 1, "/b c"), (1, 2, "/d")]
+    texts = spark.createDataFrame([(i, f"t{i} " * 10) for i in range(50)], "page_id long, text string")
+    hub = spark.createDataFrame([(0, i, i) for i in range(1, 50)], "page_id long, link_no int, target_id long")
+    got = {x.page_id: x.bundle for x in web.bundles(texts, hub, 120).collect()}
+    assert got[0] == "\n".join(f"t{i} " * 10 for i in range(50))[:120] and got[7] == "t7 " * 10
