@@ -213,6 +213,8 @@ _STATE = _ACT + """, st as (select coalesce(i.source_id, a.source_id) source_id,
 _HIST = """dl as (select o_custkey, cast(o_orderdate as date) d, max_by(o_orderstatus, o_orderkey) v from orders group by all), ch as (select *, lag(v) over w b, row_number() over w n from dl window w as (partition by o_custkey order by d)),
     hist as (select o_custkey, v as value, d valid_from, cast(lead(d) over (partition by o_custkey order by d) - interval 1 day as date) valid_to from ch where n = 1 or v is distinct from b)"""
 _REPLAY = "select object_id, max(sequence) sequence, max_by(after_value, sequence) as value, '{n}' as checkpoint from {{cdc_events}} {w} group by object_id having max_by(operation, sequence) <> 'delete'"
+_AGAIN = "select '{name}' as version, c.metric, count(v.source_id) as value from (select unnest([{checks}]) metric) c left join (with ix as ({index}), " + _VIOL[_VIOL.index("act as (") :].replace("{source_records}", "source_records") + " select * from viol) v on v.check = c.metric group by c.metric"
+_BACK = " union all ".join(_AGAIN.format(name=n, checks=", ".join(f"'{c}'" for c in CHECKS), index=i) for n, i in (("damaged", "select * replace ('m9' as model) from st"), ("restored", "select * from st where status <> 'deleted'")))
 _N = "with {v} select '{c}' as metric, count(*) filter (\"check\" = '{c}') as value"
 ORACLES = {
     "g1_cdc_replay": _REPLAY.format(n="half", w="where delivery_pos <= (select max(delivery_pos) // 2 from cdc_events)").replace("{{", "{").replace("}}", "}") + " union all " + _REPLAY.format(n="end", w="").replace("{{", "{").replace("}}", "}"),
@@ -230,6 +232,7 @@ ORACLES = {
         select metric, value, most, severity, owner, case severity when 'PAGE' then 0 else 1 end urgency from m join th using (metric) where value > most""",
     "g7_operational_filter": "select i.* from {vector_index} i join {source_records} s using (source_id) where status <> 'deleted' and i.content_version = s.content_version",
     "g8_resolve_source": "select i.*, s.content_version as current, s.source_id is not null known from {vector_index} i left join {source_records} s using (source_id)",
+    "g9_rollback_and_compact": f"with {_STATE} {_BACK}",
     "g11_lifecycle_states": """select doc_type, count(*) filter (status <> 'deleted') must_be_indexed, count(*) filter (status = 'current') retrievable, count(*) filter (status = 'superseded') superseded,
         count(*) filter (status = 'deleted') deleted from {corpus} group by doc_type""",
     "g12_snapshot_diff": f"""with {_STATE}, b as (select * from st where source_id % 37 <> 0) select coalesce(a.source_id, b.source_id) source_id, case when b.source_id is null then 'only_a' when a.source_id is null then 'only_b' else 'changed' end diff

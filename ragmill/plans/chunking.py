@@ -122,6 +122,8 @@ ORACLES = {
         select coalesce(b.n, 0) - coalesce(a.n, 0) change, count(*) n_docs from a full join b using (doc_id) group by all""",
     "d2_page_links": r"""with f as (select page_id, list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]+"|''[^'']+''|[^\s"''>]+)', 1), lambda x: case when x[1] in ('"', chr(39)) then x[2:-2] else x end) l from pages)
         select page_id, cast(i as integer) link_no, l[i + 1] href from (select page_id, l, unnest(range(0, len(l))) i from f)""",
+    "d2_absolute_links": r"""with f as (select page_id, regexp_extract(url, '^https?://[^/?#]+') root, list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]+"|''[^'']+''|[^\s"''>]+)', 1), lambda x: case when x[1] in ('"', chr(39)) then x[2:-2] else x end) l from pages),
+        g as (select page_id, root, l, unnest(range(0, len(l))) i from f) select page_id, cast(i as integer) link_no, case when l[i + 1][1] = '/' then root || l[i + 1] else l[i + 1] end link from g""",
     "d3_site_bundle": """with t as (select page_id, substr(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, 5000) text from pages),
         tg as (select lower(regexp_extract(url, '^https?://(?:m\\.)?([^.]+)\\.', 1)) word, min(page_id) target_id from pages group by 1),
         l as (select page_id, i link_no, l[i + 1] href from (select page_id, l, unnest(range(0, len(l))) i from (select page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]+)"', 1) l from pages))),
