@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("ragmill.llm")
 
 from ragmill.llm import _kernels as kernels  # noqa: E402
-from ragmill.llm import _tiles, fill_middle, max_sketch, minhash  # noqa: E402
+from ragmill.llm import _tiles, fill_middle, licenses, max_sketch, minhash  # noqa: E402
 
 DOCS = "doc_id long, text string, source string, n long, form string, score long, rank int, bucket long, output string, _text string"
 
@@ -238,3 +238,20 @@ def test_bounds_never_fall_below_scores():
     scores = block.scores(h, row, 50)
     assert (bounds >= scores).all() and (scores > 0).any() and tf.max() > 255
     assert (bounds > 1.02 * scores).mean() < 0.7  # and they aren't far above
+
+
+# ---- whole licences
+
+
+def test_whole_licences_are_found_where_a_fifth_is_changed(spark):
+    """The default licences, whole in a long text, with words changed, in halves, and one line of one only."""
+    r = random.Random(4)
+    noise = lambda n: " ".join(f"n{r.randint(0, 9999)}" for _ in range(n))
+    texts, want = [], set()
+    for k, (name, text) in enumerate(licenses.LICENSES):
+        w = text.split()
+        edited = " ".join(f"other{i}" if i % 60 == 30 else x for i, x in enumerate(w))
+        texts += [(10 * k, f"{noise(700)} {text} {noise(40)}"), (10 * k + 1, f"{noise(90)} {edited.upper()}"), (10 * k + 2, " ".join(w[: len(w) // 2])), (10 * k + 3, noise(400))]
+        want |= {(10 * k, name), (10 * k + 1, name)}
+    got = {(x.doc_id, x.license_id) for x in licenses.scan(docs_of(spark, texts), licenses.notices(spark)).collect()}
+    assert got == want
