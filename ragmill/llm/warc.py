@@ -21,8 +21,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import itertools
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -101,16 +103,18 @@ def write(pages: DataFrame, path: str, revisit_from: int = 0, segment: int = SEG
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an uncompressed archive."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        head = {k.lower(): v for k, v in fields.items()}
-        size = int(head.get("content-length", 0))
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+def parse(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of an uncompressed archive, read as a stream: one record is held at a time."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # the blank lines that end a record
+        head: dict[str, str] = {}
+        while (line := stream.readline()) and line != b"\r\n":
+            name, told, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
+            if told:
+                head[name.lower()] = value
+        yield head, stream.read(int(head.get("content-length", 0)))
 
 
 def unchunked(block: bytes) -> bytes | None:
@@ -159,7 +163,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for head, block in parse(gzip.decompress(content.as_py())):
+                for head, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                     number = head.get("warc-segment-number")
                     origin = head.get("warc-segment-origin-id") or head.get("warc-record-id", "")
                     said = head.get("warc-payload-digest", "").removeprefix("sha1:") or None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("ragmill.llm")
 
 from ragmill.llm import _kernels as kernels  # noqa: E402
-from ragmill.llm import _tiles, fill_middle, licenses, max_sketch, minhash  # noqa: E402
+from ragmill.llm import _tiles, fill_middle, licenses, max_sketch, minhash, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, source string, n long, form string, score long, rank int, bucket long, output string, _text string"
 
@@ -255,3 +255,28 @@ def test_whole_licences_are_found_where_a_fifth_is_changed(spark):
         want |= {(10 * k, name), (10 * k + 1, name)}
     got = {(x.doc_id, x.license_id) for x in licenses.scan(docs_of(spark, texts), licenses.notices(spark)).collect()}
     assert got == want
+
+
+# ---- archives
+
+
+def test_segments_that_repeat_or_share_an_origin(spark, tmp_path):
+    """A segment that comes twice, and two records of one id, are no whole record: nothing of them is taken for one."""
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello world"
+    half = len(body) // 2
+
+    def record(kind, name, block, *more):
+        own = b"WARC-Record-ID: <%s>" % name if kind == b"response" else b"WARC-Record-ID: <%s:x>\r\nWARC-Segment-Origin-ID: <%s>" % (name, name)
+        return b"\r\n".join([b"WARC/1.1", b"WARC-Type: " + kind, own, *more, b"Content-Length: %d" % len(block), b"", block, b"", b""])
+
+    last = b"WARC-Segment-Total-Length: %d" % len(body)
+    n = lambda k: b"WARC-Segment-Number: %d" % k
+    good = record(b"continuation", b"a", body[half:], n(2), last) + record(b"response", b"a", body[:half], n(1))
+    twice = record(b"response", b"b", body[:half], n(1)) + record(b"response", b"b", body[:half], n(1)) + record(b"continuation", b"b", body[half:], n(2), last)
+    shared = record(b"response", b"c", body[:half], n(1)) + record(b"continuation", b"c", body[half:], n(2), last) + record(b"response", b"c", body[:half], n(1)) + record(b"continuation", b"c", body[half:], n(2), last)
+    lost = record(b"response", b"d", body[:half], n(1))
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(good + lost) + gzip.compress(twice + shared))
+    got = {x.origin: (x.complete, x.payload) for x in warc.read(spark, str(tmp_path)).collect()}
+    assert got.pop("<a>") == (True, b"hello world") and set(got) == {"<b>", "<c>", "<d>"} and all(x == (False, None) for x in got.values())
