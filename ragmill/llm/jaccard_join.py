@@ -33,7 +33,7 @@ from ragmill.llm._spark import fold_slices, give_back, slim_side, unique_texts,
 from ragmill.llm._tiles import Linker, tile_edges
 
 #: Documents and shingles of one block of a tile.
-BLOCK_DOCS, BLOCK_SHINGLES = 8192, 1 << 22
+BLOCK_DOCS, BLOCK_SHINGLES = 16384, 1 << 23
 #: The sketch of shingle frequencies, and from which share of documents on a shingle is frequent.
 SKETCH_BITS, SLICES, FREQUENT = 19, 64, 0.002
 

@@ -150,7 +150,9 @@ def _pieces(offs: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarra
                 yield lo, hi, np.array([at, min(at + 16 * _SCAN + length - 1, offs[hi])])
 
 
-_RUN = "kind int, route long, key long, ctx long, doc_id long, lo long, hi long"
+#: A run's first window, whether it is known by now, and how many windows follow, in one number: 40, 1 and 23 bits.
+_RUN = "key long, ctx long, doc_id long, span long"
+_KNOWN, _MORE = 1 << 23, (1 << 23) - 1
 _OUT = "doc_id long, lo long, hi long, key long, open boolean"
 
 
@@ -181,10 +183,10 @@ def _local(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((lo, doc))
     doc, lo, hi, key, ctx = (x[order] for x in (doc, lo, hi, key, ctx))
     known = Family().add(key, ctx)
-    route = np.where(known, K.mix(doc.astype(U) + U(77)), key).view(np.int64)
+    span = lo << 24 | known.astype(np.int64) << 23 | (hi - lo)
     for i in range(0, len(doc), 50_000):
         s = slice(i, i + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(known[s].astype(np.int32)), *(pa.array(x) for x in (route[s], key.view(np.int64)[s], ctx.view(np.int64)[s], doc[s], lo[s], hi[s]))], [x.split()[0] for x in _RUN.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64)[s], ctx.view(np.int64)[s], doc[s], span[s])], [x.split()[0] for x in _RUN.split(", ")])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +194,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family = Family()
     names = [x.split()[0] for x in _OUT.split(", ")]
     for batch in batches:
-        kind, _, key, ctx, doc, lo, hi = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        known = kind == 1
+        key, ctx, doc, span = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        lo, known = span >> 24, (span & _KNOWN) != 0
+        hi = lo + (span & _MORE)
         at = np.flatnonzero(~known)
         known[at] = family.add(key[at].view(U), ctx[at].view(U), doc[at], lo[at], hi[at])
         if known.any():
@@ -263,7 +266,8 @@ def _windows(length: int):
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, lo, hi): ranges of starts of windows that occur earlier; ranges may repeat."""
     texts = docs.select("doc_id", "text")
-    rows = texts.mapInArrow(_scan(length), _RUN).repartition("route").sortWithinPartitions("doc_id", "lo")
+    route = F.when(F.col("span").bitwiseAND(F.lit(_KNOWN)) != 0, F.xxhash64("doc_id")).otherwise(F.col("key"))  # what is known already goes anywhere
+    rows = texts.mapInArrow(_scan(length), _RUN).repartition(route).sortWithinPartitions("doc_id", "span")
     found = written(rows.mapInArrow(_index, _OUT), "runs")
     opened = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("items"))
     contexts = texts.join(opened, "doc_id").mapInArrow(_contexts(length), "doc_id long, lo long, key long, bytes binary")
