@@ -252,17 +252,27 @@ def test_promotion_gate_and_incident(spark, sf):
 
 
 def test_grants_come_in_their_order(spark):
-    people = spark.createDataFrame([(1, "employee", "T", "active"), (2, "customer_user", "T", "active"), (3, "service_account", "T", "active"), (4, "customer_user", "U", "active"), (5, "employee", "T", "disabled")], "principal_id long, principal_type string, home_tenant_id string, principal_status string")
-    docs = spark.createDataFrame([(10, "T", "confidential", ["G", "H"], [9], [2], "current"), (11, "T", "internal", [], [], [], "current"), (12, "T", "restricted", ["H"], [9], [1], "current"), (13, "T", "public", [], [], [], "deleted")], "doc_id long, tenant_id string, label string, access_groups array<string>, access_subjects array<long>, access_principals array<long>, status string")
-    held = spark.createDataFrame([(1, "H", "2024-01-01", None), (1, "G", "2020-01-01", "2020-02-01")], "principal_id long, group_id string, valid_from string, valid_to string").selectExpr("principal_id", "group_id", "date(valid_from) valid_from", "date(valid_to) valid_to")
-    groups = spark.createDataFrame([("G", "restricted"), ("H", "confidential")], "group_id string, max_label string")
-    reports = spark.createDataFrame([(9, 1)], "principal_id long, manager_id long")
+    """Of several grants that match the first kind is told, then the first position; what label rules exclude is passed over. The rules are those of the one engine."""
+    f, day = spark.createDataFrame, datetime.date(2024, 1, 1)
+    people = f([(1, "employee", "active", "T-0", "E-1", []), (2, "customer_user", "active", "T-1", None, []), (3, "service_account", "active", "T-0", None, ["T-0", "T-1"])], "principal_id long, principal_type string, principal_status string, home_tenant_id string, employee_id string, service_scopes array<string>")
+    docs = f([(10, "T-0", "confidential", "current"), (11, "T-1", "confidential", "current"), (12, "T-0", "restricted", "current")], "doc_id long, tenant_id string, label string, status string")
+    tenants = f([("T-0", "active"), ("T-1", "active")], "tenant_id string, tenant_status string")
+    grants = f([
+        (10, "principal", 0, None, "1"), (10, "relation", 0, "manager_of", "E-9"), (10, "group", 1, None, "H"), (10, "group", 0, None, "G"), (10, "principal", 1, None, "3"),
+        (11, "principal", 0, None, "2"), (11, "relation", 1, "self", "E-1"), (11, "relation", 0, "manager_of", "E-9"),
+        (12, "group", 0, None, "H"), (12, "relation", 0, "manager_of", "E-9"), (12, "relation", 1, "self", "E-1"), (12, "principal", 0, None, "1"),
+    ], "doc_id long, kind string, position int, relation string, value string")
+    members = f([("m1", 1, "G", day, day), ("m2", 1, "H", day, None)], "membership_id string, principal_id long, group_id string, valid_from date, valid_to date")
+    groups = f([("G", "restricted", "active"), ("H", "confidential", "active")], "group_id string, max_label string, group_status string")
+    edges = f([("e1", "reports_to", "E-9", "E-1", day, None)], "edge_id string, relation string, from_id string, to_id string, valid_from date, valid_to date")
+    on = F.lit("2024-07-01").cast("date")
+    held = access.holdings(people, members, groups, access.relation_paths(edges, on), on)
     pairs = people.select("principal_id").crossJoin(docs.select("doc_id"))
-    got = {(r.principal_id, r.doc_id): (r.decision, r.reason, r.grant_type, r.grant_value) for r in govern.access(docs, pairs, people, held, groups, reports, F.lit("2024-07-01").cast("date")).collect()}
-    assert got[1, 10] == ("allow", "matching_grant", "group", "H") and got[1, 12] == ("allow", "matching_grant", "relation", "manages:9")
-    assert got[2, 10] == ("allow", "matching_grant", "principal", "2") and got[2, 11] == ("allow", "matching_grant", "tenant_membership", "T")
-    assert got[1, 11][:2] == ("allow", "internal_label") and got[3, 11][1] == "no_matching_grant" and got[3, 10][1] == "principal_type_for_label"
-    assert got[4, 11][1] == "other_tenant" and got[5, 10][1] == "principal_not_active" and got[1, 13][1] == "document_deleted" and len(got) == 20
+    got = {(r.principal_id, r.doc_id): (r.decision, r.reason, r.grant_type, r.grant_value) for r in access.access(pairs, people, docs, tenants, grants, held, "T-0").collect()}
+    assert got[1, 10] == ("allow", "group_grant", "group", "H")  # the membership of G, which comes first, has ended
+    assert got[1, 11] == ("allow", "relation_grant", "relation", "manager_of:E-9") and got[1, 12] == ("allow", "relation_grant", "relation", "self:E-1")
+    assert got[2, 11] == ("allow", "principal_grant", "principal", "2") and got[2, 10][:2] == ("deny", "public_only") and got[2, 12][:2] == ("deny", "public_only")
+    assert got[3, 10] == ("allow", "principal_grant", "principal", "3") and got[3, 11][1] == got[3, 12][1] == "no_matching_grant" and len(got) == 9
 
 
 def people_and_documents(spark):
