@@ -171,3 +171,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, shard_ro
     shared = queries.join(known, "vec_id", "left").withColumn("kth", F.coalesce("kth", lowest))
     found = units(dealt, shared.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+#: The query's rows in DuckDB.
+ORACLE = """
+with v as (
+    select distinct vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), asked as (
+    select vec_id, min(q) as q from v where vec_id % 100 = 0 group by vec_id
+), scored as (
+    select a.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * v.q[i])) as bigint) as score
+    from asked a join v on v.vec_id <> a.vec_id and len(v.q) = len(a.q)
+), placed as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from scored
+)
+select * from placed where rank <= 10
+"""

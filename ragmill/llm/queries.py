@@ -82,6 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op5_preferences": preferences.ORACLE, "op8_warc": warc.ORACLE, "op9_jaccard_join": minhash.components_oracle(4, 85), "op10_licenses": licenses.ORACLE,
+        "op2_exact_top_k": ball_tree.ORACLE, "op5_preferences": preferences.ORACLE, "op8_warc": warc.ORACLE, "op9_jaccard_join": minhash.components_oracle(4, 85), "op10_licenses": licenses.ORACLE,
         "op11_max_sketch": max_sketch.ORACLE, "op12_minhash": minhash.ORACLE, "op13_fill_middle": fill_middle.ORACLE,
     }
