@@ -14,7 +14,7 @@ from ragmill.operators.retrieve import ranked, tokens
 from ragmill.sources.tables import kept, scratch, small_side
 
 #: Documents of a block, and buckets of terms. Queries and distinct terms that are scored at a time.
-BLOCK_DOCS, BUCKETS = 1024, 32
+BLOCK_DOCS, BUCKETS = 1024, 16
 QUERIES, TERMS = 1024, 16384
 
 
@@ -43,8 +43,7 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", epsilon: flo
     """
     spark = docs.sparkSession
     t = docs.select(F.col(id_col).alias("doc_id"), tokens("text").alias("w"))
-    lengths = kept(t.select("doc_id", F.size("w").alias("dl")), "lengths")
-    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
+    n, avgdl = t.agg(F.count("*"), F.avg(F.size("w"))).first()
     n_blocks = max(1, -(-n // BLOCK_DOCS))
     word = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).withColumn("bucket", _bucket(F.col("term"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
     counted = word.groupBy("bucket", "block", "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
@@ -54,7 +53,7 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", epsilon: flo
     blocks = postings.groupBy("bucket", "term", "block").agg(F.max("part").alias("most"), F.count("*").alias("df"))
     blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
     df = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("df").alias("df"))
-    raw = kept(df.withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))), "idf")
+    raw = df.withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     least = (raw.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
     raw.select("term", "df", F.when(F.col("idf") < 0, least).otherwise(F.col("idf")).alias("idf"), F.lit(avgdl).cast("double").alias("avgdl")).write.parquet(f"{path}/terms")
     return open_index(spark, path)
@@ -146,7 +145,7 @@ def _scored(index: LexicalIndex, wanted: DataFrame, queries: _Queries, blocks: D
             keep = np.arange(len(j)) - np.searchsorted(j, j) < k
             yield pa.RecordBatch.from_arrays([pa.array(queries.ids[j[keep]]), pa.array(docs[i[keep]]), pa.array(score[i[keep], j[keep]])], ["query_id", "doc_id", "score"])
 
-    rows = _numbered(index.postings.join(small_side(blocks, "open"), "block", "left_semi"), wanted, "part")
+    rows = _numbered(index.postings.join(blocks, "block", "left_semi"), wanted, "part")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
@@ -156,10 +155,9 @@ def search(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     Queries go in blocks of bounded size. The block of documents with a query's best bound is scored first; of the others those stay whose bound reaches
     the kth score that some query then has.
     """
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    used = small_side(asked.select("term").distinct(), "asked")
-    known = kept(index.terms.join(used, "term").select("term", "idf"), "known")
-    weighted = kept(asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
+    asked = kept(queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
+    used = small_side(asked.select("term").distinct(), "terms")
+    weighted = kept(asked.join(index.terms.join(used, "term").select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
     n, rows = weighted.agg(F.count_distinct("query_id"), F.count("*")).first()
     parts = max(1, -(-n // QUERIES), -(-rows // TERMS))
     found = None
@@ -171,10 +169,10 @@ def search(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
         wanted = index.terms.sparkSession.createDataFrame(list(block.terms.items()), "term string, number int").withColumn("bucket", _bucket(F.col("term")))
         bounds = kept(_bounds(index, wanted, block), "bounds")
         pilot = kept(bounds.groupBy("query_id").agg(F.max_by("block", F.struct("bound", "block")).alias("block")).select("block").distinct(), "pilot")
-        first = kept(_scored(index, wanted, block, pilot, k), "first")
+        first = kept(_scored(index, wanted, block, F.broadcast(pilot), k), "first")  # a block for each query at most
         kth = ranked(first, ["query_id"], [F.desc("score"), F.col("doc_id")], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
         open_ = bounds.join(F.broadcast(kth), "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-6)).select("block").distinct().join(F.broadcast(pilot), "block", "left_anti")
-        both = first.unionByName(_scored(index, wanted, block, open_, k))
+        both = first.unionByName(_scored(index, wanted, block, small_side(open_, "open"), k))
         found = both if found is None else found.unionByName(both)
     if found is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
