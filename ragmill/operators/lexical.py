@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.operators.retrieve import ranked, tokens
-from ragmill.sources.tables import kept, scratch, small_side
+from ragmill.sources.tables import kept, scratch, small_side, spread
 
 #: Documents of a block, and buckets of terms. Queries and distinct terms that are scored at a time.
 BLOCK_DOCS, BUCKETS = 1024, 16
@@ -42,7 +42,7 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", epsilon: flo
     documents of a block are drawn by a hash, and a block's best part of each term bounds what its documents can score.
     """
     spark = docs.sparkSession
-    t = docs.select(F.col(id_col).alias("doc_id"), tokens("text").alias("w"))
+    t = spread(docs.select(F.col(id_col).alias("doc_id"), "text")).select("doc_id", tokens("text").alias("w"))
     n, avgdl = t.agg(F.count("*"), F.avg(F.size("w"))).first()
     n_blocks = max(1, -(-n // BLOCK_DOCS))
     word = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).withColumn("bucket", _bucket(F.col("term"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))

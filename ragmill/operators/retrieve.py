@@ -22,7 +22,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    trimmed = F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r"))  # then no word is empty, and no filter needs to look at each
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True, classes: bool = False) -> DataFrame:

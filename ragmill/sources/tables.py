@@ -110,3 +110,9 @@ def small_side(df: DataFrame, name: str) -> DataFrame:
     """A side of a join, kept, and broadcast if it has BROADCAST_ROWS rows at most; beyond, the join shuffles."""
     side = kept(df, name)
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores, if it comes in fewer partitions than there are cores: a small file is one row group, and all work on it would be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
