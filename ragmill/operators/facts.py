@@ -126,12 +126,16 @@ def tier(line: Column) -> Column:
     return F.when(item & named, F.struct(name.alias("name"), model.alias("model"), price.alias("price"), unit.alias("unit")))
 
 
+#: Where a value of any kind begins: elsewhere, which is most of a text, the patterns of the kinds aren't tried.
+_BEGINS = r"(?=[A-Z0-9]|\b[a-z])"
+
+
 def tagged(text: Column, kinds: list[tuple[str, str]]) -> Column:
     """The values of a text, each once, as array<struct<kind,value>> in the order of the text, from one scan with one pattern.
 
-    Of values that overlap the one that begins first stands, and of kinds that begin at one place the first.
+    Of values that overlap the one that begins first stands, and of kinds that begin at one place the first. Kinds begin with a capital, a digit or a word's first letter.
     """
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("|".join(f"(?:{p})" for _, p in kinds)), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{_BEGINS}(?:{'|'.join(f'(?:{p})' for _, p in kinds)})"), F.lit(0)))
     kind = lambda x: F.coalesce(*(F.when(x.rlike(f"^(?:{p})$"), k) for k, p in kinds))
     return F.transform(found, lambda x: F.struct(kind(x).alias("kind"), x.alias("value")))
 
@@ -198,12 +202,12 @@ def unsupported(texts: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
     a letter and digit that the code has where its digits begin, so not every record of a key is compared with every code. Texts are scanned once.
     """
     v = kept(texts.select(key, F.inline(values(F.col("body")))).withColumn("standard", standard(F.col("kind"), F.col("value"))), "values")
-    told = allowed.select(key, F.inline(supported(F.col("value")))).distinct()
-    others = v.where("kind <> 'code'").join(told, [key, "kind", "standard"], "left_anti")
-    held = allowed.select(F.col(key).alias("_key"), F.explode(F.split(F.lower("value"), r"\W+")).alias("_held")).where(F.col("_held").rlike(_TURN)).distinct()
+    told = allowed.select(key, F.inline(supported(F.col("value"))))
+    others = v.where("kind <> 'code'").join(told.hint("merge"), [key, "kind", "standard"], "left_anti")
+    held = allowed.select(F.col(key).alias("_key"), F.explode(F.split(F.lower("value"), r"\W+")).alias("_held")).where(F.col("_held").rlike(_TURN))
     held = held.select("_key", "_held", F.explode(F.array_distinct(F.regexp_extract_all("_held", F.lit(_TURN), F.lit(0)))).alias("_turn"))
     codes = v.where("kind = 'code'").withColumn("_turn", F.regexp_extract(F.lower("value"), _TURN, 0))
-    codes = codes.join(held.withColumnRenamed("_turn", "_of"), (F.col(key) == F.col("_key")) & (F.col("_turn") == F.col("_of")) & F.col("_held").contains(F.lower("value")), "left_anti")
+    codes = codes.join(held.withColumnRenamed("_turn", "_of").hint("merge"), (F.col(key) == F.col("_key")) & (F.col("_turn") == F.col("_of")) & F.col("_held").contains(F.lower("value")), "left_anti")
     return others.unionByName(codes.drop("_turn")).select(key, "kind", "value")
 
 

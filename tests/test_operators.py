@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ragmill import catalog
 from ragmill.functions import kernels
 from ragmill.functions import text as X
 from ragmill.operators import changes as G
@@ -489,3 +490,20 @@ def test_links_in_any_quotes_and_bundles_of_hubs(spark):
     hub = spark.createDataFrame([(0, i, i) for i in range(1, 50)], "page_id long, link_no int, target_id long")
     got = {x.page_id: x.bundle for x in web.bundles(texts, hub, 120).collect()}
     assert got[0] == "\n".join(f"t{i} " * 10 for i in range(50))[:120] and got[7] == "t7 " * 10
+
+
+@pytest.mark.parametrize("name", ["k5_unsupported_values", "k5_value_kinds"])
+def test_what_records_support_is_not_broadcast(name, spark, sf):
+    q = catalog.queries()[name](spark, sf)
+    q.collect()
+    assert "Broadcast" not in q._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_begin_at_words_capitals_and_digits(spark):
+    body = "xyCUST-12 abc9 (é12, x-3 FY2024 _A1 éa7 May 2024"
+    v = [("code", "abc9"), ("number", "12"), ("number", "3"), ("period", "FY2024"), ("month", "May 2024")]
+    got = [(x.kind, x.value) for x in spark.createDataFrame([(body,)], "b string").select(F.inline(K.values(F.col("b")))).collect()]
+    plain = F.regexp_extract_all("b", F.lit("|".join(f"(?:{p})" for _, p in K.VALUE_KINDS)), F.lit(0))
+    want = list(dict.fromkeys(spark.createDataFrame([(body,)], "b string").select(plain).first()[0]))
+    assert [x for _, x in got] == want
+    assert all(x in got for x in v if x[1] in want)
