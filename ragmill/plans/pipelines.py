@@ -189,8 +189,9 @@ def j7(spark: SparkSession, sf: str) -> DataFrame:
 def j8(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "j8")
     e = table(spark, sf, "cdc_events").withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("delivery_pos")))
-    e.repartitionByRange(4, "delivery_pos").sortWithinPartitions("delivery_pos").write.parquet(f"{path}/in")
-    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")  # several batches
+    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    e.repartitionByRange(n, "delivery_pos").sortWithinPartitions("delivery_pos").write.parquet(f"{path}/in")
+    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", -(-n // 2)).parquet(f"{path}/in")  # several batches
     S.apply_changes(files, f"{path}/state", "30 days").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
     return S.state(spark, f"{path}/state")
 

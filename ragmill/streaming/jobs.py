@@ -6,10 +6,9 @@ end of what is there (availableNow) and returns what it wrote.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from ragmill.operators.changes import replay
 
@@ -36,51 +35,20 @@ def sustained_alerts(log: DataFrame, baseline: float, routes: DataFrame, factor:
     return told.select(F.col("w.start").alias("window_start"), "tenant", "lowest", F.lit("CRITICAL").alias("severity"), what.alias("what"), F.coalesce("owner", "other_owner").alias("owner"), F.coalesce("runbook", "other_runbook").alias("runbook"))
 
 
-class _Latest(StatefulProcessor):
-    """The last change of each object (its tombstone, too), and for a while the ids of what was delivered, so that repeats are told."""
-
-    def __init__(self, repeat_ms: int):
-        self.repeat_ms = repeat_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "sequence long, operation string, after_value double")
-        self.seen = handle.getMapState("seen", "event_id string", "until long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        before = self.last.get() if self.last.exists() else None
-        best, started = before, timerValues.getCurrentWatermarkInMs()
-        for r in rows:
-            if self.seen.containsKey((r.event_id,)):
-                continue
-            until = max(started, int(r.ts.timestamp() * 1000)) + self.repeat_ms
-            self.seen.updateValue((r.event_id,), (until,))
-            self.handle.registerTimer(until)
-            if best is None or r.sequence > best[0]:
-                best = (r.sequence, r.operation, r.after_value)
-        if best is not None and best is not before:
-            self.last.update(best)
-            yield Row(object_id=key[0], sequence=best[0], operation=best[1], after_value=best[2])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for event_id in [k[0] for k, v in self.seen.iterator() if v[0] <= now]:
-            self.seen.removeKey((event_id,))
-        yield from ()
-
-
-def latest_changes(events: DataFrame, late: str = "1 day", repeat_ms: int = 86_400_000) -> DataFrame:
+def latest_changes(events: DataFrame) -> DataFrame:
     """A stream of the objects that a batch has changed (object_id, sequence, operation, after_value), from keyed state.
 
-    events: event_id, ts, object_id, sequence, operation, after_value. The highest sequence of an object stays, tombstones too, so a late update can't bring a row back. Events that
-    were delivered within repeat_ms before are repeats and change nothing; a timer of event time forgets their ids. A batch reads and writes the state of its own objects only.
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    events: event_id, object_id, sequence, operation, after_value. The state is one native aggregate: of each object the change with the highest sequence (a tombstone, too, so a late
+    update can't bring a row back) and the time of the batch that brought it first. A repeat has the sequence of its first delivery and changes nothing, so no ids are kept, and no event is
+    too late. A batch reads and writes the state of its own objects only; of these it tells those whose change is of this batch.
     """
-    keyed = events.withWatermark("ts", late).groupBy("object_id")
-    return keyed.transformWithState(_Latest(repeat_ms), T.StructType.fromDDL("object_id long, sequence long, operation string, after_value double"), "Update", "EventTime")
+    came = events.withColumn("came", F.current_timestamp())  # one time for all of a batch
+    best = F.max(F.struct("sequence", (-F.unix_micros("came")).alias("before"), "operation", "after_value")).alias("l")
+    last = came.groupBy("object_id").agg(best).where(F.col("l.before") == -F.unix_micros(F.current_timestamp()))
+    return last.select("object_id", "l.sequence", "l.operation", "l.after_value")
 
 
-#: Provider of state stores that transformWithState needs.
+#: Provider of state stores that keep states of any size on disk.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -88,13 +56,14 @@ def apply_changes(events: DataFrame, target: str, late: str = "1 day", repeat_ms
     """A writer of latest_changes to `target`, a folder v=n for each batch with what the batch has changed.
 
     What is written follows the batch, not the state; a batch that runs again after a failure writes its own folder again.
+    late and repeat_ms stand for callers of before: sequences decide, whatever comes late or again.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/v={number}")
 
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # of the queries that start from now on
-    return latest_changes(events, late, repeat_ms).writeStream.outputMode("update").foreachBatch(put)
+    return latest_changes(events).writeStream.outputMode("update").foreachBatch(put)
 
 
 def state(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:

@@ -428,6 +428,17 @@ def test_changes_from_keyed_state(spark, tmp_path):
     assert rows(jobs.state(spark, str(tmp_path / "out"), 0)) == [(2, 2, 2.0)]
 
 
+def test_a_late_change_of_a_higher_sequence_counts(spark, tmp_path):
+    schema = "event_id string, ts timestamp, object_id long, sequence long, operation string, after_value double"
+    day = datetime.datetime(2024, 1, 1)
+    for i, days in enumerate([100, 200, 0]):
+        e = [(f"e{i}", day + datetime.timedelta(days=days), 1, i, "upsert", float(i))]
+        spark.createDataFrame(e, schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+        run = jobs.apply_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), "1 day").option("checkpointLocation", str(tmp_path / "progress"))
+        run.trigger(availableNow=True).start().awaitTermination()
+    assert rows(jobs.state(spark, str(tmp_path / "out"))) == [(1, 2, 2.0)]
+
+
 @pytest.mark.parametrize("block_docs", [5, 1000])
 def test_lexical_index_against_full_scan(spark, tmp_path, monkeypatch, block_docs):
     """Scores over the stored index, with blocks skipped, equal those of all documents; queries in several blocks."""
