@@ -8,18 +8,23 @@ from pyspark.sql import types as T
 
 from ragmill.operators import baselines as L
 from ragmill.sources import files as A
-from ragmill.sources.tables import scratch, table
+from ragmill.sources.tables import kept, scratch, table
 from ragmill.streaming import jobs as S
 
 
 def a1(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as text files, one for each, under their source, and read as a tree: whole texts come back."""
-    d = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("value"))
+    """Documents written as text files, one for each, under their source, and read as a tree: whole texts come back.
+
+    A file's first line is its document's id, so a folder holds many files. Tasks move their files where they belong themselves; the driver would move them one by one.
+    """
+    d = table(spark, sf, "documents").select("source", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("folder"), F.concat_ws("\n", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("value"))
     root = f"{scratch(spark, 'tree')}/corpus"
-    d.repartition("source", "doc_id").write.partitionBy("source", "doc_id").text(root)
+    files = d.repartition(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "source", "folder")
+    files.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("source", "folder").text(root)
     found = A.read_markdown_tree(spark, root, "*.txt")
-    text = F.regexp_replace("text", r"\n\z", "")  # the writer ends a file with a line break
-    return found.select(F.regexp_extract("source", "/doc_id=([^/]+)/", 1).cast("long").alias("doc_id"), F.regexp_replace("doc_type", "source=", "").alias("doc_type"), F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
+    text = F.regexp_replace(F.expr("substr(text, instr(text, '\n') + 1)"), r"\n\z", "")  # the writer ends a file with a line break
+    with A.small_files(spark):
+        return kept(found.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"), F.regexp_replace("doc_type", "source=", "").alias("doc_type"), F.length(text).alias("n_chars"), F.md5(text).alias("digest")), "found")
 
 
 _META = T.StructType([T.StructField("doc_id", T.LongType(), False), T.StructField("lang", T.StringType(), False), T.StructField("content_sha256", T.StringType(), False)])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,18 @@ def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") ->
     return df.select(path.alias("source"), kind.alias("doc_type"), F.col("value").alias("text"))
 
 
+@contextmanager
+def small_files(spark: SparkSession, cost: int = 1 << 16) -> Iterator[None]:
+    """Within it, scans deal a file out as its bytes and `cost` more, by default 64 KB and not 4 MB: else a task reads a few small files, and there are as many tasks as a fraction of the files."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(cost))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def front_matter(text: Column, schema: T.StructType) -> Column:
     """Fields of the `key: json` lines between the --- lines, as a struct; null if there is no such block."""
     block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)

@@ -16,7 +16,7 @@ from ragmill.functions import text as X
 from ragmill.operators import changes as G
 from ragmill.operators import access, chunk, curate, evaluate, govern, lexical, order_stats, retrieve, web
 from ragmill.operators import facts as K
-from ragmill.plans import curation, governance, retrieval
+from ragmill.plans import curation, governance, pipelines, retrieval
 from ragmill.sources import files
 from ragmill.streaming import jobs
 
@@ -518,3 +518,11 @@ def test_values_begin_at_words_capitals_and_digits(spark):
     want = list(dict.fromkeys(spark.createDataFrame([(body,)], "b string").select(plain).first()[0]))
     assert [x for _, x in got] == want
     assert all(x in got for x in v if x[1] in want)
+
+
+def test_tree_of_documents_needs_no_folder_for_each(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipelines, "scratch", lambda spark, name: str(tmp_path / name))
+    n = pipelines.a1(spark, sf).count()
+    found = list((tmp_path / "tree").rglob("part-*.txt"))
+    assert len(found) == n == spark.read.parquet(f"{sf}/documents.parquet").count()  # a file for each
+    assert len({f.parent for f in found}) < n
