@@ -526,3 +526,32 @@ def test_tree_of_documents_needs_no_folder_for_each(spark, sf, tmp_path, monkeyp
     found = list((tmp_path / "tree").rglob("part-*.txt"))
     assert len(found) == n == spark.read.parquet(f"{sf}/documents.parquet").count()  # a file for each
     assert len({f.parent for f in found}) < n
+
+
+def test_lexical_index_is_a_row_for_each_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 4)
+    texts = ["ΟΔΟΣ\tοδος a\x0bA", None, " \n", "", "a b a", "b\u00a0c ŞİŞ", *(f"w{i} a b" for i in range(20))]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(4, "a b a")]  # a repeated row counts with its first
+    index = lexical.write_index(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "index"))
+    assert index.blocks.count() <= 7
+    df, words = Counter(), [re.split(r"[ \t\n\x0b\f\r]+", t.lower().strip(" \n")) if t and t.strip() else [] for _, t in docs]
+    for w in words[:-1]:
+        df.update(set(w))
+    assert {r.term: r.df for r in index.terms.collect()} == dict(df)
+    assert index.terms.first().avgdl == sum(map(len, words)) / (len(words) - 1)
+    got = lexical.search(index, spark.createDataFrame([(1, "οδος a")], "query_id long, text string"), 2).collect()
+    assert [r.doc_id for r in got] == [0, 4] and got[1].score > got[0].score / 4
+
+
+def test_rankings_meet_texts_without_a_shuffle_of_texts(spark):
+    texts = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    ranking = spark.createDataFrame([(1, 1, 7), (1, 2, 8)], "query_id long, rank int, doc_id long")
+    phrases = spark.createDataFrame([(1, "xt 8")], "query_id long, phrase string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (retrieve.assemble_context(ranking, texts, 5), retrieve.rank_probe(ranking, texts, phrases, [1, 2])):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert rows(retrieve.rank_probe(ranking, texts, phrases, [1, 2])) == [(1, 1, None), (1, 2, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
