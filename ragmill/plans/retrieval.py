@@ -9,7 +9,7 @@ from ragmill.functions import text as X
 from ragmill.operators import evaluate as E
 from ragmill.operators import lexical as L
 from ragmill.operators import retrieve as R
-from ragmill.sources.tables import scratch, table
+from ragmill.sources.tables import scratch, small_side, table
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +129,7 @@ def _keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    found = L.search(lexical(spark, sf), questions(spark, sf), 10)
+    found = small_side(L.search(lexical(spark, sf), questions(spark, sf), 10), "found")  # texts stay where they are
     return found.join(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id").select(F.col("query_id").alias("question_id"), "rank", "text", "lang")
 
 
