@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import l2_normalize
+from ragmill.sources.tables import give_back, small_side
 
 #: Most vectors that a task holds at a time.
 SHARD_ROWS = 16384
@@ -192,7 +193,8 @@ def apply_rerank(ranking: DataFrame, orders: DataFrame, k: int) -> DataFrame:
 def assemble_context(ranking: DataFrame, texts: DataFrame, k: int, header: bool = True) -> DataFrame:
     """The texts of the best k, in order, parted by blank lines."""
     text = F.concat(F.lit("Extract from "), F.col("source"), F.lit(":\n"), F.col("text")) if header else F.col("text")
-    rows = ranking.where(F.col("rank") <= k).join(texts.select("doc_id", text.alias("text")), "doc_id")
+    best = small_side(ranking.where(F.col("rank") <= k).select("query_id", "rank", "doc_id"), "best")  # texts stay where they are
+    rows = best.join(texts.select("doc_id", text.alias("text")), "doc_id")
     items = F.sort_array(F.collect_list(F.struct("rank", "text")))  # at most k
     return rows.groupBy("query_id").agg(F.array_join(F.transform(items, lambda x: x["text"]), "\n\n").alias("context"))
 
@@ -219,7 +221,8 @@ def lookup_context(questions: DataFrame, dictionary: DataFrame, default: str) ->
 
 def rank_probe(ranking: DataFrame, texts: DataFrame, phrases: DataFrame, depths: list[int]) -> DataFrame:
     """For each query and depth the rank of the first result whose text holds the query's phrase, or null."""
-    hit = ranking.join(phrases, "query_id").join(texts.select("doc_id", "text"), "doc_id").select("query_id", "rank", F.col("text").contains(F.col("phrase")).alias("hit"))
+    asked = small_side(ranking.join(phrases, "query_id").select("query_id", "rank", "doc_id", "phrase"), "asked")  # texts stay where they are
+    hit = asked.join(texts.select("doc_id", "text"), "doc_id").select("query_id", "rank", F.col("text").contains(F.col("phrase")).alias("hit"))
     return hit.crossJoin(F.broadcast(hit.sparkSession.createDataFrame([(d,) for d in depths], "depth int"))).groupBy("query_id", "depth").agg(F.min(F.when(F.col("hit") & (F.col("rank") <= F.col("depth")), F.col("rank"))).alias("first_rank"))
 
 
