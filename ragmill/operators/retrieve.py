@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import l2_normalize
-from ragmill.sources.tables import give_back, small_side
+from ragmill.sources.tables import give_back, kept, small_batches, small_side
 
 #: Most vectors that a task holds at a time.
 SHARD_ROWS = 16384
+#: Scores of queries and rows that a task holds at a time.
+SCORES = 1 << 20
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
@@ -33,14 +35,20 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool =
     Vectors are dealt once to shards of bounded size; queries visit every shard, batch by batch, and only k rows for each query and shard are shuffled on.
     With classes, vectors have a class and queries the classes that they may see, and that is tested before a shard's rows are cut to k.
     """
+    shards = max(1, -(-vectors.count() // SHARD_ROWS))
+    rows = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = _in_shards(rows, asked, k, skip_self, classes)
+    return ranked(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
+
+
+def _in_shards(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool, classes: bool = False) -> DataFrame:
+    """(query_id, shard, doc_id, score): the k best vectors of each shard that a query visits. vectors and queries are (shard, id, vector), with classes as in exact_topk."""
     kinds = {df.schema["vector"].dataType.simpleString() for df in (vectors, queries)}
     value = F.col("vector") if len(kinds) == 1 else F.col("vector").cast("array<double>")
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     seen = lambda c: c.cast("array<long>") if classes else F.lit(None).cast("array<long>")
-    rows = vectors.select(shard.alias("shard"), F.lit(False).alias("asked"), "id", value.alias("vector"), seen(F.array("class") if classes else None).alias("classes"))
-    asked = queries.select(every.alias("shard"), F.lit(True).alias("asked"), "id", value.alias("vector"), seen(F.col("classes") if classes else None).alias("classes"))
+    rows = vectors.select("shard", F.lit(False).alias("asked"), "id", value.alias("vector"), seen(F.array("class") if classes else None).alias("classes"))
+    asked = queries.select("shard", F.lit(True).alias("asked"), "id", value.alias("vector"), seen(F.col("classes") if classes else None).alias("classes"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, ready = -1, [], None
@@ -58,10 +66,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool =
                     ready, parts = _Shard(pa.Table.from_batches(parts), classes), []
                 if ready is not None:
                     yield ready.best(part, k, skip_self)
+        parts, ready = [], None
+        give_back()
 
-    units = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asked")
-    found = units.mapInArrow(search, "query_id long, doc_id long, score double")
-    return ranked(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
+    units = small_batches(rows.unionByName(asked)).repartition("shard").sortWithinPartitions("shard", "asked")
+    return units.mapInArrow(search, "query_id long, shard int, doc_id long, score double")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -83,15 +92,18 @@ class _Shard:
         self.kinds, self.kind = np.unique(rows.column("classes").combine_chunks().flatten().to_numpy(), return_inverse=True) if classes else (None, None)
 
     def best(self, asked: pa.RecordBatch, k: int, skip_self: bool) -> pa.RecordBatch:
-        """The k best rows for each query, a few queries at a time."""
+        """The k best rows for each query, so many queries at a time that their scores take some MB."""
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         ids, q, seen = asked.column(2).to_numpy(), _matrix(asked.column(3)), asked.column(4)
-        for at in range(0, len(ids), 256):
-            score = np.round(q[at : at + 256] @ self.x.T, 6) + 0.0
+        step = max(1, SCORES // len(self.own))
+        for at in range(0, len(ids), step):
+            score = q[at : at + step] @ self.x.T
+            np.round(score, 6, out=score)
+            score += 0.0
             if skip_self:
-                score[ids[at : at + 256, None] == self.own[None, :]] = -np.inf
+                score[ids[at : at + step, None] == self.own[None, :]] = -np.inf
             if self.kinds is not None:
-                may = np.stack([np.isin(self.kinds, c.values.to_numpy() if c.is_valid else []) for c in seen.slice(at, 256)])
+                may = np.stack([np.isin(self.kinds, c.values.to_numpy() if c.is_valid else []) for c in seen.slice(at, step)])
                 score[~may[:, self.kind]] = -np.inf
             kth = np.partition(score, -k, axis=1)[:, -k] if k < len(self.own) else np.full(len(score), -np.inf)
             i, j = np.nonzero((score >= kth[:, None]) & np.isfinite(score))  # with all that tie at the kth place
@@ -100,7 +112,8 @@ class _Shard:
             keep = np.arange(len(i)) - np.searchsorted(i, i) < k
             for col, v in zip(out, (ids[at + i[keep]], self.own[j[keep]], score[i[keep], j[keep]]), strict=True):
                 col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "doc_id", "score"])
+        found = [pa.array(np.concatenate(c)) for c in out]
+        return pa.RecordBatch.from_arrays([found[0], pa.array(np.full(len(found[0]), asked.column(0)[0].as_py(), np.int32)), *found[1:]], ["query_id", "shard", "doc_id", "score"])
 
 
 def ivf_build(vectors: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +125,7 @@ def ivf_build(vectors: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame
     v = vectors.withColumn("vector", l2_normalize(F.col("vector"))).withColumn("features", array_to_vector("vector"))
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(v)
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list_id int, centroid array<double>")
-    return model.transform(v).select("id", "vector", F.col("prediction").alias("list_id")), centres
+    return kept(model.transform(v).select("id", "vector", F.col("prediction").alias("list_id")), "lists"), centres
 
 
 def _near(centres: DataFrame, queries: DataFrame) -> DataFrame:
@@ -146,13 +159,34 @@ def ivf_probes(index: DataFrame, centres: DataFrame, queries: DataFrame, k: int,
     return int(np.argmax(sure >= least)) + 1 if sure[-1] >= least else lists
 
 
+def ivf_candidates(index: DataFrame, centres: DataFrame, queries: DataFrame, probes: int, k: int) -> DataFrame:
+    """(query_id, probe, doc_id, score): the best k of each shard of the lists whose centroids are nearest to the query; probe is the place of the list by closeness, from 1.
+
+    A list is dealt to shards of bounded size, which its queries visit, so pairs are scored as products of matrices.
+    """
+    sizes = index.groupBy("list_id").agg(F.count("*").alias("n")).collect()  # a row for each list
+    shards, first = [], 0
+    for r in sorted(sizes):
+        shards.append((r.list_id, first, -(-r.n // SHARD_ROWS)))
+        first += shards[-1][2]
+    if not shards:
+        return index.sparkSession.createDataFrame([], "query_id long, probe int, doc_id long, score double")
+    of = F.broadcast(index.sparkSession.createDataFrame(shards, "list_id int, first int, parts int"))
+    rows = index.join(of, "list_id").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts").cast("long"))).cast("int"))
+    probed = _near(centres, queries).where(F.col("rank") <= probes).join(of, "list_id")
+    asked = probed.select(F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("shard"), F.col("query_id").alias("id"), F.col("q").alias("vector"))
+    places = probed.select("query_id", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("shard"), F.col("rank").alias("probe"))
+    return _in_shards(rows, asked, k, True).join(places, ["query_id", "shard"]).select("query_id", "probe", "doc_id", "score")
+
+
+def best_of_probes(candidates: DataFrame, probes: int, k: int) -> DataFrame:
+    """query_id, rank, doc_id, score of the candidates in the nearest lists."""
+    return ranked(candidates.where(F.col("probe") <= probes), ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
+
+
 def ivf_topk(index: DataFrame, centres: DataFrame, queries: DataFrame, probes: int, k: int) -> DataFrame:
     """query_id, rank, doc_id, score over the lists whose centroids are nearest to the query."""
-    from ragmill.functions.text import dot
-
-    probed = _near(centres, queries).where(F.col("rank") <= probes).select("query_id", "q", "list_id")
-    scored = index.join(probed, "list_id").where(F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("doc_id"), F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
-    return ranked(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
+    return best_of_probes(ivf_candidates(index, centres, queries, probes, k), probes, k)
 
 
 def recall_report(exact: DataFrame, approximate: dict[int, DataFrame], lists: int, k: int, least: float = 0.9, most_scan: float = 0.25) -> DataFrame:
@@ -186,8 +220,8 @@ def merge_rankings(first: DataFrame, second: DataFrame) -> DataFrame:
 def apply_rerank(ranking: DataFrame, orders: DataFrame, k: int) -> DataFrame:
     """A ranking in the order that a reranker gave (query_id, order: places from 1): unknown places go, repeated ones count once."""
     places = orders.select("query_id", F.posexplode(F.array_distinct("order")).alias("at", "place"))
-    kept = ranking.select("query_id", F.col("rank").alias("place"), "doc_id").join(places, ["query_id", "place"])
-    return ranked(kept, ["query_id"], [F.col("at")], k).select("query_id", "rank", "doc_id")
+    placed = ranking.select("query_id", F.col("rank").alias("place"), "doc_id").join(places, ["query_id", "place"])
+    return ranked(placed, ["query_id"], [F.col("at")], k).select("query_id", "rank", "doc_id")
 
 
 def assemble_context(ranking: DataFrame, texts: DataFrame, k: int, header: bool = True) -> DataFrame:

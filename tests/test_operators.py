@@ -555,3 +555,35 @@ def test_rankings_meet_texts_without_a_shuffle_of_texts(spark):
         assert rows(retrieve.rank_probe(ranking, texts, phrases, [1, 2])) == [(1, 1, None), (1, 2, 2)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shards_hold_few_scores_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    own, asked = np.arange(50), np.arange(30)
+    table = lambda ids: retrieve.pa.table({"shard": np.zeros(len(ids), np.int32), "asked": np.zeros(len(ids), bool), "id": ids, "vector": rng.random((len(ids), 4)).tolist(), "classes": [None] * len(ids)})
+    shard, queries = retrieve._Shard(table(own), False), table(asked).combine_chunks().to_batches()[0]
+    whole = shard.best(queries, 3, True)
+    monkeypatch.setattr(retrieve, "SCORES", 100)
+    assert shard.best(queries, 3, True).equals(whole) and whole.num_rows == 90
+
+
+def test_second_ranking_joins_no_label_with_itself(spark, sf):
+    plan = retrieval._by_label(spark, sf)
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").toPandas()
+    want = [(q.vec_id, r + 1, d) for q in e[e.vec_id % 50 == 0].itertuples() for r, d in enumerate(sorted(e.vec_id[(e.label == q.label) & (e.vec_id != q.vec_id)])[:10])]
+    assert sorted(tuple(r) for r in plan.select("query_id", "rank", "doc_id").collect()) == sorted(want)
+    assert "windowspecdefinition(label" in plan._jdf.queryExecution().optimizedPlan().toString()  # labels are cut before they are joined
+
+
+def test_lists_are_searched_by_shards(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(120, 4)).tolist())], "id long, vector array<double>")
+    monkeypatch.setattr(retrieve, "SHARD_ROWS", 7)
+    index, centres = retrieve.ivf_build(v, 4)
+    q = v.where("id % 10 = 0")
+    assert rows(retrieve.ivf_topk(index, centres, q, 4, 5)) == rows(retrieve.exact_topk(v, q, 5))
+    found = retrieve.ivf_candidates(index, centres, q, 4, 5)
+    lists = {r.id: r.list_id for r in index.collect()}
+    near = {(r.query_id, r.list_id) for r in retrieve._near(centres, q).where("rank <= 2").collect()}
+    assert rows(retrieve.best_of_probes(found, 2, 5)) == rows(retrieve.ivf_topk(index, centres, q, 2, 5))
+    assert all((r.query_id, lists[r.doc_id]) in near for r in retrieve.best_of_probes(found, 2, 5).collect())
