@@ -9,7 +9,7 @@ from ragmill.functions import kernels, udtf
 from ragmill.functions.text import fixed_chunks
 from ragmill.operators import chunk as K
 from ragmill.operators import web
-from ragmill.sources.tables import table
+from ragmill.sources.tables import small_batches, table
 
 
 def e1(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +27,7 @@ def e3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e4(spark: SparkSession, sf: str) -> DataFrame:
-    return K.chunked(table(spark, sf, "documents").select("doc_id", kernels.recursive_chunks(1000, 200)("text").alias("c")), F.col("c")).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+    return K.chunked(small_batches(table(spark, sf, "documents")).select("doc_id", kernels.recursive_chunks(1000, 200)("text").alias("c")), F.col("c")).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
 def e5(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ragmill.functions import text as X
 from ragmill.operators import changes as G
 from ragmill.operators import access, chunk, curate, evaluate, govern, lexical, order_stats, retrieve, web
 from ragmill.operators import facts as K
-from ragmill.plans import curation, governance, pipelines, retrieval
+from ragmill.plans import chunking, curation, governance, pipelines, retrieval
 from ragmill.sources import files
 from ragmill.streaming import jobs
 
@@ -587,3 +587,14 @@ def test_lists_are_searched_by_shards(spark, monkeypatch):
     near = {(r.query_id, r.list_id) for r in retrieve._near(centres, q).where("rank <= 2").collect()}
     assert rows(retrieve.best_of_probes(found, 2, 5)) == rows(retrieve.ivf_topk(index, centres, q, 2, 5))
     assert all((r.query_id, lists[r.doc_id]) in near for r in retrieve.best_of_probes(found, 2, 5).collect())
+
+
+def test_recursive_chunks_reach_python_in_small_batches(spark, sf):
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "10000")
+    try:
+        chunks = chunking.e4(spark, sf)
+        assert int(spark.conf.get(conf)) <= 1000 and chunks.count() > 0
+    finally:
+        spark.conf.set(conf, before)
