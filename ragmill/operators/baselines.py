@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import CountVectorizer, HashingTF, RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.operators.evaluate import error_report
+from ragmill.sources.tables import kept
+
+#: Rows times words in a task that grows trees: MLlib keeps every row at the vocabulary's full width and reads some 12 bytes a cell, so this is about 50 MB.
+TREE_CELLS = 4_000_000
 
 
 def tabular(df: DataFrame, weight: str, text: str) -> DataFrame:
@@ -48,12 +52,19 @@ def unscaled(guess, mean="log_mean", sd="log_sd"):
 
 
 def trees(train: DataFrame, text: str, target: str, size: int = 2000) -> dict:
-    """A boosted and a forest regressor over word counts."""
-    stages = word_vectors(text, size)
-    return {
-        "boosted": Pipeline(stages=[*stages, GBTRegressor(labelCol=target, predictionCol="guess", maxIter=10, maxDepth=3, seed=1)]).fit(train),
-        "forest": Pipeline(stages=[*stages, RandomForestRegressor(labelCol=target, predictionCol="guess", numTrees=10, maxDepth=4, seed=1)]).fit(train),
+    """A boosted and a forest regressor over word counts.
+
+    Words are counted once for both. The counts are dealt evenly to as many tasks as their rows need, since how many partitions the texts come in says nothing of what a task has to hold.
+    """
+    words = Pipeline(stages=word_vectors(text, size)).fit(train)
+    vectors = kept(words.transform(train).select("features", target), "vectors")
+    tasks = -(-vectors.count() * len(words.stages[-1].vocabulary) // TREE_CELLS)
+    dealt = vectors.repartition(max(tasks, train.sparkSession.sparkContext.defaultParallelism))
+    grown = {
+        "boosted": GBTRegressor(labelCol=target, predictionCol="guess", maxIter=10, maxDepth=3, seed=1).fit(dealt),
+        "forest": RandomForestRegressor(labelCol=target, predictionCol="guess", numTrees=10, maxDepth=4, seed=1).fit(dealt),
     }
+    return {name: PipelineModel(stages=[*words.stages, model]) for name, model in grown.items()}
 
 
 def report(predicted: DataFrame, target: str, name: str, guess: str = "guess") -> DataFrame:

@@ -14,7 +14,7 @@ from ragmill import catalog
 from ragmill.functions import kernels
 from ragmill.functions import text as X
 from ragmill.operators import changes as G
-from ragmill.operators import access, chunk, curate, evaluate, govern, lexical, order_stats, retrieve, web
+from ragmill.operators import access, baselines, chunk, curate, evaluate, govern, lexical, order_stats, retrieve, web
 from ragmill.operators import facts as K
 from ragmill.plans import chunking, curation, governance, pipelines, retrieval
 from ragmill.sources import files
@@ -598,3 +598,15 @@ def test_recursive_chunks_reach_python_in_small_batches(spark, sf):
         assert int(spark.conf.get(conf)) <= 1000 and chunks.count() > 0
     finally:
         spark.conf.set(conf, before)
+
+
+def test_trees_grow_on_tasks_of_bounded_rows(spark, monkeypatch):
+    most = []
+    for kind in (baselines.GBTRegressor, baselines.RandomForestRegressor):
+        monkeypatch.setattr(kind, "_fit", lambda self, df, fit=kind._fit: (most.append(max(df.rdd.glom().map(len).collect())), fit(self, df))[1])
+    monkeypatch.setattr(baselines, "TREE_CELLS", 200, raising=False)
+    train = spark.createDataFrame([(f"even word{i % 9} " if i % 2 else f"odd word{i % 9} ", float(i % 2)) for i in range(400)], "text string, y double").coalesce(1)
+    models = baselines.trees(train, "text", "y")
+    assert len(most) == 2 and max(most) <= 25  # 11 words: 400 rows need 22 tasks of 18 or 19
+    for m in models.values():
+        assert m.transform(train).where("abs(guess - y) > 0.2").count() == 0
