@@ -130,14 +130,28 @@ def tier(line: Column) -> Column:
 _BEGINS = r"(?=[A-Z0-9]|\b[a-z])"
 
 
+def _found(text: Column, kinds: list[tuple[str, str]]) -> Column:
+    """The values of a text, each once, as array<string> in the order of the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"{_BEGINS}(?:{'|'.join(f'(?:{p})' for _, p in kinds)})"), F.lit(0)))
+
+
+#: Kinds that begin with a digit; a period may begin with a letter too.
+_OF_DIGITS = {"period", "iso_date", "stamp", "number"}
+
+
+def _kind(value: Column, kinds: list[tuple[str, str]]) -> Column:
+    """The first kind that fits a whole value; only those that begin as it does are tried."""
+    first = lambda tried: F.coalesce(*(F.when(value.rlike(f"^(?:{p})$"), k) for k, p in tried))
+    digits, letters = [x for x in kinds if x[0] in _OF_DIGITS], [x for x in kinds if x[0] not in _OF_DIGITS or x[0] == "period"]
+    return F.when(value < ":", first(digits)).otherwise(first(letters))
+
+
 def tagged(text: Column, kinds: list[tuple[str, str]]) -> Column:
     """The values of a text, each once, as array<struct<kind,value>> in the order of the text, from one scan with one pattern.
 
     Of values that overlap the one that begins first stands, and of kinds that begin at one place the first. Kinds begin with a capital, a digit or a word's first letter.
     """
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{_BEGINS}(?:{'|'.join(f'(?:{p})' for _, p in kinds)})"), F.lit(0)))
-    kind = lambda x: F.coalesce(*(F.when(x.rlike(f"^(?:{p})$"), k) for k, p in kinds))
-    return F.transform(found, lambda x: F.struct(kind(x).alias("kind"), x.alias("value")))
+    return F.transform(_found(text, kinds), lambda x: F.struct(_kind(x, kinds).alias("kind"), x.alias("value")))
 
 
 def values(body: Column) -> Column:
@@ -145,8 +159,9 @@ def values(body: Column) -> Column:
     return tagged(body, VALUE_KINDS)
 
 
-def _iso(value: Column, pattern: str, out: str) -> Column:
-    return F.date_format(F.try_to_timestamp(value, F.lit(pattern)), out)
+def _day(value: Column, pattern: str) -> Column:
+    """yyyy-MM-dd, null for what is no date."""
+    return F.try_to_timestamp(value, F.lit(pattern)).cast("date").cast("string")
 
 
 def _amount(value: Column) -> Column:
@@ -156,59 +171,78 @@ def _amount(value: Column) -> Column:
 def standard(kind: Column, value: Column) -> Column:
     """A value as records state it: dates as yyyy-MM-dd, timestamps with hours and minutes, months as yyyy-MM, numbers without commas."""
     return (
-        F.when(kind == "timestamp", F.concat_ws(" ", _iso(F.regexp_extract(value, f"^({_LONG})", 1), "MMMM d, yyyy", "yyyy-MM-dd"), F.regexp_extract(value, r"(\d{2}:\d{2}) UTC$", 1)))
-        .when(kind == "date", _iso(value, "MMMM d, yyyy", "yyyy-MM-dd")).when(kind == "month", _iso(value, "MMMM yyyy", "yyyy-MM"))
+        F.when(kind == "timestamp", F.concat_ws(" ", _day(F.substring_index(value, " at ", 1), "MMMM d, yyyy"), F.substring(value, -9, 5)))
+        .when(kind == "date", _day(value, "MMMM d, yyyy")).when(kind == "month", F.substring(_day(value, "MMMM yyyy"), 1, 7))
         .when(kind == "number", _amount(value)).otherwise(value)
     )
 
 
 def harvest(record: Column, kind: T.DataType) -> Column:
     """All scalar values of a nested record (structs, arrays, maps) as array<string>, without nulls and booleans."""
+    return F.array_compact(_scalars(record, kind))
+
+
+def _scalars(record: Column, kind: T.DataType) -> Column:
+    """What harvest takes, with nulls."""
+    none = F.array().cast("array<string>")
     if isinstance(kind, T.StructType):
-        parts = [harvest(record[f.name], f.dataType) for f in kind.fields]
-        return F.concat(*parts) if parts else F.array().cast("array<string>")
+        parts = [_scalars(record[f.name], f.dataType) for f in kind.fields]
+        return F.concat(*parts) if parts else none
     if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.flatten(F.transform(record, lambda x: harvest(x, kind.elementType))), F.array().cast("array<string>"))
+        return F.coalesce(F.flatten(F.transform(record, lambda x: _scalars(x, kind.elementType))), none)
     if isinstance(kind, T.MapType):
-        return harvest(F.map_values(record), T.ArrayType(kind.valueType))
-    if isinstance(kind, T.BooleanType):
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(record.cast("string")))
+        return _scalars(F.map_values(record), T.ArrayType(kind.valueType))
+    return none if isinstance(kind, T.BooleanType) else F.array(record.cast("string"))
 
 
-def supported(value: Column) -> Column:
-    """What a record's value lets a text state: array<struct<kind,standard>>. A date lets its month be stated, a timestamp its date; the whole value may name a period."""
-    told = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("standard"))
-    of_day = lambda d: [told("date", d), told("iso_date", d), told("month", F.substring(d, 1, 7))]
+#: A letter and the digit behind it: every code holds one.
+_TURN = r"[a-z]\d"
 
-    def lets(x: Column) -> Column:
-        v, day = x["value"], F.substring(x["value"], 1, 10)
-        return (
-            F.when(x["kind"] == "id", F.array(told("id", v))).when(x["kind"] == "iso_date", F.array(*of_day(v)))
-            .when(x["kind"] == "stamp", F.array(told("timestamp", F.concat_ws(" ", day, F.substring(v, 12, 5))), *of_day(day))).otherwise(F.array(told("number", _amount(v))))
-        )
 
-    return F.concat(F.array(told("period", value)), F.flatten(F.transform(tagged(value, RECORD_KINDS), lets)))
+def _stated(texts: DataFrame, key: str) -> DataFrame:
+    """(key, value, kind, meet) of values in texts: a record of the key supports one if it tells the same and, for a code, holds it."""
+    found = texts.select(key, F.explode_outer(_found(F.col("body"), VALUE_KINDS)).alias("value"))
+    kind, value = F.col("kind"), F.col("value")
+    v = found.where("value is not null").withColumn("kind", _kind(value, VALUE_KINDS))
+    about = F.when(kind.isin("date", "iso_date"), "day").otherwise(kind)
+    told = F.when(kind == "code", F.regexp_extract(F.lower(value), _TURN, 0)).otherwise(standard(kind, value))
+    return v.select(key, "value", "kind", F.concat(about, F.lit(" "), told).alias("meet"))
 
 
-#: A letter and the digit behind it: every code holds one.
-_TURN = r"[a-z]\d"
+def _told(allowed: DataFrame, key: str) -> DataFrame:
+    """(key, meet, held) that records tell. A date lets its month be stated, a timestamp its date; the whole value may name a period; held is a word that codes may be part of.
+
+    Everything becomes rows before it is told apart: on rows Spark compiles what it would interpret within an array.
+    """
+    value = F.col("value")
+    sources = [
+        ("period", F.when(value.rlike(f"^(?:{dict(VALUE_KINDS)['period']})$"), F.array(value))),
+        (None, _found(value, RECORD_KINDS)),
+        ("code", F.when(F.lower(value).rlike(_TURN), F.split(F.lower(value), r"\W+"))),
+    ]
+    lists = allowed.select(key, F.inline_outer(F.array(*(F.struct(F.lit(kind).cast("string").alias("kind"), parts.alias("parts")) for kind, parts in sources))))
+    parts = lists.select(key, "kind", F.explode_outer("parts").alias("part")).where("part is not null")
+    parts = parts.select(key, "part", F.coalesce("kind", _kind(F.col("part"), RECORD_KINDS)).alias("kind"))
+    kind, part, day = F.col("kind"), F.col("part"), F.substring("part", 1, 10)
+    of_day = [day, F.substring("part", 1, 7)]
+    meets = (
+        F.when(kind == "code", F.array_distinct(F.regexp_extract_all(part, F.lit(_TURN), F.lit(0)))).when(kind == "iso_date", F.array(*of_day))
+        .when(kind == "stamp", F.array(*of_day, F.concat_ws(" ", day, F.substring(part, 12, 5)))).when(kind == "number", F.array(_amount(part))).otherwise(F.array(part))
+    )
+    told = parts.select(key, "kind", F.when(kind == "code", part).alias("held"), F.posexplode_outer(meets).alias("at", "meet")).where("meet is not null")
+    about = F.when(kind.isin("iso_date", "stamp"), F.element_at(F.array(*map(F.lit, ("day", "month", "timestamp"))), F.col("at") + 1)).otherwise(kind)
+    return told.select(key, F.concat(about, F.lit(" "), "meet").alias("meet"), "held")
 
 
 def unsupported(texts: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
     """(key, kind, value) of values in texts that none of the key's records (key, value) supports.
 
     Kinds but codes meet by equality of their standard form. A code is supported by a record of its key that holds it, in any case: the two meet in
-    a letter and digit that the code has where its digits begin, so not every record of a key is compared with every code. Texts are scanned once.
+    a letter and digit that the code has where its digits begin, so not every record of a key is compared with every code. Texts and records are scanned once, and meet in one join.
     """
-    v = kept(texts.select(key, F.inline(values(F.col("body")))).withColumn("standard", standard(F.col("kind"), F.col("value"))), "values")
-    told = allowed.select(key, F.inline(supported(F.col("value"))))
-    others = v.where("kind <> 'code'").join(told.hint("merge"), [key, "kind", "standard"], "left_anti")
-    held = allowed.select(F.col(key).alias("_key"), F.explode(F.split(F.lower("value"), r"\W+")).alias("_held")).where(F.col("_held").rlike(_TURN))
-    held = held.select("_key", "_held", F.explode(F.array_distinct(F.regexp_extract_all("_held", F.lit(_TURN), F.lit(0)))).alias("_turn"))
-    codes = v.where("kind = 'code'").withColumn("_turn", F.regexp_extract(F.lower("value"), _TURN, 0))
-    codes = codes.join(held.withColumnRenamed("_turn", "_of").hint("merge"), (F.col(key) == F.col("_key")) & (F.col("_turn") == F.col("_of")) & F.col("_held").contains(F.lower("value")), "left_anti")
-    return others.unionByName(codes.drop("_turn")).select(key, "kind", "value")
+    v, r = _stated(texts, key).alias("v"), _told(allowed, key).hint("merge").alias("r")
+    held = F.when(F.col("v.kind") == "code", F.col("r.held").contains(F.lower("v.value"))).otherwise(True)
+    return v.join(r, [F.col(f"v.{key}") == F.col(f"r.{key}"), F.col("v.meet") == F.col("r.meet"), held], "left_anti").select(key, "kind", "value")
 
 
 def unstated(facts: DataFrame, texts: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ragmill.functions.text import normalize_quotes
 from ragmill.operators import facts as K
 from ragmill.operators import monitor as J
-from ragmill.sources.tables import table
+from ragmill.sources.tables import spread, table
 
 
 def j1(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,15 +81,15 @@ def k5_kinds(spark: SparkSession, sf: str) -> DataFrame:
     wrong = lambda i, days: F.date_add(day, F.when(k == i, days).otherwise(0))
     body = F.concat(
         F.lit("CUST-"), F.when(k == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")), F.lit(" on "), F.date_format(wrong(1, 1), "MMMM d, yyyy"), F.lit(" at 10:30 UTC, since "), F.date_format(wrong(2, 2), "MMMM d, yyyy"),
-        F.lit(", in "), F.date_format(wrong(3, 40), "MMMM yyyy"), F.lit(" of "), F.date_format(wrong(4, 400), "yyyy"), F.lit("-Q1, by "), wrong(5, 3).cast("string"), F.lit(": Part"), F.when(k == 6, F.lit("9x")).otherwise(F.lit("7x")),
+        F.lit(", in "), F.date_format(wrong(3, 40), "MMMM yyyy"), F.lit(" of "), F.year(wrong(4, 400)).cast("string"), F.lit("-Q1, by "), wrong(5, 3).cast("string"), F.lit(": Part"), F.when(k == 6, F.lit("9x")).otherwise(F.lit("7x")),
         F.lit(" for $"), F.format_number(F.col("o_totalprice") + F.when(k == 7, 1).otherwise(0), 2), F.lit("."),
     )
-    o = table(spark, sf, "orders")
-    placed = F.struct(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:30:00Z")).alias("at"), F.lit(True).alias("open"))
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+    placed = F.struct(F.concat(day.cast("string"), F.lit("T10:30:00Z")).alias("at"), F.lit(True).alias("open"))
     items = F.array(F.struct(F.lit("a part7x of iron").alias("item"), F.col("o_totalprice").cast("decimal(18,2)").alias("price")))
-    record = F.struct(F.concat(F.lit("CUST-"), "o_custkey").alias("customer"), placed.alias("placed"), F.create_map(F.lit("period"), F.concat(F.date_format(day, "yyyy"), F.lit("-Q1"))).alias("booked"), items.alias("items"))
+    record = F.struct(F.concat(F.lit("CUST-"), "o_custkey").alias("customer"), placed.alias("placed"), F.create_map(F.lit("period"), F.concat(F.year(day).cast("string"), F.lit("-Q1"))).alias("booked"), items.alias("items"))
     records = o.select("o_orderkey", record.alias("record"))
-    told = records.select("o_orderkey", F.explode(K.harvest(F.col("record"), records.schema["record"].dataType)).alias("value"))
+    told = records.select("o_orderkey", F.explode_outer(K.harvest(F.col("record"), records.schema["record"].dataType)).alias("value"))
     return K.unsupported(o.select("o_orderkey", body.alias("body")), "o_orderkey", told)
 
 

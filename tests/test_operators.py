@@ -610,3 +610,17 @@ def test_trees_grow_on_tasks_of_bounded_rows(spark, monkeypatch):
     assert len(most) == 2 and max(most) <= 25  # 11 words: 400 rows need 22 tasks of 18 or 19
     for m in models.values():
         assert m.transform(train).where("abs(guess - y) > 0.2").count() == 0
+
+
+def test_texts_and_records_are_scanned_once(spark, sf):
+    plan = catalog.queries()["k5_value_kinds"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2  # orders as texts and as records
+    assert plan.count("SortMergeJoin") == 1
+    assert "size(" not in plan  # a filter on a generator's array scans each text twice
+
+
+def test_support_of_odd_values(spark):
+    texts = [(1, "February 30, 2024 and March 45, 2024 at 09:30 UTC in May 0000"), (1, None), (None, "INC-7"), (2, "3 3 3.0 and 1,000 Ab1 xab1y 2024-Q3 FY2024"), (2, "3"), (3, "2024-01-05 June 2024")]
+    told = [(1, "2024-02-30"), (1, None), (None, "INC-7"), (2, "3.00"), (2, "3"), (2, "XAB1Y-a2024"), (2, "FY2024"), (2, "in 2024-Q3"), (3, "2024-06-05T10:00:00Z"), (3, "on 2024-01-05")]
+    left = K.unsupported(spark.createDataFrame(texts, "id int, body string"), "id", spark.createDataFrame(told, "id int, value string"))
+    assert sorted(map(tuple, left.collect()), key=repr) == [(1, "date", "February 30, 2024"), (1, "month", "May 0000"), (1, "timestamp", "March 45, 2024 at 09:30 UTC"), (2, "number", "1,000"), (2, "period", "2024-Q3"), (None, "id", "INC-7")]
