@@ -6,7 +6,9 @@ cut into more parts than two linked sets can differ in, so linked sets agree in
 parts (pigeonhole): equal parts give candidate groups and no link is missed. Very frequent shingles (by a sketch of fixed size over
 all documents) are left out of parts, which makes two sets differ in no more of them, so that common lines make no candidates.
 There are spare parts, so those with too few shingles need not count; a document with more of these sends the parts of all its
-shingles besides. In each candidate
+shingles besides. Linked sets so agree in a known number of parts. A document that shares fewer with any others has no link,
+and each may leave out, of the parts that it shares, just under half that number: those that it shares with the documents with which it shares
+least. Passages that many documents hold then chain few candidates, and no link is lost. In each candidate
 group and band (a tile), bitmaps of hashed shingles bound the overlap from above by bit counts, and
 only pairs that pass get the exact intersection of their sorted arrays. A tile gives a spanning
 forest, never all its pairs. Tiles over a size limit are cut into blocks which all hold the tile's
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.llm import _kernels as K
@@ -36,6 +38,12 @@ from ragmill.llm._tiles import Linker, tile_edges
 BLOCK_DOCS, BLOCK_SHINGLES = 16384, 1 << 23
 #: The sketch of shingle frequencies, and from which share of documents on a shingle is frequent.
 SKETCH_BITS, SLICES, FREQUENT = 19, 64, 0.002
+#: A vertex is a set in a band: the high bits of its digest, the band, and the level of the parts that it must share. The last level marks a hub, the documents of a part.
+BAND_BITS, LEVEL_BITS = 10, 6
+LEVELS = np.unique((1.2 ** np.arange(96)).astype(np.int64))[: (1 << LEVEL_BITS) - 1]
+HUB = (1 << LEVEL_BITS) - 1
+#: Rows of (hub, vertex) that a task folds at once.
+FOLD_ROWS = 1 << 19
 
 
 class Bands:
@@ -114,13 +122,14 @@ def frequent_shingles(digests: DataFrame) -> np.ndarray:
     return np.concatenate([got[i][1:] for i in range(SLICES)]) > max(32, FREQUENT * int(got[0][0]))
 
 
-def _parts(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, bands: Bands, salt: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the parts of rows in bands (the last byte is the band) with the row of each, and the (rows, bands) that have so many thin parts that they may agree in no other.
+def _parts(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, bands: Bands, salt: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts of rows in bands with the row and band of each and how many parts that row shares at least with any that it links with, and the (rows, bands) that have so many thin parts that they may agree in no other.
 
     With last, these send all their parts; else they send none here.
     """
     left = np.diff(at)
-    keys, owners, odd_rows, odd_bands = [np.zeros(0, K.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    none = np.zeros(0, np.int64)
+    keys, owners, schemes, needs, odd_rows, odd_bands = [np.zeros(0, K.U)], [none], [none], [none], [none], [none]
     value = K.mix(s * K.U(0x2545F4914F6CDD1D) + K.U(1))
     for scheme in np.unique(band):
         mine = np.sort(rows[band == scheme])
@@ -144,60 +153,108 @@ def _parts(s: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, ba
                 part, owner, total = np.concatenate([part, empty]), np.concatenate([owner, np.full(len(empty), i)]), np.concatenate([total, np.zeros(len(empty), K.U)])
         keys.append(K.mix(total + K.mix(part.astype(K.U) + K.U((int(scheme) * 2 + salt) << 40))) & ~K.U(255) | K.U(int(scheme)))
         owners.append(mine[owner])
+        schemes.append(np.full(len(owner), scheme))
+        # of the parts in which linked rows agree, slack + 1 or more, at most those that are thin here aren't sent
+        needs.append(np.ones(len(owner), np.int64) if last else np.maximum(1, 1 + slack - thin)[owner])
         odd_rows.append(mine[odd])
         odd_bands.append(np.full(len(odd), scheme))
-    return tuple(map(np.concatenate, (keys, owners, odd_rows, odd_bands)))
+    return tuple(map(np.concatenate, (keys, owners, schemes, needs, odd_rows, odd_bands)))
 
 
 def _keys(s: np.ndarray, at: np.ndarray, rare: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts and the row of each. rare marks the shingles that aren't frequent.
+    """Keys of the parts and the row of each."""
+    return _sent(s, at, rare, bands)[:2]
+
+
+def _sent(s: np.ndarray, at: np.ndarray, rare: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts, the row and band of each, and in how many keys of this band the row agrees at least with any that it links with. rare marks the shingles that aren't frequent.
 
     Parts are of rare shingles; a row that has too few of them for that sends, besides, the parts of all its shingles. So
-    two linked rows agree in a part of rare shingles, or both are of the latter kind and agree in one of all shingles.
+    two linked rows agree in a part of rare shingles, or both are of the latter kind and agree in one of all shingles. Of the latter kind no more is known.
     """
     size = np.diff(at)
     rows = np.flatnonzero(size)
     band = bands.band(size[rows])
     low = bands.lower(size[rows], band)
     rows, band = np.concatenate([rows, rows[low]]), np.concatenate([band, band[low] - 1])
-    keys, owners, odd_rows, odd_bands = _parts(s[rare], np.concatenate([[0], np.cumsum(rare)])[at], rows, band, bands, 0, False)
+    *sent, odd_rows, odd_bands = _parts(s[rare], np.concatenate([[0], np.cumsum(rare)])[at], rows, band, bands, 0, False)
     if len(odd_rows):
-        more, of, _, _ = _parts(s, at, odd_rows, odd_bands, bands, 1, True)
-        keys, owners = np.concatenate([keys, more]), np.concatenate([owners, of])
-    return keys, owners
+        *more, _, _ = _parts(s, at, odd_rows, odd_bands, bands, 1, True)
+        sent = [np.concatenate(x) for x in zip(sent, more, strict=True)]
+    return tuple(sent)
+
+
+def _vertices(digest: np.ndarray, scheme: np.ndarray, need: np.ndarray) -> np.ndarray:
+    low = (scheme.astype(K.U) << K.U(LEVEL_BITS)) | (np.searchsorted(LEVELS, need, "right") - 1).astype(K.U)
+    return (digest & ~K.U((1 << BAND_BITS + LEVEL_BITS) - 1) | low).view(np.int64)
+
+
+def _counted(hub: np.ndarray, vertex: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((hub, vertex))
+    hub, vertex = hub[order], vertex[order]
+    first = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (vertex[1:] != vertex[:-1])]))
+    return pa.RecordBatch.from_arrays([pa.array(hub[first]), pa.array(vertex[first]), pa.array(np.diff(np.append(first, len(hub))))], ["hub", "vertex", "n"])
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, vertex, n) of rows (key, vertex) sorted by both: of the keys that several vertices hold, vertex holds n whose smallest vertex is hub."""
+    key_before, vertex_before, root, place_before = None, None, 0, 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, vertex = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new_key = np.concatenate([[key[0] != key_before], key[1:] != key[:-1]])
+        new = new_key | np.concatenate([[vertex[0] != vertex_before], vertex[1:] != vertex[:-1]])
+        key, vertex, new_key = key[new], vertex[new], new_key[new]
+        if not len(key):
+            continue
+        row = np.arange(len(key))
+        first = np.maximum.accumulate(np.where(new_key, row, -1))
+        hub = np.where(first >= 0, vertex[first], root)
+        place = np.where(first >= 0, row - first, place_before + 1 + row)
+        key_before, vertex_before, root, place_before = key[-1], vertex[-1], hub[-1], place[-1]
+        second, later = hub[place == 1], place > 0
+        held.append((np.concatenate([hub[later], second]), np.concatenate([vertex[later], second])))
+        if sum(len(h) for h, _ in held) >= FOLD_ROWS:
+            yield _counted(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if sum(len(h) for h, _ in held):
+        yield _counted(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def candidate_edges(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
-    """(a, b, scheme): documents that agree in a part of a band, each with the smallest of its group."""
+    """(a, b): hubs, and the vertices that agree in a part with others there. Equal sets are one vertex."""
 
     table = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(table.value).astype(bool)
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, s, at in word_sets(batch, n):
+            for _, _, s, at in word_sets(batch, n):
+                digests = [x.to_numpy() for x in digest_columns(s, at)]
+                fresh = np.zeros(len(at) - 1, bool)  # of equal sets a task sends one, as long as it remembers them
+                for i, x in enumerate(zip(*(d.tolist() for d in digests), strict=True)):
+                    fresh[i] = x not in sent
+                    sent.add(x)
                 a, b = _buckets(s)
-                keys, owner = _keys(s, at, ~(common[a] & common[b]), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo + owner])], ["key", "doc_id"])
+                keys, owner, scheme, need = (x for x in _sent(s, at, ~(common[a] & common[b]), bands))
+                keep = fresh[owner]
+                vertex = _vertices(digests[0].view(K.U)[owner[keep]], scheme[keep], need[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(vertex)], ["key", "vertex"])
+            if len(sent) > FOLD_ROWS:
+                sent.clear()
         give_back()
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, root = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            smallest = np.where(first >= 0, doc[first], root)
-            last, root = key[-1], smallest[-1]
-            keep = smallest != doc
-            pairs = np.unique(np.stack([smallest[keep], doc[keep], key[keep] & 255]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], ["a", "b", "scheme"])
-
-    rows = docs.mapInArrow(emit, "key long, doc_id long")
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(link, "a long, b long, scheme int").distinct()
+    rows = docs.mapInArrow(emit, "key long, vertex long").repartition("key").sortWithinPartitions("key", "vertex")
+    held = rows.mapInArrow(shared_keys, "hub long, vertex long, n long").repartition("vertex").groupBy("vertex", "hub").agg(F.sum("n").alias("n"))
+    least = F.element_at(F.array(*(F.lit(int(x)) for x in LEVELS)), F.col("vertex").bitwiseAND(HUB).cast("int") + 1)
+    by = Window.partitionBy("vertex")
+    held = held.withColumn("least", least).withColumn("all", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy("n", "hub").rowsBetween(Window.unboundedPreceding, 0)))
+    # linked vertices agree in max(least, least) keys or more: if each leaves out fewer than half of its own least, one is left
+    held = held.where((F.col("all") >= F.col("least")) & (F.col("upto") > F.expr("(least - 1) div 2")))
+    return written(held.select(F.col("hub").bitwiseOR(F.lit(HUB)).alias("a"), F.col("vertex").alias("b")), "candidates")
 
 
 def _bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
@@ -282,20 +339,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     seen = digests.where("slice is null").drop("slice", "counts")
     classes = written(seen.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
     copies = written(seen.where("n_shingles > 0").join(slim_side(classes), ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), "copies")
-    # only the smallest doc_id of equal sets is compared with others
-    alone, slim_copies = docs, slim_side(copies.select("doc_id"))
-    if not copies.isEmpty():
-        alone = docs.join(slim_copies, "doc_id", "left_anti")
     # a document takes part in its size band and, where it may, in the one below, each time as a vertex of its own, so candidates don't chain from band to band
-    vertex = lambda doc, band: F.xxhash64(doc, band)  # noqa: E731  two of one hash would share a tile, no more
-    pairs = candidate_edges(alone, n, bands, frequent_shingles(digests)).select(vertex("a", "scheme").alias("a"), vertex("b", "scheme").alias("b"))
-    near = components(pairs).select(F.col("id").alias("vertex"), F.col("root").alias("comp"))
+    pairs = candidate_edges(docs, n, bands, frequent_shingles(digests))
+    of_level = lambda x: F.col(x).bitwiseAND(HUB)
+    near = components(pairs).where(of_level("id") != HUB).select((F.col("id") - of_level("id")).alias("vertex"), F.col("root").alias("comp"))
     known = [int(x) for x in bands.starts if x < 2**31]
     band = F.expr(f"size(filter(array({','.join(map(str, known))}), x -> x <= n_shingles)) - 1")
     starts = F.element_at(F.array(*map(F.lit, known)), F.col("band") + 1)
     both = (F.col("band") > 0) & (F.col("n_shingles") * num <= (starts - 1) * den)
-    slim = seen.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("weight"), "n_shingles").withColumn("band", band)
-    slim = slim.withColumn("scheme", F.explode(F.when(both, F.array("band", F.col("band") - 1)).otherwise(F.array("band")))).withColumn("vertex", vertex("doc_id", "scheme"))
+    # only the smallest doc_id of equal sets is compared with others
+    alone = seen.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    slim = alone.select("doc_id", F.col("n_shingles").alias("weight"), "n_shingles", "h1").withColumn("band", band)
+    slim = slim.withColumn("scheme", F.explode(F.when(both, F.array("band", F.col("band") - 1)).otherwise(F.array("band"))))
+    low = (1 << BAND_BITS + LEVEL_BITS) - 1
+    slim = slim.withColumn("vertex", (F.col("h1") - F.col("h1").bitwiseAND(low)).bitwiseOR(F.shiftleft(F.col("scheme").cast("long"), LEVEL_BITS)))
     members = written(slim.join(slim_side(near), "vertex").select("doc_id", "weight", "comp"), "banded")
     edges = tile_edges(members, ["comp"], lambda m: with_sets(docs, m, n), exact_linker(num, den), BLOCK_DOCS, BLOCK_SHINGLES)
     edges = edges.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))

@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,46 @@ def test_parts_never_miss_a_linked_pair():
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+def test_linked_rows_agree_in_as_many_parts_as_they_state():
+    bands, r = jaccard_join.Bands(80, 100), np.random.default_rng(4)
+    stated = 0
+    for n in (3, 10, 40, 41, 200, 1000):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 2**64, n, kernels.U))
+            b = np.unique(np.concatenate([a[int(0.1 * n) :], r.integers(0, 2**64, n // 10, kernels.U)]))
+            same = len(np.intersect1d(a, b))
+            if 100 * same < 80 * (len(a) + len(b) - same):
+                continue
+            s = np.concatenate([a, b])
+            keys, owner, scheme, need = jaccard_join._sent(s, np.array([0, len(a), len(s)]), s % kernels.U(r.integers(1, 9)) > 0, bands)
+            common = np.intersect1d(keys[owner == 0], keys[owner == 1])
+            by = Counter(scheme[(owner == 0) & np.isin(keys, common)].tolist())
+            assert any(by[k] >= need[scheme == k].max() for k in by)  # in one of the two bands they are compared
+            stated = max(stated, need.max())
+    assert stated > 20
+
+
+def test_counts_of_shared_keys_over_batches():
+    rows = [(1, 5), (1, 5), (1, 7), (2, 5), (2, 7), (2, 9), (3, 9), (3, 9), (4, 5), (4, 9)]
+    for size in (1, 2, 3, 10):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size])], ["key", "vertex"]) for i in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in jaccard_join.shared_keys(iter(batches)) for x in b.to_pylist()]
+        assert sorted(got) == [(5, 5, 3), (5, 7, 2), (5, 9, 2)]
+
+
+def test_shared_passages_chain_no_candidates(spark, monkeypatch):
+    r, seen = random.Random(6), []
+    passages = [words(r, 60, 10**6) for _ in range(31)]
+    texts = [[*passages[i], *words(r, 400, 10**6), *passages[i + 1]] for i in range(30)]
+    texts.append([*texts[3][:-9], *words(r, 9, 10**6)])
+    pairs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    real = jaccard_join.tile_edges
+    monkeypatch.setattr(jaccard_join, "tile_edges", lambda members, *a: seen.extend(x.doc_id for x in members.collect()) or real(members, *a))
+    got = jaccard_join.jaccard_components(docs_of(spark, pairs))
+    assert sorted(tuple(x) for x in got.collect()) == brute_components(pairs, 5, 80, 100)
+    assert set(seen) == {3, 30}  # each document shares a passage with the next, which makes no link
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(5, 5)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
