@@ -8,23 +8,42 @@ from pyspark.sql import types as T
 
 from ragmill.operators import baselines as L
 from ragmill.sources import files as A
-from ragmill.sources.tables import kept, scratch, table
+from ragmill.sources.tables import scratch, spread, table, written
 from ragmill.streaming import jobs as S
 
 
+#: Files of a folder of a tree, about, and files that are listed and read at once.
+FOLDER_FILES, TREE_FILES = 1_000, 100_000
+
+
 def a1(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as text files, one for each, under their source, and read as a tree: whole texts come back.
 
-    A file's first line is its document's id, so a folder holds many files. Tasks move their files where they belong themselves; the driver would move them one by one.
+    A file's first line is its document's id, so a folder holds many files. A source is any text, so its folder's name has it in hex. As the driver lists what is read, that goes in turns of TREE_FILES files.
     """
-    d = table(spark, sf, "documents").select("source", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("folder"), F.concat_ws("\n", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("value"))
-    root = f"{scratch(spark, 'tree')}/corpus"
-    files = d.repartition(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "source", "folder")
-    files.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("source", "folder").text(root)
-    found = A.read_markdown_tree(spark, root, "*.txt")
+    docs = table(spark, sf, "documents")
+    n, sources = docs.agg(F.count("*"), F.count_distinct("source")).first()
+    folders = max(1, n // (max(1, sources) * FOLDER_FILES))
+    d = docs.select(F.concat(F.lit("x"), F.hex("source")).alias("source"), F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("folder"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value"))
+    root, path = f"{scratch(spark, 'tree')}/corpus", scratch(spark, "found")
+    A.write_tree(spread(d), root)
+    turns, left = [[]], TREE_FILES
+    for source, folder, n in d.groupBy("source", "folder").count().collect():
+        if n > left and turns[-1]:
+            turns, left = [*turns, []], TREE_FILES
+        turns[-1].append(f"source={A.NO_VALUE if source is None else source}/folder={folder}")
+        left -= n
     text = F.regexp_replace(F.expr("substr(text, instr(text, '\n') + 1)"), r"\n\z", "")  # the writer ends a file with a line break
-    with A.small_files(spark):
-        return kept(found.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"), F.regexp_replace("doc_type", "source=", "").alias("doc_type"), F.length(text).alias("n_chars"), F.md5(text).alias("digest")), "found")
+    kind = F.unhex(F.regexp_extract("doc_type", "^source=x(.*)", 1)).cast("string")
+    kind = F.when(F.col("doc_type") != f"source={A.NO_VALUE}", kind)
+    if not turns[0]:
+        return spark.createDataFrame([], "doc_id long, doc_type string, n_chars int, digest string")
+    for turn in turns:
+        found = A.read_markdown_tree(spark, root, "*.txt", turn)
+        with A.small_files(spark, 1 << 14):
+            found = found.select(F.substring_index("text", "\n", 1).try_cast("long").alias("doc_id"), kind.alias("doc_type"), F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
+            written(found.write.mode("append"), spark, path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 _META = T.StructType([T.StructField("doc_id", T.LongType(), False), T.StructField("lang", T.StringType(), False), T.StructField("content_sha256", T.StringType(), False)])

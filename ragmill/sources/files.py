@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragmill.sources.tables import kept, small_side
+from ragmill.sources.tables import kept, small_batches, small_side
 
 
-def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """source (path), doc_type (first folder under the root) and text of every matching file, one row for each."""
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
+def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md", folders: list[str] | None = None) -> DataFrame:
+    """source (path), doc_type (first folder under the root) and text of every matching file, one row for each. The driver lists the files: folders below the root, if stated, are all that is read, so a large tree can be read in turns."""
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).format("binaryFile").load(root if folders is None else [f"{root}/{x}" for x in folders])
     path = F.col("_metadata.file_path")
     base = root.rstrip("/").rsplit("/", 1)[-1]
     kind = F.regexp_extract(path, f"/{base}/([^/]+)/", 1)
-    return df.select(path.alias("source"), kind.alias("doc_type"), F.col("value").alias("text"))
+    return df.select(path.alias("source"), kind.alias("doc_type"), F.col("content").cast("string").alias("text"))
+
+
+#: What stands for null in a folder's name.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_tree(df: DataFrame, root: str) -> None:
+    """A text file for each row of df (source, folder, value), value and a line break, below source=.../folder=...
+
+    In a local folder, tasks make the files themselves: Hadoop's local file system starts a process for each file to set its mode. df gives its rows in the same order when a task runs again, so its files
+    are written over. Elsewhere it is Spark's writer, whose files are moved by tasks, not by the driver.
+    """
+    local = re.fullmatch(r"(file:(?://)?)?(/.*)", root)
+    if local is None or not (local[1] or df.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").startswith("file:")):
+        df.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("source", "folder").text(root)
+        return
+    top = local[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for source, folder, value in zip(*(batch.column(i) for i in range(3)), strict=True):
+                path = f"{top}/source={source if source.is_valid else NO_VALUE}/folder={folder}"
+                if path not in made:
+                    os.makedirs(path, exist_ok=True)
+                    made.add(path)
+                with open(f"{path}/part-{task:05d}-{n:09d}.txt", "wb") as f:
+                    f.write(value.as_buffer())
+                    f.write(b"\n")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    small_batches(df.select("source", "folder", "value")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 @contextmanager

@@ -1,6 +1,7 @@
 """Edge cases on small inline tables."""
 
 import datetime
+import hashlib
 import math
 import random
 import re
@@ -624,3 +625,19 @@ def test_support_of_odd_values(spark):
     told = [(1, "2024-02-30"), (1, None), (None, "INC-7"), (2, "3.00"), (2, "3"), (2, "XAB1Y-a2024"), (2, "FY2024"), (2, "in 2024-Q3"), (3, "2024-06-05T10:00:00Z"), (3, "on 2024-01-05")]
     left = K.unsupported(spark.createDataFrame(texts, "id int, body string"), "id", spark.createDataFrame(told, "id int, value string"))
     assert sorted(map(tuple, left.collect()), key=repr) == [(1, "date", "February 30, 2024"), (1, "month", "May 0000"), (1, "timestamp", "March 45, 2024 at 09:30 UTC"), (2, "number", "1,000"), (2, "period", "2024-Q3"), (None, "id", "INC-7")]
+
+
+def test_tree_in_turns_of_files_with_odd_sources_and_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipelines, "scratch", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(pipelines, "TREE_FILES", 3)
+    monkeypatch.setattr(pipelines, "FOLDER_FILES", 2)
+    texts = [None, "", "a", "b\n", "\n\nc\r\n", "é 漢\x00", "1\n2"]
+    made = [(i, texts[i % 7], s) for i, s in enumerate(["a b", "x/y", "p%q+", None, "", "*", "..", "é", "web", "web", "web", "web", "web", "web", "web"])] + [(None, "no id", "web")]
+    spark.createDataFrame(made, "doc_id long, text string, source string").write.parquet(str(tmp_path / "sf/documents.parquet"))
+    got = pipelines.a1(spark, str(tmp_path / "sf"))
+    want = [(i, s, len(t or ""), hashlib.md5((t or "").encode()).hexdigest()) for i, t, s in made]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    # tasks make the files, none of which Spark's writer, that starts a process for each, has made
+    assert len(list((tmp_path / "tree").rglob("part-*"))) == len(made) and not list((tmp_path / "tree").rglob("*.crc"))
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert pipelines.a1(spark, str(tmp_path / "none")).collect() == [] and pipelines.a1(spark, str(tmp_path / "none")).dtypes == got.dtypes
